@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
@@ -46,13 +46,13 @@ def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text only (null text: empty), so that further columns can't clash.
-
-    k1 and k2 name a row: rows that agree in both are repeated rows, whose results are equal.
-    """
+def row_key() -> tuple[Column, Column]:
+    """Names a row of documents: rows that agree in both are repeated rows, whose results are equal."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        doc_id.alias("doc_id"), text.alias("text"),
-        F.coalesce(doc_id, F.lit(NO_ID)).alias("k1"), F.xxhash64(doc_id, text).alias("k2"),
-    )
+    return F.coalesce(doc_id, F.lit(NO_ID)), F.xxhash64(doc_id, text)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null text: empty) and the row's key as k1 and k2 only, so that further columns can't clash."""
+    k1, k2 = row_key()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))

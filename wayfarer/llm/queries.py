@@ -1,25 +1,70 @@
-"""The registered queries of this subpackage: each operator, with production parameters, over its whole table."""
+"""The registered queries of this subpackage: each operator, with production parameters, over its whole table.
+
+None has oracle SQL: their digests come from byte offsets, hashes and learned models that SQL can't express
+or can't compute on whole tables in time. tests/llm holds each against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import substring_dedup, suffix_dedup
-from wayfarer.llm.common import table
+from wayfarer.llm import chat_format, decontaminate, kneser_ney, quality_rules, secrets, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_records
+from wayfarer.llm.common import shared_dir, table
+
+PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
+#: A conversation whose texts are control strings.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "token-records")
+    token_records.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), path)
+    return token_records.starts(token_records.index(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.scores(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.summary(chat_format.examples(turns.union(spark.createDataFrame(CONTROL_TURNS, turns.schema))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_suffix_dedup": op5_suffix_dedup,
-    "op9_substring_dedup": op9_substring_dedup,
-}
+    f.__name__: f
+    for f in (op1_decontaminate, op2_sentencepiece, op3_secrets, op4_simhash_dedup, op5_suffix_dedup, op6_token_records, op7_kneser_ney, op8_quality_rules, op9_substring_dedup, op10_chat_format)
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -129,3 +129,18 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, reach = start[order], np.maximum.accumulate(end[order])
     cut = np.flatnonzero(start[1:] > reach[:-1]) + 1
     return start[np.r_[0, cut]], reach[np.r_[cut - 1, len(start) - 1]]
+
+
+def respaced(data: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each row joined by one space: all bytes, start and end of each word, and of each row."""
+    later = np.ones(len(start), bool)
+    later[first[:-1][first[:-1] < len(start)]] = False
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[start] += 1
+    np.subtract.at(marks, end, 1)
+    mask = np.cumsum(marks[:-1], dtype=np.int8) > 0
+    data = data.copy()
+    gap = start[later] - 1
+    data[gap], mask[gap] = 0x20, True
+    place = np.r_[0, np.cumsum(mask)]
+    return data[mask].tobytes(), place[start], place[end], place[at]
