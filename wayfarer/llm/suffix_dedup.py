@@ -303,7 +303,8 @@ def repeats(docs: DataFrame, length: int = 200, gram: int = 32, at_once: int = 4
     # repeated rows have all their anchors as often as there are rows
     per_row = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("pos", "lo", "hi"))).alias("at"))
     per_row = per_row.select("k1", "k2", *(F.col(f"at.{x}").alias(x) for x in ("pos", "lo", "hi")))
-    runs = docs.join(per_row, ["k1", "k2"]).select("k1", "k2", "text", "pos", "lo", "hi").mapInArrow(_runs(length, gram, n, run_size), "bucket int, members binary, rests binary, lefts binary, spans binary")
+    # all columns of docs stay, so that this join and the last one read one exchange of the texts
+    runs = docs.join(per_row, ["k1", "k2"]).mapInArrow(_runs(length, gram, n, run_size), "bucket int, members binary, rests binary, lefts binary, spans binary")
     return runs.groupBy("bucket").applyInArrow(_merged(length, gram), SPANS_DDL)
 
 
