@@ -31,8 +31,9 @@ from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import NO_ID, stash, texts
 
 END = 1
-KEPT = 400_000
+KEPT = 300_000
 MASK = 0xA282EAD8
+_MARKS = set(".,;:!?")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _INDEX = "file string, shard int, doc_id long, offset long, length long, before long, n_tokens long, ids_crc32 long"
 
@@ -63,8 +64,12 @@ def records(content: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         at += 12 + size + 5
 
 
-class Words(dict):
-    """Ids of the words met last, as bytes; words that white space parts don't change each other's ids."""
+class Words:
+    """Ids of the words met last, as bytes, in two generations of which the older goes when the newer is full.
+
+    White space parts words, and a mark behind letters is a word of its own, so that neither changes the
+    ids before it; ASCII letters are lower-cased by the tokenizer in any case.
+    """
 
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,17 +77,42 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(model)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def of(self, texts: list[str]) -> list[bytes]:
         words = [re.split("[ \t-\r]+", x) if _ODD_SPACE.search(x) else x.split() for x in texts]
-        new = {w for ws in words for w in ws if w not in self}
-        if len(self) + len(new) > KEPT:
-            self.clear()
-            new = {w for ws in words for w in ws}
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, f"<u{self.width}").tobytes()
-        return [b"".join([self[w] for w in ws]) for ws in words]
+        found = [list(map(self.new.get, ws)) for ws in words]
+        lacking = {w for ws, ids in zip(words, found, strict=True) if not all(ids) for w, i in zip(ws, ids, strict=True) if i is None}
+        if not lacking:
+            return [b"".join(ids) for ids in found]
+        got = self._ids(lacking)
+        full = [b"".join(ids) if all(ids) else b"".join([got[w] if i is None else i for w, i in zip(ws, ids, strict=True)]) for ws, ids in zip(words, found, strict=True)]
+        if len(self.new) + len(got) > KEPT:
+            self.old, self.new = self.new, {}
+        self.new.update(got)
+        return full
+
+    def _ids(self, words: set[str]) -> dict[str, bytes]:
+        got, split, plain = {}, {}, set()
+        for w in words:
+            known = self.old.get(w)
+            if known is not None:
+                got[w] = known
+                continue
+            stem = w[:-1] if w[-1:] in _MARKS and w[:-1].isalpha() else w
+            split[w] = stem = stem.lower() if stem.isascii() and stem.isalpha() else stem
+            plain.add(stem)
+            if len(split[w]) < len(w):
+                plain.add(w[-1])
+        stems = {w: self.new.get(w) or self.old.get(w) for w in plain}
+        fresh = [w for w, ids in stems.items() if ids is None]
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            stems[w] = np.array(e.ids, f"<u{self.width}").tobytes()
+        got.update(stems)
+        for w, stem in split.items():
+            got[w] = stems[stem] + stems[w[-1]] if len(stem) < len(w) else stems[stem]
+        return got
 
 
 @lru_cache(maxsize=2)
