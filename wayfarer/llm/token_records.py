@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,10 +32,9 @@ from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import NO_ID, stash, texts
 
 END = 1
-KEPT = 300_000
+KEPT = 2_000_000
 MASK = 0xA282EAD8
 _MARKS = set(".,;:!?")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
 _INDEX = "file string, shard int, doc_id long, offset long, length long, before long, n_tokens long, ids_crc32 long"
 
 
@@ -64,8 +64,13 @@ def records(content: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         at += 12 + size + 5
 
 
+def _plain(word: str) -> bool:
+    """Lower-case letters of composed Latin only, which normalizing and splitting leave as they are."""
+    return word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 class Words:
-    """Ids of the words met last, as bytes, in two generations of which the older goes when the newer is full.
+    """Ids of the words met so far, in arrays sorted by the words' hashes: some twenty bytes a word.
 
     White space parts words, and a mark behind letters is a word of its own, so that neither changes the
     ids before it; ASCII letters are lower-cased by the tokenizer in any case.
@@ -73,46 +78,70 @@ class Words:
 
     def __init__(self, model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(model)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        words = [re.split("[ \t-\r]+", x) if _ODD_SPACE.search(x) else x.split() for x in texts]
-        found = [list(map(self.new.get, ws)) for ws in words]
-        lacking = {w for ws, ids in zip(words, found, strict=True) if not all(ids) for w, i in zip(ws, ids, strict=True) if i is None}
-        if not lacking:
-            return [b"".join(ids) for ids in found]
-        got = self._ids(lacking)
-        full = [b"".join(ids) if all(ids) else b"".join([got[w] if i is None else i for w, i in zip(ws, ids, strict=True)]) for ws, ids in zip(words, found, strict=True)]
-        if len(self.new) + len(got) > KEPT:
-            self.old, self.new = self.new, {}
-        self.new.update(got)
-        return full
-
-    def _ids(self, words: set[str]) -> dict[str, bytes]:
-        got, split, plain = {}, {}, set()
-        for w in words:
-            known = self.old.get(w)
-            if known is not None:
-                got[w] = known
-                continue
-            stem = w[:-1] if w[-1:] in _MARKS and w[:-1].isalpha() else w
-            split[w] = stem = stem.lower() if stem.isascii() and stem.isalpha() else stem
-            plain.add(stem)
-            if len(split[w]) < len(w):
-                plain.add(w[-1])
-        stems = {w: self.new.get(w) or self.old.get(w) for w in plain}
-        fresh = [w for w, ids in stems.items() if ids is None]
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            stems[w] = np.array(e.ids, f"<u{self.width}").tobytes()
-        got.update(stems)
-        for w, stem in split.items():
-            got[w] = stems[stem] + stems[w[-1]] if len(stem) < len(w) else stems[stem]
-        return got
+        # for what the tokenizer's normalizer and splitter leave as it is: whole texts of words that spaces part
+        self.lean = Tokenizer(self.tokenizer.model)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.marks = {m: self._plainly(m) for m in _MARKS}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.flat, self.used = np.zeros(1 << 16, f"<u{self.width}"), 0
+
+    def _plainly(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's start and the last one's end. Each distinct word is looked up once."""
+        data, at = tn.raw(column)
+        start, end, first = tn.words(data, at)
+        kinds, heads, which = np.unique(tn.span_hash(tn.prefix_sums(data), start, end), return_index=True, return_inverse=True)
+        if len(self.keys) > KEPT:
+            self._forget()
+        place = np.searchsorted(self.keys, kinds)
+        new = np.flatnonzero(self.keys[np.minimum(place, max(len(self.keys) - 1, 0))] != kinds) if len(self.keys) else np.arange(len(kinds))
+        if len(new):
+            whole = data.tobytes()
+            self._add(kinds[new], place[new], self._ids([whole[a:b].decode() for a, b in zip(start[heads[new]].tolist(), end[heads[new]].tolist(), strict=True)]))
+            place = np.searchsorted(self.keys, kinds)
+        count = self.size[place][which].astype(np.int64)
+        ids = self.flat[np.repeat(self.at[place][which].astype(np.int64), count) + tn.run_of(count)]
+        return ids, np.r_[0, np.cumsum(count)][first]
+
+    def _add(self, keys: np.ndarray, place: np.ndarray, found: list[bytes]) -> None:
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        fresh = np.frombuffer(b"".join(found), self.flat.dtype)
+        if self.used + len(fresh) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(self.flat) + len(fresh), self.flat.dtype)])
+        self.flat[self.used : self.used + len(fresh)] = fresh
+        self.keys, self.size = np.insert(self.keys, place, keys), np.insert(self.size, place, size)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
+        self.used += len(fresh)
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        letters, where, tails = [], [], []
+        for k, w in enumerate(words):
+            stem, tail = (w[:-1], w[-1]) if w[-1] in _MARKS and w[:-1].isalpha() else (w, "")
+            stem = stem.lower() if stem.isascii() and stem.isalpha() else stem
+            if _plain(stem):
+                letters.append(stem)
+                where.append(k)
+                tails.append(tail)
+            else:
+                out[k] = self._plainly(w)
+        for at in range(0, len(letters), 256):
+            some = letters[at : at + 256]
+            e = self.lean.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(e.ids, f"<u{self.width}").tobytes()
+            ends = (np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1)) * self.width).tolist()
+            for k, tail, a, b in zip(where[at : at + 256], tails[at : at + 256], ends[:-1], ends[1:], strict=True):
+                out[k] = ids[a:b] + self.marks[tail] if tail else ids[a:b]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -125,9 +154,10 @@ def _framed(model: str, end: int):
         words = words_of(model)
         tail = end.to_bytes(words.width, "little")
         for batch in batches:
-            for part in tn.slices(batch, "text"):
-                ids = words.of(part.column("text").to_pylist())
-                frames = [frame(d, x + tail, words.width) for d, x in zip(part.column("k1").to_pylist(), ids, strict=True)]
+            for part in tn.slices(batch, "text", 2 << 20):
+                ids, ends = words.of(part.column("text"))
+                flat, ends = ids.tobytes(), (ends * words.width).tolist()
+                frames = [frame(d, flat[a:b] + tail, words.width) for d, a, b in zip(part.column("k1").to_pylist(), ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     return run
