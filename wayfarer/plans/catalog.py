@@ -1,4 +1,369 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables, by operator; oracle.SQL has the SQL for each that SQL can express."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from wayfarer.functions import geometry, scalars
+from wayfarer.operators import design, grid, merge, path, scan
+from wayfarer.plans import oracle, views
+from wayfarer.plans.views import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL = oracle.SQL
+ORDER = ["ts", "event_id"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# scan features
+
+
+@query
+def f_risk_vector(spark: SparkSession, d: str) -> DataFrame:
+    parts = {"r_min": scan.r_min(), "r_ttc": scan.r_ttc(F.col("v")), "r_vis": scan.r_vis(), "r_width": scan.r_width(), "r_clear": scan.r_clear()}
+    return views.scans(spark, d).select("vec_id", *(r6(c).alias(k) for k, c in parts.items()))
+
+
+@query
+def p3_valid_beams(spark: SparkSession, d: str) -> DataFrame:
+    return views.scans(spark, d).select("vec_id", F.posexplode("beams").alias("beam", "b")).where("b.valid").select("vec_id", "beam", r6("b.r").alias("r"))
+
+
+@query
+def f9_base_distance(spark: SparkSession, d: str) -> DataFrame:
+    return views.scans(spark, d).select("vec_id", r6(scan.base_distance()).alias("distance"))
+
+
+@query
+def s11_near_returns(spark: SparkSession, d: str) -> DataFrame:
+    return views.scans(spark, d).select("vec_id", F.explode(scan.near_returns()).alias("b")).select("vec_id", "b.beam", r6("b.r").alias("r"), r6(F.degrees("b.a")).alias("degrees"))
+
+
+@query
+def g13_lidar_clearance(spark: SparkSession, d: str) -> DataFrame:
+    robot = geometry.polygon(geometry.CARRY)
+    around = spark.range(1).select(F.lit(0).alias("k"), robot.alias("poly"), geometry.centroid(robot).alias("c"))
+    around = around.select("poly", "c", geometry.inscribed(F.col("poly"), F.col("c")).alias("inner"))
+    cached = around.select("inner", F.transform(F.sequence(F.lit(0), F.lit(359)), lambda k: geometry.surface(F.col("poly"), F.col("c"), k * (2 * math.pi / 360), F.col("inner"))).alias("surfaces"))
+    found = views.scans(spark, d).join(F.broadcast(cached)).select("vec_id", scan.clearance(F.col("surfaces"), F.col("inner")).alias("m"))  # one robot, one row
+    return found.select("vec_id", r6("m.c").alias("clearance"), r6("m.a").alias("angle"), (F.col("m.c") < 0.05).alias("collision"))
+
+
+# grids
+
+
+@query
+def f4_density(spark: SparkSession, d: str) -> DataFrame:
+    near = views.cells(spark, d).where((F.abs(F.col("row") - 4) <= 2) & (F.abs(F.col("col") - 4) <= 2))
+    return near.groupBy("grid_id").agg(r6(F.avg(grid.is_dense(F.col("cost")).cast("double"))).alias("r_dens"))
+
+
+@query
+def w7_gradient(spark: SparkSession, d: str) -> DataFrame:
+    return grid.gradient(views.cells(spark, d), views.RESOLUTION).select("grid_id", "row", "col", r6("gradient").alias("gradient"))
+
+
+def _distances(spark: SparkSession, d: str) -> DataFrame:
+    return grid.distances(views.cells(spark, d).withColumn("occupied", grid.is_obstacle(F.col("cost"))), views.RESOLUTION)
+
+
+@query
+def g1_distances(spark: SparkSession, d: str) -> DataFrame:
+    far = F.when(F.col("distance") == float("inf"), 1e9).otherwise(F.col("distance"))
+    return _distances(spark, d).select("grid_id", "row", "col", r6(far).alias("distance"))
+
+
+@query
+def g2_valid_mask(spark: SparkSession, d: str) -> DataFrame:
+    both = _distances(spark, d).join(views.cells(spark, d), ["grid_id", "row", "col"])
+    good = (F.col("cost") <= 50) & (F.col("distance") >= 1.0)
+    return both.groupBy("grid_id").agg(F.count_if(good).alias("n_valid"), r6(100.0 * F.count_if(good) / F.count("*")).alias("pct"))
+
+
+@query
+def s2_static_obstacles(spark: SparkSession, d: str) -> DataFrame:
+    found = views.cells(spark, d).where(F.col("cost") / 255.0 >= 0.65)
+    return found.select("grid_id", r6(-2.0 + (F.col("col") + 0.5) * 0.5).alias("x"), r6(-2.0 + (8 - 0.5 - F.col("row")) * 0.5).alias("y"))
+
+
+@query
+def s9_populated_grids(spark: SparkSession, d: str) -> DataFrame:
+    cost = F.col("cost")
+    return views.cells(spark, d).groupBy("grid_id").agg(F.bool_or(cost != grid.UNKNOWN).alias("populated"), F.max("cost").alias("worst"), F.count_if(grid.is_hit(cost)).alias("n_hit"), F.count_if(grid.is_obstacle(cost)).alias("n_obstacle"))
+
+
+@query
+def j4_nearest_obstacle(spark: SparkSession, d: str) -> DataFrame:
+    at = views.log(spark, d).select("event_type", F.col("event_id").alias("id"), (F.col("value") / 100).alias("x"), (F.col("k") / 100).alias("y"))
+    found = grid.nearest(at.where("event_type = 'click'"), at.where("event_type = 'error'"), 0.1)
+    return found.select("id", r6("distance").alias("distance"))
+
+
+@query
+def j7_cell_lookup(spark: SparkSession, d: str) -> DataFrame:
+    col, row = grid.cell_of(F.col("value") / 50, F.lit(0.5), F.lit(0.5)), grid.cell_of(F.col("k") / 25, F.lit(0.5), F.lit(0.5))
+    at = views.log(spark, d).select("event_id", F.col("user_id").alias("grid_id"), row.alias("row"), col.alias("col"))
+    return at.join(views.cells(spark, d), ["grid_id", "row", "col"], "left").select("event_id", F.coalesce("cost", F.lit(grid.LETHAL)).alias("cost"))
+
+
+# logs and state
+
+
+@query
+def j2_latest_values(spark: SparkSession, d: str) -> DataFrame:
+    topics = ["click", "error", "purchase", "signup", "view"]
+    return merge.latest(views.log(spark, d), "user_id", ORDER, "event_type", "value", topics).select("event_id", *(r6(f"last_{t}").alias(f"last_{t}") for t in topics))
+
+
+@query
+def w1_confirmed_hits(spark: SparkSession, d: str) -> DataFrame:
+    return merge.confirmed(views.log(spark, d).withColumn("hit", F.col("value") > 60), "user_id", ORDER, "hit").select("event_id", "run", "confirmed")
+
+
+@query
+def w2_a3_detection_stats(spark: SparkSession, d: str) -> DataFrame:
+    w = merge.bounded("user_id", ORDER)
+    return views.log(spark, d).select("event_id", F.count("*").over(w).alias("n"), r6(F.avg((F.col("value") > 60).cast("double")).over(w)).alias("hit_rate"), r6(F.avg("value").over(w)).alias("mean_cost"), r6(F.min("k").over(w)).alias("min_clearance"))
+
+
+@query
+def w8_throttle(spark: SparkSession, d: str) -> DataFrame:
+    times = views.log(spark, d).groupBy("user_id").agg(F.collect_list("t").alias("times"))
+    return times.select("user_id", F.explode(merge.throttled(F.col("times"), 86400.0)).alias("t")).select("user_id", r6("t").alias("t"))
+
+
+@query
+def x5_w9_degraded(spark: SparkSession, d: str) -> DataFrame:
+    w = merge.upto("user_id", *ORDER)
+    kept = {"r_dens": 50, "r_curve": 80}  # computed within this share of the budget, else carried on
+    return views.log(spark, d).select("event_id", *(r6(F.coalesce(F.last(F.when(F.col("k") < share, F.col("value")), True).over(w), F.lit(0.0))).alias(n) for n, share in kept.items()))
+
+
+@query
+def w10_last_pose(spark: SparkSession, d: str) -> DataFrame:
+    return views.log(spark, d).groupBy("user_id").agg(r6(F.max_by("value", "t")).alias("x"), r6(F.max_by("k", "t")).alias("y"), F.count("*").alias("n_samples"))
+
+
+@query
+def x10_termination(spark: SparkSession, d: str) -> DataFrame:
+    reason = F.when((F.col("value") < 2) & (F.col("k") < 50), "SUCCESS").when((F.col("event_type") == "error") & (F.col("value") > 150), "COLLISION").when(F.col("t") > 1728000, "TIMEOUT")
+    return views.log(spark, d).select("user_id", "t", reason.alias("reason")).where("reason is not null").groupBy("user_id").agg(F.min_by("reason", "t").alias("reason"), r6(F.min("t")).alias("t"))
+
+
+@query
+def a2_timing(spark: SparkSession, d: str) -> DataFrame:
+    p99 = F.percentile("value", 0.99)
+    stats = [F.count("*").alias("cycles"), r6(F.avg("value")).alias("mean"), r6(F.percentile("value", 0.95)).alias("p95"), r6(p99).alias("p99"), r6(F.max("value")).alias("worst"), r6(F.max_by("value", "t")).alias("last"), F.when(p99 < 150, "OK").when(p99 < 300, "WARN").otherwise("ERROR").alias("level")]
+    days = F.floor(F.col("t") / (5 * 86400))
+    started = F.timestamp_seconds(days * 5 * 86400 + 1704067200).cast("timestamp_ntz")
+    return views.log(spark, d).groupBy(days.alias("w")).agg(*stats, F.first(started).alias("started")).drop("w")
+
+
+@query
+def a1_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    kinds = ("SUCCESS", "COLLISION", "TIMEOUT", "CANCELED", "FAILED", "PLANNING_FAILED", "EXCEPTION")
+    return views.trials(spark, d).agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s.lower()) for s in kinds))
+
+
+@query
+def a11_failure_stop(spark: SparkSession, d: str) -> DataFrame:
+    return merge.first_stop(views.trials(spark, d).withColumn("bad", F.col("status") != "SUCCESS"), "campaign", "trial_id", "bad", 4)
+
+
+@query
+def j11_resume(spark: SparkSession, d: str) -> DataFrame:
+    every = views.trials(spark, d)
+    return every.select("trial_id").join(every.where("status = 'SUCCESS'").select("trial_id"), "trial_id", "left_anti")
+
+
+@query
+def a5_distance_summary(spark: SparkSession, d: str) -> DataFrame:
+    x = "path_length"
+    return views.trials(spark, d).groupBy("campaign").agg(r6(F.min(x)).alias("least"), r6(F.max(x)).alias("most"), r6(F.avg(x)).alias("mean"), r6(F.stddev_pop(x), 4).alias("spread"))
+
+
+@query
+def a7_running_minimum(spark: SparkSession, d: str) -> DataFrame:
+    return views.log(spark, d).select("event_id", r6(F.min("value").over(merge.upto("user_id", *ORDER))).alias("least"))
+
+
+@query
+def a10_collision_latch(spark: SparkSession, d: str) -> DataFrame:
+    return views.log(spark, d).groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & (F.col("value") > 200)).alias("collided"), F.count_if(F.col("event_type") == "view").alias("plans"), F.count("*").alias("samples"))
+
+
+def _navigated(log: DataFrame) -> DataFrame:
+    """Rows within their trial's navigation window."""
+    nav = log.where("event_type = 'signup'").groupBy("user_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    return log.join(nav, "user_id").where("t between t0 and t1")
+
+
+@query
+def j10_replan_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _navigated(views.log(spark, d)).where("event_type = 'view'").select("event_id")
+
+
+@query
+def p5_window_trim(spark: SparkSession, d: str) -> DataFrame:
+    return _navigated(views.log(spark, d)).select("event_id", r6(F.col("t") - F.col("t0")).alias("since"))
+
+
+# paths
+
+
+@query
+def path_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return path.measured(views.poses(spark, d)).select("i.event_id", *(r6(c).alias(c) for c in ("segment", "distance", "heading")), r6("curvature", 4).alias("curvature"))
+
+
+@query
+def o2_path_summary(spark: SparkSession, d: str) -> DataFrame:
+    return path.summary(views.poses(spark, d)).select("path_id", "n_poses", r6("length").alias("length"), r6("r_curve", 4).alias("r_curve"))
+
+
+@query
+def p6_p7_angles(spark: SparkSession, d: str) -> DataFrame:
+    half = F.col("t") / 2
+    return views.log(spark, d).select("event_id", r6(scalars.yaw(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))).alias("yaw"), r6(scalars.wrap(F.col("value"))).alias("wrapped"))
+
+
+@query
+def o3_terminal_error(spark: SparkSession, d: str) -> DataFrame:
+    ends = views.log(spark, d).groupBy("user_id").agg((F.max_by("value", "t") - F.min_by("value", "t")).alias("dx"), (F.max_by("k", "t") - F.min_by("k", "t")).alias("dy"))
+    return ends.select("user_id", r6(F.hypot("dx", "dy")).alias("xy_error"), r6(scalars.wrap(F.col("dy"))).alias("yaw_error"))
+
+
+# designs
+
+
+@query
+def r1_uniform_draw(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+
+    def u(name: str) -> Column:
+        return scalars.uniform(F.lit(7), F.lit(name), F.col("id"))
+
+    arm = F.get(F.array(F.lit("tucked"), F.lit("carry")), F.floor(u("c") * 2).cast("int"))
+    return ids.select("id", r6(0.2 + u("vx") * 0.6, 9).alias("vx"), r6(design.draw(u("w"), 0.01, 10.0, log=True)).alias("weight"), design.draw(u("n"), 30, 90, discrete=True).cast("long").alias("steps"), arm.alias("arm"))
+
+
+@query
+def r3_latin_hypercube(spark: SparkSession, d: str) -> DataFrame:
+    made = design.latin_hypercube(spark, 3000, 5, [("vx", 0.2, 0.8, 0), ("steps", 30, 90, 61)], {"arm": ["tucked", "carry"]})
+    return made.select("id", r6("vx", 9).alias("vx"), "steps", "arm")
+
+
+@query
+def r4_maximin(spark: SparkSession, d: str) -> DataFrame:
+    numeric = [("vx", 0.2, 0.8, 0), ("steps", 30.0, 90.0, 61)]
+    pool = design.latin_hypercube(spark, 1200, 5, numeric, {"arm": ["tucked", "carry"]})
+    return design.maximin(pool.select("id", "vx", "steps", "arm", *design.unit(numeric)), "arm", ["u_vx", "u_steps"], 300)
+
+
+@query
+def r5_unit_scale(spark: SparkSession, d: str) -> DataFrame:
+    flag = (F.array_position(F.array(*map(F.lit, "ANR")), F.col("l_returnflag")) - 1) / 2.0
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6((F.col("l_quantity") - 1.0) / 49.0, 9).alias("u_quantity"), r6((F.col("l_discount") - 0.0) / 0.1, 9).alias("u_discount"), r6(flag, 9).alias("u_flag"))
+
+
+@query
+def j6_a4_distance_report(spark: SparkSession, d: str) -> DataFrame:
+    dims = [F.col("embedding")[k].cast("double") for k in range(6)]
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(x.alias(n) for n, x in zip(("x", "y", "p", "q", "r", "s"), dims, strict=True)))
+    near = grid.nearest(points, points, 0.1, ("p", "q", "r", "s"), True)
+    return near.agg(F.count("*").alias("n"), F.lit(6).cast("long").alias("dims"), r6(F.min("distance")).alias("least"), r6(F.percentile("distance", 0.01)).alias("p1"), r6(F.percentile("distance", 0.5)).alias("median"), F.count_if(F.col("distance") < 0.05).alias("close"))
+
+
+@query
+def r7_pose_pairs(spark: SparkSession, d: str) -> DataFrame:
+    tries = spark.range(200).select(F.col("id").alias("pair"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long"))).alias("k"))
+    at = tries.select("pair", "k", *((scalars.uniform(F.lit(3), F.lit(x), F.col("pair"), F.col("k")) * 20).alias(x) for x in ("sx", "sy", "gx", "gy")))
+    good = at.withColumn("d", F.hypot(F.col("gx") - F.col("sx"), F.col("gy") - F.col("sy"))).where("d between 3 and 15")
+    return good.groupBy(F.col("pair").alias("id")).agg(F.min("k").alias("attempt"), r6(F.min_by("sx", "k")).alias("sx"), r6(F.min_by("gx", "k")).alias("gx"), F.round(F.min_by("d", "k"), 3).alias("distance"))
+
+
+@query
+def a12_quota(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    kinds = li.select("l_returnflag").distinct()  # a handful of categories
+    quota = kinds.select("l_returnflag", (F.floor(F.lit(1000) / 3) + (F.row_number().over(Window.orderBy("l_returnflag")) <= 1000 % 3).cast("int")).alias("quota"))
+    have = li.groupBy("l_returnflag").agg(F.count("*").alias("have"))
+    return have.join(quota, "l_returnflag").select("l_returnflag", F.least("have", "quota").alias("n"))
+
+
+# trials and configurations
+
+
+@query
+def j1_trial_zip(spark: SparkSession, d: str) -> DataFrame:
+    t, c, p = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    return t.select(F.col("o_orderkey").alias("trial_id"), (F.col("o_orderkey") - 1).alias("k")).join(c.select(F.col("c_custkey").alias("config_id")), F.col("k") == F.col("config_id")).join(p.select(F.col("n_nationkey").alias("pose_id")), F.col("k") == F.col("pose_id")).drop("k")
+
+
+@query
+def p14_clamp(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (table(spark, d, t).agg(F.count("*").alias(f"n_{t}")) for t in ("customer", "supplier"))
+    return a.join(b).select(F.least(F.lit(3000).cast("long"), "n_customer", "n_supplier").alias("n_trials"))  # one row each
+
+
+@query
+def p1_flat_config(spark: SparkSession, d: str) -> DataFrame:
+    nested = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.struct(F.col("l_quantity").alias("FollowPath.vx_max")).alias("controller_server"), F.struct(F.col("l_discount").alias("inflation_radius")).alias("local_costmap")).alias("config"))
+    names = [(n.name, p.name) for n in nested.schema["config"].dataType for p in n.dataType]
+    return nested.select("l_orderkey", "l_linenumber", *(F.col(f"config.`{n}`.`{p}`").alias(f"param__{n}__{p}".replace(".", "_")) for n, p in names))
+
+
+@query
+def p8_read_back(spark: SparkSession, d: str) -> DataFrame:
+    def ok(kind: str, target: Column, got: Column) -> Column:
+        return scalars.matches(F.lit(kind), target.cast("string"), got.cast("string")).alias(f"{kind}_ok")
+
+    x, q = F.col("l_extendedprice"), F.col("l_quantity")
+    text = ok("boolean", F.col("l_linestatus"), F.concat(F.lit(" "), "l_returnflag", F.lit(" "))).alias("text_ok")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ok("continuous", x, x * 1.005), ok("discrete", q, q + 0.7), text)
+
+
+@query
+def p10_failed_params(spark: SparkSession, d: str) -> DataFrame:
+    failed = F.when(F.col("l_returnflag") == "R", F.struct("l_linenumber", "l_partkey"))
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(failed)).alias("f"))
+    names = F.array_join(F.transform("f", lambda s: s["l_linenumber"].cast("string")), ";")
+    return lists.select("l_orderkey", F.size("f").cast("long").alias("params_unverified_count"), names.alias("params_unverified"), (F.size("f") == 0).cast("int").alias("config_valid"))
+
+
+@query
+def p13_truthy(spark: SparkSession, d: str) -> DataFrame:
+    word = F.when(F.col("l_linenumber") == 1, " Yes ").when(F.col("l_linenumber") == 2, "ON").when(F.col("l_linenumber") == 3, "0").otherwise(F.col("l_returnflag"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.truthy(word).alias("flag"))
+
+
+# footprints
+
+
+@query
+def g9_g10_polygons(spark: SparkSession, d: str) -> DataFrame:
+    shapes = {"carry": geometry.CARRY, "extended": geometry.EXTENDED, "tucked": geometry.TUCKED}
+    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), geometry.polygon(v).alias("poly")) for k, v in shapes.items()))).alias("s")).select("s.*")
+    rows = rows.withColumn("c", geometry.centroid(F.col("poly"))).withColumn("o", geometry.point(F.lit(0.0), F.lit(0.0)))
+    out = {"area": F.abs(geometry.signed_area(F.col("poly"))), "cx": F.col("c.x"), "cy": F.col("c.y")}
+    for name, at in (("", "c"), ("_origin", "o")):
+        out |= {f"inscribed{name}": geometry.inscribed(F.col("poly"), F.col(at)), f"circumscribed{name}": geometry.circumscribed(F.col("poly"), F.col(at))}
+    return rows.select("name", *((r6(c) + 0.0).alias(k) for k, c in out.items()))
+
+
+@query
+def g16_convex_hull(spark: SparkSession, d: str) -> DataFrame:
+    return design.hull(views.poses(spark, d).select("path_id", "x", "y"), "path_id")
