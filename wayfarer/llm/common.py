@@ -56,3 +56,23 @@ def texts(docs: DataFrame) -> DataFrame:
     """doc_id, text (null text: empty) and the row's key as k1 and k2 only, so that further columns can't clash."""
     k1, k2 = row_key()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
+
+
+def fresh(docs: DataFrame, n: int) -> list[str]:
+    """Column names that docs doesn't have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    k = 0
+    while len(out) < n:
+        if (name := f"_own{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
+def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with keys (k1, k2 and others) on the row key; docs' columns keep their names, whatever they are."""
+    a, b, c, d = fresh(docs, 4)
+    k1, k2 = row_key()
+    marked = docs.select("*", k1.alias(a), k2.alias(b))
+    other = keys.withColumnsRenamed({"k1": c, "k2": d})
+    return marked.join(other, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), how).drop(a, b, c, d)

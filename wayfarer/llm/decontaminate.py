@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.common import row_key, texts
+from wayfarer.llm.common import by_key, texts
 
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text.
 SEPARATORS = np.isin(np.arange(256), [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -183,6 +183,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the contaminated rows."""
     bad = hits(docs, benchmark, window).where(F.size("starts") > 0).select("k1", "k2").distinct()
-    k1, k2 = row_key()
-    marked = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    return marked.join(bad, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_anti").drop("__k1", "__k2")
+    return by_key(docs, bad, "left_anti")

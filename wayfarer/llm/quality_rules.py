@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.common import row_key, texts
+from wayfarer.llm.common import by_key, texts
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 DIGITS = np.isin(np.arange(256), list(b"0123456789"))
@@ -128,7 +128,7 @@ def _grown(x: np.ndarray, bad: np.ndarray, most: int, steps: int) -> Rule:
     return rule
 
 
-def learned_list(x: np.ndarray, bad: np.ndarray, precise: float = 0.95, least: int = 5, most: int = 4, steps: int = 33, rules: int = 16) -> list[Rule]:
+def learned_list(x: np.ndarray, bad: np.ndarray, precise: float = 0.95, least: int = 5, most: int = 4, steps: int = 129, rules: int = 16) -> list[Rule]:
     """Rejecting rules, in order; rows are taken as they come, every third to prune on."""
     out: list[Rule] = []
     left = np.ones(len(x), bool)
@@ -168,7 +168,7 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     drawn = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-    rows = statistics(docs.join(F.broadcast(drawn.select(F.col("doc_id").alias("label_id"))), F.col("doc_id") == F.col("label_id"), "left_semi"))
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(drawn.select(F.col("doc_id").alias("label_id"))), F.col("doc_id") == F.col("label_id"), "left_semi"))
     rows = rows.where(~base_failed()).dropDuplicates(["k1", "k2"])
     table = rows.join(F.broadcast(drawn), "doc_id").select("h", "doc_id", "k2", "quality", *(c.alias(f"f_{k}") for k, c in features().items())).orderBy("h", "doc_id", "k2").toPandas()
     x = table[[f"f_{k}" for k in FEATURES]].to_numpy(float).reshape(-1, len(FEATURES))
@@ -183,6 +183,4 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFram
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected rows."""
     good = judged(docs, labels).where("kept").select("k1", "k2").distinct()
-    k1, k2 = row_key()
-    marked = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    return marked.join(good, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left_semi").drop("__k1", "__k2")
+    return by_key(docs, good, "left_semi")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.llm.common import row_key, texts
+from wayfarer.llm.common import by_key, fresh, texts
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
@@ -94,16 +94,14 @@ def scanned(docs: DataFrame, scope: int = 400) -> DataFrame:
 
 def redacted(docs: DataFrame, scope: int = 400, mask: str = "[SECRET]") -> DataFrame:
     """docs with every reported span replaced by the mask, overlapping ones together, and n_chars counted anew where it exists."""
-    k1, k2 = row_key()
-    marked = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
-    found = spans(docs, scope)
-    full = marked.join(found, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").drop("__k1", "__k2", "k1", "k2")
+    own = fresh(docs, 5)[-1]  # by_key takes the first four
+    full = by_key(docs, spans(docs, scope).withColumnRenamed("spans", own), "left")
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         kept = F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["done"])
         return F.struct(kept.alias("done"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
-    text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["done"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = full.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)).drop("spans")
+    text = F.aggregate(own, start, step, lambda acc: F.concat(acc["done"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    out = full.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(text)).drop(own)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
