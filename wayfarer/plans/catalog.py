@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions import geometry, scalars
-from wayfarer.operators import design, grid, merge, path, scan
+from wayfarer.operators import design, footprint, grid, merge, path, scan, trials
 from wayfarer.plans import oracle, views
 from wayfarer.plans.views import table
 
@@ -367,3 +367,66 @@ def g9_g10_polygons(spark: SparkSession, d: str) -> DataFrame:
 @query
 def g16_convex_hull(spark: SparkSession, d: str) -> DataFrame:
     return design.hull(views.poses(spark, d).select("path_id", "x", "y"), "path_id")
+
+
+@query
+def g15_g17_constructors(spark: SparkSession, d: str) -> DataFrame:
+    shapes = {"circle": geometry.circle(F.lit(0.27), 8), "rectangle": geometry.rectangle(F.lit(0.8), F.lit(0.5), 0.1), "line": footprint.densified(geometry.point(F.lit(0.0), F.lit(0.0)), geometry.point(F.lit(0.3), F.lit(0.4)))}
+    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("p")) for k, v in shapes.items()))).alias("s")).select("s.name", F.posexplode("s.p").alias("i", "v"))
+    return rows.select("name", "i", (r6("v.x") + 0.0).alias("x"), (r6("v.y") + 0.0).alias("y"))
+
+
+@query
+def o1_footprint_cost(spark: SparkSession, d: str) -> DataFrame:
+    at = views.log(spark, d).select(F.col("event_id").alias("id"), F.col("user_id").alias("grid_id"), (F.col("value") / 50).alias("x"), (F.col("k") / 25).alias("y"), F.lit(0.0).alias("yaw"))
+    square = geometry.polygon([(0.4, 0.4), (-0.4, 0.4), (-0.4, -0.4), (0.4, -0.4)])
+    return footprint.costs(at, views.cells(spark, d), square, views.RESOLUTION, 8).select("id", F.col("cost").cast("int").alias("cost"))
+
+
+@query
+def g14_fused_detection(spark: SparkSession, d: str) -> DataFrame:
+    hit = (F.col("value") > 60) | (F.col("k") < 20)
+    return merge.confirmed(views.log(spark, d).withColumn("hit", hit), "user_id", ORDER, "hit", 3).select("event_id", "hit", "confirmed")
+
+
+@query
+def j3_state_on_samples(spark: SparkSession, d: str) -> DataFrame:
+    w = merge.upto("user_id", "ts")
+    seen = views.log(spark, d).select("event_id", "event_type", F.last(F.when(F.col("event_type") == "click", F.col("value")), True).over(w).alias("v"))
+    return seen.where("event_type = 'view'").select("event_id", r6("v").alias("r_min"))
+
+
+@query
+def x11_outcome(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    decision = F.when(F.col("o_orderpriority") == "5-LOW", "TIMEOUT")
+    result = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "FAILED")
+    status = trials.outcome(F.col("o_orderpriority") == "1-URGENT", decision, result, F.lit(None).cast("string"))
+    return o.select("o_orderkey", status.alias("status"))
+
+
+@query
+def p9_read_back_text(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("Double value is:  "), F.col("l_quantity").cast("int").cast("string"), F.lit(" "))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalars.read_back(said).alias("got"))
+
+
+@query
+def p15_arm_moves(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.struct("o_orderkey", F.col("o_orderstatus").alias("label"), (F.col("o_orderpriority") != "1-URGENT").alias("ok")).alias("r"))
+    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    moved = rows.select("rows", trials.moves(F.col("rows")).alias("m")).select(F.explode(F.arrays_zip("rows", "m")).alias("z"))
+    return moved.select(F.col("z.rows.o_orderkey").alias("o_orderkey"), F.col("z.m").alias("move"))
+
+
+@query
+def o4_collision_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", r6(footprint.collision_threshold(F.when(F.col("n_regionkey") > 0, F.col("n_regionkey") / 10.0))).alias("threshold"))
+
+
+@query
+def o5_isolated_errors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"), "value")
+    good = e.where("k % 7 <> 0").select(F.col("event_id").alias("trial_id"), F.lit("SUCCESS").alias("status"), r6("value").alias("travel_time"))
+    failed = e.where("k % 7 = 0").select(F.col("event_id").alias("trial_id"), F.concat(F.lit("bad k "), "k").alias("error"))
+    return trials.with_failures(good, failed)

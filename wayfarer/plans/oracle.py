@@ -81,3 +81,25 @@ SQL = {
     "g9_g10_polygons": "SELECT * FROM (VALUES ('carry', 0.417573, 0.112241, -0.183593, 0.224221, 0.632346, 0.265619, 0.847115), ('extended', 0.6, 0.0, -0.38, 0.15, 0.932148, 0.180278, 1.308625), ('tucked', 0.252, 0.0, 0.0, 0.275744, 0.3, 0.275744, 0.3)) t(name, area, cx, cy, inscribed, circumscribed, inscribed_origin, circumscribed_origin)",
 }
 SQL["g9_g10_polygons"] = "SELECT name, area::DOUBLE AS area, cx::DOUBLE AS cx, cy::DOUBLE AS cy, inscribed::DOUBLE AS inscribed, circumscribed::DOUBLE AS circumscribed, inscribed_origin::DOUBLE AS inscribed_origin, circumscribed_origin::DOUBLE AS circumscribed_origin FROM (" + SQL["g9_g10_polygons"] + ")"
+
+SQL |= {
+    "g15_g17_constructors": "SELECT 'circle' AS name, k::INT AS i, round(0.27 * cos(k * (2 * pi() / 8)), 6) + 0.0 AS x, round(0.27 * sin(k * (2 * pi() / 8)), 6) + 0.0 AS y FROM range(8) t(k) UNION ALL SELECT 'line', k::INT, round(0.3 * k / 12, 6) + 0.0, round(0.4 * k / 12, 6) + 0.0 FROM range(13) t(k)"
+    " UNION ALL SELECT 'rectangle', i::INT, x::DOUBLE, y::DOUBLE FROM (VALUES (0, 0.5, 0.25), (1, -0.3, 0.25), (2, -0.3, -0.25), (3, 0.5, -0.25)) t(i, x, y)",
+    "o1_footprint_cost": f"""WITH {LOG}, {CELLS}, v AS (SELECT event_id AS id, user_id AS grid_id, i, value / 50 + dx AS x, k / 25 + dy AS y FROM log, (VALUES (0, 0.4, 0.4), (1, -0.4, 0.4), (2, -0.4, -0.4), (3, 0.4, -0.4)) p(i, dx, dy)),
+ m AS (SELECT id, grid_id, i, trunc(x / 0.5)::INT AS mx, trunc(y / 0.5)::INT AS my, min(CASE WHEN x >= 0 AND y >= 0 AND trunc(x / 0.5) < 8 AND trunc(y / 0.5) < 8 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS inside FROM v),
+ e AS (SELECT a.id, a.grid_id, a.i, a.mx AS x0, a.my AS y0, (b.mx - a.mx)::DOUBLE AS dx, (b.my - a.my)::DOUBLE AS dy FROM m a JOIN m b ON a.id = b.id AND b.i = (a.i + 1) % 4 WHERE a.inside = 1),
+ w AS (SELECT *, sqrt(dx * dx + dy * dy) AS size FROM e), s AS (SELECT id, grid_id, i, CASE WHEN size = 0 THEN x0 ELSE trunc(x0 + t * 0.1::DOUBLE * (dx / size))::INT END AS col, CASE WHEN size = 0 THEN y0 ELSE trunc(y0 + t * 0.1::DOUBLE * (dy / size))::INT END AS "row" FROM w, LATERAL unnest(range(floor(size / 0.1::DOUBLE)::INT + 1)) u(t)),
+ l AS (SELECT s.id, i, CASE WHEN bool_or(c.cost = 254) THEN 254 ELSE max(c.cost) END AS cost FROM s JOIN cells c USING (grid_id, "row", col) GROUP BY ALL),
+ r AS (SELECT id, max(cost) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS so_far FROM l), f AS (SELECT id, CASE WHEN bool_or(so_far = 254) THEN 254 ELSE max(so_far) END AS cost FROM r GROUP BY 1)
+ SELECT event_id AS id, coalesce(f.cost, 254)::INT AS cost FROM log LEFT JOIN f ON f.id = event_id""",
+    "g14_fused_detection": f"""WITH {LOG}, h AS (SELECT *, value > 60 OR k < 20 AS hit FROM log), a AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM h)
+ SELECT event_id, hit, sum(hit::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 3 AS confirmed FROM a""",
+    "j3_state_on_samples": f"WITH {LOG} SELECT v.event_id, round(c.value, 6) AS r_min FROM (SELECT * FROM log WHERE event_type = 'view') v ASOF LEFT JOIN (SELECT * FROM log WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.ts >= c.ts",
+    "x11_outcome": "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'COLLISION' WHEN o_orderpriority = '5-LOW' THEN 'TIMEOUT' WHEN o_orderstatus = 'F' THEN 'SUCCESS' WHEN o_orderstatus = 'O' THEN 'FAILED' ELSE 'UNKNOWN' END AS status FROM orders",
+    "p9_read_back_text": "SELECT l_orderkey, l_linenumber, l_partkey, trim(split_part('Double value is:  ' || trunc(l_quantity)::INT || ' ', 'value is:', 2)) AS got FROM lineitem",
+    "p15_arm_moves": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderstatus AS label, o_orderpriority <> '1-URGENT' AS ok, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+ f AS (SELECT o_custkey, o_orderkey, n, true AS move, CASE WHEN ok THEN label END AS at FROM o WHERE n = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.n, f.at IS DISTINCT FROM o.label, CASE WHEN f.at IS DISTINCT FROM o.label THEN CASE WHEN o.ok THEN o.label END ELSE f.at END FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
+ SELECT o_orderkey, move FROM f""",
+    "o4_collision_threshold": "SELECT n_nationkey, round(CASE WHEN n_regionkey > 0 THEN n_regionkey / 10.0 + 0.05 ELSE 0.15 END, 6)::DOUBLE AS threshold FROM nation",
+    "o5_isolated_errors": f"WITH {LOG} SELECT event_id AS trial_id, CASE WHEN k::INT % 7 <> 0 THEN 'SUCCESS' ELSE 'EXCEPTION' END AS status, CASE WHEN k::INT % 7 <> 0 THEN round(value, 6) END AS travel_time, CASE WHEN k::INT % 7 = 0 THEN 'bad k ' || k::INT END AS error FROM log",
+}
