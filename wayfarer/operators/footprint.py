@@ -24,9 +24,10 @@ def costs(poses: DataFrame, cells: DataFrame, poly: Column, resolution: float, s
     Edges are taken in order: the cost so far ends the walk where it is exactly lethal, so an unknown
     cell met before a lethal one outweighs it and one met behind doesn't count.
     """
-    placed = poses.select("id", "grid_id", geometry.placed(poly, F.col("x"), F.col("y"), F.col("yaw")).alias("p"))
+    # an array of one, exploded, keeps the optimizer from computing the polygon anew wherever it is used
+    placed = poses.select("id", "grid_id", F.explode(F.array(geometry.placed(poly, F.col("x"), F.col("y"), F.col("yaw")))).alias("p"))
     inside = F.forall("p", lambda v: (v["x"] >= 0) & (v["y"] >= 0) & ((v["x"] / resolution).cast("int") < size) & ((v["y"] / resolution).cast("int") < size))
-    on = placed.select("id", "grid_id", inside.alias("inside"), F.transform("p", lambda v: geometry.point((v["x"] / resolution).cast("int"), (v["y"] / resolution).cast("int"))).alias("p"))
+    on = placed.select("id", "grid_id", inside.alias("inside"), F.explode(F.array(F.transform("p", lambda v: geometry.point((v["x"] / resolution).cast("int"), (v["y"] / resolution).cast("int"))))).alias("p"))
     walk = on.where("inside").select("id", "grid_id", F.posexplode(geometry.edges(F.col("p"))).alias("edge", "e"))
     walk = walk.select("id", "grid_id", "edge", F.explode(sampled(F.col("e.a.x"), F.col("e.a.y"), F.col("e.b.x"), F.col("e.b.y"), step)).alias("c"))
     met = walk.select("id", "grid_id", "edge", "c.col", "c.row").join(cells, ["grid_id", "row", "col"], "left")

@@ -11,8 +11,11 @@ SECTORS, NEAR, HALF_FIELD = 36, 3.0, math.pi / 3
 
 
 def with_beams(scans: DataFrame) -> DataFrame:
-    """Adds beams (r, a, valid) from ranges, angle_min, angle_increment, range_min and range_max."""
-    return scans.withColumn("beams", F.transform("ranges", lambda r, i: F.struct(r.alias("r"), (F.col("angle_min") + i * F.col("angle_increment")).alias("a"), (~F.isnan(r) & (r > F.col("range_min")) & (r < F.col("range_max"))).alias("valid"))))
+    """Adds beams (r, a, valid) from ranges, angle_min, angle_increment, range_min and range_max.
+
+    An array of one, exploded, keeps the optimizer from computing the beams anew for each feature.
+    """
+    return scans.select("*", F.explode(F.array(F.transform("ranges", lambda r, i: F.struct(r.alias("r"), (F.col("angle_min") + i * F.col("angle_increment")).alias("a"), (~F.isnan(r) & (r > F.col("range_min")) & (r < F.col("range_max"))).alias("valid"))))).alias("beams"))
 
 
 def least(of: Column) -> Column:
