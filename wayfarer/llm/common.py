@@ -69,10 +69,14 @@ def fresh(docs: DataFrame, n: int) -> list[str]:
     return out
 
 
-def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """docs joined with keys (k1, k2 and others) on the row key; docs' columns keep their names, whatever they are."""
+def by_key(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """docs joined with keys (k1, k2 and others) on the row key; docs' columns keep their names, whatever they are.
+
+    once: of repeated rows one stays, for which the join's exchange will do.
+    """
     a, b, c, d = fresh(docs, 4)
     k1, k2 = row_key()
     marked = docs.select("*", k1.alias(a), k2.alias(b))
     other = keys.withColumnsRenamed({"k1": c, "k2": d})
-    return marked.join(other, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), how).drop(a, b, c, d)
+    joined = marked.join(other, (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)), how)
+    return (joined.dropDuplicates([a, b]) if once else joined).drop(a, b, c, d)

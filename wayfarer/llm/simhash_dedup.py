@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.common import by_key, fresh, row_key, stash, texts
+from wayfarer.llm.common import by_key, stash, texts
 from wayfarer.llm.components import forest, stars
 
 BLOCKS = 4  # there are 17 ** BLOCKS = 83,521 cells at most, which bounds what is broadcast
@@ -133,6 +133,4 @@ def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs without all but one row of each group: the one of the least doc_id, and of rows of one id the first by text hash."""
     keep = groups(docs, radius).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("first"))
     keep = keep.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    a, b = fresh(docs, 2)
-    k1, k2 = row_key()
-    return by_key(docs.select("*", k1.alias(a), k2.alias(b)), keep, "left_semi").dropDuplicates([a, b]).drop(a, b)
+    return by_key(docs, keep, "left_semi", once=True)
