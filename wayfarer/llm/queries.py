@@ -1,7 +1,8 @@
 """The registered queries of this subpackage: each operator, with production parameters, over its whole table.
 
-None has oracle SQL: their digests come from byte offsets, hashes and learned models that SQL can't express
-or can't compute on whole tables in time. tests/llm holds each against a brute-force version.
+oracle has the SQL of those that DuckDB can express (windows of words and bytes, templates). The others rest on
+tokenizer models, XXH64, learned models or patterns with lookaround; tests/llm holds every one against a
+brute-force version.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfarer.llm import chat_format, decontaminate, kneser_ney, quality_rules, secrets, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_records
+from wayfarer.llm import chat_format, decontaminate, kneser_ney, oracle, quality_rules, secrets, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_records
 from wayfarer.llm.common import shared_dir, table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -67,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontaminate, op2_sentencepiece, op3_secrets, op4_simhash_dedup, op5_suffix_dedup, op6_token_records, op7_kneser_ney, op8_quality_rules, op9_substring_dedup, op10_chat_format)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
