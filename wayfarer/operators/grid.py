@@ -35,13 +35,29 @@ def gradient(cells: DataFrame, resolution: float) -> DataFrame:
 
 
 def distances(cells: DataFrame, resolution: float) -> DataFrame:
-    """Distance to the nearest occupied cell of the grid, +inf without one: nearest in each row first, then over the rows of a column."""
-    along = Window.partitionBy("grid_id", "row").orderBy("col")
-    before = F.last(F.when(F.col("occupied"), F.col("col")), True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("occupied"), F.col("col")), True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    in_row = cells.select("grid_id", "row", "col", F.least(F.col("col") - before, after - F.col("col")).alias("dx"))
-    other = in_row.where("dx is not null").select("grid_id", F.col("row").alias("other"), "col", "dx")
-    best = in_row.select("grid_id", "row", "col").join(other, ["grid_id", "col"], "left").groupBy("grid_id", "row", "col").agg(F.min((F.col("other") - F.col("row")) * (F.col("other") - F.col("row")) + F.col("dx") * F.col("dx")).alias("d2"))
+    """Distance to the nearest occupied cell of the grid, +inf without one.
+
+    Nearest in each row first, then over the column: it needs only the cells no farther along it than an
+    occupied cell of its own row or column. Both passes keep to one line of a grid, so no task holds a grid.
+    """
+
+    def ends(line: str, across: str) -> Column:
+        w = Window.partitionBy("grid_id", across).orderBy(line)
+        here = F.when(F.col("occupied"), F.col(line))
+        before, after = F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        return F.least(F.col(line) - before, after - F.col(line)).cast("long")
+
+    in_row = cells.select("grid_id", "row", "col", "occupied", ends("col", "row").alias("dx"))
+    both = in_row.select("grid_id", "row", "col", "dx", F.least("dx", ends("row", "col")).cast("int").alias("reach"))
+    columns = both.groupBy("grid_id", "col").agg(F.array_sort(F.collect_list(F.struct("row", "dx", "reach"))).alias("line"))
+    line = F.col("line")
+
+    def squared(p: Column, i: Column) -> Column:
+        reach = F.coalesce(p["reach"], F.size(line))
+        near = F.slice(line, F.greatest(i + 1 - reach, F.lit(1)), 2 * reach + 1)
+        return F.array_min(F.transform(near, lambda q: (q["row"] - p["row"]).cast("long") * (q["row"] - p["row"]) + q["dx"] * q["dx"]))
+
+    best = columns.select("grid_id", "col", F.inline(F.transform(line, lambda p, i: F.struct(p["row"].alias("row"), squared(p, i).alias("d2")))))
     return best.select("grid_id", "row", "col", F.coalesce(F.sqrt("d2") * resolution, F.lit(float("inf"))).alias("distance"))
 
 
