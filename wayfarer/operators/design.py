@@ -37,6 +37,15 @@ def latin_hypercube(spark: SparkSession, n: int, seed: int, numeric: list[Dimens
     return wide.select("id", *out)
 
 
+def with_param(space: DataFrame, param: DataFrame) -> DataFrame:
+    """The parameter space with one more parameter; a parameter of the same node and name is replaced."""
+    return without_param(space, param.select("node", "name")).unionByName(param, allowMissingColumns=True)
+
+
+def without_param(space: DataFrame, names: DataFrame) -> DataFrame:
+    return space.join(names, ["node", "name"], "left_anti")
+
+
 def unit(numeric: list[Dimension]) -> list[Column]:
     return [F.coalesce((F.col(name) - low) / F.nullif(F.lit(high - low), F.lit(0.0)), F.lit(0.0)).alias(f"u_{name}") for name, low, high, _ in numeric]
 

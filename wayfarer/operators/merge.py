@@ -39,3 +39,17 @@ def first_stop(failed: DataFrame, key: str, order: str, flag: str, n: int) -> Da
     """Per key, the first row at which n failures have come in a row."""
     runs = confirmed(failed, key, [order], flag, n)
     return runs.where("confirmed").groupBy(key).agg(F.min(order).alias("stopped_at"))
+
+
+def at_ticks(log: DataFrame, key: str, time: str, order: str, topic: str, value: str, topics: list[str], every: float) -> DataFrame:
+    """Per key, a tick at each multiple of every from its first topic row to its last row, with the topics' latest values.
+
+    No tick comes before the first row of topics[0], which drives the output.
+    """
+    span = log.groupBy(key).agg(F.min(F.when(F.col(topic) == topics[0], F.col(time))).alias("lo"), F.max(time).alias("hi"))
+    spread = F.sequence(F.ceil(F.col("lo") / every), F.floor(F.col("hi") / every))
+    ticks = span.where(F.ceil(F.col("lo") / every) <= F.floor(F.col("hi") / every)).select(key, (F.explode(spread) * every).alias(time))
+    rows = log.select(key, time, order, topic, value).unionByName(ticks, allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(time, F.col(topic).isNull(), order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.select(key, time, topic, *(F.last(F.when(F.col(topic) == t, F.col(value)), True).over(w).alias(t) for t in topics))
+    return seen.where(F.col(topic).isNull()).drop(topic)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfarer.operators import footprint, grid
+
 
 def measured(poses: DataFrame) -> DataFrame:
     """Adds segment length, distance from the start, heading (0 for the first pose) and curvature (0 at ends and on short segments)."""
@@ -24,3 +26,16 @@ def measured(poses: DataFrame) -> DataFrame:
 
 def summary(poses: DataFrame, horizon: float = 3.0) -> DataFrame:
     return measured(poses).groupBy("path_id").agg(F.count("*").alias("n_poses"), F.sum("segment").alias("length"), F.coalesce(F.max(F.when(F.col("distance") <= horizon, F.col("curvature"))), F.lit(0.0)).alias("r_curve"))
+
+
+def analyzed(poses: DataFrame, cells: DataFrame, poly: Column, resolution: float, size: int) -> DataFrame:
+    """Per pose (path_id, grid_id, i, x, y) its heading, footprint cost and distance to the nearest obstacle (+inf off the map).
+
+    Distances come from each grid's distance transform, so that a pose looks one cell up.
+    """
+    found = measured(poses).join(poses.select("path_id", "i", "grid_id"), ["path_id", "i"]).withColumn("id", F.struct("path_id", "i"))
+    col, row = (F.floor(F.col(k) / resolution).cast("int") for k in "xy")
+    cost = footprint.costs(found.select("id", "grid_id", "x", "y", F.col("heading").alias("yaw")), cells, poly, resolution, size)
+    far = grid.distances(cells.withColumn("occupied", grid.is_obstacle(F.col("cost"))), resolution)
+    placed = found.withColumn("row", row).withColumn("col", col).join(far.withColumnRenamed("distance", "obstacle"), ["grid_id", "row", "col"], "left")
+    return placed.join(cost.withColumnRenamed("cost", "footprint_cost"), "id").select("path_id", "i", "segment", "heading", "footprint_cost", F.coalesce("obstacle", F.lit(float("inf"))).alias("obstacle"))

@@ -13,6 +13,8 @@ from wayfarer.functions import geometry, scalars
 from wayfarer.operators import design, footprint, grid, merge, path, scan, trials
 from wayfarer.plans import oracle, views
 from wayfarer.plans.views import table
+from wayfarer.sources import readers, sinks
+from wayfarer.streaming import latest as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL = oracle.SQL
@@ -430,3 +432,158 @@ def o5_isolated_errors(spark: SparkSession, d: str) -> DataFrame:
     good = e.where("k % 7 <> 0").select(F.col("event_id").alias("trial_id"), F.lit("SUCCESS").alias("status"), r6("value").alias("travel_time"))
     failed = e.where("k % 7 = 0").select(F.col("event_id").alias("trial_id"), F.concat(F.lit("bad k "), "k").alias("error"))
     return trials.with_failures(good, failed)
+
+
+@query
+def g12_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    shapes = {"carry": geometry.CARRY, "extended": geometry.EXTENDED, "tucked": geometry.TUCKED}
+    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), geometry.polygon(v).alias("poly")) for k, v in shapes.items()))).alias("s")).select("s.*")
+    rows = rows.withColumn("c", geometry.centroid(F.col("poly"))).withColumn("inner", geometry.inscribed(F.col("poly"), F.col("c")))
+    rays = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(359))).alias("k"))
+    return rays.select("name", "k", r6(geometry.surface(F.col("poly"), F.col("c"), F.col("k") * (2 * math.pi / 360), F.col("inner"))).alias("surface"))
+
+
+@query
+def p4_lidar_band(spark: SparkSession, d: str) -> DataFrame:
+    good = F.filter("beams", lambda b: ~F.isnan(b["r"]) & (b["r"] > 0.01) & (b["r"] < 30.0))
+    return views.scans(spark, d).select("vec_id", F.size(good).cast("long").alias("n_good"), r6(scan.least(good)).alias("least"))
+
+
+@query
+def f8_gradient_at(spark: SparkSession, d: str) -> DataFrame:
+    col, row = grid.cell_of(F.col("value") / 50, F.lit(0.5), F.lit(0.5)), grid.cell_of(F.col("k") / 25, F.lit(0.5), F.lit(0.5))
+    at = views.log(spark, d).select("event_id", F.col("user_id").alias("grid_id"), row.alias("row"), col.alias("col"))
+    return at.join(grid.gradient(views.cells(spark, d), views.RESOLUTION), ["grid_id", "row", "col"], "left").select("event_id", r6(F.coalesce("gradient", F.lit(0.0))).alias("r_grad"))
+
+
+def _analyzed(spark: SparkSession, d: str) -> DataFrame:
+    at = views.log(spark, d).select(F.col("user_id").alias("path_id"), F.col("user_id").alias("grid_id"), F.struct("ts", "event_id").alias("i"), (F.col("value") / 50).alias("x"), (F.col("k") / 25).alias("y"))
+    return path.analyzed(at, views.cells(spark, d), geometry.polygon([(0.4, 0.4), (-0.4, 0.4), (-0.4, -0.4), (0.4, -0.4)]), views.RESOLUTION, 8)
+
+
+def _finite(c: str) -> Column:
+    return F.when(F.col(c) == float("inf"), 1e9).otherwise(r6(c))
+
+
+@query
+def o1_path_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return _analyzed(spark, d).select("i.event_id", r6("heading").alias("heading"), F.col("footprint_cost").cast("int").alias("footprint_cost"), _finite("obstacle").alias("min_dist_to_obstacle"))
+
+
+@query
+def o2_replan_analysis(spark: SparkSession, d: str) -> DataFrame:
+    whole = _analyzed(spark, d).groupBy("path_id").agg(F.count("*").alias("num_poses"), r6(F.sum("segment")).alias("path_length_m"), F.min("obstacle").alias("least"), F.max("footprint_cost").cast("int").alias("worst_cost"))
+    return whole.select("path_id", "num_poses", "path_length_m", _finite("least").alias("min_obstacle_distance"), "worst_cost")
+
+
+@query
+def p11_apply_targets(spark: SparkSession, d: str) -> DataFrame:
+    extra = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.struct(F.lit("local_costmap").alias("ros_node"), F.col("l_linestatus").alias("name"))))
+    via = F.when(F.col("l_linenumber") == 1, "footprint").otherwise("ros")
+    presets = F.create_map(F.lit("A"), F.lit("[[0.3, 0.0]]"), F.lit("N"), F.lit("[[0.5, 0.0]]"))
+    params = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trial_id"), F.lit("continuous").alias("param_type"), F.col("l_returnflag").alias("value"), via.alias("apply_via"), presets.alias("presets"), extra.alias("extra_targets"), F.lit("controller").alias("ros_node"), F.col("l_linenumber").cast("string").alias("name"))
+    return trials.targets(params).groupBy("trial_id", "ros_node", "name", "target_value").agg(F.count("*").alias("n"))
+
+
+@query
+def p12_footprint_of(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("n_nationkey") % 3 == 0, "tucked").when(F.col("n_nationkey") % 3 == 1, "[[0.5, 0.5], [-0.5, 0.5], [0.0, -0.75]]").otherwise("no polygon")
+    presets = F.create_map(F.lit("tucked"), F.lit("[[0.3, 0.0], [0.0, 0.3], [-0.3, 0.0], [0.0, -0.3]]"))
+    found = table(spark, d, "nation").select("n_nationkey", trials.footprint_of(label, presets, geometry.circle(F.lit(0.3), 8)).alias("p"))
+    return found.select("n_nationkey", F.size("p").alias("n"), r6(F.abs(geometry.signed_area(F.col("p")))).alias("area"))
+
+
+@query
+def j8_preset_lookup(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("o_orderstatus") == "F", "tucked").when(F.col("o_orderstatus") == "O", "carry")
+    presets = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("label"), F.lit(m).alias("mode"), F.lit(k).alias("n_vertices")) for n, m, k in (("tucked", "fold", 8), ("carry", "reach", 12))))).alias("s")).select("s.*")
+    return table(spark, d, "orders").select("o_orderkey", label.alias("label")).join(F.broadcast(presets), "label", "left").select("o_orderkey", "label", "mode", "n_vertices")  # two presets
+
+
+@query
+def j9_joints_present(spark: SparkSession, d: str) -> DataFrame:
+    joints = ["click", "error", "purchase", "signup", "view"]
+    last = {j: F.max_by("value", F.when(F.col("event_type") == j, F.struct("ts", "event_id"))) for j in joints}
+    got = views.log(spark, d).groupBy("user_id").agg(*(c.alias(j) for j, c in last.items()))
+    every = sum((F.col(j).isNotNull().cast("int") for j in joints), F.lit(0)) == len(joints)
+    return got.select("user_id", every.alias("complete"), *(r6(j).alias(j) for j in joints))
+
+
+@query
+def s10_link_frames(spark: SparkSession, d: str) -> DataFrame:
+    frames = views.log(spark, d).select(F.concat_ws("_", "event_type", (F.col("user_id") % 7).cast("string"), F.lit("link")).alias("frame"))
+    return readers.near_frames(frames, "^(click|view)_[0-3]_link$")
+
+
+@query
+def s6_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    return readers.completed(views.trials(spark, d).where("status = 'SUCCESS'"))
+
+
+@query
+def k3_summary(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.summary(views.trials(spark, d))
+
+
+@query
+def k5_export_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.numbered(table(spark, d, "nation").select("n_name", "n_regionkey"), ["n_name"])
+
+
+@query
+def p2_flat_result(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return sinks.flat(o.select(F.col("o_orderkey").alias("trial_id"), F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("FollowPath.vx_max"), F.col("o_orderpriority").alias("footprint")).alias("params")))
+
+
+@query
+def r2_edited_space(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    space = n.select(F.col("n_regionkey").cast("string").alias("node"), F.col("n_name").alias("name"), F.lit(0.0).alias("low"), (F.col("n_nationkey") / 10).alias("high"))
+    less = design.without_param(space, space.where("node = '1'").select("node", "name"))
+    return design.with_param(less, spark.range(1).select(F.lit("2").alias("node"), F.lit("vx_max").alias("name"), F.lit(0.2).alias("low"), F.lit(0.8).alias("high")))
+
+
+@query
+def x2_tick_merge(spark: SparkSession, d: str) -> DataFrame:
+    seen = merge.at_ticks(views.log(spark, d), "user_id", "t", "event_id", "event_type", "value", ["click", "view"], 86400.0)
+    return seen.select("user_id", F.col("t").cast("long").alias("t"), r6("click").alias("click"), r6("view").alias("view"))
+
+
+@query
+def x1_latest_of_batch(spark: SparkSession, d: str) -> DataFrame:
+    at = views.log(spark, d).select(F.floor(F.col("event_id") / 100).cast("long").alias("batch"), "event_type", "value", F.struct("ts", "event_id").alias("at"))
+    return at.groupBy("batch", "event_type").agg(r6(F.max_by("value", "at")).alias("value"))
+
+
+@query
+def x13_well_formed(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("ts"), F.transform(F.slice("embedding", 1, (F.col("vec_id") % 4 + 6).cast("int")), lambda x: x.cast("double")).alias("data"))
+    return stream.well_formed(e).select(F.col("ts").alias("vec_id"), *(r6(n).alias(n) for n in stream.RISK))
+
+
+@query
+def g3_pixel_world(spark: SparkSession, d: str) -> DataFrame:
+    meta = {"resolution": 0.05, "origin": [-3.0, 2.0]}
+    at = views.cells(spark, d).select("grid_id", "row", "col", *readers.corner_of("row", "col", meta, 8))
+    back = [F.round((F.col("x") - meta["origin"][0]) / 0.05).cast("int").alias("px"), (8 - F.round((F.col("y") - meta["origin"][1]) / 0.05)).cast("int").alias("py")]
+    return at.select("grid_id", "row", "col", r6("x").alias("x"), r6("y").alias("y"), *back)
+
+
+@query
+def s2_negated_map(spark: SparkSession, d: str) -> DataFrame:
+    pixels = views.cells(spark, d).select(F.col("grid_id").alias("map_id"), "row", "col", F.col("cost").alias("pixel"))
+    maps = [readers.occupied(pixels, {"negate": k, "occupied_thresh": 0.65, "origin": [-2.0, -2.0], "resolution": 0.5}, 8).select("map_id", F.lit(k).alias("negate"), r6("x").alias("x"), r6("y").alias("y")) for k in (0, 1)]
+    return maps[0].union(maps[1])
+
+
+@query
+def g17_drop_collinear(spark: SparkSession, d: str) -> DataFrame:
+    poly = geometry.polygon([(0.5, 0.5), (0.0, 0.5), (-0.5, 0.5), (-0.5, -0.5), (0.0, -0.5002), (0.5, -0.5)])
+    return spark.range(1).select(F.posexplode(geometry.drop_collinear(poly)).alias("i", "v")).select("i", "v.x", "v.y")
+
+
+@query
+def g19_measured_footprint(spark: SparkSession, d: str) -> DataFrame:
+    joints = views.log(spark, d).where("event_type = 'signup'").select(F.col("user_id").alias("robot"), (F.col("value") / 200).alias("x"), (F.col("k") / 200).alias("y"))
+    return footprint.measured(joints, 0.27, 0.05).select("robot", F.size("poly").alias("n"), r6("inscribed").alias("inscribed"), r6("circumscribed").alias("circumscribed"))

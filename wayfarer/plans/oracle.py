@@ -1,5 +1,7 @@
 """SQL for the catalog's queries, as DuckDB runs it."""
 
+from wayfarer.functions import geometry
+
 BEAMS = """beams AS (SELECT vec_id, label / 10.0 AS v, i - 1 AS b, abs(embedding[i]::DOUBLE) * 20 AS r, -pi() + (i - 1) * (2 * pi() / 63) AS a FROM embeddings, unnest(range(1, 65)) t(i)),
 valid AS (SELECT * FROM beams WHERE r > 0.1 AND r < 5.0)"""
 CELLS = """raw AS (SELECT vec_id AS grid_id, i - 1 AS k, abs(embedding[i]::DOUBLE) * 20 AS r FROM embeddings, unnest(range(1, 65)) t(i)),
@@ -103,3 +105,56 @@ SQL |= {
     "o4_collision_threshold": "SELECT n_nationkey, round(CASE WHEN n_regionkey > 0 THEN n_regionkey / 10.0 + 0.05 ELSE 0.15 END, 6)::DOUBLE AS threshold FROM nation",
     "o5_isolated_errors": f"WITH {LOG} SELECT event_id AS trial_id, CASE WHEN k::INT % 7 <> 0 THEN 'SUCCESS' ELSE 'EXCEPTION' END AS status, CASE WHEN k::INT % 7 <> 0 THEN round(value, 6) END AS travel_time, CASE WHEN k::INT % 7 = 0 THEN 'bad k ' || k::INT END AS error FROM log",
 }
+
+_SHAPES = ", ".join(f"('{name}', {i}, {x}::DOUBLE, {y}::DOUBLE)" for name, poly in (("carry", geometry.CARRY), ("extended", geometry.EXTENDED), ("tucked", geometry.TUCKED)) for i, (x, y) in enumerate(poly))
+SURFACES = f"""v AS (SELECT * FROM (VALUES {_SHAPES}) t(name, i, x, y)),
+edge AS (SELECT a.name, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy, b.x AS bx, b.y AS yb FROM v a JOIN v b ON a.name = b.name AND b.i = (a.i + 1) % (SELECT count(*) FROM v c WHERE c.name = a.name)),
+mid AS (SELECT name, sum((ax + bx) * (ax * yb - bx * ay)) / (3 * sum(ax * yb - bx * ay)) AS cx, sum((ay + yb) * (ax * yb - bx * ay)) / (3 * sum(ax * yb - bx * ay)) AS cy FROM edge GROUP BY 1),
+rel AS (SELECT name, ax - cx AS ax, ay - cy AS ay, dx, dy, greatest(0, least(1, ((cx - ax) * dx + (cy - ay) * dy) / (dx * dx + dy * dy))) AS f FROM edge JOIN mid USING (name)),
+inside AS (SELECT name, min(sqrt((ax + f * dx) * (ax + f * dx) + (ay + f * dy) * (ay + f * dy))) AS r FROM rel GROUP BY 1),
+ray AS (SELECT k, cos(k * (2 * pi() / 360)) AS c, sin(k * (2 * pi() / 360)) AS s FROM range(360) t(k)),
+met AS (SELECT name, k, (dx * ay - dy * ax) / (dx * s - dy * c) AS far FROM rel, ray WHERE abs(dx * s - dy * c) > 1e-10 AND (dx * ay - dy * ax) / (dx * s - dy * c) >= 0 AND (c * ay - s * ax) / (dx * s - dy * c) BETWEEN 0 AND 1),
+surface AS (SELECT i.name, ray.k, coalesce(min(far), any_value(i.r)) AS far FROM inside i CROSS JOIN ray LEFT JOIN met ON met.name = i.name AND met.k = ray.k GROUP BY ALL)"""
+_SQUARE = "(VALUES (0, 0.4::DOUBLE, 0.4::DOUBLE), (1, -0.4, 0.4), (2, -0.4, -0.4), (3, 0.4, -0.4)) p(i, qx, qy)"
+ANALYZED = f"""{LOG}, {CELLS}, pose AS (SELECT event_id AS id, user_id AS grid_id, ts, value / 50 AS x, k / 25 AS y FROM log),
+step AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS segment, coalesce(atan2(y - lag(y) OVER w, x - lag(x) OVER w), 0.0) AS heading FROM pose WINDOW w AS (PARTITION BY grid_id ORDER BY ts, id)),
+corner AS (SELECT id, grid_id, i, x + qx * cos(heading) - qy * sin(heading) AS x, y + qx * sin(heading) + qy * cos(heading) AS y FROM step, {_SQUARE}),
+m AS (SELECT id, grid_id, i, trunc(x / 0.5)::INT AS mx, trunc(y / 0.5)::INT AS my, min(CASE WHEN x >= 0 AND y >= 0 AND trunc(x / 0.5) < 8 AND trunc(y / 0.5) < 8 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS inside FROM corner),
+e AS (SELECT a.id, a.grid_id, a.i, a.mx AS x0, a.my AS y0, (b.mx - a.mx)::DOUBLE AS dx, (b.my - a.my)::DOUBLE AS dy FROM m a JOIN m b ON a.id = b.id AND b.i = (a.i + 1) % 4 WHERE a.inside = 1),
+w AS (SELECT *, sqrt(dx * dx + dy * dy) AS size FROM e), s AS (SELECT id, grid_id, i, CASE WHEN size = 0 THEN x0 ELSE trunc(x0 + t * 0.1::DOUBLE * (dx / size))::INT END AS col, CASE WHEN size = 0 THEN y0 ELSE trunc(y0 + t * 0.1::DOUBLE * (dy / size))::INT END AS "row" FROM w, LATERAL unnest(range(floor(size / 0.1::DOUBLE)::INT + 1)) u(t)),
+l AS (SELECT s.id, i, CASE WHEN bool_or(c.cost = 254) THEN 254 ELSE max(c.cost) END AS cost FROM s JOIN cells c USING (grid_id, "row", col) GROUP BY ALL),
+r AS (SELECT id, max(cost) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS so_far FROM l), f AS (SELECT id, CASE WHEN bool_or(so_far = 254) THEN 254 ELSE max(so_far) END AS cost FROM r GROUP BY 1),
+seen AS (SELECT id, floor(x / 0.5) AS col, floor(y / 0.5) AS "row", grid_id FROM pose WHERE x >= 0 AND y >= 0 AND x < 4 AND y < 4),
+near AS (SELECT id, min(sqrt(pow(seen."row" - c."row", 2) + pow(seen.col - c.col, 2))) * 0.5 AS obstacle FROM seen JOIN cells c ON c.grid_id = seen.grid_id AND c.cost > 253 GROUP BY 1),
+analyzed AS (SELECT step.*, coalesce(f.cost, 254)::INT AS cost, coalesce(near.obstacle, 1e9) AS obstacle FROM step LEFT JOIN f USING (id) LEFT JOIN near USING (id))"""
+
+SQL |= {
+    "g12_surfaces": f"WITH {SURFACES} SELECT name, k::INT AS k, round(far, 6) AS surface FROM surface",
+    "g13_lidar_clearance": f"""WITH {BEAMS}, {SURFACES}, good AS (SELECT vec_id, a, r - far AS c FROM beams JOIN surface ON name = 'carry' AND surface.k = trunc(CASE WHEN a < 0 THEN (a % (2 * pi()) + 2 * pi()) % (2 * pi()) ELSE a % (2 * pi()) END / (2 * pi()) * 360)::INT % 360 WHERE r > 0.01 AND r < 30.0)
+ SELECT e.vec_id, round(coalesce(min(c), 'inf'::DOUBLE), 6) AS clearance, round(coalesce(arg_min(a, (c, a)), 0), 6) AS angle, coalesce(min(c) < 0.05, false) AS collision FROM embeddings e LEFT JOIN good USING (vec_id) GROUP BY 1""",
+    "p4_lidar_band": f"WITH {BEAMS} SELECT vec_id, count(*) FILTER (r > 0.01 AND r < 30.0) AS n_good, round(min(r) FILTER (r > 0.01 AND r < 30.0), 6) AS least FROM beams GROUP BY 1",
+    "f8_gradient_at": f"""WITH {LOG}, {CELLS}, g AS (SELECT grid_id, "row", col, sqrt(gx * gx + gy * gy) / 0.5 AS gradient FROM (SELECT *, coalesce((lead(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col) - lag(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col)) / 2.0, 0.0) AS gx,
+ coalesce((lead(cost) OVER (PARTITION BY grid_id, col ORDER BY "row") - lag(cost) OVER (PARTITION BY grid_id, col ORDER BY "row")) / 2.0, 0.0) AS gy FROM cells))
+ SELECT event_id, round(coalesce(gradient, 0), 6) AS r_grad FROM log LEFT JOIN g ON g.grid_id = user_id AND col = trunc((value / 50 - 0.5) / 0.5)::INT AND "row" = trunc((log.k / 25 - 0.5) / 0.5)::INT""",
+    "o1_path_analysis": f"WITH {ANALYZED} SELECT id AS event_id, round(heading, 6) AS heading, cost AS footprint_cost, round(obstacle, 6) AS min_dist_to_obstacle FROM analyzed",
+    "o2_replan_analysis": f"WITH {ANALYZED} SELECT grid_id AS path_id, count(*) AS num_poses, round(sum(segment), 6) AS path_length_m, round(min(obstacle), 6) AS min_obstacle_distance, max(cost) AS worst_cost FROM analyzed GROUP BY 1",
+    "p11_apply_targets": """WITH t AS (SELECT l_orderkey AS trial_id, l_linenumber AS n, l_linestatus AS extra, CASE WHEN l_linenumber = 1 AND l_returnflag = 'A' THEN '[[0.3, 0.0]]' WHEN l_linenumber = 1 AND l_returnflag = 'N' THEN '[[0.5, 0.0]]' ELSE l_returnflag END AS target_value FROM lineitem),
+ u AS (SELECT trial_id, 'controller' AS ros_node, n::VARCHAR AS name, target_value FROM t UNION ALL SELECT trial_id, 'local_costmap', extra, target_value FROM t WHERE n % 2 = 0) SELECT trial_id, ros_node, name, target_value, count(*) AS n FROM u GROUP BY ALL""",
+    "p12_footprint_of": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 8 END::INT AS n, CASE n_nationkey % 3 WHEN 0 THEN 0.18 WHEN 1 THEN 0.625 ELSE round(4 * 0.09 * sin(pi() / 4), 6) END::DOUBLE AS area FROM nation",
+    "j8_preset_lookup": "SELECT o_orderkey, label, mode, n_vertices FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'tucked' WHEN 'O' THEN 'carry' END AS label FROM orders) LEFT JOIN (VALUES ('tucked', 'fold', 8), ('carry', 'reach', 12)) p(label, mode, n_vertices) USING (label)",
+    "j9_joints_present": f"WITH {LOG}, j AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM log GROUP BY ALL) SELECT user_id, count(*) = 5 AS complete, " + ", ".join(f"round(max(value) FILTER (event_type = '{t}'), 6) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM j GROUP BY 1",
+    "s10_link_frames": "SELECT DISTINCT event_type || '_' || (user_id % 7) || '_link' AS frame FROM events WHERE event_type IN ('click', 'view') AND user_id % 7 BETWEEN 0 AND 3",
+    "s6_checkpoint": f"WITH {TRIALS} SELECT coalesce(max(trial_id), 0) AS completed_trials FROM trials WHERE status = 'SUCCESS'",
+    "k3_summary": f"WITH {TRIALS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{t}') AS {t.lower()}" for t in ("SUCCESS", "COLLISION", "TIMEOUT", "CANCELED", "FAILED", "PLANNING_FAILED", "UNKNOWN", "EXCEPTION")) + ", 0::BIGINT AS other FROM trials",
+    "k5_export_rows": "SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_name) - 1 AS id FROM nation",
+    "p2_flat_result": 'SELECT o_orderkey AS trial_id, o_orderstatus AS status, o_totalprice AS "param__FollowPath_vx_max", o_orderpriority AS param__footprint FROM orders',
+    "r2_edited_space": "SELECT n_regionkey::VARCHAR AS node, n_name AS name, 0.0::DOUBLE AS low, n_nationkey / 10.0 AS high FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT '2', 'vx_max', 0.2, 0.8",
+    "x2_tick_merge": f"""WITH {LOG}, span AS (SELECT user_id, min(t) FILTER (event_type = 'click') AS lo, max(t) AS hi FROM log GROUP BY 1), tick AS (SELECT user_id, d * 86400 AS t FROM span, LATERAL unnest(range(ceil(lo / 86400)::BIGINT, floor(hi / 86400)::BIGINT + 1)) u(d)),
+ c AS (SELECT user_id, t, arg_max(value, event_id) AS value FROM log WHERE event_type = 'click' GROUP BY ALL), v AS (SELECT user_id, t, arg_max(value, event_id) AS value FROM log WHERE event_type = 'view' GROUP BY ALL)
+ SELECT tick.user_id, tick.t, round(c.value, 6) AS click, round(v.value, 6) AS "view" FROM tick ASOF LEFT JOIN c ON c.user_id = tick.user_id AND tick.t >= c.t ASOF LEFT JOIN v ON v.user_id = tick.user_id AND tick.t >= v.t""",
+    "x1_latest_of_batch": "SELECT event_id // 100 AS batch, event_type, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY 1, 2",
+    "x13_well_formed": "SELECT vec_id, " + ", ".join(f"round(embedding[{k}]::DOUBLE, 6) AS {n}" for k, n in enumerate(("r_min", "r_width", "r_ttc", "r_dens", "r_clear", "r_curve", "r_grad", "r_vis"), 1)) + " FROM embeddings WHERE vec_id % 4 + 6 = 8",
+    "g3_pixel_world": f'WITH {CELLS} SELECT grid_id, "row", col, round(-3.0 + col * 0.05, 6)::DOUBLE AS x, round(2.0 + (8 - "row") * 0.05, 6)::DOUBLE AS y, col AS px, "row" AS py FROM cells',
+    "s2_negated_map": f"""WITH {CELLS}, m AS (SELECT *, unnest([0, 1]) AS negate FROM cells) SELECT grid_id AS map_id, negate::INT AS negate, round(-2.0 + (col + 0.5) * 0.5, 6)::DOUBLE AS x, round(-2.0 + (8 - 0.5 - "row") * 0.5, 6)::DOUBLE AS y FROM m WHERE CASE negate WHEN 1 THEN cost ELSE 255 - cost END / 255.0 >= 0.65""",
+    "g17_drop_collinear": "SELECT i::INT AS i, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (0, 0.5, 0.5), (1, -0.5, 0.5), (2, -0.5, -0.5), (3, 0.5, -0.5)) t(i, x, y)",
+}

@@ -37,6 +37,11 @@ def summary(trials: DataFrame) -> DataFrame:
     return trials.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES), other)
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Ids 0 to n - 1 in the given order. Designs and pose pairs are some thousand rows, so one task numbers them."""
+    return rows.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+
+
 def export(rows: DataFrame, order: list[str], path: str) -> None:
-    """JSON rows with ids 0 to n - 1 in the given order. Designs and pose pairs are some thousand rows, so one task numbers them."""
-    rows.withColumn("id", F.row_number().over(Window.orderBy(*order)) - 1).write.mode("overwrite").json(path)
+    """JSON rows, numbered."""
+    numbered(rows, order).write.mode("overwrite").json(path)
