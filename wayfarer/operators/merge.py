@@ -48,7 +48,7 @@ def at_ticks(log: DataFrame, key: str, time: str, order: str, topic: str, value:
     """
     span = log.groupBy(key).agg(F.min(F.when(F.col(topic) == topics[0], F.col(time))).alias("lo"), F.max(time).alias("hi"))
     spread = F.sequence(F.ceil(F.col("lo") / every), F.floor(F.col("hi") / every))
-    ticks = span.where(F.ceil(F.col("lo") / every) <= F.floor(F.col("hi") / every)).select(key, (F.explode(spread) * every).alias(time))
+    ticks = span.where(F.ceil(F.col("lo") / every) <= F.floor(F.col("hi") / every)).select(key, F.explode(F.transform(spread, lambda k: k * every)).alias(time))
     rows = log.select(key, time, order, topic, value).unionByName(ticks, allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(time, F.col(topic).isNull(), order).rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.select(key, time, topic, *(F.last(F.when(F.col(topic) == t, F.col(value)), True).over(w).alias(t) for t in topics))
