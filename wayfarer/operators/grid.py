@@ -68,7 +68,7 @@ def nearest(points: DataFrame, obstacles: DataFrame, side: float, others: tuple[
     but_itself: obstacles have ids too, and a point's own id doesn't count.
 
     Rings of buckets of the given side are joined by equality. A ring's result is final when it is no
-    farther than the ring reaches; the other points try a ring twice as wide, until it spans everything.
+    farther than the ring reaches; the other points try a ring four times as wide, until it spans everything.
     """
     key = {k: F.floor(F.col(k) / side).cast("long").alias(f"b{k}") for k in "xy"}
     own = ("id", "x", "y", *others)
