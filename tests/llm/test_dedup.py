@@ -115,6 +115,14 @@ def test_one_row_of_each_group_stays_with_its_columns(docs, rows):
     assert ids == sorted({c for _, _, c in grouped(rows)}, key=lambda x: (x is not None, x))
 
 
+def test_one_row_of_each_group_without_ids_stays(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in ("ash", "birch", "cedar")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (None, texts[2]), (None, None), (None, "")]
+    assert all((fingerprint(a) ^ fingerprint(b)).bit_count() > 3 for a in [*texts, ""] for b in [*texts, ""] if a != b)
+    kept = simhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(kept) == 4 and {(r.doc_id, r.text or "") for r in kept} == {(None, texts[0]), (None, texts[1]), (1, texts[2]), (None, "")}
+
+
 def test_empty_tables(none):
     for f in (substring_dedup.removed_repeats, suffix_dedup.removed_repeats, simhash_dedup.near_duplicates, simhash_dedup.one_of_each):
         assert f(none).count() == 0

@@ -115,13 +115,13 @@ def links(fps: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
 
 
 def groups(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, k1, k2, fp and component_id of every row."""
+    """doc_id, k1, k2, fp, root and component_id of every row; root is a fingerprint that names the group, also one without ids."""
     rows = stash(fingerprints(docs, shingle, seed), "simhash-rows")
     kinds = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-kinds")
     root = stars(links(kinds.select("fp"), radius), "simhash")
     kinds = kinds.join(root.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = kinds.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = kinds.join(least, "root").select("fp", "component_id")
+    of = kinds.join(least, "root").select("fp", "root", "component_id")
     return rows.join(of, "fp")
 
 
@@ -131,6 +131,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs without all but one row of each group: the one of the least doc_id, and of rows of one id the first by text hash."""
-    keep = groups(docs, radius).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("first"))
+    keep = groups(docs, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("first"))
     keep = keep.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     return by_key(docs, keep, "left_semi", once=True)
