@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from conftest_llm import LOWER, same, words
 
-from wayfarer.llm import components, simhash_dedup, substring_dedup, suffix_dedup
+from wayfarer.llm import common, components, simhash_dedup, substring_dedup, suffix_dedup
 
 
 @pytest.mark.parametrize("window, gram", [(35, 5), (8, 3)])
@@ -123,6 +123,19 @@ def test_one_row_of_each_group_without_ids_stays(spark):
     assert len(kept) == 4 and {(r.doc_id, r.text or "") for r in kept} == {(None, texts[0]), (None, texts[1]), (1, texts[2]), (None, "")}
 
 
+def test_texts_whose_keys_agree_in_32_bits_keep_their_own_spans(spark):
+    a, b = (" ".join(f"w{i}n{j}" for j in range(40)) for i in (23290, 231826))
+    head, tail = " ".join(a.split()[:36]), " ".join(a.split()[36:])
+    df = spark.createDataFrame([(None, a), (None, b), (1, head + " end")], "doc_id long, text string")
+    assert common.texts(df.where("doc_id is null")).selectExpr("count(distinct hash(k2))", "count(distinct k2)").first()[:] == (1, 2)
+    sha = [hashlib.sha256(x.encode()).hexdigest() for x in (tail, b, "end")]
+    got = {tuple(r) for r in substring_dedup.removed_repeats(df).collect()}
+    assert got == {(None, 40, 36, sha[0]), (None, 40, 0, sha[1]), (1, 37, 36, sha[2])}
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.removed_repeats(df).collect()}
+    n = len(head) + 1
+    assert got == {(None, len(a), n, sha[0]), (None, len(b), 0, sha[1]), (1, n + 3, n, sha[2])}
+
+
 def test_empty_tables(none):
     for f in (substring_dedup.removed_repeats, suffix_dedup.removed_repeats, simhash_dedup.near_duplicates, simhash_dedup.one_of_each):
         assert f(none).count() == 0

@@ -27,16 +27,12 @@ from wayfarer.llm.common import buckets, texts
 
 _BLOBS = ("seed", "k1", "k2", "start", "count", "win", "known")
 _SENT = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in _BLOBS)])
-_SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-SPANS_DDL = "k1 long, k2 int, start int, stop int"
-_KNOWN = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("start", "<i4"), ("stop", "<i4")])
+_SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+SPANS_DDL = "k1 long, k2 long, start int, stop int"
+_KNOWN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 _LOW48 = (1 << 48) - 1
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("k2", F.hash("k2"))
-
-
 class _Windows:
     """Windows of many documents of one task, until there are enough for one exchange block."""
 
@@ -126,7 +122,7 @@ def _joined(at: np.ndarray, run: np.ndarray, k1: np.ndarray, k2: np.ndarray, i:
 def _extended(window: int) -> Callable:
     def meet(group: pa.Table) -> pa.Table:
         one = {x: b"".join(group.column(x).to_pylist()) for x in _BLOBS}
-        key, k1, k2, start, count = (np.frombuffer(one[x], t) for x, t in (("seed", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("start", "<i4"), ("count", "<u2")))
+        key, k1, k2, start, count = (np.frombuffer(one[x], t) for x, t in (("seed", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("count", "<u2")))
         count = count.astype(np.int64)
         raw = np.zeros((int(count.sum()), 8), np.uint8)
         raw[:, :6] = np.frombuffer(one["win"], np.uint8).reshape(-1, 6)
@@ -142,7 +138,7 @@ def _extended(window: int) -> Callable:
 
 
 def repeats(docs: DataFrame, window: int = 35, gram: int = 5, at_once: int = 1_500_000) -> DataFrame:
-    """Word spans (k1, k2, start, stop) whose union is what windows that occur again cover. docs: as keyed() gives them."""
+    """Word spans (k1, k2, start, stop) whose union is what windows that occur again cover. docs: as texts() gives them."""
     n = buckets(docs.sparkSession)
     sent = docs.select("k1", "k2", "text").mapInArrow(_blocks(window, gram, n, at_once), "bucket int, " + ", ".join(f"{x} binary" for x in _BLOBS))
     return sent.groupBy("bucket").applyInArrow(_extended(window), SPANS_DDL)
@@ -188,6 +184,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_repeats(docs: DataFrame, window: int = 35, gram: int = 5) -> DataFrame:
     """Per document: n_words, n_removed and kept_sha256 of the kept words, joined by one space."""
-    rows = keyed(docs)
+    rows = texts(docs)
     full = with_spans(rows, repeats(rows, window, gram)).select("doc_id", "text", "starts", "stops")
     return full.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.common import buckets
-from wayfarer.llm.substring_dedup import SPANS_DDL, covered, keyed, with_spans
+from wayfarer.llm.common import buckets, texts
+from wayfarer.llm.substring_dedup import SPANS_DDL, covered, with_spans
 
-_ANCHOR = np.dtype([("key", "<u8"), ("k1", "<i8"), ("k2", "<i4"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("known", "u1")])
-_AT = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
-_MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("lcp", "<u2"), ("size", "<u2"), ("known", "u1")])
+_ANCHOR = np.dtype([("key", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("known", "u1")])
+_AT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+_MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("lcp", "<u2"), ("size", "<u2"), ("known", "u1")])
 _RUN = pa.schema([("bucket", pa.int32()), ("members", pa.binary()), ("rests", pa.binary()), ("lefts", pa.binary()), ("spans", pa.binary())])
-_SPAN = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("start", "<i4"), ("stop", "<i4")])
+_SPAN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("stop", "<i4")])
 
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -296,10 +296,10 @@ def matches(member: np.ndarray, common: np.ndarray, lefts: list[bytes], length:
 
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 32, at_once: int = 400_000, run_size: int = 60_000) -> DataFrame:
-    """Byte spans (k1, k2, start, stop) whose union is what strings that occur again cover. docs: as keyed() gives them."""
+    """Byte spans (k1, k2, start, stop) whose union is what strings that occur again cover. docs: as texts() gives them."""
     n = buckets(docs.sparkSession)
     sent = docs.select("k1", "k2", "text").mapInArrow(_anchors(length, gram, n, at_once), "bucket int, anchors binary, told binary")
-    found = sent.groupBy("bucket").applyInArrow(_recurring, "k1 long, k2 int, pos int, lo int, hi int")
+    found = sent.groupBy("bucket").applyInArrow(_recurring, "k1 long, k2 long, pos int, lo int, hi int")
     # repeated rows have all their anchors as often as there are rows
     per_row = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("pos", "lo", "hi"))).alias("at"))
     per_row = per_row.select("k1", "k2", *(F.col(f"at.{x}").alias(x) for x in ("pos", "lo", "hi")))
@@ -325,6 +325,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_repeats(docs: DataFrame, length: int = 200, gram: int = 32) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans and kept_sha256 of the bytes that stay."""
-    rows = keyed(docs)
+    rows = texts(docs)
     full = with_spans(rows, repeats(rows, length, gram)).select("doc_id", "text", "starts", "stops")
     return full.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
