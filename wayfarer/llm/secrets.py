@@ -59,9 +59,13 @@ def linked(found: DataFrame, scope: int = 400) -> DataFrame:
     """Weak secrets and endpoints with their complements in scope, as linked_secret and linked_endpoint."""
     weak = found.where(F.col("kind").isin("weak", "endpoint"))
     known = found.where(F.col("kind").isin("access", "identity", "assign", "weak"))
-    bin_of = F.floor(F.col("start") / scope)
-    near = weak.withColumn("bin", F.explode(F.sequence(F.floor((F.col("start") - 2 * scope) / scope), F.floor((F.col("stop") + scope) / scope))))
-    other = known.select("k1", "k2", F.col("kind").alias("with"), F.col("start").alias("from"), F.col("stop").alias("to"), bin_of.alias("bin"))
+
+    def bins(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope))).alias("bin")
+
+    # both sides go to every stretch they reach, as a complement may be longer than scope; a pair that meets twice counts once
+    near = weak.select("*", bins(F.col("start") - scope, F.col("stop") + scope))
+    other = known.select("k1", "k2", F.col("kind").alias("with"), F.col("start").alias("from"), F.col("stop").alias("to"), bins(F.col("start"), F.col("stop")))
     met = near.join(other, ["k1", "k2", "bin"]).where((F.col("from") - F.col("stop") <= scope) & (F.col("start") - F.col("to") <= scope) & ((F.col("from") != F.col("start")) | (F.col("with") != F.col("kind"))))
     sides = met.groupBy("k1", "k2", "kind", "start", "stop").agg(F.bool_or(F.col("with").isin("access", "identity")).alias("who"), F.bool_or(F.col("with").isin("assign", "weak")).alias("what"))
     sides = sides.where("who and (kind = 'weak' or what)")
