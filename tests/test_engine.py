@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import geometry, scalars
 from wayfarer.operators import design, footprint, grid, merge, path, scan, trials
-from wayfarer.plans import views
+from wayfarer.plans import catalog, views
 from wayfarer.sources import readers, sinks
 from wayfarer.streaming import latest
 
@@ -134,6 +134,21 @@ def test_distances_and_nearest_equal_brute_force(spark):
     assert {r.distance for r in grid.nearest(p, w.limit(0), 0.5).collect()} == {float("inf")}
 
 
+def test_density_window_is_the_radius_in_cells(spark):
+    cells = views.cells(spark, SF)
+    every = cells.collect()
+    for row, col, radius in ((4, 4, 2.0), (1, 6, 1.3), (20, 20, 2.0)):
+        near = {}
+        for c in every:
+            held = near.setdefault(c.grid_id, [])
+            if max(abs(c.row - row), abs(c.col - col)) <= int(radius / 0.5):
+                held.append(c.cost == 254)
+        got = {r.grid_id: r.density for r in grid.density(cells, row, col, radius, 0.5).collect()}
+        assert got == pytest.approx({k: sum(x) / len(x) if x else 0 for k, x in near.items()})
+    whole = {r.grid_id: r.n / 64 for r in cells.where("cost = 254").groupBy("grid_id").agg(F.count("*").alias("n")).collect()}
+    assert {r.grid_id: r.r_dens for r in catalog.f4_density(spark, SF).collect()} == {k: round(whole.get(k, 0), 6) for k in near}
+
+
 def test_cells_truncate(spark):
     assert tuple(one(spark, *(grid.cell_of(F.lit(x), F.lit(0.0), F.lit(1.0)) for x in (-0.5, 1.9)))) == (0, 1)
 

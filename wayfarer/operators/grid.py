@@ -27,6 +27,13 @@ def cell_of(x: Column, origin: Column, resolution: Column) -> Column:
     return ((x - origin) / resolution).cast("int")
 
 
+def density(cells: DataFrame, row: int, col: int, radius: float, resolution: float) -> DataFrame:
+    """Share of lethal cells in the square of int(radius / resolution) cells to each side of (row, col), as far as the grid goes; 0 if none is in it."""
+    reach = int(radius / resolution)
+    near = (F.abs(F.col("row") - row) <= reach) & (F.abs(F.col("col") - col) <= reach)
+    return cells.groupBy("grid_id").agg(F.coalesce(F.avg(F.when(near, is_dense(F.col("cost")).cast("double"))), F.lit(0.0)).alias("density"))
+
+
 def gradient(cells: DataFrame, resolution: float) -> DataFrame:
     """Central differences, zero on borders, and their magnitude."""
     x, y = Window.partitionBy("grid_id", "row").orderBy("col"), Window.partitionBy("grid_id", "col").orderBy("row")

@@ -69,8 +69,7 @@ def g13_lidar_clearance(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def f4_density(spark: SparkSession, d: str) -> DataFrame:
-    near = views.cells(spark, d).where((F.abs(F.col("row") - 4) <= 2) & (F.abs(F.col("col") - 4) <= 2))
-    return near.groupBy("grid_id").agg(r6(F.avg(grid.is_dense(F.col("cost")).cast("double"))).alias("r_dens"))
+    return grid.density(views.cells(spark, d), 4, 4, 2.0, views.RESOLUTION).select("grid_id", r6("density").alias("r_dens"))
 
 
 @query
