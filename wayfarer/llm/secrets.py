@@ -22,7 +22,7 @@ from wayfarer.llm.common import by_key, fresh, texts
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
 IDENTITY = r"""(?i:access_?key_?id|client_?id|account_?id|username|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
-WEAK = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z/+_=-]*[0-9])(?=[a-z0-9/+_=-]*[A-Z])(?=[A-Z0-9/+_=-]*[a-z])[A-Za-z0-9/+_=-]{20,128}(?![A-Za-z0-9/+_=-])"
+WEAK = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z/+_=-]*[0-9])(?=[a-z0-9/+_=-]*[A-Z])(?=[A-Z0-9/+_=-]*[a-z])[A-Za-z0-9/+_=-]{20,}(?![A-Za-z0-9/+_=-])"
 ENDPOINT = r"""(?:https?|s3|jdbc:[a-z]+|[a-z]+sql|mongodb|redis|amqp)://[^\s"'<>]+"""
 #: Order of kinds at one start.
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
