@@ -1,10 +1,9 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by winnowed seeds and window hashes.
 
 Seeds are winnowed word n-grams: of every `window` consecutive words, the leftmost n-gram of the
 least hash is the seed, so equal windows have their seed at equal offsets. Occurrences meet by
-seed. There each is extended to both sides, by every split of the window into words left and
-right of the seed; an extension that another occurrence of the seed shares is a repeat, and
-overlapping repeats join into maximal ones. Tasks settle repeats among their own rows first and send
+seed with the hashes of all their windows. Windows of equal hash are repeats, and overlapping repeats
+join into maximal ones; no text is compared, so matches aren't extended word by word. Tasks settle repeats among their own rows first and send
 one of each, so a passage that a third of the rows hold reaches the shuffle once per task.
 
 Defined cases: null text has no words; a null doc_id is kept as null; repeated rows are documents of
