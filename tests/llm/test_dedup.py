@@ -2,11 +2,12 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest_llm import LOWER, same, words
 
-from wayfarer.llm import common, components, simhash_dedup, substring_dedup, suffix_dedup
+from wayfarer.llm import anchors, common, components, simhash_dedup, substring_dedup, suffix_dedup
 
 
 @pytest.mark.parametrize("window, gram", [(35, 5), (8, 3)])
@@ -127,7 +128,6 @@ def test_texts_whose_keys_agree_in_32_bits_keep_their_own_spans(spark):
     a, b = (" ".join(f"w{i}n{j}" for j in range(40)) for i in (23290, 231826))
     head, tail = " ".join(a.split()[:36]), " ".join(a.split()[36:])
     df = spark.createDataFrame([(None, a), (None, b), (1, head + " end")], "doc_id long, text string")
-    assert common.texts(df.where("doc_id is null")).selectExpr("count(distinct hash(k2))", "count(distinct k2)").first()[:] == (1, 2)
     sha = [hashlib.sha256(x.encode()).hexdigest() for x in (tail, b, "end")]
     got = {tuple(r) for r in substring_dedup.removed_repeats(df).collect()}
     assert got == {(None, 40, 36, sha[0]), (None, 40, 0, sha[1]), (1, 37, 36, sha[2])}
@@ -136,6 +136,58 @@ def test_texts_whose_keys_agree_in_32_bits_keep_their_own_spans(spark):
     assert got == {(None, len(a), n, sha[0]), (None, len(b), 0, sha[1]), (1, n + 3, n, sha[2])}
 
 
+def test_many_rows_without_ids_have_keys_of_their_own(spark):
+    df = spark.range(400_000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
+    assert common.texts(df).selectExpr("count(distinct k1)", "count(distinct k2)", "count_if(k1 = k2)").first()[:] == (400_000, 400_000, 0)
+
+
+@pytest.mark.parametrize("texts", [[None], [""], [" \n"], ["", ""], ["a " * 40] * 2, ["x" * 430] * 2, ["a " * 40, None]])
+def test_tables_in_which_nothing_stays(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    empty = hashlib.sha256(b"").hexdigest()
+    for r in substring_dedup.removed_repeats(df).collect():
+        n = len(words(texts[r.doc_id]))
+        assert tuple(r)[1:] == ((n, n, empty) if n >= 35 else (n, 0, hashlib.sha256(" ".join(words(texts[r.doc_id])).encode()).hexdigest()))
+    left = {r.doc_id: r.n_bytes - r.n_removed for r in suffix_dedup.removed_repeats(df).collect()}
+    assert left == {k: 0 if len(t or "") > 200 else len(t or "") for k, t in enumerate(texts)}
+
+
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate({97: "b", 98: "a"})
+    return out
+
+
+def test_words_that_collide_in_polynomial_hashes_stay_apart(spark):
+    one = thue_morse(2048)
+    other = one.translate({97: "b", 98: "a"})
+    rows = [(k, " ".join([f"w{j}" for j in range(20)] + [x] + [f"v{j}" for j in range(20)])) for k, x in enumerate((one, other))]
+    got = substring_dedup.removed_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_settled_rows_are_dealt_over_all_buckets():
+    rows = np.zeros(50_000, anchors.SPAN)
+    rows["k2"] = np.arange(50_000)
+    found = defaultdict(int)
+    for which, part in anchors.dealt(rows, 64):
+        found[which] += len(part)
+    assert len(found) == 64 and max(found.values()) - min(found.values()) < 20_000 and sum(found.values()) == rows.nbytes
+
+
+def test_seeds_found_part_by_part_are_those_of_the_whole(monkeypatch, docs, rows):
+    batch = pa.record_batch({"text": [t for _, t in rows], "k1": np.arange(len(rows)), "k2": np.arange(len(rows))})
+
+    def windows(of):
+        return {(int(a["k1"]), int(a["pos"]) - o, int(a["pos"]), int(a["key"])) for a in of(batch) for o in range(a["lo"], a["hi"] + 1)}
+
+    for module, make in ((substring_dedup, lambda: substring_dedup._seeds(35, 5)), (suffix_dedup, lambda: suffix_dedup._anchors(200, 32))):
+        whole = windows(make())
+        monkeypatch.setattr(module, "PART", 777)
+        assert windows(make()) == whole and len(whole) > 5000
+
+
 def test_empty_tables(none):
     for f in (substring_dedup.removed_repeats, suffix_dedup.removed_repeats, simhash_dedup.near_duplicates, simhash_dedup.one_of_each):
         assert f(none).count() == 0

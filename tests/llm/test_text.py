@@ -189,15 +189,45 @@ def test_rules_are_learned_and_hold_on_other_rows():
     x = rng.random((1200, len(quality_rules.FEATURES)))
     bad = ((x[:, 2] > 0.8) & (x[:, 4] > 0.5)) | (x[:, 7] < 0.1)
     rules = quality_rules.learned_list(x[:800], bad[:800])
-    got = np.any([quality_rules.covers(r, x[800:]) for r in rules], axis=0)
-    assert (got == bad[800:]).mean() > 0.95 and bad[800:][got].mean() > 0.95
+    gone = ~quality_rules.decided(rules, x[800:])
+    assert (gone == bad[800:]).mean() > 0.95 and bad[800:][gone].mean() > 0.95
+
+
+def test_the_first_rule_that_holds_decides(docs):
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, len(quality_rules.FEATURES)))
+    bad = (x[:, 1] > 0.3) & ~((x[:, 3] > 0.5) & (x[:, 5] > 0.5))
+    rules = quality_rules.learned_list(x[:2000], bad[:2000])
+    assert {keeps for keeps, _ in rules} == {False, True}
+    assert (quality_rules.decided(rules, x[2000:]) != bad[2000:]).mean() > 0.95
+    assert any((quality_rules.decided(rules, x) != quality_rules.decided(rules[:k] + rules[k + 1 :][::-1] + rules[k : k + 1], x)).any() for k in range(len(rules)))
 
 
 def test_the_list_as_an_expression_equals_its_rules(docs):
-    rules = [[("n_words", ">", 60.0), ("kinds", "<=", 0.9)], [("symbols", ">", 0.0)]]
+    rules = [(False, [("n_words", ">", 60.0), ("kinds", "<=", 0.9)]), (True, [("n_words", ">", 50.0)]), (False, [("symbols", "<=", 0.5)])]
     table = quality_rules.statistics(docs).select(*(c.alias(k) for k, c in quality_rules.features().items()), quality_rules.verdict(rules).alias("verdict")).toPandas()
-    rejected = np.any([quality_rules.covers(r, table[list(quality_rules.FEATURES)].to_numpy()) for r in rules], axis=0)
-    assert rejected.any() and not rejected.all() and (table["verdict"].to_numpy() == ~rejected).all()
+    kept = quality_rules.decided(rules, table[list(quality_rules.FEATURES)].to_numpy())
+    assert kept.any() and not kept.all() and (table["verdict"].to_numpy() == kept).all()
+
+
+def test_lines_that_collide_in_polynomial_hashes_stay_apart(spark):
+    from test_dedup import thue_morse
+
+    one = thue_morse(2048)
+    other = one.translate({97: "b", 98: "a"})
+    r = quality_rules.statistics(spark.createDataFrame([(1, f"{one}\n{other}\nx\nx")], "doc_id long, text string")).first()
+    assert (r.n_dup_lines, r.n_lines, r.n_kinds) == (1, 4, 3)
+
+
+def test_many_texts_of_one_id_are_one_row_to_learn_from(spark):
+    rows = [(1, f"{k} " + " ".join(f"w{k}x{j}" for j in range(60))) for k in range(50)]
+    learned = []
+    original, quality_rules.learned_list = quality_rules.learned_list, lambda x, bad: learned.append(len(x)) or []
+    try:
+        quality_rules.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    finally:
+        quality_rules.learned_list = original
+    assert learned == [1]
 
 
 def test_without_labels_the_base_decides(spark, docs, none):

@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only a session without that setting gets its own root."""
+    """A new folder below spark.checkpoint.dir. Without that setting a local session gets a root of its own; a cluster raises ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = getattr(spark, "_wayfarer_root", None) or f"file://{tempfile.mkdtemp(prefix='wayfarer-')}"
         spark._wayfarer_root = root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -41,15 +43,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, per_partition: int = 4) -> int:
-    """Number of key buckets, in proportion to the session's shuffle partitions."""
-    return max(8, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
+GROUP_BYTES = 64 << 20
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """What Spark's statistics say docs takes; 0 where they have no estimate."""
+    found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
+
+
+def buckets(docs: DataFrame, per_partition: int = 4) -> int:
+    """Number of key buckets: some for each shuffle partition, and so many that a bucket has GROUP_BYTES of the input at most."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, per_partition * partitions, -(-input_bytes(docs) // GROUP_BYTES))
 
 
 def row_key() -> tuple[Column, Column]:
-    """Names a row of documents: rows that agree in both are repeated rows, whose results are equal."""
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.coalesce(doc_id, F.lit(NO_ID)), F.xxhash64(doc_id, text)
+    """Names a row of documents in 128 bits: rows that agree in both are repeated rows, whose results are equal."""
+    doc_id, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(text, doc_id), F.xxhash64(doc_id, text)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -58,6 +70,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row of docs as the struct row, and its text beside it (null: empty), so that no column can clash."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def fresh(docs: DataFrame, n: int) -> list[str]:
     """Column names that docs doesn't have."""
     taken, out = {c.lower() for c in docs.columns}, []

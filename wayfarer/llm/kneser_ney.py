@@ -245,7 +245,7 @@ def held_out() -> Column:
 def train(docs: DataFrame, order: int = 2, at_once: int = 2_000_000) -> Model:
     """Counts all rows of docs (as texts() gives them) and writes the model to the shared folder."""
     spark = docs.sparkSession
-    n = buckets(spark, 1)
+    n = buckets(docs, 1)
     uri = shared_dir(spark, "kneser-ney")
     path = posix_path(uri)
     os.makedirs(path)

@@ -131,6 +131,6 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
     """docs without all but one row of each group: the one of the least doc_id, and of rows of one id the first by text hash."""
-    keep = groups(docs, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "k1", "k2")).alias("first"))
+    keep = groups(docs, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("first"))
     keep = keep.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
     return by_key(docs, keep, "left_semi", once=True)

@@ -1,14 +1,18 @@
-"""Substring dedup by winnowed seeds and window hashes.
+"""Substring dedup by seed and extend.
 
-Seeds are winnowed word n-grams: of every `window` consecutive words, the leftmost n-gram of the
-least hash is the seed, so equal windows have their seed at equal offsets. Occurrences meet by
-seed with the hashes of all their windows. Windows of equal hash are repeats, and overlapping repeats
-join into maximal ones; no text is compared, so matches aren't extended word by word. Tasks settle repeats among their own rows first and send
-one of each, so a passage that a third of the rows hold reaches the shuffle once per task.
+Seeds are winnowed word n-grams: of every `window` consecutive words, the leftmost n-gram of the least
+hash is the seed, so equal windows have their seed at equal offsets. Documents are joined on the seeds that
+recur: each such occurrence is sent with the words around it that its windows reach. Matches are extended
+from the seed to the right and to the left, word by word: in each step the occurrences that agreed so far
+part by their next word, and those left alone stop, so no pairs are made. An occurrence's match is a repeat
+where both sides reach `window` words together; overlapping repeats join into maximal ones. Words are
+compared as text. Tasks settle equal surroundings among their own rows and send one of each, so a passage
+that a third of the rows hold reaches the shuffle once per task.
 
 Defined cases: null text has no words; a null doc_id is kept as null; repeated rows are documents of
 their own, so each makes the other's windows repeats; texts of fewer words than a window lose
-nothing; an empty table gives an empty result; further columns are ignored.
+nothing; texts may be of any length (seeds are found part by part); a document that loses all its words
+keeps the empty string; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,163 +23,172 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wayfarer.llm import textnum as tn
+from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, dealt, listed, recurring, runs_of, with_spans
 from wayfarer.llm.common import buckets, texts
 
-_BLOBS = ("seed", "k1", "k2", "start", "count", "win", "known")
-_SENT = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in _BLOBS)])
-_SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-SPANS_DDL = "k1 long, k2 long, start int, stop int"
-_KNOWN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("stop", "<i4")])
-_LOW48 = (1 << 48) - 1
+_MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("known", "u1")])
+_SENT = pa.schema([("bucket", pa.int32()), ("members", pa.binary()), ("words", pa.binary()), ("spans", pa.binary())])
+PART = 1 << 18
 
 
-class _Windows:
-    """Windows of many documents of one task, until there are enough for one exchange block."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.n = 0
-
-    def add(self, *columns: np.ndarray) -> None:
-        self.parts.append(columns)
-        self.n += len(columns[0])
-
-    def take(self) -> list[np.ndarray]:
-        columns = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-        self.__init__()
-        return columns
-
-
-def _blocks(window: int, gram: int, n_buckets: int, at_once: int) -> Callable:
-    def windows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        data, at = tn.raw(batch.column("text"))
+def _seeds(window: int, gram: int) -> Callable:
+    def of(part: pa.RecordBatch) -> np.ndarray:
+        data, at = tn.raw(part.column("text"))
+        start, end, first = tn.words(data, at)
+        h, row = tn.hashes(data, start, end), np.repeat(np.arange(len(part)), np.diff(first))
+        found = [_seeds_within(h[a : a + PART + window - 1], row[a : a + PART + window - 1], a) for a in range(0, max(len(h) - window + 1, 0), PART)]
+        if not found:
+            return np.zeros(0, ANCHOR)
+        pos, key, row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = np.zeros(len(pos), ANCHOR)
+        out["key"], out["pos"], out["lo"], out["hi"] = key, pos - first[row], lo, hi
+        out["k1"], out["k2"] = (part.column(x).to_numpy()[row] for x in ("k1", "k2"))
+        return out
+
+    def _seeds_within(h: np.ndarray, row: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+        """Place, hash and row of each seed of these words, and how far before it its windows start."""
+        i = np.arange(len(h) - gram + 1)
+        grams = tn.chained(h, i, gram)
+        least = tn.sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | i.astype(np.uint64), window - gram + 1)
+        starts = np.flatnonzero(row[: len(h) - window + 1] == row[window - 1 :])
+        seed = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, (seed[1:] != seed[:-1]) | (row[starts[1:]] != row[starts[:-1]])]) if len(seed) else np.zeros(0, np.int64)
+        last = np.r_[cut[1:], len(seed)] - 1 if len(seed) else cut
+        return seed[cut] + base, grams[seed[cut]], row[starts[cut]], seed[cut] - starts[last], seed[cut] - starts[cut]
+
+    return of
+
+
+def _surroundings(window: int, gram: int, n_buckets: int, at_once: int) -> Callable:
+    """Recurring seeds with the words their windows reach, one of each kind for every block."""
+
+    def of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        data, at = tn.raw(part.column("text"))
         start, end, first = tn.words(data, at)
-        n, counts = len(start), np.diff(first)
-        if n < window:
-            return ()
-        sums = tn.prefix_sums(tn.span_hash(tn.prefix_sums(data), start, end))
-        i = np.arange(n - gram + 1)
-        grams = tn.span_hash(sums, i, i + gram)
-        keys = (grams & np.uint64(0xFFFFFFFF00000000)) | i.astype(np.uint64)
-        seed = (tn.sliding_min(keys, window - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        row = np.repeat(np.arange(len(batch)), counts)
-        i = np.flatnonzero(row[: n - window + 1] == row[window - 1 :])
-        row, seed = row[i], seed[i]
-        k1, k2 = (batch.column(x).to_numpy()[row] for x in ("k1", "k2"))
-        return tn.span_hash(sums, i, i + window), grams[seed], seed, k1, k2, i - first[row]
-
-    def block(held: _Windows) -> Iterator[pa.RecordBatch]:
-        win, key, seed, k1, k2, i = held.take()
-        twice, first = tn.seen_twice(win)
-        cut = np.ones(len(win), bool)  # starts of runs of windows of one seed occurrence
-        cut[1:] = (seed[1:] != seed[:-1]) | (key[1:] != key[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (i[1:] != i[:-1] + 1)
-        known = _joined(np.flatnonzero(twice), np.cumsum(cut), k1, k2, i, window)
-        cut[1:] |= first[1:] != first[:-1]
-        run = (np.cumsum(cut) - 1)[first]
-        head = np.flatnonzero(cut)[np.unique(run)]
-        sent = ((win[first] << np.uint64(1)) | twice[first].astype(np.uint64)) & np.uint64(_LOW48)
-        count = np.unique(run, return_counts=True)[1]
-        bucket = (key[head] % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        offset = np.cumsum(count) - count
-        sent = sent[np.repeat(offset[order], count[order]) + tn.run_of(count[order])]
-        head, count, bucket = head[order], count[order], bucket[order]
-        packed = sent.view(np.uint8).reshape(-1, 8)[:, :6]
-        ends, bounds = np.cumsum(np.r_[0, count]), np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-        rows: list[tuple] = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            h = head[a:b]
-            rows.append((int(bucket[a]), key[h].tobytes(), k1[h].tobytes(), k2[h].tobytes(), i[h].astype("<i4").tobytes(), count[a:b].astype(np.uint16).tobytes(), packed[ends[a] : ends[b]].tobytes(), b""))
-        if len(known):
-            rows.append((int(win[0] % np.uint64(n_buckets)), *[b""] * 6, known.tobytes()))
-        yield pa.RecordBatch.from_pylist([dict(zip(_SENT.names, r, strict=True)) for r in rows], schema=_SENT)
+        found = listed(part)
+        member = np.zeros(len(found["row"]), _MEMBER)
+        for x in ("pos", "lo", "hi"):
+            member[x] = found[x]
+        member["k1"], member["k2"] = (part.column(x).to_numpy()[found["row"]] for x in ("k1", "k2"))
+        seed = first[found["row"]] + found["pos"]
+        at_words = (seed[:, None] + np.arange(gram)).ravel()
+        key = tn.chained(tn.hashes(data, start[at_words], end[at_words]), np.arange(0, len(at_words), gram), gram)
+        text, a, b, _ = tn.respaced(data, at, start, end, first)
+        words = [text[x:y] + b" " for x, y in zip(a[seed - found["hi"]].tolist(), b[seed - found["lo"] + window - 1].tolist(), strict=True)]
+        return (key % np.uint64(n_buckets)).astype(np.int64), member, words
+
+    def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        bucket, member = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        words = [w for x in held for w in x[2]]
+        kinds: dict[tuple[bytes, int], int] = {}
+        first = np.fromiter((kinds.setdefault(x, k) for k, x in enumerate(zip(words, member["hi"].tolist(), strict=True))), np.int64, len(words))
+        again = np.bincount(first, minlength=len(first)) > 1
+        member["known"] = again[first]  # equal around the seed as far as its windows reach: they all recur
+        told = member[member["known"] == 1]
+        spans = np.zeros(len(told), SPAN)
+        spans["k1"], spans["k2"] = told["k1"], told["k2"]
+        spans["start"], spans["stop"] = told["pos"] - told["hi"].astype(np.int32), told["pos"] - told["lo"].astype(np.int32) + window
+        keep = np.flatnonzero(first == np.arange(len(first)))
+        keep = keep[np.argsort(bucket[keep], kind="stable")]
+        for which, a, b in runs_of(bucket[keep]):
+            at = keep[a:b]
+            yield batch((which, member[at].tobytes(), b"".join([words[k] for k in at.tolist()]), b""), _SENT)
+        for which, one in dealt(spans, n_buckets):
+            yield batch((which, b"", b"", one), _SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Windows()
-        for batch in batches:
-            for part in tn.slices(batch, "text"):
-                if found := windows_of(part):
-                    held.add(*found)
-                if held.n >= at_once:
+        held, n = [], 0
+        for rows in batches:
+            for part in tn.slices(rows, "text"):
+                held.append(of(part))
+                n += len(held[-1][0])
+                if n >= at_once:
                     yield from block(held)
-        if held.n:
+                    held, n = [], 0
+        if n:
             yield from block(held)
 
     return run
 
 
-def _joined(at: np.ndarray, run: np.ndarray, k1: np.ndarray, k2: np.ndarray, i: np.ndarray, window: int) -> np.ndarray:
-    """Repeats that follow each other within a run, joined."""
-    if not len(at):
-        return np.zeros(0, _KNOWN)
-    cut = np.r_[True, (run[at[1:]] != run[at[:-1]]) | (at[1:] != at[:-1] + 1)]
-    heads, tails = at[cut], at[np.r_[cut[1:], True]]
-    out = np.zeros(len(heads), _KNOWN)
-    out["k1"], out["k2"], out["start"], out["stop"] = k1[heads], k2[heads], i[heads], i[tails] + window
+def _codes(text: bytes) -> np.ndarray:
+    """A number for each distinct word of a text in which a space ends every word."""
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20) + 1
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends]), pa.py_buffer(text)])
+    return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.uint64)
+
+
+def _extended(codes: np.ndarray, at: np.ndarray, step: int, most: np.ndarray, label: np.ndarray, upto: int) -> list[np.ndarray]:
+    """For 0..upto words from `at` on: the class of the occurrences that agree that far, -1 for those that agree with none."""
+    out, live = [label], np.flatnonzero(label >= 0)
+    for j in range(upto):
+        live = live[most[live] > j]
+        key = out[-1][live].astype(np.uint64) << np.uint64(32) | codes[at[live] + step * j]
+        order = np.argsort(key, kind="stable")
+        fresh = np.r_[True, key[order[1:]] != key[order[:-1]]] if len(key) else np.zeros(0, bool)
+        kind = np.cumsum(fresh) - 1
+        several = np.bincount(kind)[kind] > 1 if len(key) else fresh
+        label = np.full(len(at), -1, np.int64)
+        label[live[order[several]]] = kind[several]
+        out.append(label)
+        live = live[order[several]]
     return out
 
 
-def _extended(window: int) -> Callable:
+def matches(member: np.ndarray, codes: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Spans of the seeds' own windows that another occurrence's equal.
+
+    Windows of one seed start within window - gram words, so those that recur overlap to one span.
+    """
+    lo, hi = member["lo"].astype(np.int64), member["hi"].astype(np.int64)
+    size = hi - lo + window
+    seed = np.cumsum(size) - size + hi
+    right = _extended(codes, seed, 1, window - lo, np.zeros(len(member), np.int64), window)
+    left = _extended(codes, seed - 1, -1, hi, right[gram], window - gram)
+    least, most = np.full(len(member), window), np.full(len(member), -1)
+    for o in range(window - gram + 1):
+        a, b = right[window - o], left[o]
+        own = np.flatnonzero((a >= 0) & (b >= 0) & (lo <= o) & (o <= hi))
+        twice, _ = tn.seen_twice(a[own] << 32 | b[own])
+        hit = own[twice]
+        most[hit] = o
+        least[hit] = np.minimum(least[hit], o)
+    hit = np.flatnonzero((most >= 0) & (member["known"] == 0))  # the sender has told the spans of the others
+    out = np.zeros(len(hit), SPAN)
+    out["k1"], out["k2"] = member["k1"][hit], member["k2"][hit]
+    out["start"], out["stop"] = member["pos"][hit] - most[hit], member["pos"][hit] - least[hit] + window
+    return out
+
+
+def _met(window: int, gram: int) -> Callable:
     def meet(group: pa.Table) -> pa.Table:
-        one = {x: b"".join(group.column(x).to_pylist()) for x in _BLOBS}
-        key, k1, k2, start, count = (np.frombuffer(one[x], t) for x, t in (("seed", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("count", "<u2")))
-        count = count.astype(np.int64)
-        raw = np.zeros((int(count.sum()), 8), np.uint8)
-        raw[:, :6] = np.frombuffer(one["win"], np.uint8).reshape(-1, 6)
-        win = raw.view("<u8")[:, 0]
-        run = np.repeat(np.arange(len(key)), count)
-        twice, _ = tn.seen_twice(tn.mix(key[run] ^ ((win >> np.uint64(1)) * tn.BASE)))
-        told = (win & np.uint64(1)) == 0  # the sender has told the rest already
-        found = _joined(np.flatnonzero(twice & told), run, k1[run], k2[run], start[run] + tn.run_of(count), window)
-        both = np.concatenate([found, np.frombuffer(one["known"], _KNOWN)])
-        return pa.table([pa.array(both[x]) for x in _SPANS.names], schema=_SPANS)
+        members, words, spans = (b"".join(group.column(x).to_pylist()) for x in ("members", "words", "spans"))
+        found = matches(np.frombuffer(members, _MEMBER), _codes(words), window, gram)
+        both = np.concatenate([found, np.frombuffer(spans, SPAN)])
+        return pa.table({x: pa.array(both[x]) for x in SPAN.names})
 
     return meet
 
 
-def repeats(docs: DataFrame, window: int = 35, gram: int = 5, at_once: int = 1_500_000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 35, gram: int = 5, at_once: int = 400_000, block: int = 60_000) -> DataFrame:
     """Word spans (k1, k2, start, stop) whose union is what windows that occur again cover. docs: as texts() gives them."""
-    n = buckets(docs.sparkSession)
-    sent = docs.select("k1", "k2", "text").mapInArrow(_blocks(window, gram, n, at_once), "bucket int, " + ", ".join(f"{x} binary" for x in _BLOBS))
-    return sent.groupBy("bucket").applyInArrow(_extended(window), SPANS_DDL)
-
-
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with its spans as an array; one row's spans are bounded by its own length."""
-    gathered = spans.groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return docs.join(gathered, ["k1", "k2"], "left")
-
-
-def covered(part: pa.RecordBatch, base: np.ndarray, total: int) -> np.ndarray:
-    """If each unit of these rows is in a span; base: the units before each row."""
-    steps = np.zeros(total + 1, np.int32)
-    for name, by in (("starts", 1), ("stops", -1)):
-        column = part.column(name)
-        lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        at = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(base[:-1], lengths)
-        np.add.at(steps, at, by)
-    return np.cumsum(steps[:-1]) > 0
+    n = buckets(docs)
+    found = recurring(docs, _seeds(window, gram), n, at_once)
+    # all columns of docs stay, so that this join and the last one read one exchange of the texts
+    sent = docs.join(found, ["k1", "k2"]).mapInArrow(_surroundings(window, gram, n, block), "bucket int, members binary, words binary, spans binary")
+    return sent.groupBy("bucket").applyInArrow(_met(window, gram), SPANS_DDL)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in tn.slices(batch, "text"):
+    for rows in batches:
+        for part in tn.slices(rows, "text"):
             data, at = tn.raw(part.column("text"))
             start, end, first = tn.words(data, at)
             gone = covered(part, first, len(start))
             keep = np.flatnonzero(~gone)
-            row = np.searchsorted(first, keep, "right") - 1
-            later = keep[np.r_[False, row[1:] == row[:-1]]]  # not the first kept word of its row
-            marks = np.zeros(len(data) + 1, np.int8)
-            marks[start[keep]] += 1
-            np.subtract.at(marks, end[keep], 1)
-            mask = np.cumsum(marks[:-1], dtype=np.int8) > 0
-            data = data.copy()
-            data[start[later] - 1], mask[start[later] - 1] = 0x20, True
-            out, ends = data[mask].tobytes(), np.r_[0, np.cumsum(mask)][at]
+            out, _, _, ends = tn.respaced(data, at, start[keep], end[keep], np.searchsorted(keep, first))
             shas = [hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             removed = np.r_[0, np.cumsum(gone)][first]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(removed)), pa.array(shas)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])

@@ -10,8 +10,8 @@ ordered likewise. Two anchors match at `o` bytes to the left when they agree in
 length - o bytes of suffix and in the class of o bytes before it, which needs no comparison of pairs.
 
 Defined cases: null text is empty; a null doc_id is kept as null; repeated rows are documents of their
-own, so each removes the other; texts of fewer than `length` bytes lose nothing; an empty table gives
-an empty result; further columns are ignored.
+own, so each removes the other; texts of fewer than `length` bytes lose nothing; texts may be of any
+length (anchors are found part by part); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,85 +21,46 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wayfarer.llm import textnum as tn
+from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, listed, recurring, runs_of, with_spans
 from wayfarer.llm.common import buckets, texts
-from wayfarer.llm.substring_dedup import SPANS_DDL, covered, with_spans
 
-_ANCHOR = np.dtype([("key", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("known", "u1")])
-_AT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 _MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("lcp", "<u2"), ("size", "<u2"), ("known", "u1")])
 _RUN = pa.schema([("bucket", pa.int32()), ("members", pa.binary()), ("rests", pa.binary()), ("lefts", pa.binary()), ("spans", pa.binary())])
-_SPAN = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4"), ("stop", "<i4")])
+PART = 1 << 20
 
 
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(bucket[a]), int(a), int(b)
-
-
-def _anchors(length: int, gram: int, n_buckets: int, at_once: int) -> Callable:
-    """Blocks of anchors, one of each kind, and those that the task itself knows to occur twice."""
-
+def _anchors(length: int, gram: int) -> Callable:
     def of(part: pa.RecordBatch) -> np.ndarray:
         data, at = tn.raw(part.column("text"))
+        found = [within(data[a : a + PART + length - 1], at, a) for a in range(0, max(len(data) - length + 1, 0), PART)]
+        if not found:
+            return np.zeros(0, ANCHOR)
+        pos, key, row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = np.zeros(len(pos), ANCHOR)
+        out["key"], out["pos"], out["lo"], out["hi"] = key, pos - at[row], lo, hi
+        out["k1"], out["k2"] = (part.column(x).to_numpy()[row] for x in ("k1", "k2"))
+        return out
+
+    def within(data: np.ndarray, at: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
+        """Place, hash and row of each anchor of these bytes, and how far before it its strings start."""
         n = len(data)
-        if n < length:
-            return np.zeros(0, _ANCHOR)
-        sums = tn.prefix_sums(data)
-        i = np.arange(n - gram + 1)
+        sums, i = tn.prefix_sums(data), np.arange(n - gram + 1)
         grams = tn.span_hash(sums, i, i + gram)
         least = tn.sliding_min((grams & np.uint64(0xFFFFFFFF00000000)) | i.astype(np.uint64), length - gram + 1)
-        sizes = np.diff(at)
-        counts = np.maximum(sizes - length + 1, 0)
-        row = np.repeat(np.arange(len(part)), counts)
-        starts = at[row] + tn.run_of(counts)
+        ends = np.clip(at - base, 0, n)
+        counts = np.clip(np.minimum(ends[1:] - length + 1, n - length + 1) - ends[:-1], 0, None)
+        row = np.repeat(np.arange(len(at) - 1), counts)
+        starts = ends[row] + tn.run_of(counts)
         pos = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (row[1:] != row[:-1])]) if len(pos) else np.zeros(0, np.int64)
         last = np.r_[cut[1:], len(pos)] - 1 if len(pos) else cut
-        out = np.zeros(len(cut), _ANCHOR)
-        where, row = pos[cut], row[cut]
-        out["key"], out["pos"], out["hi"], out["lo"] = grams[where], where - at[row], where - starts[cut], where - starts[last]
-        out["k1"], out["k2"] = (part.column(x).to_numpy()[row] for x in ("k1", "k2"))
-        return out
-
-    def block(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-        twice, first = tn.seen_twice(found["key"])
-        found["known"] = twice
-        told, found = found[twice], found[first]
-        bucket = (found["key"] % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        found, bucket = found[order], bucket[order]
-        for which, a, b in _by_bucket(bucket):
-            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([found[a:b].tobytes()]), pa.array([b""])], names=["bucket", "anchors", "told"])
-        if len(told):
-            yield pa.RecordBatch.from_arrays([pa.array([int(told["key"][0] % np.uint64(n_buckets))], pa.int32()), pa.array([b""]), pa.array([told.tobytes()])], names=["bucket", "anchors", "told"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for part in tn.slices(batch, "text"):
-                held.append(of(part))
-                n += len(held[-1])
-                if n >= at_once:
-                    yield from block(np.concatenate(held))
-                    held, n = [], 0
-        if n:
-            yield from block(np.concatenate(held))
-
-    return run
-
+        where = pos[cut]
+        return where + base, grams[where], row[cut], where - starts[last], where - starts[cut]
 
-def _recurring(group: pa.Table) -> pa.Table:
-    found = np.frombuffer(b"".join(group.column("anchors").to_pylist()), _ANCHOR)
-    told = np.frombuffer(b"".join(group.column("told").to_pylist()), _ANCHOR)
-    twice, _ = tn.seen_twice(found["key"])
-    both = np.concatenate([found[twice & (found["known"] == 0)], told])
-    return pa.table([pa.array(both[x].astype(t.to_pandas_dtype())) for x, t in zip(_AT.names, _AT.types, strict=True)], schema=_AT)
+    return of
 
 
 def _common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -133,31 +94,30 @@ def _runs(length: int, gram: int, n_buckets: int, at_once: int) -> Callable:
         twin[1:] &= (member["lo"][1:] == member["lo"][:-1]) & (bucket[1:] == bucket[:-1])
         member["known"] = twin | np.r_[twin[1:], False]
         told = member[member["known"] == 1]
-        spans = np.zeros(len(told), _SPAN)
+        spans = np.zeros(len(told), SPAN)
         spans["k1"], spans["k2"] = told["k1"], told["k2"]
         spans["start"], spans["stop"] = told["pos"] - told["hi"].astype(np.int32), told["pos"] - told["lo"].astype(np.int32) + length
         keep = np.flatnonzero(~twin)
         suffixes, lefts, member, bucket = [suffixes[k] for k in keep], [lefts[k] for k in keep], member[keep], bucket[keep]
         member["lcp"] = _common(_matrix(suffixes, length), member["size"])
-        for which, a, b in _by_bucket(bucket):
+        for which, a, b in runs_of(bucket):
             member["lcp"][a] = 0
             rests = b"".join([s[h:] for s, h in zip(suffixes[a:b], member["lcp"][a:b].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((which, member[a:b].tobytes(), rests, b"".join(lefts[a:b]), b""), _RUN.types, strict=True)], schema=_RUN)
+            yield batch((which, member[a:b].tobytes(), rests, b"".join(lefts[a:b]), b""), _RUN)
         if len(spans):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((int(bucket[0]), b"", b"", b"", spans.tobytes()), _RUN.types, strict=True)], schema=_RUN)
+            yield batch((int(bucket[0]), b"", b"", b"", spans.tobytes()), _RUN)
 
     def of(part: pa.RecordBatch) -> tuple:
         data, at = tn.raw(part.column("text"))
-        lists = {x: part.column(x) for x in ("pos", "lo", "hi")}
-        counts = pc.list_value_length(lists["pos"]).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(part)), counts)
+        found = listed(part)
+        row = found["row"]
         member = np.zeros(len(row), _MEMBER)
-        for x, column in lists.items():
-            member[x] = column.flatten().to_numpy(zero_copy_only=False)
+        for x in ("pos", "lo", "hi"):
+            member[x] = found[x]
         member["k1"], member["k2"] = (part.column(x).to_numpy()[row] for x in ("k1", "k2"))
         member["size"] = length - member["lo"]
         where = at[row] + member["pos"]
-        bucket = (tn.span_hash(tn.prefix_sums(data), where, where + gram) % np.uint64(n_buckets)).astype(np.int64)
+        bucket = (tn.hashes(data, where, where + gram) % np.uint64(n_buckets)).astype(np.int64)
         whole = data.tobytes()
         suffixes = [whole[a:b] for a, b in zip(where.tolist(), (where + member["size"]).tolist(), strict=True)]
         back = whole[::-1]
@@ -166,8 +126,8 @@ def _runs(length: int, gram: int, n_buckets: int, at_once: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
-            for part in tn.slices(batch, "text"):
+        for rows in batches:
+            for part in tn.slices(rows, "text"):
                 held.append(of(part))
                 n += len(held[-1][0])
                 if n >= at_once:
@@ -239,7 +199,7 @@ def merge_runs(runs: list[list[bytes]], lcps: list[list[int]]) -> tuple[list[tup
 
 def _merged(length: int, gram: int) -> Callable:
     def meet(group: pa.Table) -> pa.Table:
-        spans = [np.frombuffer(x, _SPAN) for x in group.column("spans").to_pylist() if x]
+        spans = [np.frombuffer(x, SPAN) for x in group.column("spans").to_pylist() if x]
         runs, lcps, lefts, members = [], [], [], []
         for packed, rests, left in zip(*(group.column(x).to_pylist() for x in ("members", "rests", "lefts")), strict=True):
             if not packed:
@@ -259,8 +219,8 @@ def _merged(length: int, gram: int) -> Callable:
             firsts = np.cumsum([0, *map(len, runs)])
             member = np.concatenate(members)[np.fromiter((firsts[r] + k for r, k in order), np.int64, len(order))]
             spans.append(matches(member, np.array(common, np.int64), [lefts[r][k] for r, k in order], length, gram))
-        both = np.concatenate(spans) if spans else np.zeros(0, _SPAN)
-        return pa.table({x: pa.array(both[x]) for x in _SPAN.names})
+        both = np.concatenate(spans) if spans else np.zeros(0, SPAN)
+        return pa.table({x: pa.array(both[x]) for x in SPAN.names})
 
     return meet
 
@@ -289,7 +249,7 @@ def matches(member: np.ndarray, common: np.ndarray, lefts: list[bytes], length:
         most[hit] = o
         least[hit] = np.minimum(least[hit], o)
     hit = np.flatnonzero((most >= 0) & (member["known"] == 0))
-    out = np.zeros(len(hit), _SPAN)
+    out = np.zeros(len(hit), SPAN)
     out["k1"], out["k2"] = member["k1"][hit], member["k2"][hit]
     out["start"], out["stop"] = member["pos"][hit] - most[hit], member["pos"][hit] - least[hit] + length
     return out
@@ -297,12 +257,8 @@ def matches(member: np.ndarray, common: np.ndarray, lefts: list[bytes], length:
 
 def repeats(docs: DataFrame, length: int = 200, gram: int = 32, at_once: int = 400_000, run_size: int = 60_000) -> DataFrame:
     """Byte spans (k1, k2, start, stop) whose union is what strings that occur again cover. docs: as texts() gives them."""
-    n = buckets(docs.sparkSession)
-    sent = docs.select("k1", "k2", "text").mapInArrow(_anchors(length, gram, n, at_once), "bucket int, anchors binary, told binary")
-    found = sent.groupBy("bucket").applyInArrow(_recurring, "k1 long, k2 long, pos int, lo int, hi int")
-    # repeated rows have all their anchors as often as there are rows
-    per_row = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("pos", "lo", "hi"))).alias("at"))
-    per_row = per_row.select("k1", "k2", *(F.col(f"at.{x}").alias(x) for x in ("pos", "lo", "hi")))
+    n = buckets(docs)
+    per_row = recurring(docs, _anchors(length, gram), n, at_once)
     # all columns of docs stay, so that this join and the last one read one exchange of the texts
     runs = docs.join(per_row, ["k1", "k2"]).mapInArrow(_runs(length, gram, n, run_size), "bucket int, members binary, rests binary, lefts binary, spans binary")
     return runs.groupBy("bucket").applyInArrow(_merged(length, gram), SPANS_DDL)

@@ -8,6 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8
 #: \x20 and \x09-\x0D, the separators of the word rule [^\x20\x09-\x0D]+.
@@ -75,6 +76,40 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 256
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span: its 8-byte parts one after the other, each through the finalizer; XXH64 of long spans.
+
+    Unlike a polynomial modulo 2^64 it has no strings that collide whatever the base. Equal hashes still
+    don't prove equal spans: callers compare the bytes, or take two seeds where the docstring says so.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    from_each = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) * BASE + np.uint64(seed))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = start[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (from_each[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]], seed)
+    return out
+
+
+def chained(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n word hashes from each place on."""
+    out = h[at]
+    for k in range(1, n):
+        out = mix(out * BASE + h[at + k])
+    return out
+
+
 def words(data: np.ndarray, at: np.ndarray, is_sep: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end bytes of all words, and for each row the number of words before it (one more at the end)."""
     if not len(data):
@@ -110,10 +145,16 @@ def run_of(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(firsts, counts)
 
 
-def seen_twice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key, if it occurs again in keys, and if it is the first of its kind."""
+def seen_twice(keys: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each key, if it occurs again in keys, and if it is the first of its kind. other: a second half of each key."""
     order = np.argsort(keys, kind="stable")
     same = keys[order[1:]] == keys[order[:-1]]
+    if other is not None:
+        agree = other[order[1:]] == other[order[:-1]]
+        if (same & ~agree).any():
+            order = np.lexsort((other, keys))
+            same, agree = keys[order[1:]] == keys[order[:-1]], other[order[1:]] == other[order[:-1]]
+        same &= agree
     twice, first = np.zeros(len(keys), bool), np.ones(len(keys), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
