@@ -5,7 +5,8 @@ string of least hash, so only suffixes that start at such anchors are sorted, an
 ones whose first `gram` bytes occur again. Tasks sort their suffixes into runs and front-code them:
 each suffix is sent as the length it shares with the one before and the rest. Suffixes meet by a hash
 of their first `gram` bytes; a loser tree merges the runs, comparing no byte within a prefix known to
-be shared, and yields the order with the common-prefix lengths. The text left of the anchors is
+be shared, and yields the order with the common-prefix lengths. What a task settles among its own rows is
+dealt over all buckets by turns and passes through. The text left of the anchors is
 ordered likewise. Two anchors match at `o` bytes to the left when they agree in the class of
 length - o bytes of suffix and in the class of o bytes before it, which needs no comparison of pairs.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, listed, recurring, runs_of, with_spans
+from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, dealt, listed, recurring, runs_of, with_spans
 from wayfarer.llm.common import buckets, texts
 
 _MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("lcp", "<u2"), ("size", "<u2"), ("known", "u1")])
@@ -104,8 +105,8 @@ def _runs(length: int, gram: int, n_buckets: int, at_once: int) -> Callable:
             member["lcp"][a] = 0
             rests = b"".join([s[h:] for s, h in zip(suffixes[a:b], member["lcp"][a:b].tolist(), strict=True)])
             yield batch((which, member[a:b].tobytes(), rests, b"".join(lefts[a:b]), b""), _RUN)
-        if len(spans):
-            yield batch((int(bucket[0]), b"", b"", b"", spans.tobytes()), _RUN)
+        for which, one in dealt(spans, n_buckets):
+            yield batch((which, b"", b"", b"", one), _RUN)
 
     def of(part: pa.RecordBatch) -> tuple:
         data, at = tn.raw(part.column("text"))
