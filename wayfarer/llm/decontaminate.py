@@ -3,8 +3,9 @@
 Patterns are windows of benchmark words. A shift table over blocks of two words says how far the search
 may jump from a position; where it may not, a bucket by the hash of the block that ends there selects
 the patterns to test, and a comparison of the text itself confirms an occurrence. All segments of a
-batch are searched at once, each with a cursor of its own. The benchmark is taken in blocks of bounded
-size, one pass over the documents for each, so that what goes to the workers doesn't grow with it.
+batch are searched at once, each with a cursor of its own. The benchmark is written to the shared folder in
+blocks of bounded size. A task takes one after the other to a bounded stretch of its documents, so neither the
+driver nor a worker holds more than a block, and the documents are read once.
 
 Defined cases: null text has no words; an item without words has no windows; a null item_id is written
 as "null"; rows that repeat an item_id count as one item; a null doc_id is kept; repeated rows are
@@ -17,19 +18,24 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.common import by_key, texts
+from wayfarer.llm.common import shared_dir, texts, whole_rows
 
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text.
 SEPARATORS = np.isin(np.arange(256), [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 SLOTS = 1 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+STRETCH = 32 << 20
 SEGMENT = 256
 
 
@@ -54,7 +60,7 @@ class Patterns:
         flat = [w for p in patterns for w in p]
         data = np.frombuffer(b"".join(flat), np.uint8)
         ends = np.cumsum([len(w) for w in flat])
-        h = tn.span_hash(tn.prefix_sums(data), np.r_[0, ends[:-1]], ends).reshape(-1, self.words)
+        h = tn.hashes(data, np.r_[0, ends[:-1]], ends).reshape(-1, self.words)
         blocks = h if self.block == 1 else _pair(h[:, :-1], h[:, 1:])
         self.shift = np.full(SLOTS, self.words - self.block + 1, np.uint8)
         for k in range(blocks.shape[1]):
@@ -103,66 +109,95 @@ def patterns_of(items: list[tuple[str, list[bytes]]], window: int) -> tuple[list
     return [Patterns(x) for x in by_length.values()], [[sorted(owners[p]) for p in x] for x in by_length.values()]
 
 
-def _hits(items: list[tuple[str, list[bytes]]], window: int):
-    def of(part: pa.RecordBatch, sets: list[Patterns], owners: list[list[list[str]]]) -> pa.RecordBatch:
+class _Searched:
+    """A slice of documents, and what the blocks so far hit in it."""
+
+    def __init__(self, part: pa.RecordBatch) -> None:
+        self.part = part
         data, at = tn.raw(part.column("text"))
-        start, end, first = tn.words(tn.LOWER[data], at, SEPARATORS)
-        h = tn.span_hash(tn.prefix_sums(tn.LOWER[data]), start, end)
-        text, a, b, _ = tn.respaced(tn.LOWER[data], at, start, end, first)
-        found: dict[int, set[str]] = defaultdict(set)
-        heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        data = tn.LOWER[data]
+        start, end, self.first = tn.words(data, at, SEPARATORS)
+        self.hashes = tn.hashes(data, start, end)
+        self.text, self.start, self.end, _ = tn.respaced(data, at, start, end, self.first)
+        self.items: dict[int, set[str]] = defaultdict(set)
+        self.heads, self.tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def look(self, sets: list[Patterns], owners: list[list[list[str]]]) -> None:
         for patterns, own in zip(sets, owners, strict=True):
-            last, which = patterns.search(h, first)
+            last, which = patterns.search(self.hashes, self.first)
             head = last - patterns.words + 1
-            true = np.fromiter((text[x:y] == patterns.texts[k] for x, y, k in zip(a[head].tolist(), b[last].tolist(), which.tolist(), strict=True)), bool, len(last))
+            same = (self.text[x:y] == patterns.texts[k] for x, y, k in zip(self.start[head].tolist(), self.end[last].tolist(), which.tolist(), strict=True))
+            true = np.fromiter(same, bool, len(last))
             last, which, head = last[true], which[true], head[true]
-            row = np.searchsorted(first, last, "right") - 1
+            row = np.searchsorted(self.first, last, "right") - 1
             for r, k in set(zip(row.tolist(), which.tolist(), strict=True)):
-                found[r].update(own[k])
-            heads.append(head)
-            tails.append(last + 1)
-        # one empty span at each row's end keeps rows apart when spans are joined
-        heads, tails = np.concatenate(heads), np.concatenate(tails)
+                self.items[r].update(own[k])
+            self.heads.append(head)
+            self.tails.append(last + 1)
+
+    def result(self, carried: list[str]) -> pa.RecordBatch:
+        # one empty word at each row's end keeps rows apart when spans are joined
+        first, heads, tails = self.first, np.concatenate(self.heads), np.concatenate(self.tails)
         row = np.searchsorted(first, heads, "right") - 1
         s, e = tn.merged(heads + row, tails + row)
         row = np.searchsorted(first + np.arange(len(first)), s, "right") - 1
         s, e = s - row - first[row], e - row - first[row]
-        bounds = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [part.column(x) for x in ("doc_id", "k1", "k2")]
-            + [pa.array(np.diff(first)), *(pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (s, e)), pa.array([sorted(found[r]) if r in found else [] for r in range(len(part))], pa.list_(pa.string()))],
-            names=["doc_id", "k1", "k2", "n_words", "starts", "stops", "items"],
-        )
+        bounds = pa.array(np.searchsorted(row, np.arange(len(self.part) + 1)).astype(np.int32))
+        items = pa.array([sorted(self.items[r]) if r in self.items else [] for r in range(len(self.part))], pa.list_(pa.string()))
+        found = [pa.array(np.diff(first)), *(pa.ListArray.from_arrays(bounds, pa.array(x.astype(np.int32))) for x in (s, e)), items]
+        return pa.RecordBatch.from_arrays([self.part.column(x) for x in carried] + found, names=[*carried, *(f.name for f in _FOUND)])
+
+
+@lru_cache(maxsize=1)
+def _block(uri: str, k: int, window: int) -> tuple[list[Patterns], list[list[list[str]]]]:
+    where, path = pafs.FileSystem.from_uri(uri)
+    files = where.get_file_info(pafs.FileSelector(f"{path}/block={k}", allow_not_found=True))
+    items = [r for f in files if f.base_name.startswith("part-") for r in pq.read_table(f.path, columns=["item", "text"], filesystem=where, partitioning=None).to_pylist()]
+    return patterns_of([(r["item"], item_words(r["text"])) for r in items], window)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[_Searched]]:
+    held, used = [], 0
+    for batch in batches:
+        for part in tn.slices(batch, "text"):
+            held.append(_Searched(part))
+            used += len(held[-1].text)
+            if used >= size:
+                yield held
+                held, used = [], 0
+    if held:
+        yield held
+
 
+def _hits(uri: str, n: int, window: int, carried: list[str], stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, owners = patterns_of(items, window)
-        for batch in batches:
-            for part in tn.slices(batch, "text"):
-                yield of(part, sets, owners)
+        for held in _stretches(batches, stretch if n > 1 else 1):
+            for k in range(n):
+                for one in held:
+                    one.look(*_block(uri, k, window))
+            for one in held:
+                yield one.result(carried)
 
     return run
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row: n_words, the hit word spans (starts, stops) and the items whose windows occur."""
-    rows = texts(docs)
+_FOUND = T.StructType([T.StructField("n_words", T.LongType()), *(T.StructField(x, T.ArrayType(T.IntegerType())) for x in ("starts", "stops")), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
+def found_in(rows: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, stretch: int = STRETCH) -> DataFrame:
+    """The columns of rows but text, and n_words, the hit word spans (starts, stops) and the items whose windows occur."""
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = int((tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
-    found = []
-    for k in range(n):
-        block = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        one = _hits([(r.item, item_words(r.text)) for r in block], window)
-        found.append(rows.mapInArrow(one, "doc_id long, k1 long, k2 long, n_words long, starts array<int>, stops array<int>, items array<string>"))
-    if n == 1:
-        return found[0]
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
-    joined = every.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count("*") / n).cast("int").alias("copies"),
-    )
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+    uri = shared_dir(rows.sparkSession, "benchmark")
+    uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
+    tests.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition(n, "block").write.partitionBy("block").parquet(uri)
+    carried = [f for f in rows.schema if f.name != "text"]
+    return rows.mapInArrow(_hits(uri, n, window, [f.name for f in carried], stretch), T.StructType([*carried, *_FOUND]))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, stretch: int = STRETCH) -> DataFrame:
+    """Per document its doc_id and what found_in says."""
+    return found_in(texts(docs).select("doc_id", "text"), benchmark, window, block_bytes, stretch)
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +216,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """docs without the contaminated rows."""
-    bad = hits(docs, benchmark, window).where(F.size("starts") > 0).select("k1", "k2").distinct()
-    return by_key(docs, bad, "left_anti")
+    """docs without the contaminated rows. Each row goes with its own hits, so no text is shuffled."""
+    return found_in(whole_rows(docs), benchmark, window).where(F.size("starts") == 0).select("row.*")
