@@ -8,7 +8,7 @@ with the spaces before a word), and each worker keeps the parts it met last, so
 lookup.
 
 Defined cases: null text is empty and has no ids; characters without a piece become their UTF-8 bytes;
-U+2581 in a text is a space, as in the library; a null doc_id is kept; repeated rows are encoded each; an
+U+2581 in a text is a space, as in the library; a model with other settings raises ValueError; a null doc_id is kept; repeated rows are encoded each; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -29,6 +29,8 @@ from wayfarer.llm.common import texts
 
 SPACE = "▁"
 KEPT = 400_000
+#: Texts that show a model's normalization, its treatment of white space and its fallback to bytes.
+PROBES = ("a", " a", "a ", "  a  b  ", "A\tb\nc\r\n", "\ufb01 \u212b e\u0301 \u00e9 \u3000x\u00a0y", "\u2581a\u2581", "\u200bz\ufeff", "\U0001f642\x00\x1f", "<s> </s> <unk>")
 
 
 class PrefixTable:
@@ -48,6 +50,11 @@ class PrefixTable:
             self.automaton.add_word(x, x)
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
+        # pieces defined by a user have the score 0, as the first merge has
+        marked = [f"x{x}y {x}" for x in self.ids if self.score[x] == 0]
+        for text in (*PROBES, *marked):
+            if p.encode(text) != self.encoded("".join(SPACE + x[1:].replace(" ", SPACE) for x in re.findall(" +[^ ]*", " " + text.replace(SPACE, " ")))):
+                raise ValueError(f"models that normalize text, treat white space another way or have pieces of a user aren't supported: {text!r}")
 
     def merged(self, text: str) -> list[str]:
         """The encoding by its definition: of all neighbours that make a piece, the best and leftmost merge first."""
