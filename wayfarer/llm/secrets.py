@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Base kinds (assign, access, hex) are reported wherever they match. Of three further kinds - identifiers of
-accounts, random-looking strings and endpoints - each alone is weak, and none is reported on its own: an
+accounts, strings of 20 and more characters with digits and letters of both cases, and endpoints - each alone is weak, and none is reported on its own: an
 interval join brings the parts together that lie within `scope` code points of each other, and a weak
 secret is reported (linked) when an access identifier is in its scope, an endpoint when both an identifier
 and a secret are. Parts are joined by stretches of scope code points, which a few dozen parts fill, so the
@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.llm.common import by_key, fresh, texts
+from wayfarer.llm.common import by_key, fresh, stash, texts
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
 IDENTITY = r"""(?i:access_?key_?id|client_?id|account_?id|username|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@+-]{3,}"""
 WEAK = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z/+_=-]*[0-9])(?=[a-z0-9/+_=-]*[A-Z])(?=[A-Z0-9/+_=-]*[a-z])[A-Za-z0-9/+_=-]{20,}(?![A-Za-z0-9/+_=-])"
-ENDPOINT = r"""(?:https?|s3|jdbc:[a-z]+|[a-z]+sql|mongodb|redis|amqp)://[^\s"'<>]+"""
+#: Schemes are listed, or bounded: a pattern that starts with [a-z]+ would take the square of a long run of letters.
+ENDPOINT = r"""(?:https?|s3|jdbc:[a-z]{1,20}|postgresql|mysql|mssql|mongodb|redis|amqp)://[^\s"'<>]+"""
 #: Order of kinds at one start.
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
 
@@ -73,12 +74,13 @@ def linked(found: DataFrame, scope: int = 400) -> DataFrame:
 
 
 def spans(docs: DataFrame, scope: int = 400) -> DataFrame:
-    """(k1, k2, spans): all reported spans of a row, by start and then kind."""
-    found = parts(docs)
+    """(k1, k2, spans): all reported spans of a row, by start and then kind. The parts are matched once, and read from the shared folder."""
+    found = stash(parts(docs), "secret-parts")
     base = found.where(F.col("kind").isin(*BASE))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     both = base.unionByName(linked(found, scope)).select("k1", "k2", F.struct("start", rank.alias("rank"), "stop", "kind").alias("s"))
-    return both.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("spans"))
+    # small beside the texts: as a written table its size is known, so that Spark broadcasts it to them where it may
+    return stash(both.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("s")).alias("spans")), "secret-spans")
 
 
 def _listed(of: Column) -> Column:
