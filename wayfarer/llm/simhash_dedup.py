@@ -27,6 +27,7 @@ from wayfarer.llm.components import forest, stars
 
 BLOCKS = 4  # there are 17 ** BLOCKS = 83,521 cells at most, which bounds what is broadcast
 TILE = 2048
+PART = 1 << 16
 
 
 def _fingerprints(shingle: int, seed: int):
@@ -39,14 +40,15 @@ def _fingerprints(shingle: int, seed: int):
         n = np.where(counts == 0, 0, np.maximum(counts - shingle + 1, 1))
         head = np.repeat(first[:-1], n) + tn.run_of(n)
         tail = np.minimum(head + shingle, np.repeat(first[1:], n)) - 1
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(text[a:b], seed) for a, b in zip(start[head].tolist(), end[tail].tolist(), strict=True)], np.uint64)
-        out, full = np.zeros(len(part), np.uint64), np.flatnonzero(n)
-        if len(full):
+        digest, row = xxhash.xxh64_intdigest, np.repeat(np.arange(len(part)), n)
+        ones = np.zeros((len(part), 64), np.int64)
+        for a in range(0, len(head), PART):  # a long text's shingles part by part
+            some = slice(a, a + PART)
+            h = np.array([digest(text[x:y], seed) for x, y in zip(start[head[some]].tolist(), end[tail[some]].tolist(), strict=True)], np.uint64)
             bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, (np.cumsum(n) - n)[full], axis=0, dtype=np.int32)
-            most = ones * 2 > n[full][:, None]
-            out[full] = np.packbits(most, axis=1, bitorder="little").view("<u8")[:, 0]
+            heads = np.flatnonzero(np.r_[True, row[some][1:] != row[some][:-1]])
+            ones[row[some][heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+        out = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
