@@ -2,10 +2,11 @@
 
 Files are in ascending doc_id order, a shard for each partition. A record is the payload's length (64 bits)
 and that length's masked checksum (32), the payload and its masked checksum (32), then a newline; all
-numbers are little-endian. A payload is doc_id (64), the bytes of an id (8) and the ids. Ids take two bytes
-if the vocabulary allows it. Checksums are CRC-32, rotated right by 15 bits plus a constant, so that
+numbers are little-endian. A payload is doc_id (64), the bytes of an id (8; plus 128 where doc_id is null) and
+the ids. Ids take two bytes if the vocabulary allows it. Checksums are CRC-32, rotated right by 15 bits plus a constant, so that
 checksums of data that holds checksums stay sound. The index has file, offset and length of each record for
-reads in any order.
+reads in any order. Files are read as streams, or record by record from their offsets, so a shard may be of any
+size. Spark's text writer writes the records: it takes the bytes of a string as they are, valid UTF-8 or not.
 
 Defined cases: null text is empty; a null doc_id comes first and reads back as null; rows that share a
 doc_id follow each other by text hash; an empty table gives no shards and an empty index; further columns
@@ -14,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import struct
@@ -21,19 +23,25 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched, groupby
+from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.common import NO_ID, stash, texts
+from wayfarer.llm.common import input_bytes, stash, texts
 
 END = 1
-KEPT = 2_000_000
+KEPT = 1_000_000
 MASK = 0xA282EAD8
+NULL = 0x80
+SHARD_BYTES = 128 << 20
 _MARKS = set(".,;:!?")
 _INDEX = "file string, shard int, doc_id long, offset long, length long, before long, n_tokens long, ids_crc32 long"
 
@@ -43,24 +51,24 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: bytes, width: int) -> bytes:
-    payload = struct.pack("<qB", doc_id, width) + ids
+def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    payload = struct.pack("<qB", doc_id or 0, width | (NULL if doc_id is None else 0)) + ids
     size = struct.pack("<Q", len(payload))
     return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))  # the writer ends it
 
 
-def records(content: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Offset, doc_id and ids of each record; ValueError where a checksum doesn't hold."""
-    at = 0
-    while at < len(content):
-        size, check = struct.unpack_from("<QI", content, at)
-        if check != masked(content[at : at + 8]):
+def records(file: BinaryIO, at: int = 0) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """Offset, doc_id and ids of each record from here on; ValueError where a checksum doesn't hold."""
+    while head := file.read(12):
+        size, check = struct.unpack("<QI", head) if len(head) == 12 else (0, -1)
+        if check != masked(head[:8]):
             raise ValueError(f"damaged length at byte {at}")
-        payload = content[at + 12 : at + 12 + size]
-        if len(payload) < size or struct.unpack_from("<I", content, at + 12 + size)[0] != masked(payload):
+        rest = file.read(size + 5)
+        payload = rest[:size]
+        if len(rest) < size + 4 or struct.unpack_from("<I", rest, size)[0] != masked(payload):
             raise ValueError(f"damaged record at byte {at}")
         doc_id, width = struct.unpack_from("<qB", payload)
-        yield at, doc_id, np.frombuffer(payload, f"<u{width}", offset=9)
+        yield at, None if width & NULL else doc_id, np.frombuffer(payload, f"<u{width & ~NULL}", offset=9)
         at += 12 + size + 5
 
 
@@ -69,8 +77,25 @@ def _plain(word: str) -> bool:
     return word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word)
 
 
+class _Grown:
+    """An array that values are added to."""
+
+    def __init__(self, kind: str | type) -> None:
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def append(self, x: np.ndarray) -> int:
+        at, self.used = self.used, self.used + len(x)
+        if self.used > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(len(self.data) + len(x), self.data.dtype)])
+        self.data[at : self.used] = x
+        return at
+
+    def values(self) -> np.ndarray:
+        return self.data[: self.used]
+
+
 class Words:
-    """Ids of the words met so far, in arrays sorted by the words' hashes: some twenty bytes a word.
+    """Ids of the words met so far, in arrays sorted by the words' hashes: some sixty bytes a word. A word found is compared.
 
     White space parts words, and a mark behind letters is a word of its own, so that neither changes the
     ids before it; ASCII letters are lower-cased by the tokenizer in any case.
@@ -89,8 +114,9 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        self.flat, self.used = np.zeros(1 << 16, f"<u{self.width}"), 0
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size, self.from_, self.length = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat, self.spelled = _Grown(f"<u{self.width}"), _Grown(np.uint8)
 
     def _plainly(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
@@ -99,28 +125,47 @@ class Words:
         """Ids of all texts, and where each text's start and the last one's end. Each distinct word is looked up once."""
         data, at = tn.raw(column)
         start, end, first = tn.words(data, at)
-        kinds, heads, which = np.unique(tn.span_hash(tn.prefix_sums(data), start, end), return_index=True, return_inverse=True)
+        size = end - start
+        letters = data[np.repeat(start, size) + tn.run_of(size)]
+        every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, *(pa.py_buffer(x) for x in (np.r_[0, np.cumsum(size)], letters))]).dictionary_encode()
+        which, kinds = every.indices.to_numpy(), every.dictionary
         if len(self.keys) > KEPT:
             self._forget()
-        place = np.searchsorted(self.keys, kinds)
-        new = np.flatnonzero(self.keys[np.minimum(place, max(len(self.keys) - 1, 0))] != kinds) if len(self.keys) else np.arange(len(kinds))
+        letters, ends = tn.raw(kinds)
+        hashes = tn.hashes(letters, ends[:-1], ends[1:])
+        place = np.searchsorted(self.keys, hashes)
+        new = np.flatnonzero(self.keys[np.minimum(place, max(len(self.keys) - 1, 0))] != hashes) if len(self.keys) else np.arange(len(hashes))
         if len(new):
-            whole = data.tobytes()
-            self._add(kinds[new], place[new], self._ids([whole[a:b].decode() for a, b in zip(start[heads[new]].tolist(), end[heads[new]].tolist(), strict=True)]))
-            place = np.searchsorted(self.keys, kinds)
-        count = self.size[place][which].astype(np.int64)
-        ids = self.flat[np.repeat(self.at[place][which].astype(np.int64), count) + tn.run_of(count)]
-        return ids, np.r_[0, np.cumsum(count)][first]
-
-    def _add(self, keys: np.ndarray, place: np.ndarray, found: list[bytes]) -> None:
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
-        fresh = np.frombuffer(b"".join(found), self.flat.dtype)
-        if self.used + len(fresh) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(len(self.flat) + len(fresh), self.flat.dtype)])
-        self.flat[self.used : self.used + len(fresh)] = fresh
-        self.keys, self.size = np.insert(self.keys, place, keys), np.insert(self.size, place, size)
-        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
-        self.used += len(fresh)
+            new = new[np.unique(hashes[new], return_index=True)[1]]  # of new words with one hash only the first is kept
+            self._add(hashes[new], place[new], self._ids([x.decode() for x in kinds.take(pa.array(new)).to_pylist()]), letters, ends[:-1][new], ends[1:][new])
+            place = np.searchsorted(self.keys, hashes)
+        count, begin = self.size[place], self.at[place]
+        other = np.flatnonzero(~self._spelled(place, letters, ends))
+        flat = self.flat.values()
+        if len(other):  # words whose hash another word has
+            found = [np.frombuffer(x, flat.dtype) for x in self._ids([x.decode() for x in kinds.take(pa.array(other)).to_pylist()])]
+            count[other] = [len(x) for x in found]
+            begin[other] = len(flat) + np.cumsum(count[other]) - count[other]
+            flat = np.concatenate([flat, *found])
+        count, begin = count[which], begin[which]
+        return flat[np.repeat(begin, count) + tn.run_of(count)], np.r_[0, np.cumsum(count)][first]
+
+    def _spelled(self, place: np.ndarray, letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """If the words kept at these places are spelled as given."""
+        size = np.diff(ends)
+        out = self.length[place] == size
+        at = np.flatnonzero(out & (size > 0))
+        n = size[at]
+        same = self.spelled.values()[np.repeat(self.from_[place[at]], n) + tn.run_of(n)] == letters[np.repeat(ends[:-1][at], n) + tn.run_of(n)]
+        out[at] = np.logical_and.reduceat(same, np.cumsum(n) - n) if len(at) else out[at]
+        return out
+
+    def _add(self, keys: np.ndarray, place: np.ndarray, found: list[bytes], letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        size, length = np.fromiter(map(len, found), np.int64, len(found)) // self.width, end - start
+        at = self.flat.append(np.frombuffer(b"".join(found), f"<u{self.width}")) + np.cumsum(size) - size
+        from_ = self.spelled.append(letters[np.repeat(start, length) + tn.run_of(length)]) + np.cumsum(length) - length
+        for name, x in (("keys", keys), ("at", at), ("size", size), ("from_", from_), ("length", length)):
+            setattr(self, name, np.insert(getattr(self, name), place, x))
 
     def _ids(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
@@ -157,7 +202,7 @@ def _framed(model: str, end: int):
             for part in tn.slices(batch, "text", 2 << 20):
                 ids, ends = words.of(part.column("text"))
                 flat, ends = ids.tobytes(), (ends * words.width).tolist()
-                frames = [frame(d, flat[a:b] + tail, words.width) for d, a, b in zip(part.column("k1").to_pylist(), ends[:-1], ends[1:], strict=True)]
+                frames = [frame(d, flat[a:b] + tail, words.width) for d, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
     return run
@@ -165,29 +210,35 @@ def _framed(model: str, end: int):
 
 def write(docs: DataFrame, model: str, path: str, end: int = END, shards: int | None = None) -> None:
     """Writes all rows' records to path. Spark's text writer commits whole files only, so a lost executor leaves no half shard."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts(docs).repartitionByRange(n, "k1", "k2").sortWithinPartitions("k1", "k2").select("k1", "text")
+    n = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // SHARD_BYTES))
+    ordered = texts(docs).repartitionByRange(n, "doc_id", "k1", "k2").sortWithinPartitions("doc_id", "k1", "k2").select("doc_id", "text")
     ordered.mapInArrow(_framed(model, end), "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
+def _opened(uri: str) -> pa.NativeFile:
+    where, path = pafs.FileSystem.from_uri(quote(unquote(uri), safe="/:"))
+    return where.open_input_file(path)
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            shard, before, rows = int(re.search(r"part-(\d+)", file)[1]), 0, []
-            for offset, doc_id, ids in records(content):
-                rows.append((file, shard, None if doc_id == NO_ID else doc_id, offset, 12 + 9 + ids.nbytes + 5, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 6]
+
+    def rows_of(file: str) -> Iterator[tuple]:
+        shard, before = int(re.search(r"part-(\d+)", file)[1]), 0
+        with _opened(file) as opened, io.BufferedReader(opened, 8 << 20) as stream:
+            for offset, doc_id, ids in records(stream):
+                yield file, shard, doc_id, offset, 12 + 9 + ids.nbytes + 5, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
                 before += len(ids)
-            if rows:
-                kinds = [pa.string(), pa.int32(), *[pa.int64()] * 6]
+
+    for batch in batches:
+        for file in batch.column("path").to_pylist():
+            for rows in batched(rows_of(file), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _INDEX.split(", ")])
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The offset index, read from the shards, each verified on the way and written to the shared folder.
-
-    A shard is read whole by one task; there are as many as the writer was told to make.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """The offset index, written to the shared folder beside the shards. It is made by reading them back, each verified on the way."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
     return stash(files.mapInArrow(_listed, _INDEX), "token-index")
 
 
@@ -200,14 +251,17 @@ def starts(found: DataFrame) -> DataFrame:
 
 
 def read_at(found: DataFrame) -> DataFrame:
-    """doc_id and ids of the records of an index in any order or part; each shard is opened once for all its rows."""
-    wanted = found.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("at"))
-    files = found.sparkSession.read.format("binaryFile").load([r.file for r in found.select("file").distinct().collect()]).select(F.col("path").alias("file"), "content")
+    """doc_id and ids of the records of an index in any order or part; of a file only these records are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, content in zip(batch.column("at").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                got = [next(records(content[x["offset"] : x["offset"] + x["length"]])) for x in at]
-                yield pa.RecordBatch.from_arrays([pa.array([None if d == NO_ID else d for _, d, _ in got], pa.int64()), pa.array([ids.astype(np.int32) for _, _, ids in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return files.join(wanted, "file").select("at", "content").mapInArrow(run, "doc_id long, ids array<int>")
+            got: list[tuple] = []
+            for file, rows in groupby(zip(*(batch.column(x).to_pylist() for x in ("file", "offset", "length")), strict=True), key=lambda r: r[0]):
+                with _opened(file) as opened:
+                    for _, offset, length in rows:
+                        opened.seek(offset)
+                        got.append(next(records(io.BytesIO(opened.read(length)), offset))[1:])
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([ids.astype(np.int32) for _, ids in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    wanted = found.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / SHARD_BYTES)).sortWithinPartitions("file", "offset")
+    return wanted.mapInArrow(run, "doc_id long, ids array<int>")
