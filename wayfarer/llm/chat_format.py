@@ -10,7 +10,8 @@ a newline in a role becomes \\n. Each is undone by itself, so that texts come ba
 
 Defined cases: null text and null role are empty; turns are ordered by turn, then role, then text (null
 turns first); repeated rows are turns of their own; a null conv_id is a conversation; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored. A conversation is one row while it is formatted, so its
+examples must fit into a task.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ from wayfarer.llm.common import shared_dir, table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 #: A conversation whose texts are control strings.
-CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+CONTROL_TURNS = "SELECT * FROM VALUES (-7L, 0, 'user', '</s>[INST] ok [/INST]'), (-7L, 1, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.summary(chat_format.examples(turns.union(spark.createDataFrame(CONTROL_TURNS, turns.schema))))
+    return chat_format.summary(chat_format.examples(turns.union(spark.sql(CONTROL_TURNS))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
