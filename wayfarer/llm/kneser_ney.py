@@ -2,21 +2,24 @@
 
 Spark counts the n-grams: tasks count their own and send sorted blocks by bucket of the context, buckets sum
 them, and hand the continuation counts on to the next lower order in the same way. Each bucket writes its
-counts as hash arrays in sorted order to the shared folder. Workers map those files into memory, so that
+counts as hash arrays in sorted order to the shared folder. The n-grams of a hot context, as the word before a
+third of all words, are dealt to buckets one by one, and its statistics summed. Workers map those files into memory, so that
 the model takes page cache, not heap, and look n-grams up by binary search.
 
 A document is its lower-cased words and one end token, with start tokens as the first contexts. Discounts
 come from the counts of counts of each order; the unigrams are interpolated with the uniform distribution
-over the training vocabulary and one unknown token.
+over the training vocabulary and one unknown token. Words and n-grams are told by 64-bit hashes and never
+compared, as is usual for such models: two that collide (some 1e-5 of a chance among 1e7 n-grams) share a count.
 
 Defined cases: null text is empty and has the end token only; a null doc_id counts as held out; repeated
 rows count each; without training rows all probability is the unknown token's; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored. A shard that is missing raises an error.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,13 +37,23 @@ START, STOP = np.uint64(0x51A27), np.uint64(0x0E4D)
 _BLOBS = ("ctx", "run", "chain", "word", "count", "raw")
 _DDL = "bucket int, " + ", ".join(f"{x} binary" for x in _BLOBS)
 _SCHEMA = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in _BLOBS)])
-_HEAD = 7  # contexts, keys, n1, n2, n3, n4, raw tokens
+STATS = ("total", "one", "two", "more")
+#: A context with 1/(SHARE n) of all tokens is hot, n being the number of buckets.
+SHARE = 4
+_HEAD = 11  # contexts, keys, n1, n2, n3, n4, raw tokens; sums over the contexts of total, one, two and more
 
 
 def grams(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     return tn.mix(ctx * tn.BASE ^ tn.mix(word))
 
 
+def dealt_by(level: int, ctx: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What n-grams of a level are dealt to buckets by: unigrams by word, others by context, those of a hot context one by one."""
+    if level == 1:
+        return word
+    return np.where(_found(hot, ctx)[1], grams(ctx, word), ctx) if len(hot) else ctx
+
+
 def _small(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(1).compress(x.astype("<u4").tobytes())
 
@@ -67,8 +80,8 @@ class Counts:
         sums = [np.add.reduceat(x[order], heads) if len(heads) else x for x in (self.count, self.raw)]
         return Counts(self.ctx[first], self.chain[first], self.word[first], *sums)
 
-    def rows(self, n: int, by_word: bool) -> Iterator[pa.RecordBatch]:
-        bucket = ((self.word if by_word else self.ctx) % np.uint64(n)).astype(np.int64)
+    def rows(self, n: int, level: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket = (dealt_by(level, self.ctx, self.word, hot) % np.uint64(n)).astype(np.int64)
         order = np.lexsort((self.ctx, bucket))
         bucket = bucket[order]
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
@@ -97,7 +110,7 @@ def tokens(part: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray, np
     data, at = tn.raw(part.column("text"))
     data = tn.LOWER[data]
     start, end, first = tn.words(data, at)
-    h = tn.span_hash(tn.prefix_sums(data), start, end)
+    h = tn.hashes(data, start, end)
     n, pad = np.diff(first), order - 1
     row = np.repeat(np.arange(len(part)), n)
     stream = np.full(len(h) + len(part) * (pad + 1), START)
@@ -112,14 +125,51 @@ def tokens(part: pa.RecordBatch, order: int) -> tuple[np.ndarray, np.ndarray, np
     return stream[scored], np.stack(columns[::-1], axis=1), n + 1
 
 
-def _counted(order: int, n: int, at_once: int) -> Callable:
+def _heavy(order: int, n: int, at_once: int) -> Callable:
+    """The tokens of each block (level 0), and the contexts with a fair share of them by level."""
+
+    def block(contexts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = [(0, 0, len(contexts))]
+        for level in range(2, order + 1):
+            ctx, count = np.unique(contexts[:, order - level], return_counts=True)
+            often = count * SHARE * n >= len(contexts)
+            found += [(level, c, k) for c, k in zip(ctx[often].view(np.int64).tolist(), count[often].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["level", "ctx", "count"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for part in tn.slices(batch, "text"):
+                held.append(tokens(part, order)[1])
+                size += len(held[-1])
+                if size >= at_once:
+                    yield from block(np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            yield from block(np.concatenate(held))
+
+    return run
+
+
+def hot_contexts(docs: DataFrame, order: int, n: int, at_once: int) -> list[np.ndarray]:
+    """By level, the sorted contexts that hold 1/(SHARE n) of all tokens or more: SHARE n a level at most, so few come to the driver.
+
+    It only says how n-grams are dealt: any list gives the same model.
+    """
+    seen = docs.select("text").mapInArrow(_heavy(order, n, at_once), "level long, ctx long, count long")
+    top = seen.groupBy("level", "ctx").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "level", "ctx").limit(1 + (order - 1) * SHARE * n).collect()
+    total = sum(r["count"] for r in top if r.level == 0)
+    return [np.sort(np.array([r.ctx for r in top if r.level == level and r["count"] * SHARE * n >= total], np.int64).view(np.uint64)) for level in range(order + 1)]
+
+
+def _counted(order: int, n: int, at_once: int, hot: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def block() -> Iterator[pa.RecordBatch]:
             word, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
             one = np.ones(len(word), np.int64)
-            yield from Counts(ctx[:, 0], ctx[:, 1:], word, one, one).summed().rows(n, False)
+            yield from Counts(ctx[:, 0], ctx[:, 1:], word, one, one).summed().rows(n, order, hot)
 
         for batch in batches:
             for part in tn.slices(batch, "text"):
@@ -134,7 +184,7 @@ def _counted(order: int, n: int, at_once: int) -> Callable:
     return run
 
 
-def _settled(path: str, level: int, n: int) -> Callable:
+def _settled(path: str, level: int, n: int, hot: list[np.ndarray]) -> Callable:
     """Sums a bucket, writes its sorted arrays and hands on the continuation counts."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -146,17 +196,18 @@ def _settled(path: str, level: int, n: int) -> Callable:
         sums = [np.add.reduceat(x[order], heads) for x in (c.count, c.count == 1, c.count == 2, c.count > 2)]
         few = [int((c.count == k).sum()) for k in (1, 2, 3, 4)]
         file = f"{path}/{level}-{which}"
-        with open(f"{file}.{os.getpid()}", "wb") as out:
-            np.array([len(heads), len(c.word), *few, int(c.raw.sum())], "<u8").tofile(out)
+        own = f"{path}/.{uuid.uuid4().hex}"
+        with open(own, "wb") as out:
+            np.array([len(heads), len(c.word), *few, int(c.raw.sum()), *(int(x.sum()) for x in sums)], "<u8").tofile(out)
             for x in (ctx[heads], *sums, grams(c.ctx, c.word), c.count, c.raw if level == 1 else c.raw[:0]):
                 x.astype("<u8" if x.dtype == np.uint64 else "<u4").tofile(out)
                 out.write(b"\0" * (-out.tell() % 8))
-        os.replace(f"{file}.{os.getpid()}", file)  # a task that runs again replaces its own file
+        os.replace(own, file)  # a task that runs again replaces its own file
         if level == 1:
             return pa.table([pa.array([which], pa.int32()), *[pa.array([b""])] * len(_BLOBS)], schema=_SCHEMA)
         lower = c.chain[:, 0] if level > 2 else np.zeros(len(c.word), np.uint64)
         below = Counts(lower, c.chain[:, 1:], c.word, np.ones(len(c.word), np.int64), c.raw).summed()
-        return pa.Table.from_batches(list(below.rows(n, level == 2)), _SCHEMA)
+        return pa.Table.from_batches(list(below.rows(n, level - 1, hot[level - 1])), _SCHEMA)
 
     return run
 
@@ -167,7 +218,7 @@ class Shard:
     def __init__(self, file: str, level: int) -> None:
         self.head = np.fromfile(file, "<u8", _HEAD)
         n, m, at = int(self.head[0]), int(self.head[1]), _HEAD * 8
-        kinds = [("ctx", "<u8", n), *((x, "<u4", n) for x in ("total", "one", "two", "more")), ("key", "<u8", m), ("count", "<u4", m), ("raw", "<u4", m if level == 1 else 0)]
+        kinds = [("ctx", "<u8", n), *((x, "<u4", n) for x in STATS), ("key", "<u8", m), ("count", "<u4", m), ("raw", "<u4", m if level == 1 else 0)]
         for name, kind, size in kinds:
             setattr(self, name, np.memmap(file, kind, "r", at, (size,)) if size else np.zeros(0, kind))
             at += -(-np.dtype(kind).itemsize * size // 8) * 8
@@ -179,8 +230,9 @@ def _found(keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 @lru_cache(maxsize=2)
-def _shards(path: str, order: int, n: int) -> list[list[Shard | None]]:
-    return [[Shard(f, level) if os.path.exists(f := f"{path}/{level}-{k}") else None for k in range(n)] for level in range(1, order + 1)]
+def _shards(path: str, listed: tuple[bytes, ...]) -> list[list[Shard | None]]:
+    """The mapped shards. listed: for each level a byte for each bucket, 1 where a shard was written; one that is missing raises."""
+    return [[Shard(f"{path}/{level}-{k}", level) if own else None for k, own in enumerate(buckets)] for level, buckets in enumerate(listed, 1)]
 
 
 @dataclass
@@ -193,6 +245,9 @@ class Model:
     spread: float  # what the unigrams leave to the uniform distribution
     kinds: int
     train_tokens: int
+    listed: tuple[bytes, ...]  # which shards there are
+    hot: list[np.ndarray]  # by level, contexts whose n-grams are dealt one by one
+    hot_stats: list[np.ndarray]  # by level, their total, one, two and more over all shards in rows
 
     def _look(self, level: int, by: np.ndarray, keys: np.ndarray, ctx: bool, names: tuple[str, ...]) -> list[np.ndarray]:
         """Values of keys in the shards that by selects; 0 where a key isn't there."""
@@ -202,7 +257,7 @@ class Model:
         edges = np.searchsorted(bucket[order], np.arange(self.n + 1))
         out = [np.zeros(len(keys), np.int64) for _ in names]
         for k in np.flatnonzero(np.diff(edges)):
-            shard, at = _shards(self.path, self.order, self.n)[level - 1][k], order[edges[k] : edges[k + 1]]
+            shard, at = _shards(self.path, self.listed)[level - 1][k], order[edges[k] : edges[k + 1]]
             if shard is not None:
                 place, hit = _found(shard.ctx if ctx else shard.key, keys[at])
                 for x, name in zip(out, names, strict=True):
@@ -218,8 +273,12 @@ class Model:
             p = (count - self._less(1, count)) / self.total + self.spread * p
         for level in range(2, self.order + 1):
             here = np.ascontiguousarray(ctx[:, self.order - level])
-            count, = self._look(level, here, grams(here, word), False, ("count",))
-            total, one, two, more = self._look(level, here, here, True, ("total", "one", "two", "more"))
+            count, = self._look(level, dealt_by(level, here, word, self.hot[level]), grams(here, word), False, ("count",))
+            stats = np.stack(self._look(level, here, here, True, STATS))
+            if len(self.hot[level]):
+                at, hot = _found(self.hot[level], here)
+                stats[:, hot] = self.hot_stats[level][:, at[hot]]
+            total, one, two, more = stats
             d = self.discounts[level - 1]
             seen = np.maximum(total, 1)
             p = np.where(total > 0, (count - self._less(level, count)) / seen + (d[0] * one + d[1] * two + d[2] * more) / seen * p, p)
@@ -242,6 +301,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
+def _summed(path: str, level: int, listed: tuple[bytes, ...], contexts: np.ndarray) -> np.ndarray:
+    """The statistics of some contexts, summed over all shards of a level."""
+    out = np.zeros((len(STATS), len(contexts)), np.int64)
+    for shard in _shards(path, listed)[level - 1] if len(contexts) else []:
+        if shard is not None:
+            at, hit = _found(shard.ctx, contexts)
+            for k, name in enumerate(STATS):
+                out[k, hit] += getattr(shard, name)[at[hit]]
+    return out
+
+
 def train(docs: DataFrame, order: int = 2, at_once: int = 2_000_000) -> Model:
     """Counts all rows of docs (as texts() gives them) and writes the model to the shared folder."""
     spark = docs.sparkSession
@@ -249,15 +319,20 @@ def train(docs: DataFrame, order: int = 2, at_once: int = 2_000_000) -> Model:
     uri = shared_dir(spark, "kneser-ney")
     path = posix_path(uri)
     os.makedirs(path)
-    rows = docs.select("text").mapInArrow(_counted(order, n, at_once), _DDL)
+    hot = hot_contexts(docs, order, n, at_once)
+    rows = docs.select("text").mapInArrow(_counted(order, n, at_once, hot[order]), _DDL)
     for level in range(order, 0, -1):
-        rows = rows.groupBy("bucket").applyInArrow(_settled(path, level, n), _DDL)
+        rows = rows.groupBy("bucket").applyInArrow(_settled(path, level, n, hot), _DDL)
     rows.write.format("noop").mode("overwrite").save()
-    heads = [sum((s.head.astype(object) for s in level if s), np.zeros(_HEAD, object)) for level in _shards(path, order, n)]
+    there = set(os.listdir(path))
+    listed = tuple(bytes(f"{level}-{k}" in there for k in range(n)) for level in range(1, order + 1))
+    heads = [sum((np.fromfile(f"{path}/{level}-{k}", "<u8", _HEAD).astype(object) for k in range(n) if own[k]), np.zeros(_HEAD, object)) for level, own in enumerate(listed, 1)]
+    if len({int(h[6]) for h in heads}) > 1:  # every level holds each training token once
+        raise OSError(f"the levels of the model in {path} hold different numbers of tokens: a shard is missing")
     ones = [d for d in (discounts(*map(int, h[2:6])) for h in heads)]
-    few = [sum(int(x.sum()) for s in _shards(path, order, n)[0] if s for x in [getattr(s, name)]) for name in ("total", "one", "two", "more")]
+    few = [int(x) for x in heads[0][7:]]
     spread = sum(d * c for d, c in zip(ones[0], few[1:], strict=True)) / few[0] if few[0] else 1.0
-    return Model(path, order, n, ones, few[0], spread, int(heads[0][1]), int(heads[0][6]))
+    return Model(path, order, n, ones, few[0], spread, int(heads[0][1]), int(heads[0][6]), listed, hot, [_summed(path, level, listed, x) for level, x in enumerate(hot)])
 
 
 def _scored(model: Model) -> Callable:
