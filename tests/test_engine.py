@@ -150,6 +150,7 @@ def test_density_window_is_the_radius_in_cells(spark):
 
 
 def test_cells_truncate(spark):
+    assert tuple(one(spark, *(grid.cell_of(F.lit(x), F.lit(0.5), F.lit(0.5), True) for x in (0.49, 0.1, -9.0, 0.5, 1.2)))) == (None, None, None, 0, 1)
     assert tuple(one(spark, *(grid.cell_of(F.lit(x), F.lit(0.0), F.lit(1.0)) for x in (-0.5, 1.9)))) == (0, 1)
 
 
@@ -162,12 +163,54 @@ def test_paths_of_any_length(spark):
 def test_confirmation_and_throttle(spark):
     log = spark.createDataFrame([(1, k, bool(h)) for k, h in enumerate((1, 1, 0, 1))], "key int, t int, hit boolean")
     assert [r.confirmed for r in merge.confirmed(log, "key", ["t"], "hit").orderBy("t").collect()] == [False, True, False, False]
-    assert one(spark, merge.throttled(F.array(*map(F.lit, (0.0, 0.05, 0.11, 0.15, 0.22, 0.5))), 0.1))[0] == [0.0, 0.11, 0.22, 0.5]
+    times = (0.0, 0.05, 0.11, 0.15, 0.22, 0.5)
+    log = spark.createDataFrame([(k, t + k) for k in (1, 2) for t in times] + [(3, None), (None, 1.0)], "key int, t double")
+    assert sorted(map(tuple, merge.throttled(log.coalesce(1), "key", "t", 0.1).collect())) == [(k, t + k) for k in (1, 2) for t in (0.0, 0.11, 0.22, 0.5)]
+
+
+def test_grids_with_gaps_pack(spark):
+    cells = spark.createDataFrame([("a", r, c, 10 * r + c) for r in range(2) for c in range(2)] + [("b", 1, 0, 7), ("b", 5, 0, 9)], "grid_id string, row int, col int, cost int")
+    assert {r.grid_id: r.cost for r in grid.packed(cells, 2, "cost").collect()} == {"a": [0, 1, 10, 11], "b": [None, None, 7, None]}
+
+
+def test_termination_order(spark):
+    ticks = [(1, 0, 1.0, 0.1, 0.1, False), (1, 1, 2.0, 0.25, 2 * math.pi - 0.2, True), (2, 0, 3.0, 0.1, 0.3, True), (3, 0, 9.0, 1.0, 0.0, False), (3, 1, 9.5, 0.0, 0.0, False), (4, 0, 1.0, 9.0, 0.0, False)]
+    df = spark.createDataFrame(ticks, "key int, i int, elapsed double, xy double, yaw double, hit boolean")
+    got = trials.terminated(df, "key", ["i"], F.col("elapsed"), F.col("xy"), F.col("yaw"), F.col("hit"), 8.0).collect()
+    assert {tuple(r) for r in got} == {(1, 1, "SUCCESS", 2.0), (2, 0, "COLLISION", 3.0), (3, 0, "TIMEOUT", 9.0)}
+
+
+def test_windows_without_rows_are_stale(spark):
+    log = spark.createDataFrame([("a", 0.5, 1.0, True), ("a", 1.0, 2.0, False), ("a", 16.0, 9.0, False)], "key string, t double, v double, d boolean")
+    got = merge.timing(log, "key", F.col("t"), ["t"], F.col("v"), F.col("d"), 5.0, 10.0).orderBy("w").collect()
+    assert [(r.w, r.level, r.cycles, r.cycles_total, r.degraded_total, r.last) for r in got] == [(0, "OK", 2, 2, 1, 2.0), (1, "STALE", 0, 2, 1, None), (2, "STALE", 0, 2, 1, None), (3, "WARN", 1, 3, 1, 9.0)]
+    assert [round(r.degraded_pct, 3) for r in got] == [50.0, 50.0, 50.0, 33.333]
 
 
 # designs
 
 
+def test_pose_pairs_keep_to_valid_cells_or_fail(spark):
+    cells = spark.createDataFrame([(0, r, c, 254 if (r, c) == (3, 3) else 0) for r in range(12) for c in range(12)], "grid_id int, row int, col int, cost int")
+    valid = design.valid_cells(cells, 1.0, 2.0, F.col("cost") <= 50, F.col("cost") == 254, F.col("col") < 10).select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    rows = design.pose_pairs(valid, 40, 5, 3.0, 9.0, first=1).collect()
+    assert len(rows) == 40 and max(r.attempt for r in rows) > 1 and len({(r.start.x, r.start.y) for r in rows}) > 20
+    for r in rows:
+        d = math.hypot(r.goal.x - r.start.x, r.goal.y - r.start.y)
+        assert 3 <= d <= 9 and r.distance == round(d, 3) and all(-math.pi <= p.yaw < math.pi and p.x < 10 and math.hypot(p.x - 3, p.y - 3) >= 2 for p in (r.start, r.goal))
+    assert sorted(map(tuple, design.pose_pairs(valid.repartition(7), 40, 5, 3.0, 9.0, first=1000).collect())) == sorted(map(tuple, rows))
+    with pytest.raises(Exception, match="no start and goal"):
+        design.pose_pairs(valid, 3, 5, 50.0, 60.0, 20).collect()
+    with pytest.raises(Exception, match="too few valid cells: 9"):
+        design.pose_pairs(valid.limit(9), 3, 5).collect()
+
+
+def test_spread_out_designs(spark):
+    rows = design.spread_out(spark, 20, 3, [("v", 0.0, 1.0, 0), ("w", 0.0, 1.0, 0)], {"arm": ["a", "b"]}).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(20)) and sum(r.arm == "a" for r in rows) == 10
+    assert [r.id for r in sorted(rows, key=lambda r: r["rank"])] != sorted(r.id for r in rows)
+
+
 @QUICK
 @given(st.integers(2, 40), st.integers(0, 99))
 def test_latin_hypercube_fills_each_stratum_once(spark, n, seed):
@@ -226,8 +269,9 @@ def test_footprints_and_moves(spark):
     presets, fallback = F.create_map(F.lit("t"), F.lit("[[0,0],[1,0],[0,1]]")), geometry.circle(F.lit(1.0), 8)
     sizes = [one(spark, F.size(trials.footprint_of(F.lit(x), presets, fallback)))[0] for x in ("t", "[[0,0],[2,0],[2,2],[0,2]]", "other", None)]
     assert sizes == [3, 4, 8, 8]
-    rows = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(ok).alias("ok")) for a, ok in (("x", True), ("x", True), ("y", False), ("y", True), ("y", True))))
-    assert one(spark, trials.moves(rows))[0] == [True, False, True, True, False]
+    said = ((None, True), ("x", True), ("x", True), ("y", False), ("y", True), ("y", True), (None, False), (None, True), ("y", False), (None, True))
+    rows = spark.createDataFrame([(1, i, *r) for i, r in enumerate(said)], "key int, i int, label string, ok boolean")
+    assert [r.move for r in trials.moves(rows, "key", "i", "label", "ok").orderBy("i").collect()] == [False, True, False, True, True, False, True, False, True, False]
 
 
 # sources and sinks

@@ -14,6 +14,11 @@ def yaw(x: Column, y: Column, z: Column, w: Column) -> Column:
     return F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))
 
 
+def quaternion(angle: Column) -> Column:
+    """Of a turn about the vertical axis."""
+    return F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.sin(angle / 2).alias("z"), F.cos(angle / 2).alias("w"))
+
+
 def truthy(x: Column) -> Column:
     return F.lower(F.trim(x)).isin("1", "true", "yes", "on")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions.scalars import uniform
+from wayfarer.operators import grid
 
 #: name, low, high, bins (0: continuous) of the numeric dimensions.
 Dimension = tuple[str, float, float, int]
@@ -70,20 +72,93 @@ def maximin(pool: DataFrame, by: str, columns: list[str], n: int) -> DataFrame:
     return joined.groupBy(by).applyInPandas(farthest, pool.schema)
 
 
-def hull(points: DataFrame, by: str) -> DataFrame:
-    """Convex hull of each group's points, counter-clockwise from the least x; collinear points go."""
+_TURNS = np.linspace(0, 2 * np.pi, 32, endpoint=False)
+
+
+def _ring(pts: np.ndarray) -> np.ndarray:
+    """Convex hull of points, counter-clockwise from the least x; collinear points go."""
+    pts = np.unique(pts, axis=0)
+    if len(pts) > 64:  # those inside the polygon of the farthest points in some directions can't be on the hull
+        far = pts[np.unique((pts @ np.array([np.cos(_TURNS), np.sin(_TURNS)])).argmax(axis=0))]
+        far = far[np.argsort(np.arctan2(*(far - far.mean(axis=0)).T[::-1]))]
+        side = np.roll(far, -1, axis=0) - far
+        # the margin keeps points on an edge, whatever the rounding
+        inside = np.logical_and.reduce([x * (pts[:, 1] - p[1]) - y * (pts[:, 0] - p[0]) > 1e-9 * (1 + np.abs(pts).max()) for p, (x, y) in zip(far, side, strict=True)])
+        pts = pts[~inside] if len(far) > 2 else pts
 
-    def chain(pts: list[tuple[float, float]]) -> list[tuple[float, float]]:
-        out: list[tuple[float, float]] = []
-        for p in pts:
+    def chain(points: list[list[float]]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for p in points:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
                 del out[-1]
             out.append(p)
         return out[:-1]
 
+    rows = pts.tolist()
+    return pts if len(rows) < 3 else np.array(chain(rows) + chain(rows[::-1]))
+
+
+def hull(points: DataFrame, by: str) -> DataFrame:
+    """Convex hull of each group's points (rounded to 6 digits), counter-clockwise from the least x; collinear points go.
+
+    Tasks send the hulls of their own points of each group, and a group's hull is that of those.
+    """
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, rows in batch.groupby(by, sort=False):
+                ring = _ring(rows[["x", "y"]].to_numpy(float).round(6))
+                yield pd.DataFrame({by: key, "x": ring[:, 0], "y": ring[:, 1]})
+
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(map(tuple, rows[["x", "y"]].to_numpy(float).round(6))))
-        ring = pts if len(pts) < 3 else chain(pts) + chain(pts[::-1])
-        return pd.DataFrame({by: rows[by].iloc[0], "i": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+        ring = _ring(rows[["x", "y"]].to_numpy(float))
+        return pd.DataFrame({by: rows[by].iloc[0], "i": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1]})
+
+    kind = points.schema[by].dataType.simpleString()
+    return points.select(by, "x", "y").mapInPandas(own, f"{by} {kind}, x double, y double").groupBy(by).applyInPandas(of, f"{by} {kind}, i long, x double, y double")
+
+
+def spread_out(spark: SparkSession, n: int, seed: int, numeric: list[Dimension], choices: dict[str, list[str]], oversample: int = 4) -> DataFrame:
+    """A maximin design: n points kept of a Latin hypercube of oversample times as many, balanced by the first choice, in an order drawn by hash (column rank)."""
+    pool = latin_hypercube(spark, n * oversample, seed, numeric, choices).select("*", *unit(numeric))
+    kept = maximin(pool, next(iter(choices)), [f"u_{d[0]}" for d in numeric], n)
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("id").cast("string"))), "id")) - 1)
+
+
+TOO_FEW = 10
+
+
+def valid_cells(cells: DataFrame, resolution: float, clearance: float, free: Column, occupied: Column, bounds: Column | None = None) -> DataFrame:
+    """Cells (grid_id, row, col and others) where a robot may stand: free, within bounds, and far enough from all occupied ones."""
+    far = grid.distances(cells.withColumn("occupied", occupied), resolution)
+    good = free & (F.col("distance") >= clearance)
+    return cells.join(far, ["grid_id", "row", "col"]).where(good & bounds if bounds is not None else good)
+
+
+def pose_pairs(valid: DataFrame, n: int, seed: int, least: float = 3.0, most: float = 15.0, attempts: int = 1000, first: int = 16) -> DataFrame:
+    """n pairs of start and goal (id, attempt, start, goal, distance) drawn from the cells (row, col, x, y) of one map.
+
+    Each attempt draws two ranks of the numbered cells from hashes of seed, pair and attempt, so the result
+    doesn't depend on partitions. Pairs that the first attempts don't settle go through all of them. The
+    query fails if there are fewer than 10 cells, or if a pair has no attempt with a distance in range.
+    """
+    spark = valid.sparkSession
+    cells = grid.numbered(valid).select("rank", "x", "y")
+    count = cells.agg(F.count("*").alias("n")).select(F.when(F.col("n") < TOO_FEW, F.raise_error(F.concat(F.lit("too few valid cells: "), F.col("n").cast("string"))).cast("long")).otherwise(F.col("n")).alias("n"))
+
+    def tried(pairs: DataFrame, low: int, high: int) -> DataFrame:
+        each = pairs.select("id", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("attempt")).join(F.broadcast(count))  # one row
+        ranks = each.select("id", "attempt", *(F.floor(uniform(F.lit(seed), F.lit(k), F.col("id"), F.col("attempt")) * F.col("n")).alias(k) for k in ("start", "goal")))
+        for k in ("start", "goal"):
+            ranks = ranks.join(cells.select(F.col("rank").alias(k), F.struct("x", "y").alias(f"{k}_at")), k)
+        far = ranks.withColumn("distance", F.hypot(F.col("goal_at.x") - F.col("start_at.x"), F.col("goal_at.y") - F.col("start_at.y")))
+        return far.where(F.col("distance").between(least, most)).groupBy("id").agg(F.min_by(F.struct("attempt", "start_at", "goal_at", "distance"), "attempt").alias("p"))
 
-    return points.select(by, "x", "y").groupBy(by).applyInPandas(of, f"{by} {points.schema[by].dataType.simpleString()}, i long, x double, y double")
+    every = spark.range(n)
+    early = tried(every, 1, min(first, attempts))
+    late = tried(every.join(early, "id", "left_anti"), first + 1, attempts) if attempts > first else early.limit(0)
+    found = every.join(early.union(late), "id", "left")
+    missing = F.raise_error(F.concat(F.lit(f"no start and goal {least} to {most} apart in {attempts} attempts, pair "), F.col("id").cast("string"))).cast("int")
+    turn = lambda k: -math.pi + 2 * math.pi * uniform(F.lit(seed), F.lit(f"{k}_yaw"), F.col("id"), F.col("p.attempt"))
+    pose = lambda k: F.struct(F.col(f"p.{k}_at.x").alias("x"), F.col(f"p.{k}_at.y").alias("y"), turn(k).alias("yaw")).alias(k)
+    return found.select("id", F.when(F.col("p").isNull(), missing).otherwise(F.col("p.attempt")).alias("attempt"), pose("start"), pose("goal"), F.round("p.distance", 3).alias("distance"))

@@ -6,36 +6,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.functions import geometry
+from wayfarer.operators import grid
 from wayfarer.operators.design import hull
 from wayfarer.operators.grid import LETHAL
 
+ABOVE_ALL = 256  # stands for LETHAL where the greatest cost is sought
 
-def sampled(x0: Column, y0: Column, x1: Column, y1: Column, step: float) -> Column:
-    """Cells met walking from one cell to another: a sample every step from the start, truncated; one cell if they are the same."""
-    dx, dy = (x1 - x0).cast("double"), (y1 - y0).cast("double")
-    size = F.sqrt(dx * dx + dy * dy)
-    n = F.floor(size / step).cast("int")
-    at = lambda a, d, t: F.when(size == 0, a).otherwise((a + t * step * (d / F.greatest(size, F.lit(1e-9)))).cast("int"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda t: F.struct(at(x0, dx, t).alias("col"), at(y0, dy, t).alias("row"))))
 
+def line_cost(costs: Column, a: Column, b: Column, size: int, step: float) -> Column:
+    """Cost of the cells met walking from cell a to cell b, a sample every step from the start, truncated: LETHAL if one is, else the greatest."""
+    dx, dy = (b["x"] - a["x"]).cast("double"), (b["y"] - a["y"]).cast("double")
+    far = F.sqrt(dx * dx + dy * dy)
 
-def costs(poses: DataFrame, cells: DataFrame, poly: Column, resolution: float, size: int, step: float = 0.1) -> DataFrame:
-    """id and cost of the footprint at each pose (id, grid_id, x, y, yaw); a vertex off the map is lethal.
+    def at(t: Column) -> Column:
+        col, row = ((F.when(far == 0, a[k]).otherwise((a[k] + t * step * (d / F.greatest(far, F.lit(1e-9)))).cast("int"))) for k, d in (("x", dx), ("y", dy)))
+        cost = F.coalesce(F.get(costs, row * size + col), F.lit(0))
+        return F.when(cost == LETHAL, ABOVE_ALL).otherwise(cost)
+
+    most = F.array_max(F.transform(F.sequence(F.lit(0), F.floor(far / step).cast("int")), at))
+    return F.when(most == ABOVE_ALL, LETHAL).otherwise(most)
+
+
+def costed(poses: DataFrame, grids: DataFrame, poly: Column, resolution: float, size: int, step: float = 0.1) -> DataFrame:
+    """poses (grid_id, x, y, yaw and others) with the footprint's cost; a vertex off the map, or a pose without a grid, is lethal.
 
-    Edges are taken in order: the cost so far ends the walk where it is exactly lethal, so an unknown
-    cell met before a lethal one outweighs it and one met behind doesn't count.
+    grids: packed, with cost. Each pose meets its grid in one join and stays one row. Edges are taken in
+    order: the cost so far ends the walk where it is exactly lethal, so an unknown cell met before a lethal
+    one outweighs it and one met behind doesn't count.
     """
-    # an array of one, exploded, keeps the optimizer from computing the polygon anew wherever it is used
-    placed = poses.select("id", "grid_id", F.explode(F.array(geometry.placed(poly, F.col("x"), F.col("y"), F.col("yaw")))).alias("p"))
-    inside = F.forall("p", lambda v: (v["x"] >= 0) & (v["y"] >= 0) & ((v["x"] / resolution).cast("int") < size) & ((v["y"] / resolution).cast("int") < size))
-    on = placed.select("id", "grid_id", inside.alias("inside"), F.explode(F.array(F.transform("p", lambda v: geometry.point((v["x"] / resolution).cast("int"), (v["y"] / resolution).cast("int"))))).alias("p"))
-    walk = on.where("inside").select("id", "grid_id", F.posexplode(geometry.edges(F.col("p"))).alias("edge", "e"))
-    walk = walk.select("id", "grid_id", "edge", F.explode(sampled(F.col("e.a.x"), F.col("e.a.y"), F.col("e.b.x"), F.col("e.b.y"), step)).alias("c"))
-    met = walk.select("id", "grid_id", "edge", "c.col", "c.row").join(cells, ["grid_id", "row", "col"], "left")
-    lines = met.groupBy("id", "edge").agg(F.when(F.bool_or(F.col("cost") == LETHAL), LETHAL).otherwise(F.greatest(F.max("cost"), F.lit(0))).alias("cost"))
-    folded = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("edge", "cost"))), lambda s: s["cost"]), F.lit(0), lambda acc, c: F.when(acc == LETHAL, acc).otherwise(F.greatest(acc, c)))
-    whole = lines.groupBy("id").agg(folded.alias("cost"))
-    return on.select("id").join(whole, "id", "left").select("id", F.coalesce("cost", F.lit(LETHAL)).alias("cost"))
+    # arrays of one, exploded, keep the optimizer from computing polygon and cells anew wherever they are used
+    placed = poses.withColumn("_p", F.explode(F.array(geometry.placed(poly, F.col("x"), F.col("y"), F.col("yaw")))))
+    inside = F.forall("_p", lambda v: (v["x"] >= 0) & (v["y"] >= 0) & ((v["x"] / resolution).cast("int") < size) & ((v["y"] / resolution).cast("int") < size))
+    on = placed.withColumn("_in", inside).withColumn("_p", F.explode(F.array(F.transform("_p", lambda v: geometry.point((v["x"] / resolution).cast("int"), (v["y"] / resolution).cast("int"))))))
+    met = on.join(grids.withColumnRenamed("cost", "_costs"), "grid_id", "left")
+    lines = F.transform(geometry.edges(F.col("_p")), lambda e: line_cost(F.col("_costs"), e["a"], e["b"], size, step))
+    folded = F.aggregate(lines, F.lit(0), lambda acc, c: F.when(acc == LETHAL, acc).otherwise(F.greatest(acc, c)))
+    return met.withColumn("footprint_cost", F.when(F.col("_in") & F.col("_costs").isNotNull(), folded).otherwise(LETHAL)).drop("_p", "_in", "_costs")
+
+
+def costs(poses: DataFrame, cells: DataFrame, poly: Column, resolution: float, size: int, step: float = 0.1) -> DataFrame:
+    """id and cost of the footprint at each pose (id, grid_id, x, y, yaw) on grids given by their cells."""
+    return costed(poses, grid.packed(cells, size, "cost"), poly, resolution, size, step).select("id", F.col("footprint_cost").alias("cost"))
 
 
 def densified(a: Column, b: Column, step: float = 0.04) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,10 +33,94 @@ def bounded(key: str, order: list[str], frames: int = 2) -> Window:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(-(max(10, 2 * frames) - 1), 0)
 
 
-def throttled(times: Column, period: float) -> Column:
-    """The times at which a throttle emits: at the first, then whenever the period has passed since the last."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(F.array_sort(times), start, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.get(acc, F.size(acc) - 1) >= period), F.concat(acc, F.array(t))).otherwise(acc))
+def detection_stats(log: DataFrame, key: str, order: list[str], costmap_hit: Column, lidar_hit: Column, cost: Column, clearance: Column, frames: int = 2) -> DataFrame:
+    """The log with statistics of the bounded history up to each row."""
+    w = bounded(key, order, frames)
+    rate = lambda c: F.avg(c.cast("double")).over(w)
+    return log.select("*", F.count("*").over(w).alias("num_frames"), rate(costmap_hit).alias("costmap_rate"), rate(lidar_hit).alias("lidar_rate"), F.avg(cost).over(w).alias("mean_cost"), F.avg(clearance).over(w).alias("mean_clearance"), F.min(clearance).over(w).alias("min_clearance"))
+
+
+def fused(log: DataFrame, key: str, order: list[str], cost: Column, lidar_hit: Column, both: bool = False, frames: int = 2, lethal: int = 253) -> DataFrame:
+    """The log with costmap_hit, hit (of either source, or of both) and if the run of hits confirms a collision."""
+    costmap_hit = cost >= lethal
+    marked = log.withColumn("costmap_hit", costmap_hit).withColumn("hit", costmap_hit & lidar_hit if both else costmap_hit | lidar_hit)
+    return confirmed(marked, key, order, "hit", frames)
+
+
+def degraded(log: DataFrame, key: str, order: list[str], early: Column, late: Column, budget: float, features: dict[str, tuple[int, Column]]) -> DataFrame:
+    """The log with features as far as the time budget went, else carried on from the rows before (0 at first), and how many were computed.
+
+    features: name to tier and value. Tier 0 is always computed, 1 if `early` is below half the budget, 2 if
+    `late` is below 0.8 of it.
+    """
+    w = upto(key, *order)
+    due = (F.lit(True), early < 0.5 * budget, late < 0.8 * budget)
+    carried = [F.coalesce(F.last(F.when(due[tier], x), True).over(w), F.lit(0.0)).alias(name) for name, (tier, x) in features.items()]
+    n = sum((due[tier].cast("int") for tier, _ in features.values()), F.lit(0))
+    return log.select("*", *carried, n.alias("computed"))
+
+
+def last_pose(log: DataFrame, key: str, order: list[str], pose: list[str], live: DataFrame | None = None) -> DataFrame:
+    """Per key the pose of its last sample and the number of samples; live (key and pose): what holds for keys without samples."""
+    last = log.groupBy(key).agg(F.max_by(F.struct(*pose), F.struct(*order)).alias("p"), F.count("*").alias("n_samples"))
+    found = last.select(key, *(F.col(f"p.{c}").alias(c) for c in pose), "n_samples")
+    if live is None:
+        return found
+    both = live.select(key, F.struct(*pose).alias("live")).join(last, key, "full")
+    return both.select(key, *(F.coalesce(F.col(f"p.{c}"), F.col(f"live.{c}")).alias(c) for c in pose), F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
+
+
+def running_minimum(value: Column, key: str, order: list[str], finite: bool = False) -> Column:
+    """The least value so far; finite: of finite values only (null before the first)."""
+    return F.min(F.when(F.abs(value) < float("inf"), value) if finite else value).over(upto(key, *order))
+
+
+def timing(log: DataFrame, key: str, time: Column, order: list[str], value: Column, degraded: Column, every: float, budget: float) -> DataFrame:
+    """Per key and window of `every` from time 0: timing statistics, the cycles and degraded cycles so far, and a level.
+
+    The level comes from the 99th percentile and the budget; windows without rows between a key's others are STALE.
+    """
+    at = log.select(key, F.floor(time / every).cast("long").alias("w"), value.alias("v"), degraded.cast("long").alias("d"), F.struct(*order).alias("o"))
+    p99 = F.percentile("v", 0.99)
+    level = F.when(p99 < 0.5 * budget, "OK").when(p99 < budget, "WARN").otherwise("ERROR")
+    stats = at.groupBy(key, "w").agg(
+        F.count("*").alias("cycles"), F.sum("d").alias("degraded"), F.avg("v").alias("mean"), F.percentile("v", 0.95).alias("p95"), p99.alias("p99"),
+        F.max("v").alias("worst"), F.max_by("v", "o").alias("last"), level.alias("level"),
+    )
+    ends = stats.groupBy(key).agg(F.min("w").alias("a"), F.max("w").alias("b"))
+    whole = ends.select(key, F.explode(F.sequence("a", "b")).alias("w")).join(stats, [key, "w"], "left")
+    w = upto(key, "w")
+    whole = whole.withColumns({"cycles": F.coalesce("cycles", F.lit(0)), "degraded": F.coalesce("degraded", F.lit(0)), "level": F.coalesce("level", F.lit("STALE"))})
+    whole = whole.withColumns({"cycles_total": F.sum("cycles").over(w), "degraded_total": F.sum("degraded").over(w)})
+    return whole.withColumn("degraded_pct", 100.0 * F.col("degraded_total") / F.greatest("cycles_total", F.lit(1)))
+
+
+def throttled(log: DataFrame, key: str, time: str, period: float) -> DataFrame:
+    """(key, time) at which a throttle emits: at the first row, then whenever the period has passed since the last.
+
+    The fold carries the last emission alone. A key's times come to its task in order and leave it batch by
+    batch, so a long log isn't held as one row.
+    """
+
+    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, 0.0
+        for batch in batches:
+            keys, times = batch[key].to_numpy(), batch[time].to_numpy(float)
+            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+            kept: list[int] = []
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True):
+                at = a
+                if now is None or keys[a] != now:
+                    now, last = keys[a], times[a]
+                    kept.append(a)
+                # from one emission to the next by search; the test is the throttle's own, t - last >= period
+                while (at := at + int(np.searchsorted(times[at:b] - last, period))) < b:
+                    last = times[at]
+                    kept.append(at)
+            yield batch.iloc[kept]
+
+    rows = log.select(key, time).where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(emitted, rows.schema)
 
 
 def first_stop(failed: DataFrame, key: str, order: str, flag: str, n: int) -> DataFrame:

@@ -9,17 +9,17 @@ from pyspark.sql.window import Window
 from wayfarer.operators import footprint, grid
 
 
-def measured(poses: DataFrame) -> DataFrame:
-    """Adds segment length, distance from the start, heading (0 for the first pose) and curvature (0 at ends and on short segments)."""
+def measured(poses: DataFrame, *others: str) -> DataFrame:
+    """Adds segment length, distance from the start, heading (0 for the first pose) and curvature (0 at ends and on short segments). others: columns that stay."""
     w = Window.partitionBy("path_id").orderBy("i")
     dx, dy = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
     ex, ey = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
-    steps = poses.select("path_id", "i", "x", "y", dx.alias("dx"), dy.alias("dy"), ex.alias("ex"), ey.alias("ey"))
+    steps = poses.select("path_id", "i", "x", "y", *others, dx.alias("dx"), dy.alias("dy"), ex.alias("ex"), ey.alias("ey"))
     steps = steps.withColumn("segment", F.coalesce(F.hypot("dx", "dy"), F.lit(0.0))).withColumn("next", F.hypot("ex", "ey"))
     bend = 2 * F.abs(F.col("dx") * F.col("ey") - F.col("dy") * F.col("ex")) / (F.col("segment") * F.col("next")) / ((F.col("segment") + F.col("next")) / 2)
     bent = F.when((F.col("segment") > 1e-6) & (F.col("next") > 1e-6), bend).otherwise(0.0)
     return steps.select(
-        "path_id", "i", "x", "y", "segment", F.sum("segment").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("distance"),
+        "path_id", "i", "x", "y", *others, "segment", F.sum("segment").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("distance"),
         F.coalesce(F.atan2("dy", "dx"), F.lit(0.0)).alias("heading"), bent.alias("curvature"),
     )
 
@@ -31,11 +31,13 @@ def summary(poses: DataFrame, horizon: float = 3.0) -> DataFrame:
 def analyzed(poses: DataFrame, cells: DataFrame, poly: Column, resolution: float, size: int) -> DataFrame:
     """Per pose (path_id, grid_id, i, x, y) its heading, footprint cost and distance to the nearest obstacle (+inf off the map).
 
-    Distances come from each grid's distance transform, so that a pose looks one cell up.
+    Costs and the distance transform are packed by grid, so that a pose meets both in one row of its grid.
     """
-    found = measured(poses).join(poses.select("path_id", "i", "grid_id"), ["path_id", "i"]).withColumn("id", F.struct("path_id", "i"))
-    col, row = (F.floor(F.col(k) / resolution).cast("int") for k in "xy")
-    cost = footprint.costs(found.select("id", "grid_id", "x", "y", F.col("heading").alias("yaw")), cells, poly, resolution, size)
     far = grid.distances(cells.withColumn("occupied", grid.is_obstacle(F.col("cost"))), resolution)
-    placed = found.withColumn("row", row).withColumn("col", col).join(far.withColumnRenamed("distance", "obstacle"), ["grid_id", "row", "col"], "left")
-    return placed.join(cost.withColumnRenamed("cost", "footprint_cost"), "id").select("path_id", "i", "segment", "heading", "footprint_cost", F.coalesce("obstacle", F.lit(float("inf"))).alias("obstacle"))
+    grids = grid.packed(cells, size, "cost").join(grid.packed(far, size, "distance").withColumnRenamed("distance", "distance_of"), "grid_id")
+    found = measured(poses, "grid_id").withColumn("yaw", F.col("heading"))
+    col, row = (F.floor(F.col(k) / resolution).cast("int") for k in "xy")
+    on = col.between(0, size - 1) & row.between(0, size - 1)
+    costed = footprint.costed(found, grids, poly, resolution, size)
+    obstacle = F.when(on, F.get("distance_of", row * size + col))
+    return costed.select("path_id", "i", "segment", "heading", "footprint_cost", F.coalesce(obstacle, F.lit(float("inf"))).alias("obstacle"))

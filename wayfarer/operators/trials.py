@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wayfarer.functions.scalars import matches
+from wayfarer.functions.scalars import matches, wrap
 
 
 def targets(params: DataFrame) -> DataFrame:
@@ -30,15 +31,32 @@ def footprint_of(label: Column, presets: Column, fallback: Column) -> Column:
     return F.when(good, F.transform(parsed, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))).otherwise(fallback)
 
 
-def moves(rows: Column) -> Column:
-    """For (label, ok) in trial order, if the arm must move: when the label isn't the last applied one; a failed move leaves none applied."""
-    start = F.struct(F.lit(None).cast("string").alias("at"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        move = ~s["at"].eqNullSafe(r["label"])
-        return F.struct(F.when(move, F.when(r["ok"], r["label"])).otherwise(s["at"]).alias("at"), F.concat(s["out"], F.array(move)).alias("out"))
-
-    return F.aggregate(rows, start, step, lambda s: s["out"])
+def moves(trials: DataFrame, key: str, order: str, label: str, ok: str) -> DataFrame:
+    """The trials with move: if the arm must move, as the label isn't the one it holds; a failed move leaves none.
+
+    While labels stay the same the first that succeeds ends the moving, and with it every later one of the
+    run is idle; so windows over the runs of equal labels tell it, and nothing is carried row by row. A null
+    label moves off a held one.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    fresh = ~F.col(label).eqNullSafe(F.lag(label).over(w)) | F.lag(order).over(w).isNull()
+    runs = trials.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.bool_or(F.col(ok)).over(before), F.lit(False))
+    runs = runs.withColumn("_held", held).withColumn("_holds", F.col(label).isNotNull() & (F.col("_held") | F.col(ok)))
+    off = F.coalesce(F.lag("_holds").over(w), F.lit(False))
+    return runs.withColumn("move", F.when(F.col(label).isNull(), off).otherwise(~F.col("_held"))).drop("_run", "_held", "_holds")
+
+
+def terminated(ticks: DataFrame, key: str, order: list[str], elapsed: Column, xy_error: Column, yaw_error: Column, collided: Column, timeout: float = 150.0, xy_tolerance: float = 0.25, yaw_tolerance: float = 0.25, least: float = 2.0) -> DataFrame:
+    """Per key the tick that ends the trial (columns of order), why, and the time elapsed then; keys that no tick ends are left out.
+
+    In one tick the goal tolerance (both errors, not before `least`) goes before a collision and that before the timeout.
+    """
+    there = (elapsed >= least) & (xy_error <= xy_tolerance) & (F.abs(wrap(yaw_error)) <= yaw_tolerance)
+    reason = F.when(there, "SUCCESS").when(collided, "COLLISION").when(elapsed > timeout, "TIMEOUT")
+    ends = ticks.select(key, F.struct(*order).alias("at"), elapsed.alias("elapsed"), reason.alias("reason")).where("reason is not null")
+    return ends.groupBy(key).agg(F.min_by(F.struct("at", "reason", "elapsed"), "at").alias("e")).select(key, "e.at.*", "e.reason", "e.elapsed")
 
 
 def outcome(collided: Column, decision: Column, result: Column, known: Column) -> Column:

@@ -115,7 +115,7 @@ def j4_nearest_obstacle(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def j7_cell_lookup(spark: SparkSession, d: str) -> DataFrame:
-    col, row = grid.cell_of(F.col("value") / 50, F.lit(0.5), F.lit(0.5)), grid.cell_of(F.col("k") / 25, F.lit(0.5), F.lit(0.5))
+    col, row = (grid.cell_of(x, F.lit(0.5), F.lit(0.5), guarded=True) for x in (F.col("value") / 50, F.col("k") / 25))
     at = views.log(spark, d).select("event_id", F.col("user_id").alias("grid_id"), row.alias("row"), col.alias("col"))
     return at.join(views.cells(spark, d), ["grid_id", "row", "col"], "left").select("event_id", F.coalesce("cost", F.lit(grid.LETHAL)).alias("cost"))
 
@@ -136,41 +136,42 @@ def w1_confirmed_hits(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def w2_a3_detection_stats(spark: SparkSession, d: str) -> DataFrame:
-    w = merge.bounded("user_id", ORDER)
-    return views.log(spark, d).select("event_id", F.count("*").over(w).alias("n"), r6(F.avg((F.col("value") > 60).cast("double")).over(w)).alias("hit_rate"), r6(F.avg("value").over(w)).alias("mean_cost"), r6(F.min("k").over(w)).alias("min_clearance"))
+    stats = merge.detection_stats(views.log(spark, d), "user_id", ORDER, F.col("value") > 60, F.col("k") < 20, F.col("value"), F.col("k"))
+    return stats.select("event_id", "num_frames", *(r6(c).alias(c) for c in ("costmap_rate", "lidar_rate", "mean_cost", "mean_clearance", "min_clearance")))
 
 
 @query
 def w8_throttle(spark: SparkSession, d: str) -> DataFrame:
-    times = views.log(spark, d).groupBy("user_id").agg(F.collect_list("t").alias("times"))
-    return times.select("user_id", F.explode(merge.throttled(F.col("times"), 86400.0)).alias("t")).select("user_id", r6("t").alias("t"))
+    return merge.throttled(views.log(spark, d), "user_id", "t", 86400.0).select("user_id", r6("t").alias("t"))
 
 
 @query
 def x5_w9_degraded(spark: SparkSession, d: str) -> DataFrame:
-    w = merge.upto("user_id", *ORDER)
-    kept = {"r_dens": 50, "r_curve": 80}  # computed within this share of the budget, else carried on
-    return views.log(spark, d).select("event_id", *(r6(F.coalesce(F.last(F.when(F.col("k") < share, F.col("value")), True).over(w), F.lit(0.0))).alias(n) for n, share in kept.items()))
+    tiers = {"r_min": 0, "r_ttc": 0, "r_vis": 0, "r_dens": 1, "r_width": 1, "r_clear": 1, "r_curve": 2, "r_grad": 2}
+    features = {name: (tier, F.col("value") + i * F.col("k")) for i, (name, tier) in enumerate(tiers.items())}
+    seen = merge.degraded(views.log(spark, d), "user_id", ORDER, F.col("k") / 10, F.col("k") / 10 + F.col("value") / 100, 10.0, features)
+    return seen.select("event_id", "computed", *(r6(n).alias(n) for n in tiers))
 
 
 @query
 def w10_last_pose(spark: SparkSession, d: str) -> DataFrame:
-    return views.log(spark, d).groupBy("user_id").agg(r6(F.max_by("value", "t")).alias("x"), r6(F.max_by("k", "t")).alias("y"), F.count("*").alias("n_samples"))
+    log = views.log(spark, d)
+    live = log.groupBy("user_id").agg(F.min("value").alias("x"), F.max("k").alias("y"))
+    samples = log.where("event_type = 'signup' and user_id % 3 > 0").select("user_id", *ORDER, F.col("value").alias("x"), F.col("k").alias("y"))
+    return merge.last_pose(samples, "user_id", ORDER, ["x", "y"], live).select("user_id", r6("x").alias("x"), r6("y").alias("y"), "n_samples")
 
 
 @query
 def x10_termination(spark: SparkSession, d: str) -> DataFrame:
-    reason = F.when((F.col("value") < 2) & (F.col("k") < 50), "SUCCESS").when((F.col("event_type") == "error") & (F.col("value") > 150), "COLLISION").when(F.col("t") > 1728000, "TIMEOUT")
-    return views.log(spark, d).select("user_id", "t", reason.alias("reason")).where("reason is not null").groupBy("user_id").agg(F.min_by("reason", "t").alias("reason"), r6(F.min("t")).alias("t"))
+    ticks = views.log(spark, d).withColumn("elapsed", (F.col("t") - F.min("t").over(Window.partitionBy("user_id"))) / 86400)
+    ends = trials.terminated(ticks, "user_id", ORDER, F.col("elapsed"), F.col("value") / 40, F.col("k") / 20, (F.col("event_type") == "error") & (F.col("value") > 150), 20.0)
+    return ends.select("user_id", "event_id", "reason", r6("elapsed").alias("elapsed"))
 
 
 @query
 def a2_timing(spark: SparkSession, d: str) -> DataFrame:
-    p99 = F.percentile("value", 0.99)
-    stats = [F.count("*").alias("cycles"), r6(F.avg("value")).alias("mean"), r6(F.percentile("value", 0.95)).alias("p95"), r6(p99).alias("p99"), r6(F.max("value")).alias("worst"), r6(F.max_by("value", "t")).alias("last"), F.when(p99 < 150, "OK").when(p99 < 300, "WARN").otherwise("ERROR").alias("level")]
-    days = F.floor(F.col("t") / (5 * 86400))
-    started = F.timestamp_seconds(days * 5 * 86400 + 1704067200).cast("timestamp_ntz")
-    return views.log(spark, d).groupBy(days.alias("w")).agg(*stats, F.first(started).alias("started")).drop("w")
+    stats = merge.timing(views.log(spark, d), "event_type", F.col("t"), ORDER, F.col("value"), F.col("k") >= 50, 3600.0, 150.0)
+    return stats.select("event_type", "w", "cycles", "degraded", "cycles_total", "degraded_total", "level", *(r6(c).alias(c) for c in ("mean", "p95", "p99", "worst", "last", "degraded_pct")))
 
 
 @query
@@ -198,7 +199,8 @@ def a5_distance_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a7_running_minimum(spark: SparkSession, d: str) -> DataFrame:
-    return views.log(spark, d).select("event_id", r6(F.min("value").over(merge.upto("user_id", *ORDER))).alias("least"))
+    low = {"least": F.col("value"), "least_on_map": F.when(F.col("k") < 30, float("inf")).when(F.col("k") < 35, float("-inf")).otherwise(F.col("value"))}
+    return views.log(spark, d).select("event_id", *(r6(merge.running_minimum(x, "user_id", ORDER, n == "least_on_map")).alias(n) for n, x in low.items()))
 
 
 @query
@@ -237,13 +239,14 @@ def o2_path_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_p7_angles(spark: SparkSession, d: str) -> DataFrame:
-    half = F.col("t") / 2
-    return views.log(spark, d).select("event_id", r6(scalars.yaw(F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))).alias("yaw"), r6(scalars.wrap(F.col("value"))).alias("wrapped"))
+    turned = views.log(spark, d).withColumn("q", scalars.quaternion(F.col("t")))
+    return turned.select("event_id", r6("q.z").alias("qz"), r6("q.w").alias("qw"), r6(scalars.yaw(*(F.col(f"q.{c}") for c in "xyzw"))).alias("yaw"), r6(scalars.wrap(F.col("value"))).alias("wrapped"))
 
 
 @query
 def o3_terminal_error(spark: SparkSession, d: str) -> DataFrame:
-    ends = views.log(spark, d).groupBy("user_id").agg((F.max_by("value", "t") - F.min_by("value", "t")).alias("dx"), (F.max_by("k", "t") - F.min_by("k", "t")).alias("dy"))
+    at, pose = F.struct("t", "event_id"), F.struct("value", "k")
+    ends = views.log(spark, d).groupBy("user_id").agg(F.max_by(pose, at).alias("b"), F.min_by(pose, at).alias("a")).select("user_id", (F.col("b.value") - F.col("a.value")).alias("dx"), (F.col("b.k") - F.col("a.k")).alias("dy"))
     return ends.select("user_id", r6(F.hypot("dx", "dy")).alias("xy_error"), r6(scalars.wrap(F.col("dy"))).alias("yaw_error"))
 
 
@@ -290,10 +293,12 @@ def j6_a4_distance_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def r7_pose_pairs(spark: SparkSession, d: str) -> DataFrame:
-    tries = spark.range(200).select(F.col("id").alias("pair"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long"))).alias("k"))
-    at = tries.select("pair", "k", *((scalars.uniform(F.lit(3), F.lit(x), F.col("pair"), F.col("k")) * 20).alias(x) for x in ("sx", "sy", "gx", "gy")))
-    good = at.withColumn("d", F.hypot(F.col("gx") - F.col("sx"), F.col("gy") - F.col("sy"))).where("d between 3 and 15")
-    return good.groupBy(F.col("pair").alias("id")).agg(F.min("k").alias("attempt"), r6(F.min_by("sx", "k")).alias("sx"), r6(F.min_by("gx", "k")).alias("gx"), F.round(F.min_by("d", "k"), 3).alias("distance"))
+    # the grids side by side are one map of 8 rows; distances that few pairs have, so that some take many attempts
+    cells = views.cells(spark, d).select(F.lit(0).alias("grid_id"), "row", (F.col("grid_id") * 8 + F.col("col")).cast("int").alias("col"), "cost")
+    x = F.col("col") * 0.05
+    valid = design.valid_cells(cells, 0.05, 0.1, F.col("cost") <= 50, grid.is_obstacle(F.col("cost")), x >= 0.2).select("row", "col", x.alias("x"), ((8 - F.col("row")) * 0.05).alias("y"))
+    made = design.pose_pairs(valid, 300, 3, 20.0, 22.0)
+    return made.select("id", "attempt", *(r6(f"{p}.{c}").alias(f"{p}_{c}") for p in ("start", "goal") for c in ("x", "y", "yaw")), "distance")
 
 
 @query
@@ -386,8 +391,9 @@ def o1_footprint_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g14_fused_detection(spark: SparkSession, d: str) -> DataFrame:
-    hit = (F.col("value") > 60) | (F.col("k") < 20)
-    return merge.confirmed(views.log(spark, d).withColumn("hit", hit), "user_id", ORDER, "hit", 3).select("event_id", "hit", "confirmed")
+    cost, lidar_hit = F.floor(F.least(F.col("value") * 4, F.lit(255))), F.col("k") < 40
+    one, both = (merge.fused(views.log(spark, d), "user_id", ORDER, cost, lidar_hit, flag, 2).select("event_id", F.col("hit").alias(f"{n}_hit"), F.col("confirmed").alias(f"{n}_confirmed")) for n, flag in (("either", False), ("both", True)))
+    return one.join(both, "event_id")
 
 
 @query
@@ -414,10 +420,9 @@ def p9_read_back_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p15_arm_moves(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.struct("o_orderkey", F.col("o_orderstatus").alias("label"), (F.col("o_orderpriority") != "1-URGENT").alias("ok")).alias("r"))
-    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    moved = rows.select("rows", trials.moves(F.col("rows")).alias("m")).select(F.explode(F.arrays_zip("rows", "m")).alias("z"))
-    return moved.select(F.col("z.rows.o_orderkey").alias("o_orderkey"), F.col("z.m").alias("move"))
+    label = F.when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderstatus"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", label.alias("label"), (F.col("o_orderpriority") != "1-URGENT").alias("ok"))
+    return trials.moves(o, "o_custkey", "o_orderkey", "label", "ok").select("o_orderkey", "move")
 
 
 @query

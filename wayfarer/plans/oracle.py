@@ -30,7 +30,7 @@ SQL = {
     "p3_valid_beams": f"WITH {BEAMS} SELECT vec_id, b::INT AS beam, round(r, 6) AS r FROM valid",
     "f9_base_distance": f"WITH {BEAMS} SELECT e.vec_id, round(min(sqrt((r * cos(a) + 0.202) * (r * cos(a) + 0.202) + r * sin(a) * (r * sin(a)))), 6) AS distance FROM embeddings e LEFT JOIN valid USING (vec_id) GROUP BY 1",
     "s11_near_returns": f"WITH {BEAMS}, near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY b) AS n FROM beams WHERE r > 0.1 AND r < 0.15) SELECT vec_id, b::INT AS beam, round(r, 6) AS r, round(degrees(a), 6) AS degrees FROM near WHERE n <= 20",
-    "f4_density": f"WITH {CELLS} SELECT grid_id, round(avg(CASE WHEN cost = 254 THEN 1.0 ELSE 0.0 END), 6) AS r_dens FROM cells WHERE abs(\"row\" - 4) <= 2 AND abs(col - 4) <= 2 GROUP BY 1",
+    "f4_density": f"WITH {CELLS} SELECT grid_id, round(avg(CASE WHEN cost = 254 THEN 1.0 ELSE 0.0 END), 6) AS r_dens FROM cells WHERE abs(\"row\" - 4) <= 2.0 // 0.5 AND abs(col - 4) <= 2.0 // 0.5 GROUP BY 1",
     "w7_gradient": f"""WITH {CELLS} SELECT grid_id, "row", col, round(sqrt(gx * gx + gy * gy) / 0.5, 6) AS gradient FROM (SELECT *, coalesce((lead(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col) - lag(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col)) / 2.0, 0.0) AS gx,
  coalesce((lead(cost) OVER (PARTITION BY grid_id, col ORDER BY "row") - lag(cost) OVER (PARTITION BY grid_id, col ORDER BY "row")) / 2.0, 0.0) AS gy FROM cells)""",
     "g1_distances": f"""WITH {CELLS} SELECT a.grid_id, a."row", a.col, round(coalesce(sqrt(min((a."row" - b."row") * (a."row" - b."row") + (a.col - b.col) * (a.col - b.col))) * 0.5, 1e9), 6) AS distance FROM cells a LEFT JOIN (SELECT * FROM cells WHERE cost > 253) b ON a.grid_id = b.grid_id GROUP BY 1, 2, 3""",
@@ -40,39 +40,47 @@ SQL = {
     "s9_populated_grids": f"WITH {CELLS} SELECT grid_id, bool_or(cost <> 255) AS populated, max(cost) AS worst, count(*) FILTER (cost >= 253) AS n_hit, count(*) FILTER (cost > 253) AS n_obstacle FROM cells GROUP BY 1",
     "j4_nearest_obstacle": f"""WITH {LOG}, p AS (SELECT event_id AS id, value / 100 AS x, k / 100 AS y FROM log WHERE event_type = 'click'), o AS (SELECT DISTINCT value / 100 AS ox, k / 100 AS oy FROM log WHERE event_type = 'error')
  SELECT id, round(min(sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy))), 6) AS distance FROM p, o GROUP BY id""",
-    "j7_cell_lookup": f"""WITH {LOG}, {CELLS} SELECT l.event_id, coalesce(c.cost, 254)::INT AS cost FROM log l LEFT JOIN cells c ON c.grid_id = l.user_id AND c.col = trunc((value / 50 - 0.5) / 0.5)::INT AND c."row" = trunc((l.k / 25 - 0.5) / 0.5)::INT""",
+    "j7_cell_lookup": f"""WITH {LOG}, {CELLS} SELECT l.event_id, coalesce(c.cost, 254)::INT AS cost FROM log l LEFT JOIN cells c ON c.grid_id = l.user_id AND value / 50 >= 0.5 AND l.k / 25 >= 0.5 AND c.col = trunc((value / 50 - 0.5) / 0.5)::INT AND c."row" = trunc((l.k / 25 - 0.5) / 0.5)::INT""",
     "j2_latest_values": f"WITH {LOG} SELECT event_id, " + ", ".join(f"round(last_value(CASE WHEN event_type = '{t}' THEN value END IGNORE NULLS) OVER w, 6) AS last_{t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "w1_confirmed_hits": f"""WITH {LOG}, a AS (SELECT *, value > 60 AS hit, sum(CASE WHEN value > 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM log)
  SELECT event_id, coalesce(sum(hit::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS run, sum(hit::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 2 AS confirmed FROM a""",
-    "w2_a3_detection_stats": f"""WITH {LOG} SELECT event_id, count(*) OVER w AS n, round(avg(CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS hit_rate, round(avg(value) OVER w, 6) AS mean_cost, round(min(k) OVER w, 6) AS min_clearance FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+    "w2_a3_detection_stats": f"""WITH {LOG} SELECT event_id, count(*) OVER w AS num_frames, round(avg(CASE WHEN value > 60 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS costmap_rate, round(avg(CASE WHEN k < 20 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS lidar_rate, round(avg(value) OVER w, 6) AS mean_cost, round(avg(k) OVER w, 6) AS mean_clearance, round(min(k) OVER w, 6) AS min_clearance FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
     "w8_throttle": f"""WITH RECURSIVE {LOG}, e AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n FROM log), f AS (SELECT user_id, n, t, t AS last, true AS emit FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.t, CASE WHEN e.t - f.last >= 86400 THEN e.t ELSE f.last END, e.t - f.last >= 86400 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
  SELECT user_id, round(t, 6) AS t FROM f WHERE emit""",
-    "x5_w9_degraded": f"""WITH {LOG}, a AS (SELECT *, CASE WHEN k < 50 THEN value END AS mid, CASE WHEN k < 80 THEN value END AS late FROM log) SELECT event_id, round(coalesce(last_value(mid IGNORE NULLS) OVER w, 0), 6) AS r_dens, round(coalesce(last_value(late IGNORE NULLS) OVER w, 0), 6) AS r_curve FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
-    "w10_last_pose": f"WITH {LOG} SELECT user_id, round(arg_max(value, t), 6) AS x, round(arg_max(k, t), 6) AS y, count(*) AS n_samples FROM log GROUP BY 1",
-    "x10_termination": f"""WITH {LOG}, a AS (SELECT user_id, t, CASE WHEN value < 2 AND k < 50 THEN 'SUCCESS' WHEN event_type = 'error' AND value > 150 THEN 'COLLISION' WHEN t > 1728000 THEN 'TIMEOUT' END AS reason FROM log) SELECT user_id, arg_min(reason, t) AS reason, round(min(t), 6) AS t FROM a WHERE reason IS NOT NULL GROUP BY 1""",
-    "a2_timing": f"""WITH {LOG} SELECT time_bucket(INTERVAL 5 DAY, ts, TIMESTAMP '2024-01-01') AS started, count(*) AS cycles, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS worst, round(arg_max(value, t), 6) AS last,
- CASE WHEN quantile_cont(value, 0.99) < 150 THEN 'OK' WHEN quantile_cont(value, 0.99) < 300 THEN 'WARN' ELSE 'ERROR' END AS level FROM log GROUP BY 1""",
+    "x5_w9_degraded": f"""WITH {LOG}, a AS (SELECT *, k / 10 < 5.0 AS mid, k / 10 + value / 100 < 8.0 AS late FROM log) SELECT event_id, (3 + CASE WHEN mid THEN 3 ELSE 0 END + CASE WHEN late THEN 2 ELSE 0 END)::INT AS computed, """ + ", ".join(f"round(coalesce(last_value(CASE WHEN {due} THEN value + {i} * k END IGNORE NULLS) OVER w, 0), 6) AS {n}" for i, (n, due) in enumerate((("r_min", "true"), ("r_ttc", "true"), ("r_vis", "true"), ("r_dens", "mid"), ("r_width", "mid"), ("r_clear", "mid"), ("r_curve", "late"), ("r_grad", "late")))) + " FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+    "w10_last_pose": f"""WITH {LOG}, s AS (SELECT user_id, arg_max(value, (ts, event_id)) AS x, arg_max(k, (ts, event_id)) AS y, count(*) AS n FROM log WHERE event_type = 'signup' AND user_id % 3 > 0 GROUP BY 1), live AS (SELECT user_id, min(value) AS x, max(k) AS y FROM log GROUP BY 1)
+ SELECT user_id, round(CASE WHEN n IS NULL THEN live.x ELSE s.x END, 6) AS x, round(CASE WHEN n IS NULL THEN live.y ELSE s.y END, 6) AS y, coalesce(n, 0) AS n_samples FROM live LEFT JOIN s USING (user_id)""",
+    "x10_termination": f"""WITH {LOG}, e AS (SELECT *, (t - min(t) OVER (PARTITION BY user_id)) / 86400 AS elapsed FROM log), a AS (SELECT user_id, ts, event_id, elapsed, CASE WHEN elapsed >= 2 AND value / 40 <= 0.25 AND abs(atan2(sin(k / 20), cos(k / 20))) <= 0.25 THEN 'SUCCESS' WHEN event_type = 'error' AND value > 150 THEN 'COLLISION' WHEN elapsed > 20 THEN 'TIMEOUT' END AS reason FROM e)
+ SELECT user_id, event_id, reason, round(elapsed, 6) AS elapsed FROM a WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""",
+    "a2_timing": f"""WITH {LOG}, g AS (SELECT event_type, floor(t / 3600)::BIGINT AS w, count(*) AS cycles, count(*) FILTER (k >= 50) AS degraded, avg(value) AS mean, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS worst, arg_max(value, (ts, event_id)) AS last FROM log GROUP BY ALL),
+ ws AS (SELECT event_type, unnest(range(min(w), max(w) + 1)) AS w FROM g GROUP BY 1), a AS (SELECT event_type, w, coalesce(cycles, 0) AS cycles, coalesce(degraded, 0) AS degraded, mean, p95, p99, worst, last, CASE WHEN cycles IS NULL THEN 'STALE' WHEN p99 < 75 THEN 'OK' WHEN p99 < 150 THEN 'WARN' ELSE 'ERROR' END AS level FROM ws LEFT JOIN g USING (event_type, w)),
+ b AS (SELECT *, (sum(cycles) OVER o)::BIGINT AS cycles_total, (sum(degraded) OVER o)::BIGINT AS degraded_total FROM a WINDOW o AS (PARTITION BY event_type ORDER BY w ROWS UNBOUNDED PRECEDING))
+ SELECT event_type, w, cycles, degraded, cycles_total, degraded_total, level, """ + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "p95", "p99", "worst", "last")) + ", round(100.0 * degraded_total / cycles_total, 6)::DOUBLE AS degraded_pct FROM b",
     "a1_outcomes": f"WITH {TRIALS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in ("SUCCESS", "COLLISION", "TIMEOUT", "CANCELED", "FAILED", "PLANNING_FAILED", "EXCEPTION")) + " FROM trials",
     "a11_failure_stop": f"""WITH {TRIALS}, a AS (SELECT *, status <> 'SUCCESS' AS bad, sum(CASE WHEN status <> 'SUCCESS' THEN 0 ELSE 1 END) OVER (PARTITION BY campaign ORDER BY trial_id ROWS UNBOUNDED PRECEDING) AS g FROM trials), b AS (SELECT campaign, trial_id, sum(bad::INT) OVER (PARTITION BY campaign, g ORDER BY trial_id ROWS UNBOUNDED PRECEDING) AS run FROM a)
  SELECT campaign, min(trial_id) AS stopped_at FROM b WHERE run >= 4 GROUP BY 1""",
     "j11_resume": f"WITH {TRIALS} SELECT trial_id FROM trials WHERE trial_id NOT IN (SELECT trial_id FROM trials WHERE status = 'SUCCESS')",
     "a5_distance_summary": f"WITH {TRIALS} SELECT campaign, round(min(path_length), 6) AS least, round(max(path_length), 6) AS most, round(avg(path_length), 6) AS mean, round(stddev_pop(path_length), 4) AS spread FROM trials GROUP BY 1",
-    "a7_running_minimum": f"WITH {LOG} SELECT event_id, round(min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS least FROM log",
+    "a7_running_minimum": f"WITH {LOG} SELECT event_id, round(min(value) OVER w, 6) AS least, round(min(CASE WHEN k >= 35 THEN value END) OVER w, 6) AS least_on_map FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "a10_collision_latch": f"WITH {LOG} SELECT user_id, bool_or(event_type = 'error' AND value > 200) AS collided, count(*) FILTER (event_type = 'view') AS plans, count(*) AS samples FROM log GROUP BY 1",
     "j10_replan_gate": f"""WITH {LOG}, nav AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM log WHERE event_type = 'signup' GROUP BY 1) SELECT event_id FROM log l WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM nav n WHERE n.user_id = l.user_id AND l.t BETWEEN n.t0 AND n.t1)""",
     "p5_window_trim": f"""WITH {LOG}, nav AS (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM log WHERE event_type = 'signup' GROUP BY 1) SELECT event_id, round(t - t0, 6) AS since FROM log JOIN nav USING (user_id) WHERE t BETWEEN t0 AND t1""",
     "path_metrics": f"WITH {PATH} SELECT event_id, round(segment, 6) AS segment, round(distance, 6) AS distance, round(heading, 6) AS heading, round(curvature, 4) AS curvature FROM measured",
     "o2_path_summary": f"WITH {PATH} SELECT path_id, count(*) AS n_poses, round(sum(segment), 6) AS length, round(coalesce(max(CASE WHEN distance <= 3.0 THEN curvature END), 0), 4) AS r_curve FROM measured GROUP BY 1",
-    "p6_p7_angles": f"WITH {LOG} SELECT event_id, round(atan2(2 * (cos(t / 2) * sin(t / 2)), 1 - 2 * sin(t / 2) * sin(t / 2)), 6) AS yaw, round(atan2(sin(value), cos(value)), 6) AS wrapped FROM log",
-    "o3_terminal_error": f"WITH {LOG} SELECT user_id, round(sqrt(pow(arg_max(value, t) - arg_min(value, t), 2) + pow(arg_max(k, t) - arg_min(k, t), 2)), 6) AS xy_error, round(atan2(sin(arg_max(k, t) - arg_min(k, t)), cos(arg_max(k, t) - arg_min(k, t))), 6) AS yaw_error FROM log GROUP BY 1",
+    "p6_p7_angles": f"WITH {LOG} SELECT event_id, round(sin(t / 2), 6) AS qz, round(cos(t / 2), 6) AS qw, round(atan2(sin(t), cos(t)), 6) AS yaw, round(atan2(sin(value), cos(value)), 6) AS wrapped FROM log",
+    "o3_terminal_error": f"WITH {LOG}, e AS (SELECT user_id, arg_max(value, (t, event_id)) - arg_min(value, (t, event_id)) AS dx, arg_max(k, (t, event_id)) - arg_min(k, (t, event_id)) AS dy FROM log GROUP BY 1) SELECT user_id, round(sqrt(dx * dx + dy * dy), 6) AS xy_error, round(atan2(sin(dy), cos(dy)), 6) AS yaw_error FROM e",
     "r1_uniform_draw": "SELECT o_orderkey AS id, round(0.2 + " + U % "'7|vx|' || o_orderkey" + " * 0.6, 9) AS vx, round(exp(ln(0.01) + " + U % "'7|w|' || o_orderkey" + " * (ln(10.0) - ln(0.01))), 6) AS weight, (30 + floor(" + U % "'7|n|' || o_orderkey" + " * 61))::BIGINT AS steps, ['tucked', 'carry'][1 + floor(" + U % "'7|c|' || o_orderkey" + " * 2)::INT] AS arm FROM orders",
     "r3_latin_hypercube": "WITH d AS (SELECT id, dim, row_number() OVER (PARTITION BY dim ORDER BY md5('5|' || dim || '|' || id), id) - 1 AS k, " + U % "'5|u|' || dim || '|' || id" + " AS u FROM range(3000) t(id), (VALUES ('vx'), ('steps'), ('arm')) v(dim))"
     " SELECT id, round(max(CASE WHEN dim = 'vx' THEN 0.2 + (k + u) / 3000 * 0.6 END), 9) AS vx, max(CASE WHEN dim = 'steps' THEN 30 + least(floor((k + u) / 3000 * 61), 60) END)::DOUBLE AS steps, max(CASE WHEN dim = 'arm' THEN ['tucked', 'carry'][1 + k % 2] END) AS arm FROM d GROUP BY id",
     "r5_unit_scale": "SELECT l_orderkey, l_linenumber, round((l_quantity - 1.0) / 49.0, 9) AS u_quantity, round((l_discount - 0.0) / 0.1, 9) AS u_discount, round((list_position(['A', 'N', 'R'], l_returnflag) - 1) / 2.0, 9) AS u_flag FROM lineitem",
     "j6_a4_distance_report": "WITH v AS (SELECT vec_id, embedding FROM embeddings), n AS (SELECT a.vec_id, min(sqrt(list_sum(list_transform(range(1, 7), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1)"
     " SELECT count(*) AS n, 6::BIGINT AS dims, round(min(d), 6) AS least, round(quantile_cont(d, 0.01), 6) AS p1, round(quantile_cont(d, 0.5), 6) AS median, count(*) FILTER (d < 0.05) AS close FROM n",
-    "r7_pose_pairs": "WITH a AS (SELECT pair, k, " + ", ".join(U % f"'3|{x}|' || pair || '|' || k" + f" * 20 AS {x}" for x in ("sx", "sy", "gx", "gy")) + " FROM range(200) p(pair), range(1, 51) q(k)), ok AS (SELECT *, sqrt((gx - sx) * (gx - sx) + (gy - sy) * (gy - sy)) AS d FROM a)"
-    " SELECT pair AS id, min(k) AS attempt, round(arg_min(sx, k), 6) AS sx, round(arg_min(gx, k), 6) AS gx, round(arg_min(d, k), 3) AS distance FROM ok WHERE d BETWEEN 3 AND 15 GROUP BY 1",
+    "r7_pose_pairs": f"""WITH {CELLS}, m AS (SELECT "row", grid_id * 8 + col AS col, cost FROM cells), lethal AS (SELECT "row", col FROM m WHERE cost > 253),
+ v AS (SELECT col * 0.05::DOUBLE AS x, (8 - "row") * 0.05::DOUBLE AS y, row_number() OVER (ORDER BY "row", col) - 1 AS rank FROM m WHERE cost <= 50 AND col * 0.05::DOUBLE >= 0.2 AND NOT EXISTS (SELECT 1 FROM lethal l WHERE l.col = m.col AND l."row" BETWEEN m."row" - 1 AND m."row" + 1)
+  AND NOT EXISTS (SELECT 1 FROM lethal l WHERE l.col = m.col - 1 AND l."row" BETWEEN m."row" - 1 AND m."row" + 1) AND NOT EXISTS (SELECT 1 FROM lethal l WHERE l.col = m.col + 1 AND l."row" BETWEEN m."row" - 1 AND m."row" + 1)),
+ a AS (SELECT pair, k, floor(""" + U % "'3|start|' || pair || '|' || k" + " * (SELECT count(*) FROM v)) AS s, floor(" + U % "'3|goal|' || pair || '|' || k" + """ * (SELECT count(*) FROM v)) AS g FROM range(300) p(pair), range(1, 1001) q(k)),
+ ok AS (SELECT pair AS id, k AS attempt, s.x AS start_x, s.y AS start_y, g.x AS goal_x, g.y AS goal_y, sqrt((g.x - s.x) * (g.x - s.x) + (g.y - s.y) * (g.y - s.y)) AS distance FROM a JOIN v s ON s.rank = a.s JOIN v g ON g.rank = a.g WHERE distance BETWEEN 20 AND 22 QUALIFY row_number() OVER (PARTITION BY pair ORDER BY k) = 1)
+ SELECT id, attempt::INT AS attempt, """ + ", ".join(f"round({c}, 6) AS {c}" for c in ("start_x", "start_y", "goal_x", "goal_y")) + ", " + ", ".join(f"round(-pi() + 2 * pi() * " + U % f"'3|{p}_yaw|' || id || '|' || attempt" + f", 6) AS {p}_yaw" for p in ("start", "goal")) + ", round(distance, 3) AS distance FROM ok",
     "a12_quota": "WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem), q AS (SELECT l_returnflag, 1000 // 3 + CASE WHEN row_number() OVER (ORDER BY l_returnflag) <= 1000 % 3 THEN 1 ELSE 0 END AS quota FROM (SELECT DISTINCT l_returnflag FROM lineitem)) SELECT l_returnflag, count(*) AS n FROM r JOIN q USING (l_returnflag) WHERE n <= quota GROUP BY 1",
     "j1_trial_zip": "SELECT o.o_orderkey AS trial_id, c.c_custkey AS config_id, n.n_nationkey AS pose_id FROM orders o JOIN customer c ON o.o_orderkey - 1 = c.c_custkey JOIN nation n ON o.o_orderkey - 1 = n.n_nationkey",
     "p14_clamp": "SELECT least(3000, (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier))::BIGINT AS n_trials",
@@ -94,13 +102,13 @@ SQL |= {
  l AS (SELECT s.id, i, CASE WHEN bool_or(c.cost = 254) THEN 254 ELSE max(c.cost) END AS cost FROM s JOIN cells c USING (grid_id, "row", col) GROUP BY ALL),
  r AS (SELECT id, max(cost) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS so_far FROM l), f AS (SELECT id, CASE WHEN bool_or(so_far = 254) THEN 254 ELSE max(so_far) END AS cost FROM r GROUP BY 1)
  SELECT event_id AS id, coalesce(f.cost, 254)::INT AS cost FROM log LEFT JOIN f ON f.id = event_id""",
-    "g14_fused_detection": f"""WITH {LOG}, h AS (SELECT *, value > 60 OR k < 20 AS hit FROM log), a AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM h)
- SELECT event_id, hit, sum(hit::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 3 AS confirmed FROM a""",
+    "g14_fused_detection": "WITH " + LOG + ", h AS (SELECT *, value * 4 >= 253 OR k < 40 AS either_hit, value * 4 >= 253 AND k < 40 AS both_hit FROM log), a AS (SELECT *, sum(CASE WHEN either_hit THEN 0 ELSE 1 END) OVER w AS g, sum(CASE WHEN both_hit THEN 0 ELSE 1 END) OVER w AS h FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"
+    " SELECT event_id, either_hit, sum(either_hit::INT) OVER (PARTITION BY user_id, g ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 2 AS either_confirmed, both_hit, sum(both_hit::INT) OVER (PARTITION BY user_id, h ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) >= 2 AS both_confirmed FROM a",
     "j3_state_on_samples": f"WITH {LOG} SELECT v.event_id, round(c.value, 6) AS r_min FROM (SELECT * FROM log WHERE event_type = 'view') v ASOF LEFT JOIN (SELECT * FROM log WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.ts >= c.ts",
     "x11_outcome": "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'COLLISION' WHEN o_orderpriority = '5-LOW' THEN 'TIMEOUT' WHEN o_orderstatus = 'F' THEN 'SUCCESS' WHEN o_orderstatus = 'O' THEN 'FAILED' ELSE 'UNKNOWN' END AS status FROM orders",
     "p9_read_back_text": "SELECT l_orderkey, l_linenumber, l_partkey, trim(split_part('Double value is:  ' || trunc(l_quantity)::INT || ' ', 'value is:', 2)) AS got FROM lineitem",
-    "p15_arm_moves": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderstatus AS label, o_orderpriority <> '1-URGENT' AS ok, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
- f AS (SELECT o_custkey, o_orderkey, n, true AS move, CASE WHEN ok THEN label END AS at FROM o WHERE n = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.n, f.at IS DISTINCT FROM o.label, CASE WHEN f.at IS DISTINCT FROM o.label THEN CASE WHEN o.ok THEN o.label END ELSE f.at END FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
+    "p15_arm_moves": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_orderstatus END AS label, o_orderpriority <> '1-URGENT' AS ok, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+ f AS (SELECT o_custkey, o_orderkey, n, label IS NOT NULL AS move, CASE WHEN ok THEN label END AS at FROM o WHERE n = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.n, f.at IS DISTINCT FROM o.label, CASE WHEN f.at IS DISTINCT FROM o.label THEN CASE WHEN o.ok THEN o.label END ELSE f.at END FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.n = f.n + 1)
  SELECT o_orderkey, move FROM f""",
     "o4_collision_threshold": "SELECT n_nationkey, round(CASE WHEN n_regionkey > 0 THEN n_regionkey / 10.0 + 0.05 ELSE 0.15 END, 6)::DOUBLE AS threshold FROM nation",
     "o5_isolated_errors": f"WITH {LOG} SELECT event_id AS trial_id, CASE WHEN k::INT % 7 <> 0 THEN 'SUCCESS' ELSE 'EXCEPTION' END AS status, CASE WHEN k::INT % 7 <> 0 THEN round(value, 6) END AS travel_time, CASE WHEN k::INT % 7 = 0 THEN 'bad k ' || k::INT END AS error FROM log",
