@@ -2,6 +2,8 @@
 
 import json
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -295,14 +297,56 @@ def test_trial_log_takes_new_columns(spark, tmp_path):
     sinks.append(sinks.flat(first), str(tmp_path / "log"))
     sinks.append(spark.createDataFrame([(2, "e")], "trial_id long, error string"), str(tmp_path / "log"))
     assert [tuple(r) for r in sinks.log(spark, str(tmp_path / "log")).orderBy("trial_id").collect()] == [(None, 0.5, 1), ("e", None, 2)]
-    sinks.details(first, str(tmp_path / "details"))
-    assert spark.read.json(str(tmp_path / "details")).count() == 1
+    sinks.checkpoint(spark.createDataFrame([(4,), (9,)], "trial_id long"), str(tmp_path / "at"), "m.yaml")
+    assert readers.resumed(spark, str(tmp_path / "at")) == 9
     sinks.export(spark.createDataFrame([("b",), ("a",)], "name string"), ["name"], str(tmp_path / "out"))
     assert {(r.id, r.name) for r in spark.read.json(str(tmp_path / "out")).collect()} == {(0, "a"), (1, "b")}
     rerun = spark.createDataFrame([(1, "t1", "EXCEPTION"), (1, "t2", "SUCCESS"), (2, "t1", "TIMEOUT")], "trial_id long, timestamp string, status string")
     assert {tuple(r) for r in trials.newest(rerun).collect()} == {(1, "t2", "SUCCESS"), (2, "t1", "TIMEOUT")}
 
 
+def test_trial_records_are_nested(spark, tmp_path):
+    made = [(k, "SUCCESS", 0.0, 1.0, 0.5, 3.0, 4.0, -0.5, 10.0, 20.0, 0.2) for k in range(6)]
+    done = spark.createDataFrame(made, "trial_id long, status string, start_x double, start_y double, start_yaw double, goal_x double, goal_y double, goal_yaw double, t_nav_start double, t_nav_end double, goal_distance_remaining double")
+    samples = spark.createDataFrame([(0, 12.0, 0.4), (0, 11.0, 0.3)], "trial_id long, ts double, footprint_cost double")
+    states = spark.createDataFrame([(0, t, t / 2) for t in (9.0, 20.0, 10.0, 21.0)], "trial_id long, ts double, r_min double")
+    plans = spark.createDataFrame([(1, 15.0, [(0.0, 0.0)])], "trial_id long, ts double, poses array<struct<x: double, y: double>>")
+    sinks.details(sinks.records(done, samples, states, plans), str(tmp_path / "details"), 2)
+    files = [f for f in (tmp_path / "details").iterdir() if f.suffix == ".json"]
+    assert len(files) == 2
+    read = {r["trial_id"]: r for f in files for r in map(json.loads, f.read_text().splitlines())}
+    assert len(read) == 6 and read[0]["initial_pose"] == {"x": 0.0, "y": 1.0, "yaw": 0.5} and read[0]["goal_pose"]["yaw"] == -0.5
+    assert [s["ts"] for s in read[0]["path_with_controller"]] == [11.0, 12.0] and [s["ts"] for s in read[0]["risk_state_history"]] == [10.0, 20.0]
+    assert (read[0]["num_risk_samples"], read[0]["num_controller_samples"], read[0]["num_global_replans"], read[1]["num_global_replans"]) == (4, 2, 0, 1)
+    assert "goal_distance_remaining" in read[0] and "t_nav_start" not in read[0]
+
+
+def png(pixels):
+    """A plain 8-bit PNG: grey for two dimensions, colour for three."""
+    h, w = pixels.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if pixels.ndim == 2 else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_map_files_and_settings(spark, tmp_path):
+    grey = np.array([[0, 254, 205], [7, 0, 254]], np.uint8)
+    (tmp_path / "a.png").write_bytes(png(grey))
+    (tmp_path / "b.png").write_bytes(png(np.stack([grey, grey // 2, grey // 3], axis=2)))
+    (tmp_path / "map.yaml").write_text("image: a.png\nresolution: 0.5\norigin: [1.0, 2.0, 0.0]\noccupied_thresh: 0.6\n")
+    meta = readers.map_meta(spark, str(tmp_path / "map.yaml"))
+    assert (meta["resolution"], meta["negate"], meta["occupied_thresh"]) == (0.5, 0, 0.6) and meta["image"].endswith("/a.png")
+    cells = readers.image_cells(spark, meta["image"]).orderBy("row", "col").collect()
+    assert [r.pixel for r in cells] == grey.ravel().tolist()
+    colour = [r.pixel for r in readers.image_cells(spark, str(tmp_path / "b.png")).orderBy("row", "col").collect()]
+    assert colour == [(r * 19595 + (r // 2) * 38470 + (r // 3) * 7471 + 32768) >> 16 for r in map(int, grey.ravel())]
+    (tmp_path / "c.yaml").write_text("num_trials: 7\nmap_frame: map\n")
+    assert readers.Settings.read(spark, str(tmp_path / "c.yaml")).num_trials == 7
+    (tmp_path / "bad.yaml").write_text("image: a.png\n")
+    with pytest.raises(ValueError, match="origin, resolution"):
+        readers.map_meta(spark, str(tmp_path / "bad.yaml"))
+
+
 def test_maps(spark, tmp_path):
     (tmp_path / "a.pgm").write_bytes(b"P5\n# map\n3 2\n255\n" + bytes([0, 254, 205, 0, 0, 254]))
     (tmp_path / "b.pgm").write_text("P2\n3 2\n255\n0 254 205\n0 0 254\n")
@@ -349,6 +393,16 @@ def test_closed_windows_equal_batch(spark, tmp_path):
     assert len(batch) - len(closed) <= 2
 
 
+def test_topics_become_risk_messages(spark, tmp_path):
+    rows = [("r", "2024-01-01 00:00:01", -1.0, 1.0, 0.5, 0.1, 5.0, [1.0, 2.0, 0.5, 9.0])]
+    spark.createDataFrame(rows, "key string, ts string, angle_min double, angle_max double, angle_increment double, range_min double, range_max double, ranges array<float>").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "scan"))
+    seen = scan.with_beams(latest.topic(spark, "scan", str(tmp_path / "scan")))
+    states = seen.select("ts", scan.r_min().alias("r_min"), *(F.lit(0.0).alias(n) for n in latest.RISK[1:]))
+    latest.published(latest.risk_messages(states), str(tmp_path / "risk"), str(tmp_path / "cp")).awaitTermination(120)
+    back = latest.well_formed(spark.read.parquet(str(tmp_path / "risk"))).collect()
+    assert [(r.r_min, r.r_vis) for r in back] == [(0.5, 0.0)]
+
+
 def test_messages_and_ticks(spark):
     messages = spark.createDataFrame([(1.0, [float(k) for k in range(8)]), (2.0, [1.0])], "ts double, data array<double>")
     assert [(r.ts, r.r_vis) for r in latest.well_formed(messages).collect()] == [(1.0, 7.0)]

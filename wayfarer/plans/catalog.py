@@ -566,6 +566,19 @@ def x13_well_formed(spark: SparkSession, d: str) -> DataFrame:
     return stream.well_formed(e).select(F.col("ts").alias("vec_id"), *(r6(n).alias(n) for n in stream.RISK))
 
 
+@query
+def x13_rejected(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("ts"), F.when(F.col("vec_id") % 9 > 0, F.transform(F.slice("embedding", 1, (F.col("vec_id") % 4 + 6).cast("int")), lambda x: x.cast("double"))).alias("data"))
+    return stream.malformed(e)
+
+
+@query
+def s9_first_populated(spark: SparkSession, d: str) -> DataFrame:
+    c = views.cells(spark, d)
+    snapshots = c.select((F.col("grid_id") % 50).alias("grid_id"), F.col("grid_id").alias("taken"), "row", "col", F.when(F.col("grid_id") % 150 < 50, 255).otherwise(F.col("cost")).alias("cost"))
+    return readers.first_populated(snapshots, "taken").groupBy("grid_id", "taken").agg(F.sum("cost").alias("total"))
+
+
 @query
 def g3_pixel_world(spark: SparkSession, d: str) -> DataFrame:
     meta = {"resolution": 0.05, "origin": [-3.0, 2.0]}

@@ -162,6 +162,8 @@ SQL |= {
  SELECT tick.user_id, tick.t, round(c.value, 6) AS click, round(v.value, 6) AS "view" FROM tick ASOF LEFT JOIN c ON c.user_id = tick.user_id AND tick.t >= c.t ASOF LEFT JOIN v ON v.user_id = tick.user_id AND tick.t >= v.t""",
     "x1_latest_of_batch": "SELECT event_id // 100 AS batch, event_type, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY 1, 2",
     "x13_well_formed": "SELECT vec_id, " + ", ".join(f"round(embedding[{k}]::DOUBLE, 6) AS {n}" for k, n in enumerate(("r_min", "r_width", "r_ttc", "r_dens", "r_clear", "r_curve", "r_grad", "r_vis"), 1)) + " FROM embeddings WHERE vec_id % 4 + 6 = 8",
+    "x13_rejected": "SELECT (CASE WHEN vec_id % 9 = 0 THEN -1 ELSE vec_id % 4 + 6 END)::INT AS arity, count(*) AS rejected FROM embeddings WHERE vec_id % 9 = 0 OR vec_id % 4 <> 2 GROUP BY 1",
+    "s9_first_populated": f"WITH {CELLS}, s AS (SELECT grid_id % 50 AS grid_id, grid_id AS taken, CASE WHEN grid_id % 150 < 50 THEN 255 ELSE cost END AS cost FROM cells), f AS (SELECT grid_id, min(taken) AS taken FROM s WHERE cost <> 255 GROUP BY 1) SELECT grid_id, taken, sum(cost)::BIGINT AS total FROM s JOIN f USING (grid_id, taken) GROUP BY ALL",
     "g3_pixel_world": f'WITH {CELLS} SELECT grid_id, "row", col, round(-3.0 + col * 0.05, 6)::DOUBLE AS x, round(2.0 + (8 - "row") * 0.05, 6)::DOUBLE AS y, col AS px, "row" AS py FROM cells',
     "s2_negated_map": f"""WITH {CELLS}, m AS (SELECT *, unnest([0, 1]) AS negate FROM cells) SELECT grid_id AS map_id, negate::INT AS negate, round(-2.0 + (col + 0.5) * 0.5, 6)::DOUBLE AS x, round(-2.0 + (8 - 0.5 - "row") * 0.5, 6)::DOUBLE AS y FROM m WHERE CASE negate WHEN 1 THEN cost ELSE 255 - cost END / 255.0 >= 0.65""",
     "g17_drop_collinear": "SELECT i::INT AS i, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (0, 0.5, 0.5), (1, -0.5, 0.5), (2, -0.5, -0.5), (3, 0.5, -0.5)) t(i, x, y)",

@@ -26,6 +26,12 @@ class Settings:
     max_goal_distance: float = 15.0
     max_consecutive_failures: int = 10
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Settings:
+        """Those of a YAML file that this class knows; a campaign's file has others too."""
+        known = {f.name for f in dataclasses.fields(cls)}
+        return cls.of({k: v for k, v in mapping(spark, path).items() if k in known})
+
     @classmethod
     def of(cls, values: dict) -> Settings:
         if unknown := sorted(set(values) - {f.name for f in dataclasses.fields(cls)}):
@@ -33,6 +39,21 @@ class Settings:
         return cls(**values)
 
 
+def mapping(spark: SparkSession, path: str) -> dict:
+    """One small YAML file, read through Spark from any store."""
+    import yaml  # only here: not everywhere at hand
+
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
+
+
+def map_meta(spark: SparkSession, path: str) -> dict:
+    """resolution, origin, negate, occupied_thresh and image of a map's YAML file; image is a path beside it."""
+    found = {"negate": 0, "occupied_thresh": 0.65} | mapping(spark, path)
+    if missing := sorted({"resolution", "origin", "image"} - set(found)):
+        raise ValueError(f"map without {', '.join(missing)}")
+    return found | {"image": found["image"] if found["image"].startswith("/") or "://" in found["image"] else f"{path.rsplit('/', 1)[0]}/{found['image']}"}
+
+
 def pose_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAIRS).option("multiLine", True).json(path)
 
@@ -60,6 +81,11 @@ def completed(trials: DataFrame) -> DataFrame:
     return trials.agg(F.coalesce(F.max("trial_id"), F.lit(0).cast("long")).alias("completed_trials"))
 
 
+def resumed(spark: SparkSession, path: str) -> int:
+    """Trials completed by the checkpoint at path."""
+    return spark.read.schema("completed_trials long").json(path).first()[0]
+
+
 def near_frames(frames: DataFrame, pattern: str) -> DataFrame:
     return frames.where(F.col("frame").rlike(pattern)).select("frame").distinct().orderBy("frame")
 
@@ -87,6 +113,29 @@ def map_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "map_id string, row int, col int, pixel short")
 
 
+def image_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(map_id, row, col, pixel) of PNG and other images that Spark's image source reads; colours become grey by luma."""
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, h, w, n, data in batch.itertuples(index=False):
+                bands = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.int64)
+                # blue, green, red; fixed weights of ITU-R 601 luma in 16 bits
+                grey = bands[..., 0] if n == 1 else (bands[..., 2] * 19595 + bands[..., 1] * 38470 + bands[..., 0] * 7471 + 32768) >> 16
+                row, col = np.indices(grey.shape)
+                yield pd.DataFrame({"map_id": name, "row": row.ravel(), "col": col.ravel(), "pixel": grey.ravel().astype(np.int16)})
+
+    found = spark.read.format("image").load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    return found.mapInPandas(cells, "map_id string, row int, col int, pixel short")
+
+
+def first_populated(cells: DataFrame, order: str) -> DataFrame:
+    """Per grid_id the first snapshot, by order, that has a known cell; grids without one are left out."""
+    known = cells.groupBy("grid_id", order).agg(F.bool_or(F.col("cost") != 255).alias("known")).where("known")
+    first = known.groupBy("grid_id").agg(F.min(order).alias(order))
+    return cells.join(first, ["grid_id", order])
+
+
 def occupied(cells: DataFrame, meta: dict, height: int) -> DataFrame:
     """Centres of occupied cells by the map server's rule, which negate turns round."""
     share = F.col("pixel") / 255.0 if meta["negate"] else (255 - F.col("pixel")) / 255.0

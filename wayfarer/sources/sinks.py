@@ -27,9 +27,37 @@ def log(spark: SparkSession, path: str) -> DataFrame:
     return found.select(*sorted(found.columns))
 
 
-def details(trials: DataFrame, path: str) -> None:
-    """Nested JSON by trial_id."""
-    trials.write.mode("append").partitionBy("trial_id").json(path)
+def records(trials: DataFrame, samples: DataFrame, states: DataFrame, plans: DataFrame) -> DataFrame:
+    """One nested record a trial: its columns, start and goal as poses, and its controller samples, risk states and plans in order of ts.
+
+    States outside the trial's navigation window (t_nav_start to t_nav_end) are left out of the history, but counted.
+    """
+    own = [c for c in trials.columns if not c.startswith(("start_", "goal_")) and c not in ("t_nav_start", "t_nav_end", "goal_distance_remaining")]
+    pose = lambda p: F.struct(*(F.col(f"{p}_{c}").alias(c) for c in ("x", "y", "yaw")))
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        rest = [c for c in rows.columns if c not in ("trial_id", "ts")]
+        return rows.groupBy("trial_id").agg(F.sort_array(F.collect_list(F.struct("ts", *rest))).alias(name))
+
+    head = trials.select(*own, "t_nav_start", "t_nav_end", pose("start").alias("initial_pose"), pose("goal").alias("goal_pose"), *(["goal_distance_remaining"] if "goal_distance_remaining" in trials.columns else []))
+    for rows, name in ((samples, "path_with_controller"), (states, "risk_state_history"), (plans, "global_replan_history")):
+        head = head.join(listed(rows, name), "trial_id", "left")
+    counts = {"num_risk_samples": "risk_state_history", "num_controller_samples": "path_with_controller", "num_global_replans": "global_replan_history"}
+    head = head.withColumns({n: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)) for n, c in counts.items()})
+    within = F.filter("risk_state_history", lambda s: s["ts"].between(F.col("t_nav_start"), F.col("t_nav_end")))
+    return head.withColumn("risk_state_history", within).drop("t_nav_start", "t_nav_end")
+
+
+def details(records: DataFrame, path: str, files: int | None = None) -> None:
+    """Nested records as JSON lines in ranges of trial_id, so that a trial is found by its file's range and files stay few."""
+    n = [files] if files else []
+    records.repartitionByRange(*n, "trial_id").sortWithinPartitions("trial_id").write.mode("append").json(path)
+
+
+def checkpoint(trials: DataFrame, path: str, map_name: str) -> None:
+    """How far a campaign got, as JSON."""
+    done = trials.agg(F.coalesce(F.max("trial_id"), F.lit(0).cast("long")).alias("completed_trials"))
+    done.withColumn("timestamp", F.current_timestamp()).withColumn("map", F.lit(map_name)).write.mode("overwrite").json(path)
 
 
 def summary(trials: DataFrame) -> DataFrame:
