@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfarer.sources.shared import stash
+
 LETHAL, INSCRIBED, UNKNOWN = 254, 253, 255
 
 
@@ -94,6 +96,8 @@ def nearest(points: DataFrame, obstacles: DataFrame, side: float, others: tuple[
 
     Rings of buckets of the given side are joined by equality. A ring's result is final when it is no
     farther than the ring reaches; the other points try a ring four times as wide, until it spans everything.
+    Each ring is written to the shared folder, so the next one starts from the points that are left, and the
+    search ends with the last of them.
     """
     key = {k: F.floor(F.col(k) / side).cast("long").alias(f"b{k}") for k in "xy"}
     own = ("id", "x", "y", *others)
@@ -115,11 +119,11 @@ def nearest(points: DataFrame, obstacles: DataFrame, side: float, others: tuple[
         near = left.select(*own, big["x"].alias("cx"), big["y"].alias("cy")).withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).select(*own, (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
         met = near.join(placed.drop("bx", "by").select("*", big["ox"].alias("cx"), big["oy"].alias("cy")), ["cx", "cy"], "left")
         squares = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in ("x", "y", *others)), F.lit(0.0))
-        best = met.groupBy(*own).agg(F.min(F.when(F.col("id") != F.col("oid"), F.sqrt(squares)) if but_itself else F.sqrt(squares)).alias("distance"))
+        best = stash(met.groupBy(*own).agg(F.min(F.when(F.col("id") != F.col("oid"), F.sqrt(squares)) if but_itself else F.sqrt(squares)).alias("distance")), "nearest")
         last = ring > widest
         sure = best if last else best.where(F.col("distance") <= wide)
         done = sure.select("id", "distance") if done is None else done.union(sure.select("id", "distance"))
-        if last:
-            return done
         left = best.where(F.col("distance").isNull() | (F.col("distance") > wide)).select(*own)
+        if last or left.isEmpty():
+            return done
         ring *= 4

@@ -57,9 +57,17 @@ def longest_circular(blocked: Column, n: int) -> Column:
 
 
 def r_clear() -> Column:
-    near = F.array_distinct(F.transform(F.filter("beams", lambda b: b["valid"] & (b["r"] < NEAR)), lambda b: F.floor((b["a"] + math.pi) / (2 * math.pi / SECTORS)).cast("int") % SECTORS))
-    blocked = F.transform(F.sequence(F.lit(0), F.lit(SECTORS - 1)), lambda k: F.array_contains(near, k))
-    return longest_circular(blocked, SECTORS) * (2 * math.pi / SECTORS)
+    """Widest free stretch of the ring of sectors, which are the bits of one number, so the beams are walked through once."""
+    near = F.filter("beams", lambda b: b["valid"] & (b["r"] < NEAR))
+    sector = lambda b: F.floor((b["a"] + math.pi) / (2 * math.pi / SECTORS)).cast("int") % SECTORS
+    bits = F.aggregate(near, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), sector(b))))
+
+    def free(m: Column) -> Column:
+        blocked = F.transform(F.sequence(F.lit(0), F.lit(SECTORS - 1)), lambda k: F.call_function("shiftright", m, k).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return longest_circular(blocked, SECTORS)
+
+    # an array of one binds the number, so that it isn't computed for each sector
+    return F.get(F.transform(F.array(bits), free), F.lit(0)) * (2 * math.pi / SECTORS)
 
 
 def base_distance(offset: float = 0.202) -> Column:
