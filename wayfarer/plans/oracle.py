@@ -168,3 +168,10 @@ SQL |= {
     "s2_negated_map": f"""WITH {CELLS}, m AS (SELECT *, unnest([0, 1]) AS negate FROM cells) SELECT grid_id AS map_id, negate::INT AS negate, round(-2.0 + (col + 0.5) * 0.5, 6)::DOUBLE AS x, round(-2.0 + (8 - 0.5 - "row") * 0.5, 6)::DOUBLE AS y FROM m WHERE CASE negate WHEN 1 THEN cost ELSE 255 - cost END / 255.0 >= 0.65""",
     "g17_drop_collinear": "SELECT i::INT AS i, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (0, 0.5, 0.5), (1, -0.5, 0.5), (2, -0.5, -0.5), (3, 0.5, -0.5)) t(i, x, y)",
 }
+
+SQL["g16_convex_hull"] = f"""WITH {LOG}, p AS (SELECT DISTINCT user_id AS path_id, round(value / 100, 6) AS x, round(k / 100, 6) AS y FROM log),
+ e AS (SELECT a.path_id, a.x, a.y FROM p a JOIN p b ON a.path_id = b.path_id AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON a.path_id = c.path_id GROUP BY a.path_id, a.x, a.y, b.x, b.y
+  HAVING bool_and((b.x - a.x) * (c.y - a.y) >= (b.y - a.y) * (c.x - a.x)) AND bool_and((b.x - a.x) * (c.y - a.y) <> (b.y - a.y) * (c.x - a.x) OR (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) BETWEEN 0 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))),
+ v AS (SELECT DISTINCT * FROM e), m AS (SELECT path_id, avg(x) AS cx, avg(y) AS cy, count(*) AS size FROM v GROUP BY 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY atan2(y - cy, x - cx)) AS n FROM v JOIN m USING (path_id)), s AS (SELECT *, first_value(n) OVER (PARTITION BY path_id ORDER BY x, y) AS n0 FROM r)
+ SELECT path_id, (n - n0 + size) % size AS i, x, y FROM s"""
