@@ -123,6 +123,11 @@ def throttled(log: DataFrame, key: str, time: str, period: float) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(emitted, rows.schema)
 
 
+def first_rows(log: DataFrame, key: str, order: list[str], n: int = 3) -> DataFrame:
+    """The first n rows of each key."""
+    return log.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def first_stop(failed: DataFrame, key: str, order: str, flag: str, n: int) -> DataFrame:
     """Per key, the first row at which n failures have come in a row."""
     runs = confirmed(failed, key, [order], flag, n)

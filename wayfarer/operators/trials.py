@@ -64,6 +64,11 @@ def outcome(collided: Column, decision: Column, result: Column, known: Column) -
     return F.when(collided, "COLLISION").otherwise(F.coalesce(decision, result, known, F.lit("UNKNOWN")))
 
 
+def error_tail(text: Column, n: int = 200) -> Column:
+    """The last n characters of what a process wrote; empty for none."""
+    return F.coalesce(F.right(text, F.lit(n)), F.lit(""))
+
+
 def with_failures(done: DataFrame, failed: DataFrame) -> DataFrame:
     """Results and failure rows (trial_id, timestamp, error) in one table, whatever columns either has."""
     return done.unionByName(failed.withColumn("status", F.lit("EXCEPTION")), allowMissingColumns=True)

@@ -54,6 +54,18 @@ def s11_near_returns(spark: SparkSession, d: str) -> DataFrame:
     return views.scans(spark, d).select("vec_id", F.explode(scan.near_returns()).alias("b")).select("vec_id", "b.beam", r6("b.r").alias("r"), r6(F.degrees("b.a")).alias("degrees"))
 
 
+@query
+def t5_first_scans(spark: SparkSession, d: str) -> DataFrame:
+    first = merge.first_rows(views.scans(spark, d), "v", ["vec_id"])
+    return first.select("vec_id", F.explode(scan.near_returns(0.4)).alias("b")).select("vec_id", "b.beam", r6("b.r").alias("r"))
+
+
+@query
+def t5_error_tail(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("o_orderkey") % 5 > 0, F.repeat(F.concat(F.lit("é error "), F.col("o_orderkey").cast("string"), F.lit("; ")), (F.col("o_orderkey") % 40).cast("int")))
+    return table(spark, d, "orders").select("o_orderkey", trials.error_tail(said).alias("error"))
+
+
 @query
 def g13_lidar_clearance(spark: SparkSession, d: str) -> DataFrame:
     robot = geometry.polygon(geometry.CARRY)
@@ -274,7 +286,8 @@ def r3_latin_hypercube(spark: SparkSession, d: str) -> DataFrame:
 def r4_maximin(spark: SparkSession, d: str) -> DataFrame:
     numeric = [("vx", 0.2, 0.8, 0), ("steps", 30.0, 90.0, 61)]
     pool = design.latin_hypercube(spark, 1200, 5, numeric, {"arm": ["tucked", "carry"]})
-    return design.maximin(pool.select("id", "vx", "steps", "arm", *design.unit(numeric)), "arm", ["u_vx", "u_steps"], 300)
+    kept = design.maximin(pool.select("id", "vx", "steps", "arm", *design.unit(numeric)), "arm", ["u_vx", "u_steps"], 300)
+    return kept.select("id", "steps", "arm", *(r6(c, 9).alias(c) for c in ("vx", "u_vx", "u_steps")))
 
 
 @query

@@ -30,6 +30,8 @@ SQL = {
     "p3_valid_beams": f"WITH {BEAMS} SELECT vec_id, b::INT AS beam, round(r, 6) AS r FROM valid",
     "f9_base_distance": f"WITH {BEAMS} SELECT e.vec_id, round(min(sqrt((r * cos(a) + 0.202) * (r * cos(a) + 0.202) + r * sin(a) * (r * sin(a)))), 6) AS distance FROM embeddings e LEFT JOIN valid USING (vec_id) GROUP BY 1",
     "s11_near_returns": f"WITH {BEAMS}, near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY b) AS n FROM beams WHERE r > 0.1 AND r < 0.15) SELECT vec_id, b::INT AS beam, round(r, 6) AS r, round(degrees(a), 6) AS degrees FROM near WHERE n <= 20",
+    "t5_first_scans": f"WITH {BEAMS}, f AS (SELECT vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3), near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY b) AS n FROM beams JOIN f USING (vec_id) WHERE r > 0.1 AND r < 0.4) SELECT vec_id, b::INT AS beam, round(r, 6) AS r FROM near WHERE n <= 20",
+    "t5_error_tail": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN right(repeat('é error ' || o_orderkey || '; ', (o_orderkey % 40)::INT), 200) ELSE '' END AS error FROM orders",
     "f4_density": f"WITH {CELLS} SELECT grid_id, round(avg(CASE WHEN cost = 254 THEN 1.0 ELSE 0.0 END), 6) AS r_dens FROM cells WHERE abs(\"row\" - 4) <= 2.0 // 0.5 AND abs(col - 4) <= 2.0 // 0.5 GROUP BY 1",
     "w7_gradient": f"""WITH {CELLS} SELECT grid_id, "row", col, round(sqrt(gx * gx + gy * gy) / 0.5, 6) AS gradient FROM (SELECT *, coalesce((lead(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col) - lag(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col)) / 2.0, 0.0) AS gx,
  coalesce((lead(cost) OVER (PARTITION BY grid_id, col ORDER BY "row") - lag(cost) OVER (PARTITION BY grid_id, col ORDER BY "row")) / 2.0, 0.0) AS gy FROM cells)""",
@@ -175,3 +177,12 @@ SQL["g16_convex_hull"] = f"""WITH {LOG}, p AS (SELECT DISTINCT user_id AS path_i
  v AS (SELECT DISTINCT * FROM e), m AS (SELECT path_id, avg(x) AS cx, avg(y) AS cy, count(*) AS size FROM v GROUP BY 1),
  r AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY atan2(y - cy, x - cx)) AS n FROM v JOIN m USING (path_id)), s AS (SELECT *, first_value(n) OVER (PARTITION BY path_id ORDER BY x, y) AS n0 FROM r)
  SELECT path_id, (n - n0 + size) % size AS i, x, y FROM s"""
+SQL["r4_maximin"] = (
+    "WITH RECURSIVE d AS (SELECT id, dim, row_number() OVER (PARTITION BY dim ORDER BY md5('5|' || dim || '|' || id), id) - 1 AS k, " + U % "'5|u|' || dim || '|' || id" + """ AS u FROM range(1200) t(id), (VALUES ('vx'), ('steps'), ('arm')) v(dim)),
+ w AS (SELECT id, max(CASE WHEN dim = 'vx' THEN 0.2 + (k + u) / 1200 * 0.6 END)::DOUBLE AS vx, max(CASE WHEN dim = 'steps' THEN 30 + least(floor((k + u) / 1200 * 61), 60) END)::DOUBLE AS steps, max(CASE WHEN dim = 'arm' THEN ['tucked', 'carry'][1 + k % 2] END) AS arm FROM d GROUP BY id),
+ p AS (SELECT *, (vx - 0.2::DOUBLE) / (0.8::DOUBLE - 0.2::DOUBLE) AS a, (steps - 30) / 60 AS b FROM w), m AS (SELECT *, avg(a) OVER (PARTITION BY arm) AS ma, avg(b) OVER (PARTITION BY arm) AS mb FROM p),
+ z AS (SELECT *, first_value(struct_pack(id := id, a := a, b := b)) OVER (PARTITION BY arm ORDER BY (a - ma) * (a - ma) + (b - mb) * (b - mb), id) AS c FROM m),
+ r AS (SELECT arm, 1 AS step, id, a, b, c.id AS chosen, (a - c.a) * (a - c.a) + (b - c.b) * (b - c.b) AS gap FROM z UNION ALL
+  SELECT arm, step + 1, id, a, b, c.id, least(gap, (a - c.a) * (a - c.a) + (b - c.b) * (b - c.b)) FROM (SELECT *, first_value(struct_pack(id := id, a := a, b := b)) OVER (PARTITION BY arm ORDER BY gap DESC, id) AS c FROM r WHERE step < 150))
+ SELECT p.id, steps, arm, round(vx, 9) AS vx, round(a, 9) AS u_vx, round(b, 9) AS u_steps FROM p WHERE id IN (SELECT chosen FROM r)"""
+)
