@@ -15,10 +15,28 @@ def upto(key: str, *order: str) -> Window:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def latest(log: DataFrame, key: str, order: list[str], topic: str, value: str, topics: list[str]) -> DataFrame:
-    """The log with the latest value of each topic at each row (as-of merge, backward)."""
-    w = upto(key, *order)
-    return log.select("*", *(F.last(F.when(F.col(topic) == t, F.col(value)), True).over(w).alias(f"last_{t}") for t in topics))
+def last_known(log: DataFrame, key: str, order: list[str], values: dict[str, Column], slab: Column | None = None) -> DataFrame:
+    """The log with the last value that isn't null of each column of values, up to each row of its key.
+
+    slab: a number that grows with the order, such as the day. Rows are then looked through within a key's
+    slab, and what earlier slabs hold comes from one row for each, so a key of any size is many tasks' work.
+    """
+    if slab is None:
+        w = upto(key, *order)
+        return log.select("*", *(F.last(v, True).over(w).alias(n) for n, v in values.items()))
+    marked = log.select("*", slab.alias("_slab"), *(v.alias(f"_{n}") for n, v in values.items()))
+    w = Window.partitionBy(key, "_slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = marked.select(*log.columns, "_slab", *(F.last(f"_{n}", True).over(w).alias(f"_{n}") for n in values))
+    ends = marked.groupBy(F.col(key).alias("_key"), F.col("_slab").alias("_of")).agg(*(F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.struct(*order))).alias(f"_{n}") for n in values))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_key", "_of", *(F.last(f"_{n}", True).over(earlier).alias(f"_before_{n}") for n in values))
+    both = seen.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slab").eqNullSafe(F.col("_of")))
+    return both.select(*log.columns, *(F.coalesce(f"_{n}", f"_before_{n}").alias(n) for n in values))
+
+
+def latest(log: DataFrame, key: str, order: list[str], topic: str, value: str, topics: list[str], slab: Column | None = None) -> DataFrame:
+    """The log with the latest value of each topic at each row (as-of merge, backward); slab as for last_known."""
+    return last_known(log, key, order, {f"last_{t}": F.when(F.col(topic) == t, F.col(value)) for t in topics}, slab)
 
 
 def confirmed(log: DataFrame, key: str, order: list[str], hit: str, frames: int = 2) -> DataFrame:
@@ -47,17 +65,16 @@ def fused(log: DataFrame, key: str, order: list[str], cost: Column, lidar_hit: C
     return confirmed(marked, key, order, "hit", frames)
 
 
-def degraded(log: DataFrame, key: str, order: list[str], early: Column, late: Column, budget: float, features: dict[str, tuple[int, Column]]) -> DataFrame:
+def degraded(log: DataFrame, key: str, order: list[str], early: Column, late: Column, budget: float, features: dict[str, tuple[int, Column]], slab: Column | None = None) -> DataFrame:
     """The log with features as far as the time budget went, else carried on from the rows before (0 at first), and how many were computed.
 
     features: name to tier and value. Tier 0 is always computed, 1 if `early` is below half the budget, 2 if
     `late` is below 0.8 of it.
     """
-    w = upto(key, *order)
     due = (F.lit(True), early < 0.5 * budget, late < 0.8 * budget)
-    carried = [F.coalesce(F.last(F.when(due[tier], x), True).over(w), F.lit(0.0)).alias(name) for name, (tier, x) in features.items()]
     n = sum((due[tier].cast("int") for tier, _ in features.values()), F.lit(0))
-    return log.select("*", *carried, n.alias("computed"))
+    known = last_known(log.withColumn("computed", n), key, order, {name: F.when(due[tier], x) for name, (tier, x) in features.items()}, slab)
+    return known.fillna(0.0, list(features))
 
 
 def last_pose(log: DataFrame, key: str, order: list[str], pose: list[str], live: DataFrame | None = None) -> DataFrame:

@@ -138,7 +138,7 @@ def j7_cell_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query
 def j2_latest_values(spark: SparkSession, d: str) -> DataFrame:
     topics = ["click", "error", "purchase", "signup", "view"]
-    return merge.latest(views.log(spark, d), "user_id", ORDER, "event_type", "value", topics).select("event_id", *(r6(f"last_{t}").alias(f"last_{t}") for t in topics))
+    return merge.latest(views.log(spark, d), "user_id", ORDER, "event_type", "value", topics, F.floor(F.col("t") / 86400)).select("event_id", *(r6(f"last_{t}").alias(f"last_{t}") for t in topics))
 
 
 @query
@@ -161,7 +161,7 @@ def w8_throttle(spark: SparkSession, d: str) -> DataFrame:
 def x5_w9_degraded(spark: SparkSession, d: str) -> DataFrame:
     tiers = {"r_min": 0, "r_ttc": 0, "r_vis": 0, "r_dens": 1, "r_width": 1, "r_clear": 1, "r_curve": 2, "r_grad": 2}
     features = {name: (tier, F.col("value") + i * F.col("k")) for i, (name, tier) in enumerate(tiers.items())}
-    seen = merge.degraded(views.log(spark, d), "user_id", ORDER, F.col("k") / 10, F.col("k") / 10 + F.col("value") / 100, 10.0, features)
+    seen = merge.degraded(views.log(spark, d), "user_id", ORDER, F.col("k") / 10, F.col("k") / 10 + F.col("value") / 100, 10.0, features, F.floor(F.col("t") / 604800))
     return seen.select("event_id", "computed", *(r6(n).alias(n) for n in tiers))
 
 
