@@ -28,7 +28,8 @@ from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import texts
 
 SPACE = "▁"
-KEPT = 400_000
+KEPT = 100_000
+PAIRS_KEPT = 300_000
 #: Texts that show a model's normalization, its treatment of white space and its fallback to bytes.
 PROBES = ("a", " a", "a ", "  a  b  ", "A\tb\nc\r\n", "\ufb01 \u212b e\u0301 \u00e9 \u3000x\u00a0y", "\u2581a\u2581", "\u200bz\ufeff", "\U0001f642\x00\x1f", "<s> </s> <unk>")
 
@@ -72,23 +73,20 @@ class PrefixTable:
     def compatible(self, left: str, right: str) -> bool:
         found = self.fits.get((left, right))
         if found is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) >= PAIRS_KEPT:
                 self.fits.clear()
             found = self.fits[left, right] = self.merged(left + right) == [x for x in (left, right) if x]
         return found
 
     def pieces(self, text: str) -> list[str]:
-        ends: list[list[str]] = [[] for _ in text]
-        for at, piece in self.automaton.iter(text):
-            ends[at].append(piece)
-        last = [""]
-        for at, found in enumerate(ends, 1):
-            for piece in found:
-                if self.compatible(last[at - len(piece)], piece):
-                    last.append(piece)
-                    break
-            else:
-                last.append(text[at - 1])
+        last, settled = [""], -1
+        for at, piece in self.automaton.iter(text):  # by where they end
+            while len(last) <= at:  # characters without a piece, or whose pieces don't fit
+                last.append(text[len(last) - 1])
+            if at != settled and self.compatible(last[at + 1 - len(piece)], piece):
+                last.append(piece)
+                settled = at
+        last += text[len(last) - 1 :]
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -108,18 +106,30 @@ class PrefixTable:
 
 
 class Parts(dict):
-    """Ids as decimals and decoded bytes of the parts met last, by the part without its first space."""
+    """Ids as decimals of the parts met last, by the part without its first space.
+
+    There are two generations: when the young one is full it becomes the old one, from which parts in use
+    come back, so that frequent parts stay. Decoding a part gives the part itself, but for the parts in
+    `other`; each is decoded from its ids when it is first met.
+    """
 
     def __init__(self, table: PrefixTable) -> None:
-        self.table, self.spelled, self.text = table, table.spelled, {}
+        self.table, self.spelled = table, table.spelled
+        self.old: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= KEPT:
+            self.old = dict(self)
             self.clear()
-            self.text.clear()
-        ids = self.table.encoded(SPACE + part)
-        self.text[part] = b"".join([self.spelled[i] for i in ids])
-        self[part] = out = b",".join([b"%d" % i for i in ids])
+        out = self.old.get(part)
+        if out is None:
+            ids = self.table.encoded(SPACE + part)
+            decoded = b"".join([self.spelled[i] for i in ids])
+            if decoded != _plain(part):
+                self.other[part] = decoded
+            out = b",".join([b"%d" % i for i in ids])
+        self[part] = out
         return out
 
     def of(self, text: str) -> tuple[bytes, bytes]:
@@ -131,17 +141,15 @@ class Parts(dict):
             parts = [x[1:].replace(" ", SPACE) for x in re.findall(" +[^ ]*", " " + text)]
         else:
             parts = text.split(" ")
-        if len(self) + len(parts) > KEPT and len(self) > KEPT // 2:  # so that none goes between the two lookups
-            self.clear()
-            self.text.clear()
         ids = b",".join([self[x] for x in parts])
-        try:
-            words = b"".join([self.text[x] for x in parts])
-        except KeyError:  # one text has more parts than are kept
-            words = b"".join([self.spelled[int(i)] for i in ids.split(b",")])
+        words = b"".join([self.other.get(x) or _plain(x) for x in parts] if self.other else map(_plain, parts))
         return ids, words[1:]
 
 
+def _plain(part: str) -> bytes:
+    return b" " + part.replace(SPACE, " ").encode()
+
+
 @lru_cache(maxsize=2)
 def parts_of(model: str) -> Parts:
     return Parts(PrefixTable(model))
