@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfarer.sources.shared import shared_dir, stash
+
+__all__ = ["shared_dir", "stash"]
+
 NO_ID = -(2**63)
 
 
@@ -16,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir. Without that setting a local session gets a root of its own; a cluster raises ValueError."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = getattr(spark, "_wayfarer_root", None) or f"file://{tempfile.mkdtemp(prefix='wayfarer-')}"
-        spark._wayfarer_root = root
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def posix_path(uri: str) -> str:
     """The mounted path of a shared folder, for code that memory-maps files in it."""
     parts = urlparse(uri)
@@ -35,14 +26,6 @@ def posix_path(uri: str) -> str:
     return unquote(parts.path)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 GROUP_BYTES = 64 << 20
 
 

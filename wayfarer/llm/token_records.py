@@ -38,7 +38,7 @@ from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import input_bytes, stash, texts
 
 END = 1
-KEPT = 1_000_000
+KEPT = 2_000_000
 MASK = 0xA282EAD8
 NULL = 0x80
 SHARD_BYTES = 128 << 20
