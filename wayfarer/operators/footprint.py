@@ -16,15 +16,20 @@ ABOVE_ALL = 256  # stands for LETHAL where the greatest cost is sought
 def line_cost(costs: Column, a: Column, b: Column, size: int, step: float) -> Column:
     """Cost of the cells met walking from cell a to cell b, a sample every step from the start, truncated: LETHAL if one is, else the greatest."""
     dx, dy = (b["x"] - a["x"]).cast("double"), (b["y"] - a["y"]).cast("double")
-    far = F.sqrt(dx * dx + dy * dy)
 
-    def at(t: Column) -> Column:
-        col, row = ((F.when(far == 0, a[k]).otherwise((a[k] + t * step * (d / F.greatest(far, F.lit(1e-9)))).cast("int"))) for k, d in (("x", dx), ("y", dy)))
-        cost = F.coalesce(F.get(costs, row * size + col), F.lit(0))
-        return F.when(cost == LETHAL, ABOVE_ALL).otherwise(cost)
+    def walked(m: Column) -> Column:
+        def at(t: Column) -> Column:
+            col, row = ((F.when(m["far"] == 0, m[k]).otherwise((m[k] + t * step * m[f"u{k}"]).cast("int"))) for k in "xy")
+            cost = F.coalesce(F.get(costs, row * size + col), F.lit(0))
+            return F.when(cost == LETHAL, ABOVE_ALL).otherwise(cost)
+
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.floor(m["far"] / step).cast("int")), at))
 
-    most = F.array_max(F.transform(F.sequence(F.lit(0), F.floor(far / step).cast("int")), at))
-    return F.when(most == ABOVE_ALL, LETHAL).otherwise(most)
+    # arrays of one bind the line's length and direction, so that they aren't computed for each sample
+    far = F.sqrt(dx * dx + dy * dy)
+    lines = F.transform(F.array(far), lambda f: F.struct(f.alias("far"), a["x"].alias("x"), a["y"].alias("y"), (dx / F.greatest(f, F.lit(1e-9))).alias("ux"), (dy / F.greatest(f, F.lit(1e-9))).alias("uy")))
+    most = F.get(F.transform(lines, walked), F.lit(0))
+    return F.get(F.transform(F.array(most), lambda c: F.when(c == ABOVE_ALL, LETHAL).otherwise(c)), F.lit(0))
 
 
 def costed(poses: DataFrame, grids: DataFrame, poly: Column, resolution: float, size: int, step: float = 0.1) -> DataFrame:
@@ -35,7 +40,8 @@ def costed(poses: DataFrame, grids: DataFrame, poly: Column, resolution: float,
     one outweighs it and one met behind doesn't count.
     """
     # arrays of one, exploded, keep the optimizer from computing polygon and cells anew wherever they are used
-    placed = poses.withColumn("_p", F.explode(F.array(geometry.placed(poly, F.col("x"), F.col("y"), F.col("yaw")))))
+    n = int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: poses go to all tasks
+    placed = poses.repartition(n).withColumn("_p", F.explode(F.array(geometry.placed(poly, F.col("x"), F.col("y"), F.col("yaw")))))
     inside = F.forall("_p", lambda v: (v["x"] >= 0) & (v["y"] >= 0) & ((v["x"] / resolution).cast("int") < size) & ((v["y"] / resolution).cast("int") < size))
     on = placed.withColumn("_in", inside).withColumn("_p", F.explode(F.array(F.transform("_p", lambda v: geometry.point((v["x"] / resolution).cast("int"), (v["y"] / resolution).cast("int"))))))
     met = on.join(grids.withColumnRenamed("cost", "_costs"), "grid_id", "left")
