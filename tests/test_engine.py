@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import struct
 import zlib
 
@@ -170,6 +171,25 @@ def test_confirmation_and_throttle(spark):
     assert sorted(map(tuple, merge.throttled(log.coalesce(1), "key", "t", 0.1).collect())) == [(k, t + k) for k in (1, 2) for t in (0.0, 0.11, 0.22, 0.5)]
 
 
+def test_slabs_carry_runs_and_minima(spark):
+    draw = random.Random(5)
+    rows = [(key, t, draw.choice((True, True, True, False, None)), draw.choice((None, 1.0, 2.0, float(t % 17))), t // 4) for key in (1, 2, None) for t in draw.sample(range(60), 40)]
+    log = spark.createDataFrame(rows, "key int, t int, hit boolean, value double, extra int")
+    slab = F.floor(F.col("t") / 4)
+    runs, least = {}, {}
+    for key, t, hit, value, _ in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        last, low = next(((runs[k], least[k]) for k in reversed(runs) if k[0] == key), (0, None))
+        runs[key, t] = 0 if hit is False else last + bool(hit)
+        least[key, t] = min((v for v in (low, value) if v is not None), default=None)
+    for by in (None, slab):
+        got = merge.confirmed(log, "key", ["t"], "hit", 3, by)
+        assert got.columns == [*log.columns, "run", "confirmed"]
+        # a null hit ends no run, and a row of a miss itself counts none
+        assert {(r.key, r.t): (r.run, r.confirmed) for r in got.collect()} == {k: (n, n >= 3) for k, n in runs.items()}
+        assert {(r.key, r.t): r.low for r in merge.running_minima(log, "key", ["t"], {"low": F.col("value")}, by).collect()} == least
+        assert merge.confirmed(log.limit(0), "key", ["t"], "hit", 3, by).count() == merge.running_minima(log.limit(0), "key", ["t"], {"low": F.col("value")}, by).count() == 0
+
+
 def test_grids_with_gaps_pack(spark):
     cells = spark.createDataFrame([("a", r, c, 10 * r + c) for r in range(2) for c in range(2)] + [("b", 1, 0, 7), ("b", 5, 0, 9)], "grid_id string, row int, col int, cost int")
     assert {r.grid_id: r.cost for r in grid.packed(cells, 2, "cost").collect()} == {"a": [0, 1, 10, 11], "b": [None, None, 7, None]}
@@ -254,6 +274,22 @@ def test_measured_outline(spark):
     joints = spark.createDataFrame([("r", 0.6, 0.0), ("r", 0.3, 0.0), ("r", 0.0, 0.1)], "robot string, x double, y double")
     ring = design.hull(footprint.outline_points(joints, 0.27, 0.05), "robot").toPandas()
     assert ring["x"].max() == pytest.approx(0.65) and ring["x"].min() == pytest.approx(-0.27)
+    ends = design.hull(footprint.outline_points(joints, 0.27, 0.05, ends=True), "robot").toPandas()
+    assert ends["x"].max() == ring["x"].max() and ends["y"].max() == ring["y"].max() and len(ends) <= len(ring)
+
+
+def test_hulls_grow_batch_by_batch(spark):
+    draw = random.Random(2)
+    rows = [(k, draw.uniform(-1, 1), draw.uniform(-1, 1)) for k in ("a", "b", "c") for _ in range(300)] + [("one", 0.5, 0.5), ("line", 0.0, 0.0), ("line", 0.5, 0.5), ("line", 1.0, 1.0), (None, 9.0, 9.0), ("a", None, 9.0)]
+    points = spark.createDataFrame(rows, "k string, x double, y double").repartition(3)
+    whole = {tuple(r) for r in design.hull(points, "k").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {tuple(r) for r in design.hull(points, "k").collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r for r in whole if r[0] in ("one", "line")} == {("one", 0, 0.5, 0.5), ("line", 0, 0.0, 0.0), ("line", 1, 1.0, 1.0)}
+    assert design.hull(points.limit(0), "k").count() == 0
 
 
 # trials

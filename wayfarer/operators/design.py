@@ -101,21 +101,39 @@ def _ring(pts: np.ndarray) -> np.ndarray:
 def hull(points: DataFrame, by: str) -> DataFrame:
     """Convex hull of each group's points (rounded to 6 digits), counter-clockwise from the least x; collinear points go.
 
-    Tasks send the hulls of their own points of each group, and a group's hull is that of those.
+    Tasks send the hulls of their own points of each group, and a group's hull is that of those: it grows batch
+    by batch, so no group is held whole. Points without a group or a coordinate are left out.
     """
 
+    def frame(rings: list[tuple[object, np.ndarray]]) -> pd.DataFrame:
+        sizes = [len(r) for _, r in rings]
+        xy = np.concatenate([np.empty((0, 2)), *(r for _, r in rings)])
+        keys = pd.Series([k for k, _ in rings], dtype=object).repeat(sizes)
+        return pd.DataFrame({by: keys.to_numpy(), "i": np.concatenate([np.arange(0), *map(np.arange, sizes)]), "x": xy[:, 0], "y": xy[:, 1]})
+
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, rows in batch.groupby(by, sort=False):
-                ring = _ring(rows[["x", "y"]].to_numpy(float).round(6))
-                yield pd.DataFrame({by: key, "x": ring[:, 0], "y": ring[:, 1]})
-
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        ring = _ring(rows[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({by: rows[by].iloc[0], "i": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1]})
+            xy = batch[["x", "y"]].to_numpy(float).round(6)
+            yield frame([(key, _ring(xy[at])) for key, at in batch.groupby(by, sort=False).indices.items()])
 
-    kind = points.schema[by].dataType.simpleString()
-    return points.select(by, "x", "y").mapInPandas(own, f"{by} {kind}, x double, y double").groupBy(by).applyInPandas(of, f"{by} {kind}, i long, x double, y double")
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ring = None, np.empty((0, 2))
+        for batch in batches:
+            keys, xy, done = batch[by].to_numpy(), batch[["x", "y"]].to_numpy(float), []
+            heads = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
+            for a, b in zip(heads, [*heads[1:], len(keys)], strict=True):
+                if len(ring) and keys[a] != now:
+                    done.append((now, ring))
+                    ring = np.empty((0, 2))
+                now, ring = keys[a], _ring(np.concatenate([ring, xy[a:b]]))
+            yield frame(done)
+        if len(ring):
+            yield frame([(now, ring)])
+
+    ddl = f"`{by}` {points.schema[by].dataType.simpleString()}, i long, x double, y double"
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: groups go to all tasks
+    rings = points.select(by, "x", "y").dropna().mapInPandas(own, ddl)
+    return rings.repartition(n, by).sortWithinPartitions(by).mapInPandas(met, ddl)
 
 
 def spread_out(spark: SparkSession, n: int, seed: int, numeric: list[Dimension], choices: dict[str, list[str]], oversample: int = 4) -> DataFrame:

@@ -61,19 +61,25 @@ def densified(a: Column, b: Column, step: float = 0.04) -> Column:
     return F.transform(F.sequence(F.lit(0), n), lambda k: geometry.point(a["x"] + (b["x"] - a["x"]) * k / n, a["y"] + (b["y"] - a["y"]) * k / n))
 
 
-def outline_points(joints: DataFrame, base: float, link: float, n: int = 6) -> DataFrame:
-    """(robot, x, y): the base's outline and circles around points along the joint chain, which goes outwards from the robot's origin."""
+def outline_points(joints: DataFrame, base: float, link: float, n: int = 6, ends: bool = False) -> DataFrame:
+    """(robot, x, y): the base's outline and circles around points along the joint chain, which goes outwards from the robot's origin.
+
+    ends: circles around the joints only, which have the same hull: what lies between two circles of a size is
+    within the hull of both.
+    """
     origin = F.array(F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
-    chain = joints.groupBy("robot").agg(F.array_sort(F.concat(origin, F.collect_list(F.struct(F.hypot("x", "y").alias("r"), "x", "y")))).alias("c"))
+    n_tasks = int(joints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but many points: robots go to all tasks
+    chain = joints.repartition(n_tasks, "robot").groupBy("robot").agg(F.array_sort(F.concat(origin, F.collect_list(F.struct(F.hypot("x", "y").alias("r"), "x", "y")))).alias("c"))
     steps = chain.select("robot", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1))), lambda k: F.struct(F.element_at("c", k).alias("a"), F.coalesce(F.try_element_at("c", k + 1), F.element_at("c", k)).alias("b")))).alias("s"))
-    around = steps.select("robot", F.explode(densified(F.col("s.a"), F.col("s.b"))).alias("p")).select("robot", F.explode(F.transform(geometry.circle(F.lit(link), n), lambda v: geometry.point(v["x"] + F.col("p.x"), v["y"] + F.col("p.y")))).alias("v"))
+    along = F.array("s.a", "s.b") if ends else densified(F.col("s.a"), F.col("s.b"))
+    around = steps.select("robot", F.explode(along).alias("p")).select("robot", F.explode(F.transform(geometry.circle(F.lit(link), n), lambda v: geometry.point(v["x"] + F.col("p.x"), v["y"] + F.col("p.y")))).alias("v"))
     body = chain.select("robot", F.explode(geometry.circle(F.lit(base), 12)).alias("v"))
     return around.union(body).select("robot", "v.x", "v.y")
 
 
 def measured(joints: DataFrame, base: float, link: float) -> DataFrame:
     """Per robot the pruned hull of its outline points, with the radii about its origin."""
-    ring = hull(outline_points(joints, base, link), "robot").groupBy("robot").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
+    ring = hull(outline_points(joints, base, link, ends=True), "robot").groupBy("robot").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
     poly = ring.select("robot", geometry.drop_collinear(F.transform("r", lambda p: geometry.point(p["x"], p["y"]))).alias("poly"))
     at = geometry.point(F.lit(0.0), F.lit(0.0))
     return poly.select("robot", "poly", geometry.inscribed(F.col("poly"), at).alias("inscribed"), geometry.circumscribed(F.col("poly"), at).alias("circumscribed"))

@@ -96,13 +96,13 @@ def nearest(points: DataFrame, obstacles: DataFrame, side: float, others: tuple[
 
     Rings of buckets of the given side are joined by equality. A ring's result is final when it is no
     farther than the ring reaches; the other points try a ring four times as wide, until it spans everything.
-    Each ring is written to the shared folder, so the next one starts from the points that are left, and the
+    Obstacles and each ring are written to the shared folder, so the next one starts from the points that are left, and the
     search ends with the last of them.
     """
     key = {k: F.floor(F.col(k) / side).cast("long").alias(f"b{k}") for k in "xy"}
     own = ("id", "x", "y", *others)
     theirs = [F.col(c).alias(f"o{c}") for c in ("x", "y", *others, *(["id"] if but_itself else []))]
-    placed = obstacles.select(*theirs, *key.values()).distinct()
+    placed = stash(obstacles.select(*theirs, *key.values()).distinct(), "obstacles")
     left, done, ring = points.select(*own), None, 1
     span = placed.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by")).first()
     if span[0] is None:

@@ -39,12 +39,28 @@ def latest(log: DataFrame, key: str, order: list[str], topic: str, value: str, t
     return last_known(log, key, order, {f"last_{t}": F.when(F.col(topic) == t, F.col(value)) for t in topics}, slab)
 
 
-def confirmed(log: DataFrame, key: str, order: list[str], hit: str, frames: int = 2) -> DataFrame:
-    """The run of hits up to each row and if it is long enough."""
-    w = upto(key, *order)
-    marked = log.withColumn("island", F.sum((~F.col(hit)).cast("int")).over(w))
-    run = F.sum(F.col(hit).cast("int")).over(Window.partitionBy(key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("run", run).withColumn("confirmed", F.col("run") >= frames).drop("island")
+def confirmed(log: DataFrame, key: str, order: list[str], hit: str, frames: int = 2, slab: Column | None = None) -> DataFrame:
+    """The run of hits up to each row and if it is long enough. A null hit neither goes on with a run nor ends it.
+
+    slab as for last_known: runs are then counted within a key's slab, and one that is still going on at its
+    end is carried into the next.
+    """
+    of = [key] if slab is None else [key, "_slab"]
+    w = Window.partitionBy(*of).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = log if slab is None else log.withColumn("_slab", slab)
+    marked = marked.withColumn("_island", F.coalesce(F.sum((~F.col(hit)).cast("int")).over(w), F.lit(0)))
+    within = Window.partitionBy(*of, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("run", F.coalesce(F.sum(F.col(hit).cast("int")).over(within), F.lit(0).cast("long")))
+    if slab is None:
+        return marked.withColumn("confirmed", F.col("run") >= frames).drop("_island")
+    ends = marked.groupBy(F.col(key).alias("_key"), F.col("_slab").alias("_of")).agg(F.max_by("run", F.struct(*order)).alias("_tail"), (F.max("_island") > 0).alias("_ended"))
+    slabs = Window.partitionBy("_key").orderBy("_of")
+    ends = ends.withColumn("_group", F.sum(F.col("_ended").cast("int")).over(slabs))
+    going = F.sum("_tail").over(Window.partitionBy("_key", "_group").orderBy("_of"))
+    before = ends.withColumn("_going", going).select("_key", "_of", F.coalesce(F.lag("_going").over(slabs), F.lit(0)).alias("_before"))
+    both = marked.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slab").eqNullSafe(F.col("_of")))
+    run = F.col("run") + F.when(F.col("_island") == 0, F.col("_before")).otherwise(0)
+    return both.select(*log.columns, run.alias("run"), (run >= frames).alias("confirmed"))
 
 
 def bounded(key: str, order: list[str], frames: int = 2) -> Window:
@@ -58,11 +74,11 @@ def detection_stats(log: DataFrame, key: str, order: list[str], costmap_hit: Col
     return log.select("*", F.count("*").over(w).alias("num_frames"), rate(costmap_hit).alias("costmap_rate"), rate(lidar_hit).alias("lidar_rate"), F.avg(cost).over(w).alias("mean_cost"), F.avg(clearance).over(w).alias("mean_clearance"), F.min(clearance).over(w).alias("min_clearance"))
 
 
-def fused(log: DataFrame, key: str, order: list[str], cost: Column, lidar_hit: Column, both: bool = False, frames: int = 2, lethal: int = 253) -> DataFrame:
+def fused(log: DataFrame, key: str, order: list[str], cost: Column, lidar_hit: Column, both: bool = False, frames: int = 2, lethal: int = 253, slab: Column | None = None) -> DataFrame:
     """The log with costmap_hit, hit (of either source, or of both) and if the run of hits confirms a collision."""
     costmap_hit = cost >= lethal
     marked = log.withColumn("costmap_hit", costmap_hit).withColumn("hit", costmap_hit & lidar_hit if both else costmap_hit | lidar_hit)
-    return confirmed(marked, key, order, "hit", frames)
+    return confirmed(marked, key, order, "hit", frames, slab)
 
 
 def degraded(log: DataFrame, key: str, order: list[str], early: Column, late: Column, budget: float, features: dict[str, tuple[int, Column]], slab: Column | None = None) -> DataFrame:
@@ -87,9 +103,23 @@ def last_pose(log: DataFrame, key: str, order: list[str], pose: list[str], live:
     return both.select(key, *(F.coalesce(F.col(f"p.{c}"), F.col(f"live.{c}")).alias(c) for c in pose), F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
 
 
-def running_minimum(value: Column, key: str, order: list[str], finite: bool = False) -> Column:
-    """The least value so far; finite: of finite values only (null before the first)."""
-    return F.min(F.when(F.abs(value) < float("inf"), value) if finite else value).over(upto(key, *order))
+def running_minima(log: DataFrame, key: str, order: list[str], values: dict[str, Column], slab: Column | None = None) -> DataFrame:
+    """The log with the least value so far of each column of values (null before the first); slab as for last_known."""
+    if slab is None:
+        return log.select("*", *(F.min(v).over(upto(key, *order)).alias(n) for n, v in values.items()))
+    marked = log.select("*", slab.alias("_slab"), *(v.alias(f"_{n}") for n, v in values.items()))
+    w = Window.partitionBy(key, "_slab").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    seen = marked.select(*log.columns, "_slab", *(F.min(f"_{n}").over(w).alias(f"_{n}") for n in values))
+    ends = marked.groupBy(F.col(key).alias("_key"), F.col("_slab").alias("_of")).agg(*(F.min(f"_{n}").alias(f"_{n}") for n in values))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_key", "_of", *(F.min(f"_{n}").over(earlier).alias(f"_before_{n}") for n in values))
+    both = seen.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slab").eqNullSafe(F.col("_of")))
+    return both.select(*log.columns, *(F.least(f"_{n}", f"_before_{n}").alias(n) for n in values))
+
+
+def finite(value: Column) -> Column:
+    """The value where it is a finite number."""
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def timing(log: DataFrame, key: str, time: Column, order: list[str], value: Column, degraded: Column, every: float, budget: float) -> DataFrame:

@@ -30,6 +30,10 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def week() -> Column:
+    return F.floor(F.col("t") / 604800)
+
+
 # scan features
 
 
@@ -121,7 +125,7 @@ def s9_populated_grids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def j4_nearest_obstacle(spark: SparkSession, d: str) -> DataFrame:
     at = views.log(spark, d).select("event_type", F.col("event_id").alias("id"), (F.col("value") / 100).alias("x"), (F.col("k") / 100).alias("y"))
-    found = grid.nearest(at.where("event_type = 'click'"), at.where("event_type = 'error'"), 0.1)
+    found = grid.nearest(at.where("event_type = 'click'"), at.where("event_type = 'error'"), 0.02)
     return found.select("id", r6("distance").alias("distance"))
 
 
@@ -143,7 +147,7 @@ def j2_latest_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def w1_confirmed_hits(spark: SparkSession, d: str) -> DataFrame:
-    return merge.confirmed(views.log(spark, d).withColumn("hit", F.col("value") > 60), "user_id", ORDER, "hit").select("event_id", "run", "confirmed")
+    return merge.confirmed(views.log(spark, d).withColumn("hit", F.col("value") > 60), "user_id", ORDER, "hit", slab=week()).select("event_id", "run", "confirmed")
 
 
 @query
@@ -161,7 +165,7 @@ def w8_throttle(spark: SparkSession, d: str) -> DataFrame:
 def x5_w9_degraded(spark: SparkSession, d: str) -> DataFrame:
     tiers = {"r_min": 0, "r_ttc": 0, "r_vis": 0, "r_dens": 1, "r_width": 1, "r_clear": 1, "r_curve": 2, "r_grad": 2}
     features = {name: (tier, F.col("value") + i * F.col("k")) for i, (name, tier) in enumerate(tiers.items())}
-    seen = merge.degraded(views.log(spark, d), "user_id", ORDER, F.col("k") / 10, F.col("k") / 10 + F.col("value") / 100, 10.0, features, F.floor(F.col("t") / 604800))
+    seen = merge.degraded(views.log(spark, d), "user_id", ORDER, F.col("k") / 10, F.col("k") / 10 + F.col("value") / 100, 10.0, features, week())
     return seen.select("event_id", "computed", *(r6(n).alias(n) for n in tiers))
 
 
@@ -211,8 +215,9 @@ def a5_distance_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a7_running_minimum(spark: SparkSession, d: str) -> DataFrame:
-    low = {"least": F.col("value"), "least_on_map": F.when(F.col("k") < 30, float("inf")).when(F.col("k") < 35, float("-inf")).otherwise(F.col("value"))}
-    return views.log(spark, d).select("event_id", *(r6(merge.running_minimum(x, "user_id", ORDER, n == "least_on_map")).alias(n) for n, x in low.items()))
+    on_map = F.when(F.col("k") < 30, float("inf")).when(F.col("k") < 35, float("-inf")).otherwise(F.col("value"))
+    seen = merge.running_minima(views.log(spark, d), "user_id", ORDER, {"least": F.col("value"), "least_on_map": merge.finite(on_map)}, week())
+    return seen.select("event_id", r6("least").alias("least"), r6("least_on_map").alias("least_on_map"))
 
 
 @query
@@ -405,15 +410,16 @@ def o1_footprint_cost(spark: SparkSession, d: str) -> DataFrame:
 @query
 def g14_fused_detection(spark: SparkSession, d: str) -> DataFrame:
     cost, lidar_hit = F.floor(F.least(F.col("value") * 4, F.lit(255))), F.col("k") < 40
-    one, both = (merge.fused(views.log(spark, d), "user_id", ORDER, cost, lidar_hit, flag, 2).select("event_id", F.col("hit").alias(f"{n}_hit"), F.col("confirmed").alias(f"{n}_confirmed")) for n, flag in (("either", False), ("both", True)))
+    one, both = (merge.fused(views.log(spark, d), "user_id", ORDER, cost, lidar_hit, flag, 2, slab=week()).select("event_id", F.col("hit").alias(f"{n}_hit"), F.col("confirmed").alias(f"{n}_confirmed")) for n, flag in (("either", False), ("both", True)))
     return one.join(both, "event_id")
 
 
 @query
 def j3_state_on_samples(spark: SparkSession, d: str) -> DataFrame:
-    w = merge.upto("user_id", "ts")
-    seen = views.log(spark, d).select("event_id", "event_type", F.last(F.when(F.col("event_type") == "click", F.col("value")), True).over(w).alias("v"))
-    return seen.where("event_type = 'view'").select("event_id", r6("v").alias("r_min"))
+    # of rows at one time the samples come last, so that they see the state of their own time
+    log = views.log(spark, d).withColumn("sample", F.col("event_type") == "view")
+    seen = merge.last_known(log, "user_id", ["ts", "sample", "event_id"], {"v": F.when(F.col("event_type") == "click", F.col("value"))}, week())
+    return seen.where("sample").select("event_id", r6("v").alias("r_min"))
 
 
 @query

@@ -171,12 +171,20 @@ SQL |= {
     "g17_drop_collinear": "SELECT i::INT AS i, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (0, 0.5, 0.5), (1, -0.5, 0.5), (2, -0.5, -0.5), (3, 0.5, -0.5)) t(i, x, y)",
 }
 
-SQL["g16_convex_hull"] = f"""WITH {LOG}, p AS (SELECT DISTINCT user_id AS path_id, round(value / 100, 6) AS x, round(k / 100, 6) AS y FROM log),
- e AS (SELECT a.path_id, a.x, a.y FROM p a JOIN p b ON a.path_id = b.path_id AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON a.path_id = c.path_id GROUP BY a.path_id, a.x, a.y, b.x, b.y
+# of points p (key, x, y), the corners v of each key's hull, numbered from 1 counter-clockwise (n of size); collinear points go
+HULL = """e AS (SELECT a.key, a.x, a.y FROM p a JOIN p b ON a.key = b.key AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON a.key = c.key GROUP BY a.key, a.x, a.y, b.x, b.y
   HAVING bool_and((b.x - a.x) * (c.y - a.y) >= (b.y - a.y) * (c.x - a.x)) AND bool_and((b.x - a.x) * (c.y - a.y) <> (b.y - a.y) * (c.x - a.x) OR (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) BETWEEN 0 AND (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))),
- v AS (SELECT DISTINCT * FROM e), m AS (SELECT path_id, avg(x) AS cx, avg(y) AS cy, count(*) AS size FROM v GROUP BY 1),
- r AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY atan2(y - cy, x - cx)) AS n FROM v JOIN m USING (path_id)), s AS (SELECT *, first_value(n) OVER (PARTITION BY path_id ORDER BY x, y) AS n0 FROM r)
- SELECT path_id, (n - n0 + size) % size AS i, x, y FROM s"""
+ m AS (SELECT key, avg(x) AS cx, avg(y) AS cy, count(*) AS size FROM (SELECT DISTINCT * FROM e) GROUP BY 1),
+ v AS (SELECT key, x, y, size, row_number() OVER (PARTITION BY key ORDER BY atan2(y - cy, x - cx)) AS n FROM (SELECT DISTINCT * FROM e) JOIN m USING (key))"""
+SQL["g16_convex_hull"] = f"""WITH {LOG}, p AS (SELECT DISTINCT user_id AS key, round(value / 100, 6) AS x, round(k / 100, 6) AS y FROM log), {HULL},
+ s AS (SELECT *, first_value(n) OVER (PARTITION BY key ORDER BY x, y) AS n0 FROM v) SELECT key AS path_id, (n - n0 + size) % size AS i, x, y FROM s"""
+SQL["g19_measured_footprint"] = f"""WITH {LOG}, j AS (SELECT user_id AS key, value / 200 AS x, k / 200 AS y FROM log WHERE event_type = 'signup'),
+ q AS (SELECT key, x + 0.05 * cos(i * (2 * pi() / 6)) AS x, y + 0.05 * sin(i * (2 * pi() / 6)) AS y FROM j, range(6) t(i) UNION ALL SELECT DISTINCT key, 0.27 * cos(i * (2 * pi() / 12)), 0.27 * sin(i * (2 * pi() / 12)) FROM j, range(12) t(i)),
+ p AS (SELECT DISTINCT key, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y FROM q WHERE x * x + y * y > 0.26 * 0.26), {HULL},
+ kept AS (SELECT b.key, b.x, b.y, b.n FROM v b JOIN v a ON a.key = b.key AND a.n = (b.n + b.size - 2) % b.size + 1 JOIN v c ON c.key = b.key AND c.n = b.n % b.size + 1 WHERE abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) > 1e-3),
+ f AS (SELECT key, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) - x AS dx, coalesce(lead(y) OVER w, first_value(y) OVER w) - y AS dy FROM kept WINDOW w AS (PARTITION BY key ORDER BY n)),
+ t AS (SELECT *, CASE WHEN dx * dx + dy * dy < 1e-10 THEN 0.0 ELSE greatest(0.0, least(1.0, -(x * dx + y * dy) / (dx * dx + dy * dy))) END AS t FROM f)
+ SELECT key AS robot, count(*)::INT AS n, round(min(sqrt((x + t * dx) * (x + t * dx) + (y + t * dy) * (y + t * dy))), 6) AS inscribed, round(max(sqrt(x * x + y * y)), 6) AS circumscribed FROM t GROUP BY 1"""
 SQL["r4_maximin"] = (
     "WITH RECURSIVE d AS (SELECT id, dim, row_number() OVER (PARTITION BY dim ORDER BY md5('5|' || dim || '|' || id), id) - 1 AS k, " + U % "'5|u|' || dim || '|' || id" + """ AS u FROM range(1200) t(id), (VALUES ('vx'), ('steps'), ('arm')) v(dim)),
  w AS (SELECT id, max(CASE WHEN dim = 'vx' THEN 0.2 + (k + u) / 1200 * 0.6 END)::DOUBLE AS vx, max(CASE WHEN dim = 'steps' THEN 30 + least(floor((k + u) / 1200 * 61), 60) END)::DOUBLE AS steps, max(CASE WHEN dim = 'arm' THEN ['tucked', 'carry'][1 + k % 2] END) AS arm FROM d GROUP BY id),
