@@ -311,8 +311,10 @@ def j6_a4_distance_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def r7_pose_pairs(spark: SparkSession, d: str) -> DataFrame:
-    # the grids side by side are one map of 8 rows; distances that few pairs have, so that some take many attempts
-    cells = views.cells(spark, d).select(F.lit(0).alias("grid_id"), "row", (F.col("grid_id") * 8 + F.col("col")).cast("int").alias("col"), "cost")
+    # the grids are tiles of one map, 500 side by side; distances that few pairs have, so that some take many attempts
+    tile = F.floor(F.col("grid_id") / 500)
+    row, col = (tile * 8 + F.col("row")).cast("int"), ((F.col("grid_id") - tile * 500) * 8 + F.col("col")).cast("int")
+    cells = views.cells(spark, d).select(F.lit(0).alias("grid_id"), row.alias("row"), col.alias("col"), "cost")
     x = F.col("col") * 0.05
     valid = design.valid_cells(cells, 0.05, 0.1, F.col("cost") <= 50, grid.is_obstacle(F.col("cost")), x >= 0.2).select("row", "col", x.alias("x"), ((8 - F.col("row")) * 0.05).alias("y"))
     made = design.pose_pairs(valid, 300, 3, 20.0, 22.0)

@@ -77,7 +77,7 @@ SQL = {
     "r5_unit_scale": "SELECT l_orderkey, l_linenumber, round((l_quantity - 1.0) / 49.0, 9) AS u_quantity, round((l_discount - 0.0) / 0.1, 9) AS u_discount, round((list_position(['A', 'N', 'R'], l_returnflag) - 1) / 2.0, 9) AS u_flag FROM lineitem",
     "j6_a4_distance_report": "WITH v AS (SELECT vec_id, embedding FROM embeddings), n AS (SELECT a.vec_id, min(sqrt(list_sum(list_transform(range(1, 7), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))))) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1)"
     " SELECT count(*) AS n, 6::BIGINT AS dims, round(min(d), 6) AS least, round(quantile_cont(d, 0.01), 6) AS p1, round(quantile_cont(d, 0.5), 6) AS median, count(*) FILTER (d < 0.05) AS close FROM n",
-    "r7_pose_pairs": f"""WITH {CELLS}, m AS (SELECT "row", grid_id * 8 + col AS col, cost FROM cells), lethal AS (SELECT "row", col FROM m WHERE cost > 253),
+    "r7_pose_pairs": f"""WITH {CELLS}, m AS (SELECT grid_id // 500 * 8 + "row" AS "row", grid_id % 500 * 8 + col AS col, cost FROM cells), lethal AS (SELECT "row", col FROM m WHERE cost > 253),
  v AS (SELECT col * 0.05::DOUBLE AS x, (8 - "row") * 0.05::DOUBLE AS y, row_number() OVER (ORDER BY "row", col) - 1 AS rank FROM m WHERE cost <= 50 AND col * 0.05::DOUBLE >= 0.2 AND NOT EXISTS (SELECT 1 FROM lethal l WHERE l.col = m.col AND l."row" BETWEEN m."row" - 1 AND m."row" + 1)
   AND NOT EXISTS (SELECT 1 FROM lethal l WHERE l.col = m.col - 1 AND l."row" BETWEEN m."row" - 1 AND m."row" + 1) AND NOT EXISTS (SELECT 1 FROM lethal l WHERE l.col = m.col + 1 AND l."row" BETWEEN m."row" - 1 AND m."row" + 1)),
  a AS (SELECT pair, k, floor(""" + U % "'3|start|' || pair || '|' || k" + " * (SELECT count(*) FROM v)) AS s, floor(" + U % "'3|goal|' || pair || '|' || k" + """ * (SELECT count(*) FROM v)) AS g FROM range(300) p(pair), range(1, 1001) q(k)),
