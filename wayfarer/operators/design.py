@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from wayfarer.functions.scalars import uniform
 from wayfarer.operators import grid
+from wayfarer.sources.shared import stash
 
 #: name, low, high, bins (0: continuous) of the numeric dimensions.
 Dimension = tuple[str, float, float, int]
@@ -161,7 +162,7 @@ def pose_pairs(valid: DataFrame, n: int, seed: int, least: float = 3.0, most: fl
     query fails if there are fewer than 10 cells, or if a pair has no attempt with a distance in range.
     """
     spark = valid.sparkSession
-    cells = grid.numbered(valid).select("rank", "x", "y")
+    cells = stash(grid.numbered(valid).select("rank", "x", "y"), "valid-cells")  # read for each end of each round
     count = cells.agg(F.count("*").alias("n")).select(F.when(F.col("n") < TOO_FEW, F.raise_error(F.concat(F.lit("too few valid cells: "), F.col("n").cast("string"))).cast("long")).otherwise(F.col("n")).alias("n"))
 
     def tried(pairs: DataFrame, low: int, high: int) -> DataFrame:
@@ -173,7 +174,7 @@ def pose_pairs(valid: DataFrame, n: int, seed: int, least: float = 3.0, most: fl
         return far.where(F.col("distance").between(least, most)).groupBy("id").agg(F.min_by(F.struct("attempt", "start_at", "goal_at", "distance"), "attempt").alias("p"))
 
     every = spark.range(n)
-    early = tried(every, 1, min(first, attempts))
+    early = stash(tried(every, 1, min(first, attempts)), "pose-pairs")
     late = tried(every.join(early, "id", "left_anti"), first + 1, attempts) if attempts > first else early.limit(0)
     found = every.join(early.union(late), "id", "left")
     missing = F.raise_error(F.concat(F.lit(f"no start and goal {least} to {most} apart in {attempts} attempts, pair "), F.col("id").cast("string"))).cast("int")
