@@ -5,6 +5,8 @@ _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _ESCAPED = r"regexp_replace(regexp_replace(replace({}, '\', '\e'), '<(/?s>|</?SYS>>|\|)', '\\l\1', 'g'), '\[(/?INST\])', '\\b\1', 'g')"
 
+_DRAW = "('0x' || substr(g, {}, 8))::BIGINT"
+
 SQL = {
     "op1_decontaminate": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
  i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_ITEM_WORDS} AS w FROM benchmark),
@@ -39,4 +41,10 @@ SQL = {
  s AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM m)
  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256, (sum(upto) FILTER (role = 'assistant' OR k = n))::BIGINT AS formatted_chars FROM s GROUP BY conv_id""",
+    "op11_fill_in_middle": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS g FROM documents),
+ u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, {_DRAW.format(1)} AS a, {_DRAW.format(9)} AS b, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_DRAW.format(17)} % 100 >= 90 AS plain, {_DRAW.format(25)} % 100 < 20 AS spm FROM d),
+ c AS (SELECT *, len(w) AS n, least(a % (len(w) + 1), b % (len(w) + 1)) AS lo, greatest(a % (len(w) + 1), b % (len(w) + 1)) AS hi FROM u),
+ s AS (SELECT *, coalesce(array_to_string(w[1:lo], ''), '') AS p, coalesce(array_to_string(w[lo + 1:hi], ''), '') AS m, coalesce(array_to_string(w[hi + 1:n], ''), '') AS s FROM c)
+ SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+ sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM s""",
 }

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wayfarer.llm import chat_format, decontaminate, kneser_ney, oracle, quality_rules, secrets, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_records
+from wayfarer.llm import chat_format, decontaminate, fill_in_middle, kneser_ney, near_neighbours, oracle, periodic_runs, quality_rules, secrets, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_records
 from wayfarer.llm.common import shared_dir, table
 
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -64,8 +65,31 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.summary(chat_format.examples(turns.union(spark.sql(CONTROL_TURNS))))
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transformed(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha256(F.col("output")).alias("output_sha256"), _sha256(back).alias("restored_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapsed(periodic_runs.with_tails(table(spark, sf_dir, "documents")))
+    shas = (_sha256(periodic_runs.listed(F.col("runs"))).alias("runs_sha256"), _sha256(F.col("collapsed")).alias("collapsed_sha256"))
+    digest = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic_runs.longest(F.col("runs")).alias("r"), *shas)
+    exponent = F.floor(1000 * F.col("r.length") / F.col("r.period")).cast("long")
+    return digest.select("doc_id", "n_runs", "r.start", "r.length", "r.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return near_neighbours.nearest(vectors.where("vec_id % 20 = 0"), vectors)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_sentencepiece, op3_secrets, op4_simhash_dedup, op5_suffix_dedup, op6_token_records, op7_kneser_ney, op8_quality_rules, op9_substring_dedup, op10_chat_format)
+    for f in (op1_decontaminate, op2_sentencepiece, op3_secrets, op4_simhash_dedup, op5_suffix_dedup, op6_token_records, op7_kneser_ney, op8_quality_rules, op9_substring_dedup, op10_chat_format, op11_fill_in_middle, op12_periodic_runs, op13_near_neighbours)
 }
 ORACLE_SQL: dict[str, str] = oracle.SQL
