@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from wayfarer.llm import decontaminate, kneser_ney, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, token_records
+from wayfarer.llm import decontaminate, kneser_ney, quality_rules, sentencepiece_codec, simhash_dedup, substring_dedup, suffix_dedup, token_records
 from wayfarer.llm.common import shared_dir
 
 N = 1_200_000  # words of 16 characters
@@ -46,3 +46,44 @@ def test_scores_tokens_and_hits_of_a_long_text(spark, long):
     found = token_records.index(spark, path)
     sizes = {r.doc_id: r.n_tokens for r in found.collect()}
     assert {r.doc_id: len(r.ids) for r in token_records.read_at(found).collect()} == sizes and sizes[1] > N
+
+
+CJK = "".join(chr(0x4E00 + (k * 7919 + k // 11) % 20000) for k in range(5_000))
+
+
+def _grown(make, texts):
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text in texts:
+        make(text)
+    return (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024
+
+
+def test_texts_without_spaces_fill_no_cache():
+    import pyarrow as pa
+
+    parts, words = sentencepiece_codec.parts_of(public_tokenizers.path("piece_bpe_32k.model")), token_records.words_of(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [CJK[k % 5000 :] + CJK[: k % 5000] for k in range(1, 400)]
+    assert _grown(parts.of, texts[:150]) < 100 and parts.size < sentencepiece_codec.KEPT_BYTES
+    assert _grown(lambda t: words.of(pa.array([t])), texts) < 100 and words.spelled.used < token_records.KEPT_BYTES
+
+
+def test_one_word_of_20_mb(spark):
+    import hashlib
+    import zlib
+
+    import numpy as np
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    text = "abcdefgh" * 2_500_000
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string").union(spark.range(1).select(F.lit(2).cast("long"), F.expr("repeat('abcdefgh', 2500000)")))
+    got = {r.doc_id: r for r in sentencepiece_codec.digests(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    ids = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode(text)
+    assert got[2].n_tokens == len(ids) and got[2].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[2].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    path = shared_dir(spark, "one-word")
+    token_records.write(df, public_tokenizers.path("word_bpe_49k.json"), path, shards=2)
+    found = {r.doc_id: r for r in token_records.starts(token_records.index(spark, path)).collect()}
+    ids = [*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, 1]
+    assert found[2].n_tokens == len(ids) and found[2].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())

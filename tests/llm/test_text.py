@@ -1,3 +1,4 @@
+import glob
 import hashlib
 import io
 import math
@@ -70,6 +71,23 @@ def test_decontamination_equals_brute_force(spark, docs, rows, block_bytes, stre
     assert left.columns == docs.columns and left.count() == sum(not x[5] for x in want)
 
 
+def test_a_block_is_built_once_and_repeated_items_are_one(spark, docs, rows):
+    long = next(t for d, t in rows if d == 302)
+    items = [(k, long[300 * k : 300 * k + 200]) for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string").union(spark.range(100_000).select(F.lit(1).cast("long"), F.lit(items[1][1])))
+    got = decontaminate.hits(docs, bench, 10, 1300, 2000).where("doc_id = 302").first()
+    assert sorted(got["items"], key=int) == [str(k) for k in range(60)]
+    root = shared_dir(spark, "x").removeprefix("file://").rpartition("/")[0]
+    made = max(glob.glob(f"{root}/benchmark-*"), key=os.path.getmtime)
+    assert 5 <= len(os.listdir(made)) <= 14 and all(f.endswith(".arrow") for f in os.listdir(made))
+
+
+def test_long_items_of_one_word_make_one_pattern():
+    sets = list(decontaminate.pattern_sets(["a", "b"], pa.array(["na " * 50_000, "na " * 12 + "x"]), 10))
+    block = decontaminate.Block(pa.Table.from_batches([pa.record_batch([pa.array([r.get(f.name)], f.type) for f in decontaminate._FILE], schema=decontaminate._FILE) for r in sets]))
+    assert [len(p.start) for p in block.sets] == [2] and block.sets[0].owner.tolist() in ([0, 1, 1], [1, 0, 1])
+
+
 def test_an_empty_benchmark_hits_nothing(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, bench).where("contaminated").count() == 0
@@ -87,7 +105,8 @@ def test_sentencepiece_equals_the_library(odd, odd_rows):
 
 
 def test_a_small_part_cache_changes_nothing(monkeypatch, odd_rows):
-    monkeypatch.setattr(sentencepiece_codec, "KEPT", 5)
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_BYTES", 900)
+    monkeypatch.setattr(sentencepiece_codec, "LONGEST", 6)
     lib, parts = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_codec.Parts(sentencepiece_codec.PrefixTable(PIECES))
     for _, text in odd_rows[:40] + odd_rows[-20:]:
         ids = lib.encode(text)
@@ -195,9 +214,20 @@ def test_a_missing_shard_raises(spark, docs):
     model = kneser_ney.train(rows.where(kneser_ney.held_out() == F.lit(False)))
     some = next(k for k in range(model.n) if model.listed[1][k])
     os.remove(f"{model.path}/2-{some}")
-    kneser_ney._shards.cache_clear()
     with pytest.raises(FileNotFoundError):
-        kneser_ney._shards(model.path, model.listed)
+        kneser_ney.shard(model.path, 2, some)
+
+
+def test_many_shards_need_no_descriptors(docs, monkeypatch):
+    some = docs.where("doc_id < 300")
+    few = {r.doc_id: r.score for r in kneser_ney.scores(some).collect()}
+    monkeypatch.setattr(kneser_ney, "buckets", lambda *_: 3000)
+    model = kneser_ney.train(texts(some).where(kneser_ney.held_out() == F.lit(False)))
+    before = len(os.listdir("/proc/self/fd"))
+    word, ctx, n = kneser_ney.tokens(pa.record_batch([pa.array([r.text for r in some.orderBy("doc_id").collect()])], names=["text"]), 2)
+    score = np.add.reduceat(model.scores(word, ctx)[0], np.cumsum(n) - n)
+    assert kneser_ney.shard.cache_info().currsize > 500 and len(os.listdir("/proc/self/fd")) <= before + 5
+    assert np.allclose(score, [few[k] for k in sorted(few)])
 
 
 # quality rules

@@ -18,6 +18,7 @@ empty result; further columns are ignored. A shard that is missing raises an err
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm import textnum as tn
@@ -40,6 +41,8 @@ _SCHEMA = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in _BLOBS)
 STATS = ("total", "one", "two", "more")
 #: A context with 1/(SHARE n) of all tokens is hot, n being the number of buckets.
 SHARE = 4
+#: Shards that a worker keeps mapped at most.
+MAPS = 16_384
 _HEAD = 11  # contexts, keys, n1, n2, n3, n4, raw tokens; sums over the contexts of total, one, two and more
 
 
@@ -213,28 +216,30 @@ def _settled(path: str, level: int, n: int, hot: list[np.ndarray]) -> Callable:
 
 
 class Shard:
-    """One file of sorted arrays, mapped."""
+    """One file of sorted arrays: one map, which keeps no descriptor, and views of it."""
 
     def __init__(self, file: str, level: int) -> None:
-        self.head = np.fromfile(file, "<u8", _HEAD)
-        n, m, at = int(self.head[0]), int(self.head[1]), _HEAD * 8
+        with open(file, "rb") as f:
+            whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        head = np.frombuffer(whole, "<u8", _HEAD)
+        n, m, at = int(head[0]), int(head[1]), _HEAD * 8
         kinds = [("ctx", "<u8", n), *((x, "<u4", n) for x in STATS), ("key", "<u8", m), ("count", "<u4", m), ("raw", "<u4", m if level == 1 else 0)]
         for name, kind, size in kinds:
-            setattr(self, name, np.memmap(file, kind, "r", at, (size,)) if size else np.zeros(0, kind))
+            setattr(self, name, np.frombuffer(whole, kind, size, at) if size else np.zeros(0, kind))
             at += -(-np.dtype(kind).itemsize * size // 8) * 8
 
 
+@lru_cache(maxsize=MAPS)
+def shard(path: str, level: int, k: int) -> Shard:
+    """A shard, mapped when it is first looked at; one that is missing raises."""
+    return Shard(f"{path}/{level}-{k}", level)
+
+
 def _found(keys: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, queries), max(len(keys) - 1, 0))
     return at, keys[at] == queries if len(keys) else np.zeros(len(queries), bool)
 
 
-@lru_cache(maxsize=2)
-def _shards(path: str, listed: tuple[bytes, ...]) -> list[list[Shard | None]]:
-    """The mapped shards. listed: for each level a byte for each bucket, 1 where a shard was written; one that is missing raises."""
-    return [[Shard(f"{path}/{level}-{k}", level) if own else None for k, own in enumerate(buckets)] for level, buckets in enumerate(listed, 1)]
-
-
 @dataclass
 class Model:
     path: str
@@ -256,12 +261,12 @@ class Model:
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(self.n + 1))
         out = [np.zeros(len(keys), np.int64) for _ in names]
-        for k in np.flatnonzero(np.diff(edges)):
-            shard, at = _shards(self.path, self.listed)[level - 1][k], order[edges[k] : edges[k + 1]]
-            if shard is not None:
-                place, hit = _found(shard.ctx if ctx else shard.key, keys[at])
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            if self.listed[level - 1][k]:
+                own, at = shard(self.path, level, k), order[edges[k] : edges[k + 1]]
+                place, hit = _found(own.ctx if ctx else own.key, keys[at])
                 for x, name in zip(out, names, strict=True):
-                    x[at[hit]] = getattr(shard, name)[place[hit]]
+                    x[at[hit]] = getattr(own, name)[place[hit]]
         return [x[back] for x in out]
 
     def scores(self, word: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,15 +306,43 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def _summed(path: str, level: int, listed: tuple[bytes, ...], contexts: np.ndarray) -> np.ndarray:
-    """The statistics of some contexts, summed over all shards of a level."""
-    out = np.zeros((len(STATS), len(contexts)), np.int64)
-    for shard in _shards(path, listed)[level - 1] if len(contexts) else []:
-        if shard is not None:
-            at, hit = _found(shard.ctx, contexts)
-            for k, name in enumerate(STATS):
-                out[k, hit] += getattr(shard, name)[at[hit]]
-    return out
+def _read(path: str, listed: tuple[bytes, ...], hot: list[np.ndarray]) -> Callable:
+    """Of some shards' files, by level: the sums of their heads (no ctx), and of the statistics of each hot context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[int, list[int]] = {}
+        stats = [np.zeros((len(x), len(STATS)), np.int64) for x in hot]
+        for batch in batches:
+            for level, k in zip(batch.column("level").to_pylist(), batch.column("k").to_pylist(), strict=True):
+                if not listed[level - 1][k]:
+                    continue
+                found = np.fromfile(f"{path}/{level}-{k}", "<u8", _HEAD).tolist()
+                heads[level] = [a + b for a, b in zip(heads.get(level, [0] * _HEAD), found, strict=True)]
+                if len(hot[level]):
+                    own = Shard(f"{path}/{level}-{k}", level)
+                    at, hit = _found(own.ctx, hot[level])
+                    for j, name in enumerate(STATS):
+                        stats[level][hit, j] += getattr(own, name)[at[hit]]
+        rows = [(level, None, sums) for level, sums in heads.items()]
+        rows += [(level, k, row) for level, x in enumerate(stats) for k, row in enumerate(x.tolist()) if any(row)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["level", "ctx", "sums"])
+
+    return run
+
+
+def read_back(spark: SparkSession, path: str, listed: tuple[bytes, ...], hot: list[np.ndarray]) -> tuple[list[list[int]], list[np.ndarray]]:
+    """The sums of all heads by level, and the hot contexts' statistics in rows, read in tasks and summed by Spark."""
+    n = len(listed[0])
+    every = spark.range(n * len(listed)).selectExpr(f"id div {n} + 1 as level", f"id % {n} as k")
+    sums = every.mapInArrow(_read(path, listed, hot), "level long, ctx long, sums array<long>").select("level", "ctx", *(F.get("sums", k).alias(f"s{k}") for k in range(_HEAD)))
+    heads, stats = [[0] * _HEAD for _ in listed], [np.zeros((len(STATS), len(x)), np.int64) for x in hot]
+    for r in sums.groupBy("level", "ctx").agg(*(F.sum(f"s{k}") for k in range(_HEAD))).collect():  # rows by level and hot context
+        if r.ctx is None:
+            heads[r.level - 1] = list(r)[2:]
+        else:
+            stats[r.level][:, r.ctx] = list(r)[2 : 2 + len(STATS)]
+    return heads, stats
 
 
 def train(docs: DataFrame, order: int = 2, at_once: int = 2_000_000) -> Model:
@@ -326,13 +359,13 @@ def train(docs: DataFrame, order: int = 2, at_once: int = 2_000_000) -> Model:
     rows.write.format("noop").mode("overwrite").save()
     there = set(os.listdir(path))
     listed = tuple(bytes(f"{level}-{k}" in there for k in range(n)) for level in range(1, order + 1))
-    heads = [sum((np.fromfile(f"{path}/{level}-{k}", "<u8", _HEAD).astype(object) for k in range(n) if own[k]), np.zeros(_HEAD, object)) for level, own in enumerate(listed, 1)]
+    heads, hot_stats = read_back(spark, path, listed, hot)
     if len({int(h[6]) for h in heads}) > 1:  # every level holds each training token once
         raise OSError(f"the levels of the model in {path} hold different numbers of tokens: a shard is missing")
     ones = [d for d in (discounts(*map(int, h[2:6])) for h in heads)]
     few = [int(x) for x in heads[0][7:]]
     spread = sum(d * c for d, c in zip(ones[0], few[1:], strict=True)) / few[0] if few[0] else 1.0
-    return Model(path, order, n, ones, few[0], spread, int(heads[0][1]), int(heads[0][6]), listed, hot, [_summed(path, level, listed, x) for level, x in enumerate(hot)])
+    return Model(path, order, n, ones, few[0], spread, int(heads[0][1]), int(heads[0][6]), listed, hot, hot_stats)
 
 
 def _scored(model: Model) -> Callable:

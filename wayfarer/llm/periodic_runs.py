@@ -34,17 +34,6 @@ _RUN = "array<struct<start:long,length:long,period:long>>"
 _DDL = f"doc_id long, n_words long, runs {_RUN}, collapsed string"
 
 
-def interned(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number for each word, the same for equal words."""
-    marks = np.zeros(len(data) + 1, np.int8)
-    marks[start] += 1
-    np.subtract.at(marks, end, 1)
-    letters = data[np.cumsum(marks[:-1], dtype=np.int8) > 0]
-    at = np.r_[0, np.cumsum(end - start)]
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(letters)])
-    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
 def _first_classes(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions whose factor of FACTOR words recurs in their text, and their classes by FACTOR and by FACTOR + 1 words."""
     n = np.diff(first)
@@ -215,7 +204,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tn.slices(batch, "text", SLICE):
             data, at = tn.raw(part.column("text"))
             start, end, first = tn.words(data, at)
-            a, size, q = runs_of(interned(data, start, end), first)
+            a, size, q = runs_of(tn.interned(data, start, end), first)
             steps = np.zeros(len(start) + 1, np.int32)
             np.add.at(steps, a + q, 1)
             np.subtract.at(steps, a + size, 1)

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched
 
 import ahocorasick
 import pyarrow as pa
@@ -28,7 +30,8 @@ from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import texts
 
 SPACE = "▁"
-KEPT = 100_000
+#: Bytes of a generation of parts, and characters of the longest part that is kept: where no spaces part a text, it is one part.
+KEPT_BYTES, LONGEST = 24 << 20, 128
 PAIRS_KEPT = 300_000
 #: Texts that show a model's normalization, its treatment of white space and its fallback to bytes.
 PROBES = ("a", " a", "a ", "  a  b  ", "A\tb\nc\r\n", "\ufb01 \u212b e\u0301 \u00e9 \u3000x\u00a0y", "\u2581a\u2581", "\u200bz\ufeff", "\U0001f642\x00\x1f", "<s> </s> <unk>")
@@ -108,27 +111,32 @@ class PrefixTable:
 class Parts(dict):
     """Ids as decimals of the parts met last, by the part without its first space.
 
-    There are two generations: when the young one is full it becomes the old one, from which parts in use
+    There are two generations: when the young one has KEPT_BYTES it becomes the old one, from which parts in use
     come back, so that frequent parts stay. Decoding a part gives the part itself, but for the parts in
-    `other`; each is decoded from its ids when it is first met.
+    `other`, of the text at hand; those and long ones aren't kept, and each is decoded from its ids when it is met.
     """
 
     def __init__(self, table: PrefixTable) -> None:
         self.table, self.spelled = table, table.spelled
         self.old: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
+        self.size = 0
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= KEPT:
-            self.old = dict(self)
-            self.clear()
         out = self.old.get(part)
         if out is None:
             ids = self.table.encoded(SPACE + part)
             decoded = b"".join([self.spelled[i] for i in ids])
+            out = b",".join(b",".join([b"%d" % i for i in some]) for some in batched(ids, 1 << 16))
             if decoded != _plain(part):
                 self.other[part] = decoded
-            out = b",".join([b"%d" % i for i in ids])
+                return out
+            if len(part) > LONGEST:
+                return out
+        self.size += sys.getsizeof(part) + sys.getsizeof(out) + 100
+        if self.size > KEPT_BYTES:
+            self.old, self.size = dict(self), 0
+            self.clear()
         self[part] = out
         return out
 
@@ -143,6 +151,7 @@ class Parts(dict):
             parts = text.split(" ")
         ids = b",".join([self[x] for x in parts])
         words = b"".join([self.other.get(x) or _plain(x) for x in parts] if self.other else map(_plain, parts))
+        self.other.clear()
         return ids, words[1:]
 
 

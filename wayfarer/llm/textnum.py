@@ -102,6 +102,17 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0)
     return out
 
 
+def interned(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for equal ones; spans are in order and don't overlap."""
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[start] += 1
+    np.subtract.at(marks, end, 1)
+    letters = data[np.cumsum(marks[:-1], dtype=np.int8) > 0]
+    at = np.r_[0, np.cumsum(end - start)]
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(letters)])
+    return found.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def chained(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n word hashes from each place on."""
     out = h[at]

@@ -38,7 +38,8 @@ from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import input_bytes, stash, texts
 
 END = 1
-KEPT = 2_000_000
+#: Words that are kept, bytes of their letters and ids, and bytes of the longest word that is: where no spaces part a text, it is one word.
+KEPT, KEPT_BYTES, LONGEST = 2_000_000, 64 << 20, 256
 MASK = 0xA282EAD8
 NULL = 0x80
 SHARD_BYTES = 128 << 20
@@ -129,20 +130,23 @@ class Words:
         letters = data[np.repeat(start, size) + tn.run_of(size)]
         every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, *(pa.py_buffer(x) for x in (np.r_[0, np.cumsum(size)], letters))]).dictionary_encode()
         which, kinds = every.indices.to_numpy(), every.dictionary
-        if len(self.keys) > KEPT:
+        if len(self.keys) > KEPT or self.flat.used * self.width + self.spelled.used > KEPT_BYTES:
             self._forget()
         letters, ends = tn.raw(kinds)
         hashes = tn.hashes(letters, ends[:-1], ends[1:])
-        place = np.searchsorted(self.keys, hashes)
-        new = np.flatnonzero(self.keys[np.minimum(place, max(len(self.keys) - 1, 0))] != hashes) if len(self.keys) else np.arange(len(hashes))
+        place, brief = np.searchsorted(self.keys, hashes), np.diff(ends) <= LONGEST
+        new = np.flatnonzero(brief & (self.keys[np.minimum(place, len(self.keys) - 1)] != hashes)) if len(self.keys) else np.flatnonzero(brief)
         if len(new):
             new = new[np.unique(hashes[new], return_index=True)[1]]  # of new words with one hash only the first is kept
             self._add(hashes[new], place[new], self._ids([x.decode() for x in kinds.take(pa.array(new)).to_pylist()]), letters, ends[:-1][new], ends[1:][new])
-            place = np.searchsorted(self.keys, hashes)
-        count, begin = self.size[place], self.at[place]
-        other = np.flatnonzero(~self._spelled(place, letters, ends))
+        if len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+            count, begin = self.size[place], self.at[place]
+            other = np.flatnonzero(~brief | ~self._spelled(place, letters, ends))
+        else:
+            count, begin, other = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), np.arange(len(hashes))
         flat = self.flat.values()
-        if len(other):  # words whose hash another word has
+        if len(other):  # long words, and words whose hash another word has
             found = [np.frombuffer(x, flat.dtype) for x in self._ids([x.decode() for x in kinds.take(pa.array(other)).to_pylist()])]
             count[other] = [len(x) for x in found]
             begin[other] = len(flat) + np.cumsum(count[other]) - count[other]
