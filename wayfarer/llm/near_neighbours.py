@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import stash
 
-ROWS_A_BUCKET, PIECE, GROUP_BYTES = 4096, 4096, 32 << 20
+ROWS_A_BUCKET, PIECE, GROUP_BYTES = 4096, 4096, 16 << 20
 _PAIR_DDL = "k1 long, k2 long, id long, score double"
 
 
@@ -286,7 +286,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, recall: float =
     kind = every.schema["v"].dataType.simpleString()
     coded = stash(firsts.select("id", "v").mapInArrow(_coded(hashes), f"id long, v {kind}, codes array<long>"), "coded-vectors")
     full = coded.select(F.explode("codes").alias("code")).groupBy("code").count().where(F.col("count") > PIECE).select("code", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * tables * dims * 8 // GROUP_BYTES))
+    groups = max(1, -(-count * tables * dims * 8 // GROUP_BYTES))  # not by partitions: each sends up to k + 1 rows a query
     pieces = F.coalesce("pieces", F.lit(1))
     cell = F.xxhash64("code", "piece")  # two cells that collide are compared together, no more
     group = F.pmod(F.xxhash64("cell"), F.lit(groups)).cast("int")
