@@ -443,3 +443,28 @@ def test_messages_and_ticks(spark):
     messages = spark.createDataFrame([(1.0, [float(k) for k in range(8)]), (2.0, [1.0])], "ts double, data array<double>")
     assert [(r.ts, r.r_vis) for r in latest.well_formed(messages).collect()] == [(1.0, 7.0)]
     assert latest.ticks("2024-01-01 00:00:00", "2024-01-01 00:00:01", spark).count() == 11
+
+
+def test_distances_on_long_lines_are_not_quadratic(spark):
+    import time
+
+    n = 30_000
+    cells = spark.range(n).select(F.lit(0).alias("grid_id"), F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), (F.col("id") == 7).alias("occupied"))
+    turned = cells.select("grid_id", F.col("col").alias("row"), F.col("row").alias("col"), "occupied")
+    grid.distances(cells.limit(10), 1.0).collect()
+    for lines, k in ((cells, "col"), (turned, "row")):
+        began = time.time()
+        got = grid.distances(lines, 0.5).agg(F.count("*"), F.sum(F.col("distance") - 0.5 * F.abs(F.col(k) - 7))).first()
+        assert got[:] == (n, 0.0) and time.time() - began < 20
+
+
+def test_the_lower_envelope_equals_brute_force():
+    from wayfarer.operators import envelope
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n, m = rng.integers(0, 30, 5), rng.integers(0, 10, 5)
+        at, places = (np.concatenate([np.sort(rng.choice(60, k, replace=False)) for k in x]).astype(int) for x in (n, m))
+        values, of, sites_of = rng.integers(0, 200, len(places)), np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(m)]
+        want = [min(((x - p) ** 2 + v for p, v in zip(places[a:b], values[a:b], strict=True)), default=-1) for k, (a, b) in enumerate(zip(sites_of[:-1], sites_of[1:], strict=True)) for x in at[of[k] : of[k + 1]]]
+        assert envelope.lower(at, of, places, values, sites_of).tolist() == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfarer.operators import envelope
 from wayfarer.sources.shared import stash
 
 LETHAL, INSCRIBED, UNKNOWN = 254, 253, 255
@@ -61,30 +62,25 @@ def gradient(cells: DataFrame, resolution: float) -> DataFrame:
     return cells.select("grid_id", "row", "col", "cost", gx.alias("gx"), gy.alias("gy")).withColumn("gradient", F.hypot("gx", "gy") / resolution)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df over all shuffle partitions, for what has few bytes but much work: adaptive execution would put it into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def distances(cells: DataFrame, resolution: float) -> DataFrame:
     """Distance to the nearest occupied cell of the grid, +inf without one.
 
-    Nearest in each row first, then over the column: it needs only the cells no farther along it than an
-    occupied cell of its own row or column. Both passes keep to one line of a grid, so no task holds a grid.
+    Nearest in each row first, by the last occupied cell in either direction, then over the column, whose distances are
+    the lower envelope of parabolas at its cells. Both passes keep to one line of a grid, so no task holds a grid.
     """
 
-    def ends(line: str, across: str) -> Column:
-        w = Window.partitionBy("grid_id", across).orderBy(line)
-        here = F.when(F.col("occupied"), F.col(line))
-        before, after = F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return F.least(F.col(line) - before, after - F.col(line)).cast("long")
-
-    in_row = cells.select("grid_id", "row", "col", "occupied", ends("col", "row").alias("dx"))
-    both = in_row.select("grid_id", "row", "col", "dx", F.least("dx", ends("row", "col")).cast("int").alias("reach"))
-    columns = both.groupBy("grid_id", "col").agg(F.array_sort(F.collect_list(F.struct("row", "dx", "reach"))).alias("line"))
-    line = F.col("line")
-
-    def squared(p: Column, i: Column) -> Column:
-        reach = F.coalesce(p["reach"], F.size(line))
-        near = F.slice(line, F.greatest(i + 1 - reach, F.lit(1)), 2 * reach + 1)
-        return F.array_min(F.transform(near, lambda q: (q["row"] - p["row"]).cast("long") * (q["row"] - p["row"]) + q["dx"] * q["dx"]))
+    def last(way: Column) -> Column:
+        return F.last(F.when(F.col("occupied"), F.col("col")), True).over(Window.partitionBy("grid_id", "row").orderBy(way).rowsBetween(Window.unboundedPreceding, 0))
 
-    best = columns.select("grid_id", "col", F.inline(F.transform(line, lambda p, i: F.struct(p["row"].alias("row"), squared(p, i).alias("d2")))))
+    in_row = spread(cells.select("grid_id", "row", "col", "occupied"), "grid_id", "row").select("grid_id", "row", "col", F.least(F.col("col") - last(F.asc("col")), last(F.desc("col")) - F.col("col")).cast("int").alias("dx"))
+    lines = spread(in_row, "grid_id", "col").groupBy("grid_id", "col").agg(F.array_sort(F.collect_list(F.struct("row", "dx"))).alias("line")).select("grid_id", F.col("col").cast("int").alias("col"), "line.row", "line.dx")
+    kind = cells.schema["grid_id"].dataType.simpleString()
+    best = lines.mapInArrow(envelope.columns, f"grid_id {kind}, row int, col int, d2 long")
     return best.select("grid_id", "row", "col", F.coalesce(F.sqrt("d2") * resolution, F.lit(float("inf"))).alias("distance"))
 
 
