@@ -181,15 +181,19 @@ def first_stop(failed: DataFrame, key: str, order: str, flag: str, n: int) -> Da
     return runs.where("confirmed").groupBy(key).agg(F.min(order).alias("stopped_at"))
 
 
-def at_ticks(log: DataFrame, key: str, time: str, order: str, topic: str, value: str, topics: list[str], every: float) -> DataFrame:
-    """Per key, a tick at each multiple of every from its first topic row to its last row, with the topics' latest values.
+def ticked(log: DataFrame, key: str, time: str, order: str, driving: Column, values: dict[str, Column], every: float, slab: float | None = None) -> DataFrame:
+    """(key, time) and the last known values at each multiple of every from a key's first driving row to its last row.
 
-    No tick comes before the first row of topics[0], which drives the output.
+    Rows of a tick's own time count. slab: so many units of time of a key's log are taken together.
     """
-    span = log.groupBy(key).agg(F.min(F.when(F.col(topic) == topics[0], F.col(time))).alias("lo"), F.max(time).alias("hi"))
+    span = log.groupBy(key).agg(F.min(F.when(driving, F.col(time))).alias("lo"), F.max(time).alias("hi"))
     spread = F.sequence(F.ceil(F.col("lo") / every), F.floor(F.col("hi") / every))
-    ticks = span.where(F.ceil(F.col("lo") / every) <= F.floor(F.col("hi") / every)).select(key, F.explode(F.transform(spread, lambda k: k * every)).alias(time))
-    rows = log.select(key, time, order, topic, value).unionByName(ticks, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(time, F.col(topic).isNull(), order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.select(key, time, topic, *(F.last(F.when(F.col(topic) == t, F.col(value)), True).over(w).alias(t) for t in topics))
-    return seen.where(F.col(topic).isNull()).drop(topic)
+    ticks = span.where(F.ceil(F.col("lo") / every) <= F.floor(F.col("hi") / every)).select(key, F.explode(F.transform(spread, lambda k: k * every)).alias(time), F.lit(True).alias("_tick"))
+    rows = log.select(key, time, order, F.lit(False).alias("_tick"), *(v.alias(f"_in_{n}") for n, v in values.items())).unionByName(ticks, allowMissingColumns=True)
+    known = last_known(rows, key, [time, "_tick", order], {n: F.col(f"_in_{n}") for n in values}, None if slab is None else F.floor(F.col(time) / slab))
+    return known.where("_tick").select(key, time, *values)
+
+
+def at_ticks(log: DataFrame, key: str, time: str, order: str, topic: str, value: str, topics: list[str], every: float, slab: float | None = None) -> DataFrame:
+    """Per key, ticks with the topics' latest values; none comes before the first row of topics[0], which drives the output."""
+    return ticked(log, key, time, order, F.col(topic) == topics[0], {t: F.when(F.col(topic) == t, F.col(value)) for t in topics}, every, slab)

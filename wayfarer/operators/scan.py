@@ -26,8 +26,12 @@ def r_min() -> Column:
     return F.coalesce(least(F.filter("beams", lambda b: b["valid"])), F.lit(10.0))
 
 
-def r_ttc(v: Column) -> Column:
-    ahead = least(F.filter("beams", lambda b: b["valid"] & (F.abs(b["a"]) < HALF_FIELD)))
+def ahead() -> Column:
+    """The least valid range within the field ahead, null without one."""
+    return least(F.filter("beams", lambda b: b["valid"] & (F.abs(b["a"]) < HALF_FIELD)))
+
+
+def r_ttc(v: Column, ahead: Column) -> Column:
     return F.when((F.abs(v) < 0.01) | (v < 0) | ahead.isNull(), 100.0).otherwise(F.least(ahead / v, F.lit(100.0)))
 
 

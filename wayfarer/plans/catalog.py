@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions import geometry, scalars
-from wayfarer.operators import design, footprint, grid, merge, path, scan, trials
+from wayfarer.operators import design, footprint, grid, merge, path, risk, scan, trials
 from wayfarer.plans import oracle, views
 from wayfarer.plans.views import table
 from wayfarer.sources import readers, sinks
@@ -39,7 +39,7 @@ def week() -> Column:
 
 @query
 def f_risk_vector(spark: SparkSession, d: str) -> DataFrame:
-    parts = {"r_min": scan.r_min(), "r_ttc": scan.r_ttc(F.col("v")), "r_vis": scan.r_vis(), "r_width": scan.r_width(), "r_clear": scan.r_clear()}
+    parts = {"r_min": scan.r_min(), "r_ttc": scan.r_ttc(F.col("v"), scan.ahead()), "r_vis": scan.r_vis(), "r_width": scan.r_width(), "r_clear": scan.r_clear()}
     return views.scans(spark, d).select("vec_id", *(r6(c).alias(k) for k, c in parts.items()))
 
 
@@ -571,10 +571,18 @@ def r2_edited_space(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def x2_tick_merge(spark: SparkSession, d: str) -> DataFrame:
-    seen = merge.at_ticks(views.log(spark, d), "user_id", "t", "event_id", "event_type", "value", ["click", "view"], 86400.0)
+    seen = merge.at_ticks(views.log(spark, d), "user_id", "t", "event_id", "event_type", "value", ["click", "view"], 86400.0, 604800.0)
     return seen.select("user_id", F.col("t").cast("long").alias("t"), r6("click").alias("click"), r6("view").alias("view"))
 
 
+@query
+def x_risk_node(spark: SparkSession, d: str) -> DataFrame:
+    log = views.messages(spark, d)
+    scans = risk.of_scans(views.scans(spark, d).withColumnRenamed("vec_id", "ref"), "ref")
+    seen = risk.states(log, "trial", scans, risk.of_plans(views.plans(spark, d)), views.cells(spark, d), 21600.0, 10.0, views.RESOLUTION, (-1.0, -0.5), slab=172800.0)
+    return seen.select("trial", F.col("t").cast("long").alias("t"), "computed", *(r6(c, 5).alias(c) for c in risk.TIERS))
+
+
 @query
 def x1_latest_of_batch(spark: SparkSession, d: str) -> DataFrame:
     at = views.log(spark, d).select(F.floor(F.col("event_id") / 100).cast("long").alias("batch"), "event_type", "value", F.struct("ts", "event_id").alias("at"))

@@ -194,3 +194,27 @@ SQL["r4_maximin"] = (
   SELECT arm, step + 1, id, a, b, c.id, least(gap, (a - c.a) * (a - c.a) + (b - c.b) * (b - c.b)) FROM (SELECT *, first_value(struct_pack(id := id, a := a, b := b)) OVER (PARTITION BY arm ORDER BY gap DESC, id) AS c FROM r WHERE step < 150))
  SELECT p.id, steps, arm, round(vx, 9) AS vx, round(a, 9) AS u_vx, round(b, 9) AS u_steps FROM p WHERE id IN (SELECT chosen FROM r)"""
 )
+
+_TIERED = {"r_min": "true", "r_ttc": "true", "r_vis": "true", "r_dens": "mid", "r_width": "mid", "r_clear": "mid", "r_curve": "fine", "r_grad": "fine"}
+SQL["x_risk_node"] = FEATURES + f""", {CELLS}, {LOG},
+grad AS (SELECT grid_id, "row", col, sqrt(gx * gx + gy * gy) / 0.5 AS g FROM (SELECT *, coalesce((lead(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col) - lag(cost) OVER (PARTITION BY grid_id, "row" ORDER BY col)) / 2.0, 0.0) AS gx,
+ coalesce((lead(cost) OVER (PARTITION BY grid_id, col ORDER BY "row") - lag(cost) OVER (PARTITION BY grid_id, col ORDER BY "row")) / 2.0, 0.0) AS gy FROM cells)),
+pt AS (SELECT event_id AS plan, i, i * 0.5 AS x, ((i * i * k::BIGINT + event_id) % 7) / 10.0 AS y FROM log, LATERAL unnest(range(CASE WHEN event_id % 11 = 0 THEN 2 ELSE 5 END)) u(i) WHERE event_type = 'view'),
+pd AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, lead(x) OVER w - x AS ex, lead(y) OVER w - y AS ey FROM pt WINDOW w AS (PARTITION BY plan ORDER BY i)),
+ps AS (SELECT *, coalesce(sqrt(dx * dx + dy * dy), 0.0) AS segment, sqrt(ex * ex + ey * ey) AS nxt FROM pd),
+pc AS (SELECT *, sum(segment) OVER (PARTITION BY plan ORDER BY i ROWS UNBOUNDED PRECEDING) AS distance, CASE WHEN segment > 1e-6 AND nxt > 1e-6 THEN 2 * abs(dx * ey - dy * ex) / (segment * nxt) / ((segment + nxt) / 2) ELSE 0.0 END AS curvature FROM ps),
+curve AS (SELECT plan, coalesce(max(curvature) FILTER (distance <= 3.0), 0.0) AS r_curve FROM pc GROUP BY 1),
+m AS (SELECT user_id || '-' || floor(t / 604800)::BIGINT AS trial, t, event_id, user_id, event_type, value, k FROM log),
+span AS (SELECT trial, min(t) FILTER (event_type = 'click') AS lo, max(t) AS hi FROM m GROUP BY 1),
+tick AS (SELECT trial, d * 21600 AS t FROM span, LATERAL unnest(range(ceil(lo / 21600)::BIGINT, floor(hi / 21600)::BIGINT + 1)) u(d)),
+every AS (SELECT trial, t::DOUBLE AS t, 0 AS is_tick, event_id, user_id, event_type, value, k FROM m UNION ALL SELECT trial, t::DOUBLE, 1, NULL, NULL, NULL, NULL, NULL FROM tick),
+seen AS (SELECT trial, t, is_tick, last_value(CASE WHEN event_type = 'click' THEN event_id % 500 END IGNORE NULLS) OVER w AS scan, last_value(CASE WHEN event_type = 'signup' THEN (event_id * 3 + user_id) % 500 END IGNORE NULLS) OVER w AS costmap,
+ last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS plan, last_value(CASE WHEN event_type = 'error' THEN value / 50 - 1 END IGNORE NULLS) OVER w AS speed, last_value(CASE WHEN event_type = 'purchase' THEN value / 60 - 1 END IGNORE NULLS) OVER w AS x,
+ last_value(CASE WHEN event_type = 'purchase' THEN k / 25 - 0.5 END IGNORE NULLS) OVER w AS y, last_value(k / 10 IGNORE NULLS) OVER w AS early, last_value(k / 10 + value / 100 IGNORE NULLS) OVER w AS late FROM every WINDOW w AS (PARTITION BY trial ORDER BY t, is_tick, event_id ROWS UNBOUNDED PRECEDING)),
+placed AS (SELECT *, trunc((coalesce(x, 0) + 1) / 0.5)::INT AS mx, trunc((coalesce(y, 0) + 0.5) / 0.5)::INT AS my FROM seen WHERE is_tick = 1),
+dens AS (SELECT costmap, mx, my, avg(CASE WHEN cost = 254 THEN 1.0 ELSE 0.0 END) AS r_dens FROM (SELECT DISTINCT costmap, mx, my FROM placed) JOIN cells ON grid_id = costmap AND abs("row" - my) <= 4 AND abs(col - mx) <= 4 GROUP BY ALL),
+f AS (SELECT trial, t, early < 5.0 AS mid, late < 8.0 AS fine, coalesce(o.r_min, 10) AS r_min, CASE WHEN abs(coalesce(speed, 0)) < 0.01 OR speed < 0 OR o.ahead IS NULL THEN 100 ELSE least(o.ahead / speed, 100) END AS r_ttc, coalesce(vis, 0) AS r_vis, coalesce(lft + rgt, 2 * lft, 2 * rgt, 10) AS r_width,
+ least(n, 36) * (2 * pi() / 36) AS r_clear, coalesce(dens.r_dens, 0) AS r_dens, coalesce(r_curve, 0) AS r_curve, coalesce(g, 0) AS r_grad
+ FROM placed p JOIN one o ON o.vec_id = scan JOIN runs USING (vec_id) LEFT JOIN curve USING (plan) LEFT JOIN dens USING (costmap, mx, my) LEFT JOIN grad ON grad.grid_id = p.costmap AND grad.col = p.mx AND grad."row" = p.my)
+SELECT trial, t::BIGINT AS t, (3 + CASE WHEN mid THEN 3 ELSE 0 END + CASE WHEN fine THEN 2 ELSE 0 END)::INT AS computed, """ + ", ".join(f"round(coalesce(last_value(CASE WHEN {due} THEN {c} END IGNORE NULLS) OVER w, 0), 5) AS {c}" for c, due in _TIERED.items()) + """
+FROM f WINDOW w AS (PARTITION BY trial ORDER BY t ROWS UNBOUNDED PRECEDING)"""

@@ -45,3 +45,18 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "COLLISION").otherwise("TIMEOUT")
     return o.select(F.col("o_orderkey").alias("trial_id"), F.col("o_custkey").alias("campaign"), status.alias("status"), F.col("o_totalprice").alias("path_length"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a robot's topics; a trial is a week of a user. Scans and costmaps are embeddings below 500, which all sizes have."""
+    e = log(spark, sf_dir)
+    topic = F.when(F.col("event_type") == "click", "scan").when(F.col("event_type") == "error", "odom").when(F.col("event_type") == "purchase", "pose").when(F.col("event_type") == "signup", "costmap").otherwise("plan")
+    ref = F.when(F.col("event_type") == "click", F.col("event_id") % 500).when(F.col("event_type") == "signup", (F.col("event_id") * 3 + F.col("user_id")) % 500).otherwise(F.col("event_id"))
+    trial = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("t") / 604800).cast("string"))
+    return e.select(trial.alias("trial"), "user_id", "ts", "t", "event_id", topic.alias("topic"), ref.alias("ref"), (F.col("value") / 50 - 1).alias("v"), (F.col("value") / 60 - 1).alias("x"), (F.col("k") / 25 - 0.5).alias("y"), (F.col("k") / 10).alias("early"), (F.col("k") / 10 + F.col("value") / 100).alias("late"))
+
+
+def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five poses, or two, for each plan of messages."""
+    some = log(spark, sf_dir).where("event_type = 'view'").select("event_id", F.col("k").cast("long").alias("k"), F.explode(F.sequence(F.lit(0), F.when(F.col("event_id") % 11 == 0, 1).otherwise(4))).alias("i"))
+    return some.select(F.col("event_id").alias("path_id"), "i", (F.col("i") * 0.5).alias("x"), (((F.col("i") * F.col("i") * F.col("k") + F.col("event_id")) % 7) / 10.0).alias("y"))
