@@ -190,9 +190,29 @@ def test_slabs_carry_runs_and_minima(spark):
         assert merge.confirmed(log.limit(0), "key", ["t"], "hit", 3, by).count() == merge.running_minima(log.limit(0), "key", ["t"], {"low": F.col("value")}, by).count() == 0
 
 
-def test_grids_with_gaps_pack(spark):
-    cells = spark.createDataFrame([("a", r, c, 10 * r + c) for r in range(2) for c in range(2)] + [("b", 1, 0, 7), ("b", 5, 0, 9)], "grid_id string, row int, col int, cost int")
-    assert {r.grid_id: r.cost for r in grid.packed(cells, 2, "cost").collect()} == {"a": [0, 1, 10, 11], "b": [None, None, 7, None]}
+def test_tiles_of_one_cost_and_with_gaps(spark):
+    from wayfarer.operators import raster
+
+    cells = spark.createDataFrame([("a", r, c, 10 * (r // 4) + 10 * (c // 4) * (c % 2)) for r in range(6) for c in range(7)] + [("b", 1, 1, 7), ("b", 0, 0, 9), ("b", -1, 0, 8)], "grid_id string, row int, col int, cost int")
+    got = {(r.grid_id, r.tile >> 31, r.tile & 3): (r.th, r.tw, r.most, r.costs) for r in raster.tiles(cells, side=2).collect()}
+    assert got[("a", 0, 0)] == (4, 4, 0, None) and got[("a", 1, 0)] == (2, 4, 10, None) and got[("a", 0, 1)] == (4, 3, 10, [0, 10, 0] * 4) and got[("b", 0, 0)] == (2, 2, 9, [9, 0, 0, 7])
+
+
+def test_footprint_costs_on_a_large_map_keep_tiles_small(spark):
+    from wayfarer.operators import raster
+
+    n = 1500  # cells a side; free but for a wall and a corner of unknown cells
+    cost = F.when(F.col("col") == 700, 254).when((F.col("row") > 1400) & (F.col("col") > 1400), 255).otherwise(0)
+    cells = spark.range(n * n).select(F.lit("m").alias("grid_id"), F.floor(F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col")).withColumn("cost", cost)
+    tiled = raster.tiles(cells)
+    sizes = tiled.select(F.max(F.size("costs")), F.count_if(F.col("costs").isNotNull()), F.count("*")).first()
+    assert sizes[0] <= 4096 and sizes[1] < 0.1 * sizes[2]
+    maps = spark.createDataFrame([("m", n, n, -10.0, -20.0, 0.05)], "grid_id string, width int, height int, origin_x double, origin_y double, resolution double")
+    at = [(1, 20.0, 0.0, 0.3), (2, 24.9, 0.0, 0.0), (3, 64.0, 54.0, 1.0), (4, -10.1, 0.0, 0.0), (5, 0.0, 10.0, 2.0)]
+    poses = spark.createDataFrame([(i, "m", *p) for i, *p in at] + [(6, "none", 0.0, 0.0, 0.0)], "id int, grid_id string, x double, y double, yaw double")
+    square = geometry.polygon([(0.4, 0.4), (-0.4, 0.4), (-0.4, -0.4), (0.4, -0.4)])
+    assert {r.id: r.cost for r in raster.footprint_costs(poses, maps, tiled, square).collect()} == {1: 0, 2: 254, 3: 255, 4: 254, 5: 0, 6: 254}
+
 
 
 def test_termination_order(spark):

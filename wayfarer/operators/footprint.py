@@ -6,53 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfarer.functions import geometry
-from wayfarer.operators import grid
+from wayfarer.operators import raster
 from wayfarer.operators.design import hull
-from wayfarer.operators.grid import LETHAL
-
-ABOVE_ALL = 256  # stands for LETHAL where the greatest cost is sought
-
-
-def line_cost(costs: Column, a: Column, b: Column, size: int, step: float) -> Column:
-    """Cost of the cells met walking from cell a to cell b, a sample every step from the start, truncated: LETHAL if one is, else the greatest."""
-    dx, dy = (b["x"] - a["x"]).cast("double"), (b["y"] - a["y"]).cast("double")
-
-    def walked(m: Column) -> Column:
-        def at(t: Column) -> Column:
-            col, row = ((F.when(m["far"] == 0, m[k]).otherwise((m[k] + t * step * m[f"u{k}"]).cast("int"))) for k in "xy")
-            cost = F.coalesce(F.get(costs, row * size + col), F.lit(0))
-            return F.when(cost == LETHAL, ABOVE_ALL).otherwise(cost)
-
-        return F.array_max(F.transform(F.sequence(F.lit(0), F.floor(m["far"] / step).cast("int")), at))
-
-    # arrays of one bind the line's length and direction, so that they aren't computed for each sample
-    far = F.sqrt(dx * dx + dy * dy)
-    lines = F.transform(F.array(far), lambda f: F.struct(f.alias("far"), a["x"].alias("x"), a["y"].alias("y"), (dx / F.greatest(f, F.lit(1e-9))).alias("ux"), (dy / F.greatest(f, F.lit(1e-9))).alias("uy")))
-    most = F.get(F.transform(lines, walked), F.lit(0))
-    return F.get(F.transform(F.array(most), lambda c: F.when(c == ABOVE_ALL, LETHAL).otherwise(c)), F.lit(0))
-
-
-def costed(poses: DataFrame, grids: DataFrame, poly: Column, resolution: float, size: int, step: float = 0.1) -> DataFrame:
-    """poses (grid_id, x, y, yaw and others) with the footprint's cost; a vertex off the map, or a pose without a grid, is lethal.
-
-    grids: packed, with cost. Each pose meets its grid in one join and stays one row. Edges are taken in
-    order: the cost so far ends the walk where it is exactly lethal, so an unknown cell met before a lethal
-    one outweighs it and one met behind doesn't count.
-    """
-    # arrays of one, exploded, keep the optimizer from computing polygon and cells anew wherever they are used
-    n = int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: poses go to all tasks
-    placed = poses.repartition(n).withColumn("_p", F.explode(F.array(geometry.placed(poly, F.col("x"), F.col("y"), F.col("yaw")))))
-    inside = F.forall("_p", lambda v: (v["x"] >= 0) & (v["y"] >= 0) & ((v["x"] / resolution).cast("int") < size) & ((v["y"] / resolution).cast("int") < size))
-    on = placed.withColumn("_in", inside).withColumn("_p", F.explode(F.array(F.transform("_p", lambda v: geometry.point((v["x"] / resolution).cast("int"), (v["y"] / resolution).cast("int"))))))
-    met = on.join(grids.withColumnRenamed("cost", "_costs"), "grid_id", "left")
-    lines = F.transform(geometry.edges(F.col("_p")), lambda e: line_cost(F.col("_costs"), e["a"], e["b"], size, step))
-    folded = F.aggregate(lines, F.lit(0), lambda acc, c: F.when(acc == LETHAL, acc).otherwise(F.greatest(acc, c)))
-    return met.withColumn("footprint_cost", F.when(F.col("_in") & F.col("_costs").isNotNull(), folded).otherwise(LETHAL)).drop("_p", "_in", "_costs")
 
 
 def costs(poses: DataFrame, cells: DataFrame, poly: Column, resolution: float, size: int, step: float = 0.1) -> DataFrame:
-    """id and cost of the footprint at each pose (id, grid_id, x, y, yaw) on grids given by their cells."""
-    return costed(poses, grid.packed(cells, size, "cost"), poly, resolution, size, step).select("id", F.col("footprint_cost").alias("cost"))
+    """id and cost of the footprint at each pose (id, grid_id, x, y, yaw) on square grids from the origin on, given by their cells."""
+    maps = cells.select("grid_id").distinct().select("grid_id", *(F.lit(size).alias(k) for k in ("width", "height")), *(F.lit(0.0).alias(f"origin_{k}") for k in "xy"), F.lit(resolution).alias("resolution"))
+    return raster.footprint_costs(poses, maps, raster.tiles(cells), poly, step)
 
 
 def densified(a: Column, b: Column, step: float = 0.04) -> Column:

@@ -31,15 +31,6 @@ def cell_of(x: Column, origin: Column, resolution: Column, guarded: bool = False
     return F.when(x >= origin, at) if guarded else at
 
 
-def packed(cells: DataFrame, size: int, *values: str) -> DataFrame:
-    """One row for each grid of size x size cells, each value as an array by row * size + col; cells that aren't there are null."""
-    at = (F.col("row") * size + F.col("col")).cast("int").alias("at")
-    whole = cells.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1)).groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct(at, *values))).alias("c"))
-    gaps = F.map_from_entries(F.transform("c", lambda c: F.struct(c["at"], c)))
-    full = F.when(F.size("c") == size * size, F.col("c")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.try_element_at(gaps, k)))
-    return whole.select("grid_id", full.alias("c")).select("grid_id", *(F.col(f"c.{v}").alias(v) for v in values))
-
-
 def numbered(cells: DataFrame) -> DataFrame:
     """Cells with their rank by row and column, from 0. Ranks are taken within a row of the grid; only the rows' counts meet in one task."""
     rows = cells.groupBy("row").agg(F.count("*").alias("n"))

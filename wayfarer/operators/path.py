@@ -31,13 +31,11 @@ def summary(poses: DataFrame, horizon: float = 3.0) -> DataFrame:
 def analyzed(poses: DataFrame, cells: DataFrame, poly: Column, resolution: float, size: int) -> DataFrame:
     """Per pose (path_id, grid_id, i, x, y) its heading, footprint cost and distance to the nearest obstacle (+inf off the map).
 
-    Costs and the distance transform are packed by grid, so that a pose meets both in one row of its grid.
+    Costs come from the tiles that a pose's footprint crosses and the distance from its own cell, so that no row holds a grid.
     """
-    far = grid.distances(cells.withColumn("occupied", grid.is_obstacle(F.col("cost"))), resolution)
-    grids = grid.packed(cells, size, "cost").join(grid.packed(far, size, "distance").withColumnRenamed("distance", "distance_of"), "grid_id")
-    found = measured(poses, "grid_id").withColumn("yaw", F.col("heading"))
-    col, row = (F.floor(F.col(k) / resolution).cast("int") for k in "xy")
-    on = col.between(0, size - 1) & row.between(0, size - 1)
-    costed = footprint.costed(found, grids, poly, resolution, size)
-    obstacle = F.when(on, F.get("distance_of", row * size + col))
-    return costed.select("path_id", "i", "segment", "heading", "footprint_cost", F.coalesce(obstacle, F.lit(float("inf"))).alias("obstacle"))
+    far = grid.distances(cells.withColumn("occupied", grid.is_obstacle(F.col("cost"))), resolution).withColumnRenamed("distance", "obstacle")
+    found = measured(poses, "grid_id")
+    costs = footprint.costs(found.select(F.struct("path_id", "i").alias("id"), "grid_id", "x", "y", F.col("heading").alias("yaw")), cells, poly, resolution, size)
+    at = found.withColumns({k: F.floor(F.col(c) / resolution).cast("int") for k, c in (("col", "x"), ("row", "y"))}).join(far, ["grid_id", "row", "col"], "left")
+    both = at.join(costs.select("id.path_id", "id.i", F.col("cost").alias("footprint_cost")), ["path_id", "i"])
+    return both.select("path_id", "i", "segment", "heading", "footprint_cost", F.coalesce("obstacle", F.lit(float("inf"))).alias("obstacle"))

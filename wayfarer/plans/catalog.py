@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions import geometry, scalars
-from wayfarer.operators import design, footprint, grid, merge, path, risk, scan, trials
+from wayfarer.operators import design, footprint, grid, merge, path, raster, risk, scan, trials
 from wayfarer.plans import oracle, views
 from wayfarer.plans.views import table
 from wayfarer.sources import readers, sinks
@@ -409,6 +409,17 @@ def o1_footprint_cost(spark: SparkSession, d: str) -> DataFrame:
     return footprint.costs(at, views.cells(spark, d), square, views.RESOLUTION, 8).select("id", F.col("cost").cast("int").alias("cost"))
 
 
+@query
+def g7_tiled_costs(spark: SparkSession, d: str) -> DataFrame:
+    # 500 grids side by side are one map of 200 x 160 cells; each event is a pose of a trial that has one of two maps
+    at = views.cells(spark, d).where("grid_id < 500").select(F.lit(0).alias("grid_id"), (F.floor(F.col("grid_id") / 25) * 8 + F.col("row")).cast("int").alias("row"), (F.col("grid_id") % 25 * 8 + F.col("col")).cast("int").alias("col"), "cost")
+    turned = at.select(F.lit(1).alias("grid_id"), F.col("col").alias("row"), F.col("row").alias("col"), "cost")
+    maps = at.union(turned).groupBy("grid_id").agg((F.max("col") + 1).alias("width"), (F.max("row") + 1).alias("height")).select("*", F.lit(-20.5).alias("origin_x"), F.lit(-7.25).alias("origin_y"), F.lit(0.25).alias("resolution"))
+    poses = views.log(spark, d).select(F.col("event_id").alias("id"), (F.col("user_id") % 2).cast("int").alias("grid_id"), (F.col("value") / 6 - 21).alias("x"), (F.col("k") / 2.5 - 7.5).alias("y"), (F.col("k") / 10).alias("yaw"))
+    arm = geometry.polygon([(0.6, 0.3), (-0.4, 0.3), (-0.4, -0.3), (0.2, -0.3), (0.5, -0.9)])
+    return raster.footprint_costs(poses, maps, raster.tiles(at.union(turned)), arm).select("id", F.col("cost").cast("int").alias("cost"))
+
+
 @query
 def g14_fused_detection(spark: SparkSession, d: str) -> DataFrame:
     cost, lidar_hit = F.floor(F.least(F.col("value") * 4, F.lit(255))), F.col("k") < 40

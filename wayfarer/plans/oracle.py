@@ -218,3 +218,13 @@ f AS (SELECT trial, t, early < 5.0 AS mid, late < 8.0 AS fine, coalesce(o.r_min,
  FROM placed p JOIN one o ON o.vec_id = scan JOIN runs USING (vec_id) LEFT JOIN curve USING (plan) LEFT JOIN dens USING (costmap, mx, my) LEFT JOIN grad ON grad.grid_id = p.costmap AND grad.col = p.mx AND grad."row" = p.my)
 SELECT trial, t::BIGINT AS t, (3 + CASE WHEN mid THEN 3 ELSE 0 END + CASE WHEN fine THEN 2 ELSE 0 END)::INT AS computed, """ + ", ".join(f"round(coalesce(last_value(CASE WHEN {due} THEN {c} END IGNORE NULLS) OVER w, 0), 5) AS {c}" for c, due in _TIERED.items()) + """
 FROM f WINDOW w AS (PARTITION BY trial ORDER BY t ROWS UNBOUNDED PRECEDING)"""
+
+SQL["g7_tiled_costs"] = f"""WITH {LOG}, {CELLS}, one AS (SELECT (grid_id // 25 * 8 + "row")::INT AS r, (grid_id % 25 * 8 + col)::INT AS c, cost FROM cells WHERE grid_id < 500),
+ big AS (SELECT 0 AS grid_id, r AS "row", c AS col, cost FROM one UNION ALL SELECT 1, c, r, cost FROM one), size AS (SELECT grid_id, max(col) + 1 AS w, max("row") + 1 AS h FROM big GROUP BY 1),
+ v AS (SELECT event_id AS id, user_id % 2 AS grid_id, i, value / 6 - 21 + px * cos(k / 10) - py * sin(k / 10) AS x, k / 2.5 - 7.5 + px * sin(k / 10) + py * cos(k / 10) AS y FROM log, (VALUES (0, 0.6::DOUBLE, 0.3::DOUBLE), (1, -0.4, 0.3), (2, -0.4, -0.3), (3, 0.2, -0.3), (4, 0.5, -0.9)) p(i, px, py)),
+ m AS (SELECT id, grid_id, i, trunc((x + 20.5) / 0.25)::INT AS mx, trunc((y + 7.25) / 0.25)::INT AS my, min(CASE WHEN x >= -20.5 AND y >= -7.25 AND trunc((x + 20.5) / 0.25) < w AND trunc((y + 7.25) / 0.25) < h THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS inside FROM v JOIN size USING (grid_id)),
+ e AS (SELECT a.id, a.grid_id, a.i, a.mx AS x0, a.my AS y0, (b.mx - a.mx)::DOUBLE AS dx, (b.my - a.my)::DOUBLE AS dy FROM m a JOIN m b ON a.id = b.id AND b.i = (a.i + 1) % 5 WHERE a.inside = 1), w AS (SELECT *, sqrt(dx * dx + dy * dy) AS size FROM e),
+ s AS (SELECT id, grid_id, i, CASE WHEN size = 0 THEN x0 ELSE trunc(x0 + t * 0.1::DOUBLE * (dx / size))::INT END AS col, CASE WHEN size = 0 THEN y0 ELSE trunc(y0 + t * 0.1::DOUBLE * (dy / size))::INT END AS "row" FROM w, LATERAL unnest(range(floor(size / 0.1::DOUBLE)::INT + 1)) u(t)),
+ l AS (SELECT s.id, i, CASE WHEN bool_or(c.cost = 254) THEN 254 ELSE max(c.cost) END AS cost FROM s JOIN big c USING (grid_id, "row", col) GROUP BY ALL),
+ r AS (SELECT id, max(cost) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS so_far FROM l), f AS (SELECT id, CASE WHEN bool_or(so_far = 254) THEN 254 ELSE max(so_far) END AS cost FROM r GROUP BY 1)
+ SELECT event_id AS id, coalesce(f.cost, 254)::INT AS cost FROM log LEFT JOIN f ON f.id = event_id"""
