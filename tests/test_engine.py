@@ -171,6 +171,19 @@ def test_confirmation_and_throttle(spark):
     assert sorted(map(tuple, merge.throttled(log.coalesce(1), "key", "t", 0.1).collect())) == [(k, t + k) for k in (1, 2) for t in (0.0, 0.11, 0.22, 0.5)]
 
 
+def test_a_hot_keys_throttle_equals_the_fold(spark):
+    rng = random.Random(2)
+    times = sorted(rng.choice([rng.uniform(0, 50), rng.randrange(50) / 4]) for _ in range(600))
+    want, last = [], -math.inf
+    for t in times:
+        if t >= last + 0.7:
+            want.append(t)
+            last = t
+    log = spark.createDataFrame([("a", t) for t in times], "key string, t double")
+    for slab in (None, 3.0):
+        assert sorted(r.t for r in merge.throttled(log, "key", "t", 0.7, slab).collect()) == want
+
+
 def test_slabs_carry_runs_and_minima(spark):
     draw = random.Random(5)
     rows = [(key, t, draw.choice((True, True, True, False, None)), draw.choice((None, 1.0, 2.0, float(t % 17))), t // 4) for key in (1, 2, None) for t in draw.sample(range(60), 40)]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfarer.sources.shared import stash
+
 
 def upto(key: str, *order: str) -> Window:
     return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -142,32 +140,26 @@ def timing(log: DataFrame, key: str, time: Column, order: list[str], value: Colu
     return whole.withColumn("degraded_pct", 100.0 * F.col("degraded_total") / F.greatest("cycles_total", F.lit(1)))
 
 
-def throttled(log: DataFrame, key: str, time: str, period: float) -> DataFrame:
-    """(key, time) at which a throttle emits: at the first row, then whenever the period has passed since the last.
+def throttled(log: DataFrame, key: str, time: str, period: float, slab: float | None = None) -> DataFrame:
+    """(key, time) at which a throttle emits: at the first row, then at the first row at least the period after the last emission.
 
-    The fold carries the last emission alone. A key's times come to its task in order and leave it batch by
-    batch, so a long log isn't held as one row.
+    Each time points to the one that would be emitted after it. Pointers are doubled (2, 4, 8 .. emissions on) and the first
+    times follow them back from the longest, so a key's n emissions take log n joins by key and time, which deal
+    a hot key over all tasks. slab: units of time of a key's log that are taken together to find the pointers.
     """
-
-    def emitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = None, 0.0
-        for batch in batches:
-            keys, times = batch[key].to_numpy(), batch[time].to_numpy(float)
-            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-            kept: list[int] = []
-            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True):
-                at = a
-                if now is None or keys[a] != now:
-                    now, last = keys[a], times[a]
-                    kept.append(a)
-                # from one emission to the next by search; the test is the throttle's own, t - last >= period
-                while (at := at + int(np.searchsorted(times[at:b] - last, period))) < b:
-                    last = times[at]
-                    kept.append(at)
-            yield batch.iloc[kept]
-
-    rows = log.select(key, time).where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    return rows.repartition(key).sortWithinPartitions(key, time).mapInPandas(emitted, rows.schema)
+    times = log.select(F.col(key).alias("of"), F.col(time).cast("double").alias("own")).where("of is not null and own is not null").distinct()
+    asked = times.select("of", "own", (F.col("own") + period).alias("at"), F.lit(1).alias("ask"), F.lit(None).cast("double").alias("here"))
+    both = times.select("of", F.lit(None).cast("double").alias("own"), F.col("own").alias("at"), F.lit(0).alias("ask"), F.col("own").alias("here")).unionByName(asked).withColumn("back", -F.col("at"))
+    seen = last_known(both, "of", ["back", "ask"], {"next": F.col("here")}, F.floor(F.col("back") / (slab or 64 * period)))
+    steps = [stash(seen.where("ask = 1 and next is not null").select("of", "own", "next"), "throttle")]
+    longest = times.groupBy("of").agg((F.max("own") - F.min("own")).alias("span")).agg(F.max("span")).first()[0] or 0.0
+    for _ in range(int(longest / period).bit_length() - 1):
+        a, b = steps[-1], steps[-1].select("of", F.col("own").alias("next"), F.col("next").alias("after"))
+        steps.append(stash(a.join(b, ["of", "next"]).select("of", "own", F.col("after").alias("next")), "throttle"))
+    met = times.groupBy("of").agg(F.min("own").alias("own"))
+    for step in reversed(steps):
+        met = stash(met.union(met.join(step, ["of", "own"]).select("of", F.col("next").alias("own"))), "throttle")
+    return met.select(F.col("of").alias(key), F.col("own").alias(time))
 
 
 def first_rows(log: DataFrame, key: str, order: list[str], n: int = 3) -> DataFrame:
