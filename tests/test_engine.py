@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayfarer.functions import geometry, scalars
-from wayfarer.operators import design, footprint, grid, merge, path, scan, trials
+from wayfarer.operators import design, footprint, grid, kdtree, merge, path, scan, trials
 from wayfarer.plans import catalog, views
 from wayfarer.sources import readers, sinks
 from wayfarer.streaming import latest
@@ -132,9 +132,39 @@ def test_distances_and_nearest_equal_brute_force(spark):
     points, walls = rng.random((80, 2)) * 100, np.r_[rng.random((30, 2)), [[99.0, 2.0]]]
     p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "id long, x double, y double")
     w = spark.createDataFrame([(float(x), float(y)) for x, y in walls], "x double, y double")
-    near = {r.id: r.distance for r in grid.nearest(p, w, 0.5).collect()}
+    near = {r.id: r.distance for r in kdtree.nearest(p, w, ("x", "y")).collect()}
     assert len(near) == 80 and all(near[k] == pytest.approx(math.sqrt(((walls - x) ** 2).sum(axis=1).min())) for k, x in enumerate(points))
-    assert {r.distance for r in grid.nearest(p, w.limit(0), 0.5).collect()} == {float("inf")}
+    assert {r.distance for r in kdtree.nearest(p, w.limit(0), ("x", "y")).collect()} == {float("inf")}
+
+
+def test_nearest_in_six_dimensions_compares_few_pairs(spark):
+    n, names = 100_000, [f"d{k}" for k in range(6)]
+    points = spark.range(n).select("id", *((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 30)) / (1 << 30)).alias(c) for k, c in enumerate(names)))
+    got = kdtree.nearest(points, points, tuple(names), True)
+    some = {r.id: r for r in got.where("id < 40").collect()}
+    x = points.toPandas().sort_values("id")[names].to_numpy()
+    for k in range(40):
+        d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        d[k] = np.inf
+        assert some[k].distance == pytest.approx(d.min())
+    share = got.agg(F.sum("compared")).first()[0] / (n * (n - 1))
+    assert got.count() == n and share < 0.05
+
+
+def test_nearest_among_crowds_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "LEAF", 8)
+    monkeypatch.setattr(kdtree, "PIECE", 20)
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(size=(300, 3)) * 1e-3, rng.normal(size=(100, 3)) * 50, np.tile([[1.0, 2.0, 3.0]], (150, 1))]
+    rows = [(f"p{k}", *map(float, v)) for k, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, ("odd", None, 1.0, 1.0), ("nan", float("nan"), 1.0, 1.0)], "id string, a double, b double, c double").repartition(4)
+    for itself, others in ((True, df), (False, df.where("id > 'p3'").drop("id"))):
+        got = {r.id: r.distance for r in kdtree.nearest(df, others, ("a", "b", "c"), itself).collect()}
+        for k, (name, *_) in enumerate(rows):
+            d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+            d[k if itself else [j for j, r in enumerate(rows) if r[0] <= "p3"]] = np.inf
+            assert got[name] == pytest.approx(d.min(), abs=1e-12)
+        assert got["odd"] == got["nan"] == float("inf") and len(got) == len(rows) + 2
 
 
 def test_density_window_is_the_radius_in_cells(spark):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.operators import envelope
-from wayfarer.sources.shared import stash
 
 LETHAL, INSCRIBED, UNKNOWN = 254, 253, 255
 
@@ -73,44 +72,3 @@ def distances(cells: DataFrame, resolution: float) -> DataFrame:
     kind = cells.schema["grid_id"].dataType.simpleString()
     best = lines.mapInArrow(envelope.columns, f"grid_id {kind}, row int, col int, d2 long")
     return best.select("grid_id", "row", "col", F.coalesce(F.sqrt("d2") * resolution, F.lit(float("inf"))).alias("distance"))
-
-
-def nearest(points: DataFrame, obstacles: DataFrame, side: float, others: tuple[str, ...] = (), but_itself: bool = False) -> DataFrame:
-    """Distance from each point (id, x, y) to the nearest obstacle (x, y); +inf without obstacles.
-
-    others: further coordinates that both have; a ring holds all that is near in x and y, so it stays exact.
-    but_itself: obstacles have ids too, and a point's own id doesn't count.
-
-    Rings of buckets of the given side are joined by equality. A ring's result is final when it is no
-    farther than the ring reaches; the other points try a ring four times as wide, until it spans everything.
-    Obstacles and each ring are written to the shared folder, so the next one starts from the points that are left, and the
-    search ends with the last of them.
-    """
-    key = {k: F.floor(F.col(k) / side).cast("long").alias(f"b{k}") for k in "xy"}
-    own = ("id", "x", "y", *others)
-    theirs = [F.col(c).alias(f"o{c}") for c in ("x", "y", *others, *(["id"] if but_itself else []))]
-    placed = stash(obstacles.select(*theirs, *key.values()).distinct(), "obstacles")
-    left, done, ring = points.select(*own), None, 1
-    span = placed.agg(F.min("bx"), F.max("bx"), F.min("by"), F.max("by")).first()
-    if span[0] is None:
-        return points.select("id", F.lit(float("inf")).alias("distance"))
-    ends = points.agg(*(f(F.floor(F.col(k) / side)) for k in "xy" for f in (F.min, F.max))).first()
-    if ends[0] is None:
-        return points.select("id", F.lit(float("inf")).alias("distance"))
-    widest = int(max(abs(a - b) for a, b in ((span[1], ends[0]), (span[0], ends[1]), (span[3], ends[2]), (span[2], ends[3])))) + 1
-    while True:
-        # buckets grow with the ring, so that a point always meets nine of them
-        wide = side * ring
-        big = {k: F.floor(F.col(k) / wide).cast("long") for k in ("x", "y", "ox", "oy")}
-        around = F.sequence(F.lit(-1), F.lit(1))
-        near = left.select(*own, big["x"].alias("cx"), big["y"].alias("cy")).withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).select(*own, (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"))
-        met = near.join(placed.drop("bx", "by").select("*", big["ox"].alias("cx"), big["oy"].alias("cy")), ["cx", "cy"], "left")
-        squares = sum((F.pow(F.col(c) - F.col(f"o{c}"), 2) for c in ("x", "y", *others)), F.lit(0.0))
-        best = stash(met.groupBy(*own).agg(F.min(F.when(F.col("id") != F.col("oid"), F.sqrt(squares)) if but_itself else F.sqrt(squares)).alias("distance")), "nearest")
-        last = ring > widest
-        sure = best if last else best.where(F.col("distance") <= wide)
-        done = sure.select("id", "distance") if done is None else done.union(sure.select("id", "distance"))
-        left = best.where(F.col("distance").isNull() | (F.col("distance") > wide)).select(*own)
-        if last or left.isEmpty():
-            return done
-        ring *= 4

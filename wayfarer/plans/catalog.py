@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfarer.functions import geometry, scalars
-from wayfarer.operators import design, footprint, grid, merge, path, raster, risk, scan, trials
+from wayfarer.operators import design, footprint, grid, kdtree, merge, path, raster, risk, scan, trials
 from wayfarer.plans import oracle, views
 from wayfarer.plans.views import table
 from wayfarer.sources import readers, sinks
@@ -125,7 +125,7 @@ def s9_populated_grids(spark: SparkSession, d: str) -> DataFrame:
 @query
 def j4_nearest_obstacle(spark: SparkSession, d: str) -> DataFrame:
     at = views.log(spark, d).select("event_type", F.col("event_id").alias("id"), (F.col("value") / 100).alias("x"), (F.col("k") / 100).alias("y"))
-    found = grid.nearest(at.where("event_type = 'click'"), at.where("event_type = 'error'"), 0.02)
+    found = kdtree.nearest(at.where("event_type = 'click'"), at.where("event_type = 'error'"), ("x", "y"))
     return found.select("id", r6("distance").alias("distance"))
 
 
@@ -305,7 +305,7 @@ def r5_unit_scale(spark: SparkSession, d: str) -> DataFrame:
 def j6_a4_distance_report(spark: SparkSession, d: str) -> DataFrame:
     dims = [F.col("embedding")[k].cast("double") for k in range(6)]
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *(x.alias(n) for n, x in zip(("x", "y", "p", "q", "r", "s"), dims, strict=True)))
-    near = grid.nearest(points, points, 0.1, ("p", "q", "r", "s"), True)
+    near = kdtree.nearest(points, points, ("x", "y", "p", "q", "r", "s"), True)
     return near.agg(F.count("*").alias("n"), F.lit(6).cast("long").alias("dims"), r6(F.min("distance")).alias("least"), r6(F.percentile("distance", 0.01)).alias("p1"), r6(F.percentile("distance", 0.5)).alias("median"), F.count_if(F.col("distance") < 0.05).alias("close"))
 
 
