@@ -24,6 +24,9 @@ SPANS_DDL = "k1 long, k2 long, start int, stop int"
 _AT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 _AT_DDL = "k1 long, k2 long, pos int, lo int, hi int"
 LEAST_DEALT = 256
+#: lo of an entry that isn't an anchor but an end of a span, and hi of those that start one and that end one.
+MARK, OPEN, CLOSE = 0xFFFF, 0xFFFF, 0xFFFE
+MARK_KEY = 0x9E3779B97F4A7C15
 
 
 def runs_of(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -41,6 +44,57 @@ def dealt(rows: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
         yield (first + k) % n, rows[at : at + size].tobytes()
 
 
+def periodic(pos: np.ndarray, key: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int, gram: int, equal: Callable[[int, int, int], bool]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Which anchors to keep, and the periodic stretches (row, start, stop) that speak for the others.
+
+    In a stretch of period p the anchor comes again every p units, as in a run of one letter at each byte. If a stretch has
+    window + 2 p units, every window in it recurs p units before or after, so the whole stretch is known to be
+    covered, and of anchors whose windows lie in it those of the first period stand for all. equal(start, stop, p): if the units
+    from start to stop have period p.
+    """
+    keep, spans = np.ones(len(pos), bool), []
+    gap = np.diff(pos)
+    link = (key[1:] == key[:-1]) & (row[1:] == row[:-1])
+    going = np.r_[False, link[1:] & link[:-1] & (gap[1:] == gap[:-1])][: len(link)]
+    heads = np.flatnonzero(link & ~going)
+    stops = np.flatnonzero(~going)
+    ends = np.r_[stops, len(link)][np.searchsorted(stops, heads, "right")] if len(heads) else heads
+    p = gap[heads]
+    long = pos[ends] + gram - pos[heads] >= window + 2 * p
+    for a, b, q in zip(heads[long].tolist(), ends[long].tolist(), p[long].tolist(), strict=True):
+        start, stop = int(pos[a]), int(pos[b]) + gram
+        if equal(start, stop, q):
+            spans.append((int(row[a]), start, stop))
+            own = slice(a, b + 1)
+            keep[own] = (pos[own] - hi[own] < start + q) | (pos[own] - lo[own] + window > stop)
+    return keep, spans
+
+
+def marked(spans: list[tuple[int, int, int]], base: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Entries that open and close the union of spans in each row, of one key, so that all are told. base: the units before each row."""
+    row, start, stop = (np.array(x, np.int64) for x in (zip(*spans, strict=True) if spans else ([], [], [])))
+    s, e = tn.merged(start + row, stop + row)  # one unit at each row's end keeps rows apart
+    row = np.searchsorted(base + np.arange(len(base)), s, "right") - 1
+    out = np.zeros(2 * len(s), ANCHOR)
+    both = np.repeat(row, 2)
+    out["key"], out["lo"], out["k1"], out["k2"] = MARK_KEY, MARK, k1[both], k2[both]
+    out["pos"][0::2], out["pos"][1::2] = s - row - base[row], e - row - base[row]
+    out["hi"][0::2], out["hi"][1::2] = OPEN, CLOSE
+    return out
+
+
+def told(part: pa.RecordBatch, found: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The anchors among a slice's entries, and the spans that the others open and close."""
+    mark = found["lo"] == MARK
+    ends = {x: found[x][mark] for x in ("row", "pos", "hi")}
+    opens, closes = ends["hi"] == OPEN, ends["hi"] == CLOSE
+    spans = np.zeros(int(opens.sum()), SPAN)
+    for x in ("k1", "k2"):
+        spans[x] = part.column(x).to_numpy()[ends["row"][opens]]
+    spans["start"], spans["stop"] = ends["pos"][opens], ends["pos"][closes]
+    return {x: v[~mark] for x, v in found.items()}, spans
+
+
 def batch(values: tuple, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, schema.types, strict=True)], schema=schema)
 

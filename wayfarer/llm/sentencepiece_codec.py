@@ -16,10 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import batched
 
 import ahocorasick
 import pyarrow as pa
@@ -30,9 +28,10 @@ from wayfarer.llm import textnum as tn
 from wayfarer.llm.common import texts
 
 SPACE = "▁"
-#: Bytes of a generation of parts, and characters of the longest part that is kept: where no spaces part a text, it is one part.
-KEPT_BYTES, LONGEST = 24 << 20, 128
+#: Bytes of a generation of parts or stretches, and characters of the longest that is kept: where no spaces part a text, it is one part.
+KEPT_BYTES, LONGEST, BRIEF = 24 << 20, 128, 24
 PAIRS_KEPT = 300_000
+AT_ONCE = 1 << 16  # ids written together
 #: Texts that show a model's normalization, its treatment of white space and its fallback to bytes.
 PROBES = ("a", " a", "a ", "  a  b  ", "A\tb\nc\r\n", "\ufb01 \u212b e\u0301 \u00e9 \u3000x\u00a0y", "\u2581a\u2581", "\u200bz\ufeff", "\U0001f642\x00\x1f", "<s> </s> <unk>")
 
@@ -108,37 +107,78 @@ class PrefixTable:
         return {i: x.replace(SPACE, " ").encode() for x, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
 
-class Parts(dict):
-    """Ids as decimals of the parts met last, by the part without its first space.
+class Kept(dict):
+    """Bytes by text, of the texts met last, in two generations: when the young one has KEPT_BYTES it becomes the old one, from which texts in use come back."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def keep(self, text: str, found: bytes) -> bytes:
+        if len(text) <= LONGEST:
+            self.size += 4 * len(text) + len(found) + 200
+            if self.size > KEPT_BYTES:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[text] = found
+        return found
 
-    There are two generations: when the young one has KEPT_BYTES it becomes the old one, from which parts in use
-    come back, so that frequent parts stay. Decoding a part gives the part itself, but for the parts in
-    `other`, of the text at hand; those and long ones aren't kept, and each is decoded from its ids when it is met.
-    """
+
+class Stretches(Kept):
+    """Ids as decimals of stretches that no piece leaves. Decoding one gives the stretch itself, but for those in `other`, which aren't kept."""
 
     def __init__(self, table: PrefixTable) -> None:
+        super().__init__()
         self.table, self.spelled = table, table.spelled
-        self.old: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
-        self.size = 0
+
+    def made(self, text: str) -> bytes:
+        ids = self.table.encoded(text)
+        if b"".join([self.spelled[i] for i in ids]) != _spaced(text):
+            self.other[text] = b"".join([self.spelled[i] for i in ids])
+        if len(ids) <= AT_ONCE:
+            return b",".join([b"%d" % i for i in ids])
+        return b",".join(b",".join([b"%d" % i for i in ids[k : k + AT_ONCE]]) for k in range(0, len(ids), AT_ONCE))
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = self.made(text)
+            if text in self.other:
+                return found
+        return self.keep(text, found)
+
+
+class Parts(Kept):
+    """Ids as decimals of the parts met last, by the part without its first space.
+
+    A part of more than BRIEF characters is encoded stretch by stretch: between two characters that are neighbours in no piece nothing merges.
+    Decoding a part gives the part itself, but for the parts in `other`, of the text at hand.
+    """
+
+    def __init__(self, table: PrefixTable) -> None:
+        super().__init__()
+        self.stretches, self.other = Stretches(table), {}
+        self.pairs = {x[k : k + 2] for x in table.ids for k in range(len(x) - 1)}
+
+    def cut(self, text: str) -> Iterator[str]:
+        start = 0
+        for k in range(1, len(text)):
+            if text[k - 1 : k + 1] not in self.pairs:
+                yield text[start:k]
+                start = k
+        yield text[start:]
 
     def __missing__(self, part: str) -> bytes:
-        out = self.old.get(part)
-        if out is None:
-            ids = self.table.encoded(SPACE + part)
-            decoded = b"".join([self.spelled[i] for i in ids])
-            out = b",".join(b",".join([b"%d" % i for i in some]) for some in batched(ids, 1 << 16))
-            if decoded != _plain(part):
-                self.other[part] = decoded
-                return out
-            if len(part) > LONGEST:
-                return out
-        self.size += sys.getsizeof(part) + sys.getsizeof(out) + 100
-        if self.size > KEPT_BYTES:
-            self.old, self.size = dict(self), 0
-            self.clear()
-        self[part] = out
-        return out
+        found = self.old.get(part)
+        if found is None:
+            text, other = SPACE + part, self.stretches.other
+            found = self.stretches.made(text) if len(part) <= BRIEF else b",".join([self.stretches[x] for x in self.cut(text)])
+            if other:
+                self.other[part] = other.get(text) or b"".join([other.get(x) or _spaced(x) for x in self.cut(text)])
+                other.clear()
+                return found
+        return self.keep(part, found)
 
     def of(self, text: str) -> tuple[bytes, bytes]:
         """All ids, and the text decoded from them."""
@@ -155,8 +195,12 @@ class Parts(dict):
         return ids, words[1:]
 
 
+def _spaced(text: str) -> bytes:
+    return text.replace(SPACE, " ").encode()
+
+
 def _plain(part: str) -> bytes:
-    return b" " + part.replace(SPACE, " ").encode()
+    return b" " + _spaced(part)
 
 
 @lru_cache(maxsize=2)

@@ -11,7 +11,7 @@ that a third of the rows hold reaches the shuffle once per task.
 
 Defined cases: null text has no words; a null doc_id is kept as null; repeated rows are documents of
 their own, so each makes the other's windows repeats; texts of fewer words than a window lose
-nothing; texts may be of any length (seeds are found part by part); a document that loses all its words
+nothing; texts may be of any length (seeds are found part by part, and a periodic stretch has those of one period); a document that loses all its words
 keeps the empty string; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, dealt, listed, recurring, runs_of, with_spans
+from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, dealt, listed, marked, periodic, recurring, runs_of, told, with_spans
 from wayfarer.llm.common import buckets, texts
 
 _MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("known", "u1")])
@@ -38,14 +38,25 @@ def _seeds(window: int, gram: int) -> Callable:
         data, at = tn.raw(part.column("text"))
         start, end, first = tn.words(data, at)
         h, row = tn.hashes(data, start, end), np.repeat(np.arange(len(part)), np.diff(first))
-        found = [_seeds_within(h[a : a + PART + window - 1], row[a : a + PART + window - 1], a) for a in range(0, max(len(h) - window + 1, 0), PART)]
+        found, spans = [], []
+
+        def same(x: int, y: int, p: int) -> bool:
+            words = [data[a:b].tobytes() for a, b in zip(start[x:y].tolist(), end[x:y].tolist(), strict=True)]
+            return words[:-p] == words[p:]
+
+        for a in range(0, max(len(h) - window + 1, 0), PART):
+            here = _seeds_within(h[a : a + PART + window - 1], row[a : a + PART + window - 1], a)
+            keep, own = periodic(*here, window, gram, same)
+            found.append([x[keep] for x in here])
+            spans += own
         if not found:
             return np.zeros(0, ANCHOR)
         pos, key, row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         out = np.zeros(len(pos), ANCHOR)
         out["key"], out["pos"], out["lo"], out["hi"] = key, pos - first[row], lo, hi
-        out["k1"], out["k2"] = (part.column(x).to_numpy()[row] for x in ("k1", "k2"))
-        return out
+        k1, k2 = (part.column(x).to_numpy() for x in ("k1", "k2"))
+        out["k1"], out["k2"] = k1[row], k2[row]
+        return np.concatenate([out, marked(spans, first[:-1], k1, k2)]) if spans else out
 
     def _seeds_within(h: np.ndarray, row: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
         """Place, hash and row of each seed of these words, and how far before it its windows start."""
@@ -64,10 +75,10 @@ def _seeds(window: int, gram: int) -> Callable:
 def _surroundings(window: int, gram: int, n_buckets: int, at_once: int) -> Callable:
     """Recurring seeds with the words their windows reach, one of each kind for every block."""
 
-    def of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    def of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         data, at = tn.raw(part.column("text"))
         start, end, first = tn.words(data, at)
-        found = listed(part)
+        found, spans = told(part, listed(part))
         member = np.zeros(len(found["row"]), _MEMBER)
         for x in ("pos", "lo", "hi"):
             member[x] = found[x]
@@ -77,7 +88,7 @@ def _surroundings(window: int, gram: int, n_buckets: int, at_once: int) -> Calla
         key = tn.chained(tn.hashes(data, start[at_words], end[at_words]), np.arange(0, len(at_words), gram), gram)
         text, a, b, _ = tn.respaced(data, at, start, end, first)
         words = [text[x:y] + b" " for x, y in zip(a[seed - found["hi"]].tolist(), b[seed - found["lo"] + window - 1].tolist(), strict=True)]
-        return (key % np.uint64(n_buckets)).astype(np.int64), member, words
+        return (key % np.uint64(n_buckets)).astype(np.int64), member, words, spans
 
     def block(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         bucket, member = (np.concatenate([x[k] for x in held]) for k in (0, 1))
@@ -86,16 +97,16 @@ def _surroundings(window: int, gram: int, n_buckets: int, at_once: int) -> Calla
         first = np.fromiter((kinds.setdefault(x, k) for k, x in enumerate(zip(words, member["hi"].tolist(), strict=True))), np.int64, len(words))
         again = np.bincount(first, minlength=len(first)) > 1
         member["known"] = again[first]  # equal around the seed as far as its windows reach: they all recur
-        told = member[member["known"] == 1]
-        spans = np.zeros(len(told), SPAN)
-        spans["k1"], spans["k2"] = told["k1"], told["k2"]
-        spans["start"], spans["stop"] = told["pos"] - told["hi"].astype(np.int32), told["pos"] - told["lo"].astype(np.int32) + window
+        known = member[member["known"] == 1]
+        spans = np.zeros(len(known), SPAN)
+        spans["k1"], spans["k2"] = known["k1"], known["k2"]
+        spans["start"], spans["stop"] = known["pos"] - known["hi"].astype(np.int32), known["pos"] - known["lo"].astype(np.int32) + window
         keep = np.flatnonzero(first == np.arange(len(first)))
         keep = keep[np.argsort(bucket[keep], kind="stable")]
         for which, a, b in runs_of(bucket[keep]):
             at = keep[a:b]
             yield batch((which, member[at].tobytes(), b"".join([words[k] for k in at.tolist()]), b""), _SENT)
-        for which, one in dealt(spans, n_buckets):
+        for which, one in dealt(np.concatenate([spans, *(x[3] for x in held)]), n_buckets):
             yield batch((which, b"", b"", one), _SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +114,7 @@ def _surroundings(window: int, gram: int, n_buckets: int, at_once: int) -> Calla
         for rows in batches:
             for part in tn.slices(rows, "text"):
                 held.append(of(part))
-                n += len(held[-1][0])
+                n += len(held[-1][0]) + len(held[-1][3])
                 if n >= at_once:
                     yield from block(held)
                     held, n = [], 0

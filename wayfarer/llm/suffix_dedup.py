@@ -12,7 +12,7 @@ length - o bytes of suffix and in the class of o bytes before it, which needs no
 
 Defined cases: null text is empty; a null doc_id is kept as null; repeated rows are documents of their
 own, so each removes the other; texts of fewer than `length` bytes lose nothing; texts may be of any
-length (anchors are found part by part); an empty table gives an empty result; further columns are ignored.
+length (anchors are found part by part, and a periodic stretch has those of one period); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wayfarer.llm import textnum as tn
-from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, dealt, listed, recurring, runs_of, with_spans
+from wayfarer.llm.anchors import ANCHOR, SPAN, SPANS_DDL, batch, covered, dealt, listed, marked, periodic, recurring, runs_of, told, with_spans
 from wayfarer.llm.common import buckets, texts
 
 _MEMBER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("lcp", "<u2"), ("size", "<u2"), ("known", "u1")])
@@ -36,14 +36,20 @@ PART = 1 << 20
 def _anchors(length: int, gram: int) -> Callable:
     def of(part: pa.RecordBatch) -> np.ndarray:
         data, at = tn.raw(part.column("text"))
-        found = [within(data[a : a + PART + length - 1], at, a) for a in range(0, max(len(data) - length + 1, 0), PART)]
+        found, spans = [], []
+        for a in range(0, max(len(data) - length + 1, 0), PART):
+            here = within(data[a : a + PART + length - 1], at, a)
+            keep, own = periodic(*here, length, gram, lambda x, y, p: np.array_equal(data[x : y - p], data[x + p : y]))
+            found.append([x[keep] for x in here])
+            spans += own
         if not found:
             return np.zeros(0, ANCHOR)
         pos, key, row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
         out = np.zeros(len(pos), ANCHOR)
         out["key"], out["pos"], out["lo"], out["hi"] = key, pos - at[row], lo, hi
-        out["k1"], out["k2"] = (part.column(x).to_numpy()[row] for x in ("k1", "k2"))
-        return out
+        k1, k2 = (part.column(x).to_numpy() for x in ("k1", "k2"))
+        out["k1"], out["k2"] = k1[row], k2[row]
+        return np.concatenate([out, marked(spans, at[:-1], k1, k2)]) if spans else out
 
     def within(data: np.ndarray, at: np.ndarray, base: int) -> tuple[np.ndarray, ...]:
         """Place, hash and row of each anchor of these bytes, and how far before it its strings start."""
@@ -94,10 +100,10 @@ def _runs(length: int, gram: int, n_buckets: int, at_once: int) -> Callable:
         twin[1:] = [a == b and c == d for a, b, c, d in zip(suffixes[1:], suffixes[:-1], lefts[1:], lefts[:-1], strict=True)]
         twin[1:] &= (member["lo"][1:] == member["lo"][:-1]) & (bucket[1:] == bucket[:-1])
         member["known"] = twin | np.r_[twin[1:], False]
-        told = member[member["known"] == 1]
-        spans = np.zeros(len(told), SPAN)
-        spans["k1"], spans["k2"] = told["k1"], told["k2"]
-        spans["start"], spans["stop"] = told["pos"] - told["hi"].astype(np.int32), told["pos"] - told["lo"].astype(np.int32) + length
+        known = member[member["known"] == 1]
+        spans = np.zeros(len(known), SPAN)
+        spans["k1"], spans["k2"] = known["k1"], known["k2"]
+        spans["start"], spans["stop"] = known["pos"] - known["hi"].astype(np.int32), known["pos"] - known["lo"].astype(np.int32) + length
         keep = np.flatnonzero(~twin)
         suffixes, lefts, member, bucket = [suffixes[k] for k in keep], [lefts[k] for k in keep], member[keep], bucket[keep]
         member["lcp"] = _common(_matrix(suffixes, length), member["size"])
@@ -105,12 +111,12 @@ def _runs(length: int, gram: int, n_buckets: int, at_once: int) -> Callable:
             member["lcp"][a] = 0
             rests = b"".join([s[h:] for s, h in zip(suffixes[a:b], member["lcp"][a:b].tolist(), strict=True)])
             yield batch((which, member[a:b].tobytes(), rests, b"".join(lefts[a:b]), b""), _RUN)
-        for which, one in dealt(spans, n_buckets):
+        for which, one in dealt(np.concatenate([spans, *(x[4] for x in held)]), n_buckets):
             yield batch((which, b"", b"", b"", one), _RUN)
 
     def of(part: pa.RecordBatch) -> tuple:
         data, at = tn.raw(part.column("text"))
-        found = listed(part)
+        found, spans = told(part, listed(part))
         row = found["row"]
         member = np.zeros(len(row), _MEMBER)
         for x in ("pos", "lo", "hi"):
@@ -123,14 +129,14 @@ def _runs(length: int, gram: int, n_buckets: int, at_once: int) -> Callable:
         suffixes = [whole[a:b] for a, b in zip(where.tolist(), (where + member["size"]).tolist(), strict=True)]
         back = whole[::-1]
         lefts = [back[a:b] for a, b in zip((len(whole) - where).tolist(), (len(whole) - where + member["hi"]).tolist(), strict=True)]
-        return bucket, member, suffixes, lefts
+        return bucket, member, suffixes, lefts, spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for rows in batches:
             for part in tn.slices(rows, "text"):
                 held.append(of(part))
-                n += len(held[-1][0])
+                n += len(held[-1][0]) + len(held[-1][4])
                 if n >= at_once:
                     yield from block(held)
                     held, n = [], 0
