@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfarer.functions.scalars import uniform
-from wayfarer.operators import grid
+from wayfarer.functions.scalars import permuted, uniform
+from wayfarer.operators import grid, kdtree
 from wayfarer.sources.shared import stash
 
 #: name, low, high, bins (0: continuous) of the numeric dimensions.
@@ -25,19 +25,34 @@ def draw(u: Column, low: float, high: float, discrete: bool = False, log: bool =
     return F.exp(F.log(F.lit(low)) + u * (F.log(F.lit(high)) - F.log(F.lit(low)))) if log else low + u * (high - low)
 
 
-def latin_hypercube(spark: SparkSession, n: int, seed: int, numeric: list[Dimension], choices: dict[str, list[str]]) -> DataFrame:
-    """One point in each of n strata of each dimension. Ranks are taken within a dimension, so dimensions go to tasks of their own."""
+#: Points that one row stands for until they are made.
+BLOCK = 1 << 16
+
+
+def hypercubes(designs: DataFrame, numeric: list[Dimension], choices: dict[str, list[str]]) -> DataFrame:
+    """design, id and one point in each of a design's n strata of each dimension, for each row (design, n, seed) of designs.
+
+    The stratum of a point is its id's place in a permutation that seed and dimension draw, so points are made row by row, where
+    their ids are, without any sort or exchange of points; blocks of ids are spread over the tasks.
+    """
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long")))
+    blocks = grid.spread(designs.where("n > 0").select("design", F.col("n").cast("long").alias("n"), "seed").select("*", starts.alias("start")))
+    points = blocks.select("design", "n", "seed", F.explode(F.sequence("start", F.least(F.col("start") + BLOCK, F.col("n")) - 1)).alias("id"))
     names = [d[0] for d in numeric] + list(choices)
-    every = spark.range(n).select("id", F.explode(F.array(*map(F.lit, names))).alias("dim"))
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("dim").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "dim", F.col("id").cast("string"))), "id")) - 1)
-    at = (F.col("rank") + uniform(F.lit(seed), F.lit("u"), F.col("dim"), F.col("id"))) / n
-    wide = ranked.groupBy("id").pivot("dim", names).agg(F.first("rank").alias("k"), F.first(at).alias("u"))
+    # structs in an array of one, exploded, keep the optimizer from computing ranks anew wherever they are used
+    ranks = [permuted(F.col("id"), F.col("n"), F.col("seed"), F.lit(name)).alias(name) for name in names]
+    ranked = points.select("*", F.explode(F.array(F.struct(*ranks))).alias("k"))
     out = []
     for name, low, high, bins in numeric:
-        u = F.col(f"{name}_u")
+        u = (F.col(f"k.{name}") + uniform(F.col("seed"), F.lit("u"), F.lit(name), F.col("id"))) / F.col("n")
         out.append((low + F.least(F.floor(u * bins), F.lit(bins - 1)) if bins else low + u * (high - low)).cast("double").alias(name))
-    out += [F.get(F.array(*map(F.lit, c)), F.col(f"{name}_k") % len(c)).alias(name) for name, c in choices.items()]
-    return wide.select("id", *out)
+    out += [F.get(F.array(*map(F.lit, c)), F.col(f"k.{name}") % len(c)).alias(name) for name, c in choices.items()]
+    return ranked.select("design", "id", *out)
+
+
+def latin_hypercube(spark: SparkSession, n: int, seed: int, numeric: list[Dimension], choices: dict[str, list[str]]) -> DataFrame:
+    """The points of one design."""
+    return hypercubes(spark.range(1).select(F.lit(0).alias("design"), F.lit(n).alias("n"), F.lit(seed).alias("seed")), numeric, choices).drop("design")
 
 
 def with_param(space: DataFrame, param: DataFrame) -> DataFrame:
@@ -53,24 +68,111 @@ def unit(numeric: list[Dimension]) -> list[Column]:
     return [F.coalesce((F.col(name) - low) / F.nullif(F.lit(high - low), F.lit(0.0)), F.lit(0.0)).alias(f"u_{name}") for name, low, high, _ in numeric]
 
 
+#: Candidates that a leaf sends at a time, and leaves for each point to take.
+KEPT, LEAVES = 16, 8
+
+
+class _Greedy:
+    """Farthest-point selection in one category, from what its leaves have sent.
+
+    Each leaf has candidates with their distance to the points taken, squared, and a bound for its other points: the
+    least candidate's distance, or the farthest that its box is from a point taken since, if that is less. A candidate that no
+    other and no bound exceeds is the farthest of all points; else the leaves with greater bounds are looked through again.
+    """
+
+    def __init__(self, want: int, first: tuple[int, np.ndarray], leaves: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.want, self.leaves, self.order = want, list(leaves), {k: i for i, k in enumerate(leaves)}
+        self.low, self.high = (np.array([v[j] for v in leaves.values()]) for j in (0, 1))
+        self.bound = np.full(len(leaves), np.inf)
+        self.ids, self.of, self.gap, self.x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, self.low.shape[1]))
+        self.taken: list[tuple[int, np.ndarray]] = []
+        self._take(*first)
+
+    def _take(self, own: int, x: np.ndarray) -> None:
+        self.taken.append((own, x))
+        self.gap = np.minimum(self.gap, ((self.x - x) ** 2).sum(axis=1))
+        self.bound = np.minimum(self.bound, (np.maximum(np.abs(x - self.low), np.abs(x - self.high)) ** 2).sum(axis=1))
+
+    def sent(self, rows: list[tuple[int, int, float, np.ndarray]], asked: list[int]) -> None:
+        """New candidates (leaf, id, gap, x) of the leaves that were asked, greatest gaps first."""
+        again = np.array([self.order[k] for k in asked], np.int64)
+        keep = ~np.isin(self.of, again)
+        of = np.array([self.order[r[0]] for r in rows], np.int64)
+        self.bound[again] = -1.0
+        for k, r in zip(of.tolist(), rows, strict=True):
+            self.bound[k] = r[2]  # the last is the least
+        full = np.bincount(of, minlength=len(self.bound)) >= KEPT
+        self.bound[again] = np.where(full[again], self.bound[again], -1.0)  # a leaf with fewer has sent all
+        self.ids, self.of = np.r_[self.ids[keep], [r[1] for r in rows]].astype(np.int64), np.r_[self.of[keep], of]
+        self.gap, self.x = np.r_[self.gap[keep], [r[2] for r in rows]], np.r_[self.x[keep], np.array([r[3] for r in rows]).reshape(-1, self.x.shape[1])]
+
+    def blocked(self) -> list[int]:
+        """Takes points as long as it is sure of them; the leaves to look through again, none at the end."""
+        while len(self.taken) < self.want:
+            open_ = ~np.isin(self.ids, [t[0] for t in self.taken])
+            best = self.gap[open_].max(initial=-1.0)
+            if (beyond := np.flatnonzero((self.bound >= max(best, 0.0)) & (self.bound > -1.0))).size:
+                return [self.leaves[k] for k in beyond]
+            if not open_.any():
+                return []
+            own = np.flatnonzero(open_ & (self.gap == best))
+            k = own[np.argmin(self.ids[own])]
+            self._take(int(self.ids[k]), self.x[k])
+        return []
+
+
 def maximin(pool: DataFrame, by: str, columns: list[str], n: int) -> DataFrame:
-    """Per category its quota of pool rows, spread out: from the one nearest the centroid, always the farthest from those taken."""
-    groups = pool.select(by).distinct().withColumn("g", F.row_number().over(Window.orderBy(by)))
-    k = groups.count()
-    quota = groups.withColumn("quota", F.lit(n // k) + (F.col("g") <= n % k).cast("int")).drop("g")
-
-    def farthest(rows: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        x, want = rows[columns].to_numpy(float), int(rows["quota"].iloc[0])
-        taken = [int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))]
-        gap = ((x - x[taken[0]]) ** 2).sum(axis=1)
-        while len(taken) < min(want, len(x)):
-            taken.append(int(np.argmax(gap)))
-            gap = np.minimum(gap, ((x - x[taken[-1]]) ** 2).sum(axis=1))
-        return rows.iloc[taken].drop(columns="quota")
-
-    joined = pool.join(F.broadcast(quota), by).select(*pool.columns, "quota")
-    return joined.groupBy(by).applyInPandas(farthest, pool.schema)
+    """Per category its quota of pool rows, spread out: from the one nearest the centroid, always the farthest from those taken.
+
+    pool: id (a number, unique), by and others. It is parted into leaves of a k-d tree, some for each point to take; the driver
+    holds what they send (_Greedy), so its memory is bounded by the design, not by the pool, and a job looks only through
+    leaves whose bound exceeds the best candidate. Ties go to the smaller id.
+    """
+    kinds = [r[0] for r in pool.select(by).distinct().orderBy(by).collect()]  # the values of a design's parameter
+    if not kinds:
+        return pool
+    quota = {c: n // len(kinds) + (k < n % len(kinds)) for k, c in enumerate(kinds)}
+    at = F.array(*(F.col(c).cast("double") for c in columns)).alias("at")
+    points = pool.select(F.col("id").cast("long").alias("id"), F.col(by).alias("kind"), at)
+    sample = points.select("at").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, min(1 << 20, (kdtree.SAMPLE << 20) // max(1, points.count())))).limit(2 * kdtree.SAMPLE).collect()
+    tree = kdtree.Tree.of(np.array([r[0] for r in sample], float).reshape(-1, len(columns)), max(1, (LEAVES * n // len(kinds)).bit_length() - 1))
+    kind = pool.schema[by].dataType.simpleString()
+    parted = stash(grid.spread(points).mapInArrow(kdtree._leaves(tree, len(columns)), f"leaf long, id long, kind {kind}, at array<double>"), "maximin-pool")
+    cols = [F.col("at")[k] for k in range(len(columns))]
+    boxes = parted.groupBy("kind", "leaf").agg(F.array(*map(F.min, cols)).alias("low"), F.array(*map(F.max, cols)).alias("high")).collect()
+    middle = parted.groupBy("kind").agg(*(F.avg(c).alias(f"m{k}") for k, c in enumerate(cols)))
+    far = sum((F.pow(c - F.col(f"m{k}"), 2) for k, c in enumerate(cols)), F.lit(0.0))
+    firsts = {r.kind: (r.p.id, np.array(r.p["at"])) for r in parted.join(middle, "kind").groupBy("kind").agg(F.min(F.struct(far.alias("far"), "id", "at")).alias("p")).collect()}
+    greedy = {c: _Greedy(quota[c], firsts[c], {r.leaf: (np.array(r.low), np.array(r.high)) for r in boxes if r.kind == c}) for c in kinds if quota[c]}
+    while asked := {c: leaves for c, g in greedy.items() if (leaves := g.blocked())}:
+        wanted = pool.sparkSession.createDataFrame([(c, k) for c, leaves in asked.items() for k in leaves], f"kind {kind}, leaf long")
+        taken = {c: np.array([x for _, x in greedy[c].taken]) for c in asked}
+        seen = parted.join(wanted, ["kind", "leaf"]).mapInPandas(_gaps(taken), f"kind {kind}, leaf long, id long, gap double, at array<double>")
+        tops = seen.groupBy("kind", "leaf").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("gap")).alias("less"), "id", "at"))), 1, KEPT).alias("top"))
+        sent: dict = {c: [] for c in asked}
+        for r in tops.collect():
+            sent[r.kind] += [(r.leaf, t.id, -t.less, np.array(t["at"])) for t in r.top]
+        for c, leaves in asked.items():
+            greedy[c].sent(sent[c], leaves)
+    kept = pool.sparkSession.createDataFrame([(i,) for g in greedy.values() for i, _ in g.taken], "id long")
+    return pool.join(kept, "id", "left_semi")
+
+
+def _gaps(taken: dict) -> Callable:
+    """Of each task's points the KEPT of each leaf that are farthest from the points taken, with that distance, squared."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            parts = []
+            for c, own in rows.groupby("kind", sort=False):
+                x, gap = np.stack(own["at"].to_list()), np.full(len(own), np.inf)
+                for t in taken[c]:
+                    gap = np.minimum(gap, ((x - t) ** 2).sum(axis=1))
+                parts.append(own.assign(gap=gap).sort_values(["leaf", "gap", "id"], ascending=[True, False, True]).groupby("leaf", sort=False).head(KEPT))
+            if parts:
+                yield pd.concat(parts)[["kind", "leaf", "id", "gap", "at"]]
+
+    return run
 
 
 _TURNS = np.linspace(0, 2 * np.pi, 32, endpoint=False)

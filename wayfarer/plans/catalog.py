@@ -283,16 +283,15 @@ def r1_uniform_draw(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def r3_latin_hypercube(spark: SparkSession, d: str) -> DataFrame:
-    made = design.latin_hypercube(spark, 3000, 5, [("vx", 0.2, 0.8, 0), ("steps", 30, 90, 61)], {"arm": ["tucked", "carry"]})
-    return made.select("id", r6("vx", 9).alias("vx"), "steps", "arm")
+    designs = table(spark, d, "region").select(F.col("r_regionkey").alias("design"), (F.col("r_regionkey") * 137 + 500).alias("n"), (F.col("r_regionkey") + 5).alias("seed"))
+    made = design.hypercubes(designs, [("vx", 0.2, 0.8, 0), ("steps", 30, 90, 61)], {"arm": ["tucked", "carry"]})
+    return made.select("design", "id", r6("vx", 9).alias("vx"), "steps", "arm")
 
 
 @query
 def r4_maximin(spark: SparkSession, d: str) -> DataFrame:
-    numeric = [("vx", 0.2, 0.8, 0), ("steps", 30.0, 90.0, 61)]
-    pool = design.latin_hypercube(spark, 1200, 5, numeric, {"arm": ["tucked", "carry"]})
-    kept = design.maximin(pool.select("id", "vx", "steps", "arm", *design.unit(numeric)), "arm", ["u_vx", "u_steps"], 300)
-    return kept.select("id", "steps", "arm", *(r6(c, 9).alias(c) for c in ("vx", "u_vx", "u_steps")))
+    pool = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("arm"), ((F.col("c_acctbal") + 1000) / 11000).alias("u_vx"), (F.col("c_nationkey") / 24).alias("u_steps"))
+    return design.maximin(pool, "arm", ["u_vx", "u_steps"], 100).select("id", "arm", r6("u_vx", 9).alias("u_vx"), r6("u_steps", 9).alias("u_steps"))
 
 
 @query
@@ -379,15 +378,20 @@ def p13_truthy(spark: SparkSession, d: str) -> DataFrame:
 # footprints
 
 
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Each nation's robot: one of the fixed outlines, wider with its key."""
+    k = F.col("n_nationkey")
+    poly = F.when(k % 3 == 0, geometry.polygon(geometry.CARRY)).when(k % 3 == 1, geometry.polygon(geometry.EXTENDED)).otherwise(geometry.polygon(geometry.TUCKED))
+    return table(spark, d, "nation").select(k, F.transform(poly, lambda p: geometry.point(p["x"] * (1 + k / 50), p["y"])).alias("poly"))
+
+
 @query
 def g9_g10_polygons(spark: SparkSession, d: str) -> DataFrame:
-    shapes = {"carry": geometry.CARRY, "extended": geometry.EXTENDED, "tucked": geometry.TUCKED}
-    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), geometry.polygon(v).alias("poly")) for k, v in shapes.items()))).alias("s")).select("s.*")
-    rows = rows.withColumn("c", geometry.centroid(F.col("poly"))).withColumn("o", geometry.point(F.lit(0.0), F.lit(0.0)))
+    rows = _shapes(spark, d).withColumn("c", geometry.centroid(F.col("poly"))).withColumn("o", geometry.point(F.lit(0.0), F.lit(0.0)))
     out = {"area": F.abs(geometry.signed_area(F.col("poly"))), "cx": F.col("c.x"), "cy": F.col("c.y")}
     for name, at in (("", "c"), ("_origin", "o")):
         out |= {f"inscribed{name}": geometry.inscribed(F.col("poly"), F.col(at)), f"circumscribed{name}": geometry.circumscribed(F.col("poly"), F.col(at))}
-    return rows.select("name", *((r6(c) + 0.0).alias(k) for k, c in out.items()))
+    return rows.select("n_nationkey", *((r6(c) + 0.0).alias(k) for k, c in out.items()))
 
 
 @query
@@ -397,9 +401,10 @@ def g16_convex_hull(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g15_g17_constructors(spark: SparkSession, d: str) -> DataFrame:
-    shapes = {"circle": geometry.circle(F.lit(0.27), 8), "rectangle": geometry.rectangle(F.lit(0.8), F.lit(0.5), 0.1), "line": footprint.densified(geometry.point(F.lit(0.0), F.lit(0.0)), geometry.point(F.lit(0.3), F.lit(0.4)))}
-    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("p")) for k, v in shapes.items()))).alias("s")).select("s.name", F.posexplode("s.p").alias("i", "v"))
-    return rows.select("name", "i", (r6("v.x") + 0.0).alias("x"), (r6("v.y") + 0.0).alias("y"))
+    k = F.col("n_nationkey")
+    shapes = {"circle": geometry.circle(0.2 + k / 100, 8), "rectangle": geometry.rectangle(0.5 + k / 50, F.lit(0.5), 0.1), "line": footprint.densified(geometry.point(F.lit(0.0), F.lit(0.0)), geometry.point(k / 40, F.lit(0.4)))}
+    rows = table(spark, d, "nation").select(k, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("p")) for n, v in shapes.items()))).alias("s")).select(k, "s.name", F.posexplode("s.p").alias("i", "v"))
+    return rows.select("n_nationkey", "name", "i", (r6("v.x") + 0.0).alias("x"), (r6("v.y") + 0.0).alias("y"))
 
 
 @query
@@ -472,11 +477,9 @@ def o5_isolated_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g12_surfaces(spark: SparkSession, d: str) -> DataFrame:
-    shapes = {"carry": geometry.CARRY, "extended": geometry.EXTENDED, "tucked": geometry.TUCKED}
-    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), geometry.polygon(v).alias("poly")) for k, v in shapes.items()))).alias("s")).select("s.*")
-    rows = rows.withColumn("c", geometry.centroid(F.col("poly"))).withColumn("inner", geometry.inscribed(F.col("poly"), F.col("c")))
+    rows = _shapes(spark, d).withColumn("c", geometry.centroid(F.col("poly"))).withColumn("inner", geometry.inscribed(F.col("poly"), F.col("c")))
     rays = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(359))).alias("k"))
-    return rays.select("name", "k", r6(geometry.surface(F.col("poly"), F.col("c"), F.col("k") * (2 * math.pi / 360), F.col("inner"))).alias("surface"))
+    return rays.select("n_nationkey", "k", r6(geometry.surface(F.col("poly"), F.col("c"), F.col("k") * (2 * math.pi / 360), F.col("inner"))).alias("surface"))
 
 
 @query
@@ -636,8 +639,10 @@ def s2_negated_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g17_drop_collinear(spark: SparkSession, d: str) -> DataFrame:
-    poly = geometry.polygon([(0.5, 0.5), (0.0, 0.5), (-0.5, 0.5), (-0.5, -0.5), (0.0, -0.5002), (0.5, -0.5)])
-    return spark.range(1).select(F.posexplode(geometry.drop_collinear(poly)).alias("i", "v")).select("i", "v.x", "v.y")
+    k, p = F.col("n_nationkey"), geometry.point
+    size = 0.5 + k / 100  # the fifth corner is off the line by what grows with the key
+    poly = F.array(p(size, F.lit(0.5)), p(F.lit(0.0), F.lit(0.5)), p(-size, F.lit(0.5)), p(-size, F.lit(-0.5)), p(F.lit(0.0), -0.5 - k / 10000), p(size, F.lit(-0.5)))
+    return table(spark, d, "nation").select(k, F.posexplode(geometry.drop_collinear(poly)).alias("i", "v")).select("n_nationkey", "i", r6("v.x").alias("x"), r6("v.y").alias("y"))
 
 
 @query

@@ -185,15 +185,12 @@ SQL["g19_measured_footprint"] = f"""WITH {LOG}, j AS (SELECT user_id AS key, val
  f AS (SELECT key, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) - x AS dx, coalesce(lead(y) OVER w, first_value(y) OVER w) - y AS dy FROM kept WINDOW w AS (PARTITION BY key ORDER BY n)),
  t AS (SELECT *, CASE WHEN dx * dx + dy * dy < 1e-10 THEN 0.0 ELSE greatest(0.0, least(1.0, -(x * dx + y * dy) / (dx * dx + dy * dy))) END AS t FROM f)
  SELECT key AS robot, count(*)::INT AS n, round(min(sqrt((x + t * dx) * (x + t * dx) + (y + t * dy) * (y + t * dy))), 6) AS inscribed, round(max(sqrt(x * x + y * y)), 6) AS circumscribed FROM t GROUP BY 1"""
-SQL["r4_maximin"] = (
-    "WITH RECURSIVE d AS (SELECT id, dim, row_number() OVER (PARTITION BY dim ORDER BY md5('5|' || dim || '|' || id), id) - 1 AS k, " + U % "'5|u|' || dim || '|' || id" + """ AS u FROM range(1200) t(id), (VALUES ('vx'), ('steps'), ('arm')) v(dim)),
- w AS (SELECT id, max(CASE WHEN dim = 'vx' THEN 0.2 + (k + u) / 1200 * 0.6 END)::DOUBLE AS vx, max(CASE WHEN dim = 'steps' THEN 30 + least(floor((k + u) / 1200 * 61), 60) END)::DOUBLE AS steps, max(CASE WHEN dim = 'arm' THEN ['tucked', 'carry'][1 + k % 2] END) AS arm FROM d GROUP BY id),
- p AS (SELECT *, (vx - 0.2::DOUBLE) / (0.8::DOUBLE - 0.2::DOUBLE) AS a, (steps - 30) / 60 AS b FROM w), m AS (SELECT *, avg(a) OVER (PARTITION BY arm) AS ma, avg(b) OVER (PARTITION BY arm) AS mb FROM p),
+SQL["r4_maximin"] = """WITH RECURSIVE p AS (SELECT c_custkey AS id, c_mktsegment AS arm, (c_acctbal + 1000) / 11000 AS a, c_nationkey / 24 AS b FROM customer), q AS (SELECT arm, 100 // (SELECT count(DISTINCT arm) FROM p) + CASE WHEN row_number() OVER (ORDER BY arm) <= 100 % (SELECT count(DISTINCT arm) FROM p) THEN 1 ELSE 0 END AS quota FROM (SELECT DISTINCT arm FROM p)),
+ m AS (SELECT *, avg(a) OVER (PARTITION BY arm) AS ma, avg(b) OVER (PARTITION BY arm) AS mb FROM p JOIN q USING (arm)),
  z AS (SELECT *, first_value(struct_pack(id := id, a := a, b := b)) OVER (PARTITION BY arm ORDER BY (a - ma) * (a - ma) + (b - mb) * (b - mb), id) AS c FROM m),
- r AS (SELECT arm, 1 AS step, id, a, b, c.id AS chosen, (a - c.a) * (a - c.a) + (b - c.b) * (b - c.b) AS gap FROM z UNION ALL
-  SELECT arm, step + 1, id, a, b, c.id, least(gap, (a - c.a) * (a - c.a) + (b - c.b) * (b - c.b)) FROM (SELECT *, first_value(struct_pack(id := id, a := a, b := b)) OVER (PARTITION BY arm ORDER BY gap DESC, id) AS c FROM r WHERE step < 150))
- SELECT p.id, steps, arm, round(vx, 9) AS vx, round(a, 9) AS u_vx, round(b, 9) AS u_steps FROM p WHERE id IN (SELECT chosen FROM r)"""
-)
+ r AS (SELECT arm, quota, 1 AS step, id, a, b, c.id AS chosen, (a - c.a) * (a - c.a) + (b - c.b) * (b - c.b) AS gap FROM z UNION ALL
+  SELECT arm, quota, step + 1, id, a, b, c.id, least(gap, (a - c.a) * (a - c.a) + (b - c.b) * (b - c.b)) FROM (SELECT *, first_value(struct_pack(id := id, a := a, b := b)) OVER (PARTITION BY arm ORDER BY gap DESC, id) AS c FROM r WHERE step < quota))
+ SELECT p.id, p.arm, round(a, 9) AS u_vx, round(b, 9) AS u_steps FROM p WHERE id IN (SELECT chosen FROM r)"""
 
 _TIERED = {"r_min": "true", "r_ttc": "true", "r_vis": "true", "r_dens": "mid", "r_width": "mid", "r_clear": "mid", "r_curve": "fine", "r_grad": "fine"}
 SQL["x_risk_node"] = FEATURES + f""", {CELLS}, {LOG},
@@ -228,3 +225,27 @@ SQL["g7_tiled_costs"] = f"""WITH {LOG}, {CELLS}, one AS (SELECT (grid_id // 25 *
  l AS (SELECT s.id, i, CASE WHEN bool_or(c.cost = 254) THEN 254 ELSE max(c.cost) END AS cost FROM s JOIN big c USING (grid_id, "row", col) GROUP BY ALL),
  r AS (SELECT id, max(cost) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS so_far FROM l), f AS (SELECT id, CASE WHEN bool_or(so_far = 254) THEN 254 ELSE max(so_far) END AS cost FROM r GROUP BY 1)
  SELECT event_id AS id, coalesce(f.cost, 254)::INT AS cost FROM log LEFT JOIN f ON f.id = event_id"""
+
+_DRAW = "cast('0x' || substr(md5(seed || '|' || dim || '|{}|' || {}), 1, 8) AS BIGINT)"
+_ROUNDS = "(SELECT *, (l + {}) % a AS l1 FROM (SELECT *, y % a AS l, y // a AS r FROM walk WHERE step = 0 OR y >= n))".format(_DRAW.format(0, "r"))
+for _k, _new, _own, _other, _size in ((1, "r1", "r", "l1", "b"), (2, "l2", "l1", "r1", "a"), (3, "r2", "r1", "l2", "b")):
+    _ROUNDS = f"(SELECT *, ({_own} + {_DRAW.format(_k, _other)}) % {_size} AS {_new} FROM {_ROUNDS})"
+SQL["r3_latin_hypercube"] = f"""WITH RECURSIVE d AS (SELECT *, ceil(n / a)::BIGINT AS b FROM (SELECT r_regionkey AS design, (r_regionkey * 137 + 500)::BIGINT AS n, r_regionkey + 5 AS seed, ceil(sqrt(r_regionkey * 137 + 500))::BIGINT AS a FROM region)),
+ walk AS (SELECT design, n, seed, a, b, dim, id, 0 AS step, id AS y FROM d, LATERAL unnest(range(n)) t(id), (VALUES ('vx'), ('steps'), ('arm')) v(dim) UNION ALL SELECT design, n, seed, a, b, dim, id, step + 1, l2 + a * r2 FROM {_ROUNDS}),
+ f AS (SELECT *, {U % "seed || '|u|' || dim || '|' || id"} AS u FROM walk WHERE step > 0 AND y < n)
+ SELECT design, id, round(max(CASE WHEN dim = 'vx' THEN 0.2 + (y + u) / n * 0.6 END), 9) AS vx, max(CASE WHEN dim = 'steps' THEN 30 + least(floor((y + u) / n * 61), 60) END)::DOUBLE AS steps, max(CASE WHEN dim = 'arm' THEN ['tucked', 'carry'][1 + y % 2] END) AS arm FROM f GROUP BY ALL"""
+
+_NATIONS = f"""s AS (SELECT * FROM (VALUES {_SHAPES}) t(name, i, x, y)), v AS (SELECT n_nationkey AS name, i, x * (1 + n_nationkey / 50) AS x, y FROM nation JOIN s ON s.name = ['carry', 'extended', 'tucked'][1 + n_nationkey % 3])"""
+_ROBOTS = _NATIONS + SURFACES[SURFACES.index(",\nedge AS") :]
+SQL["g12_surfaces"] = f"WITH {_ROBOTS} SELECT name AS n_nationkey, k::INT AS k, round(far, 6) AS surface FROM surface"
+_NEAR = "greatest(0, least(1, (({0} - ax) * dx + ({1} - ay) * dy) / (dx * dx + dy * dy)))"
+SQL["g9_g10_polygons"] = f"""WITH {_ROBOTS}, spot AS (SELECT e.*, cx, cy, {_NEAR.format("cx", "cy")} AS f, {_NEAR.format("0", "0")} AS g FROM edge e JOIN mid USING (name))
+ SELECT name AS n_nationkey, round(abs(sum(ax * yb - bx * ay)) / 2, 6) AS area, round(any_value(cx), 6) + 0.0 AS cx, round(any_value(cy), 6) + 0.0 AS cy, round(min(sqrt((ax + f * dx - cx) * (ax + f * dx - cx) + (ay + f * dy - cy) * (ay + f * dy - cy))), 6) AS inscribed,
+ round(max(sqrt((ax - cx) * (ax - cx) + (ay - cy) * (ay - cy))), 6) AS circumscribed, round(min(sqrt((ax + g * dx) * (ax + g * dx) + (ay + g * dy) * (ay + g * dy))), 6) AS inscribed_origin, round(max(sqrt(ax * ax + ay * ay)), 6) AS circumscribed_origin FROM spot GROUP BY name"""
+SQL["g15_g17_constructors"] = """WITH n AS (SELECT n_nationkey, n_nationkey / 40 AS bx, greatest(1, floor(sqrt(n_nationkey / 40 * (n_nationkey / 40) + 0.4::DOUBLE * 0.4::DOUBLE) / 0.04::DOUBLE))::INT AS m FROM nation)
+ SELECT n_nationkey, 'circle' AS name, k::INT AS i, round((0.2 + n_nationkey / 100) * cos(k * (2 * pi() / 8)), 6) + 0.0 AS x, round((0.2 + n_nationkey / 100) * sin(k * (2 * pi() / 8)), 6) + 0.0 AS y FROM nation, range(8) t(k)
+ UNION ALL SELECT n_nationkey, 'line', k::INT, round(bx * k / m, 6) + 0.0, round(0.4 * k / m, 6) + 0.0 FROM n, LATERAL unnest(range(m + 1)) u(k)
+ UNION ALL SELECT n_nationkey, 'rectangle', i::INT, round(0.1 + p * (0.5 + n_nationkey / 50) / 2, 6) + 0.0, round(q * 0.25, 6) + 0.0::DOUBLE FROM nation, (VALUES (0, 1, 1), (1, -1, 1), (2, -1, -1), (3, 1, -1)) t(i, p, q)"""
+SQL["g17_drop_collinear"] = """WITH v AS (SELECT n_nationkey, i, sx * (0.5 + n_nationkey / 100) AS x, y - CASE WHEN i = 4 THEN n_nationkey / 10000 ELSE 0 END AS y FROM nation, (VALUES (0, 1, 0.5::DOUBLE), (1, 0, 0.5), (2, -1, 0.5), (3, -1, -0.5), (4, 0, -0.5), (5, 1, -0.5)) t(i, sx, y)),
+ k AS (SELECT b.* FROM v b JOIN v a ON a.n_nationkey = b.n_nationkey AND a.i = (b.i + 5) % 6 JOIN v c ON c.n_nationkey = b.n_nationkey AND c.i = (b.i + 1) % 6 WHERE abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) > 1e-3)
+ SELECT n_nationkey, (row_number() OVER (PARTITION BY n_nationkey ORDER BY i) - 1)::INT AS i, round(x, 6) AS x, round(y, 6) AS y FROM k"""
