@@ -121,6 +121,14 @@ class _Greedy:
         return []
 
 
+def quotas(pool: DataFrame, by: str, n: int) -> DataFrame:
+    """by and n: how many rows of each category a balanced choice of n takes, no more than there are; only the categories meet in one task."""
+    have = pool.groupBy(by).agg(F.count("*").alias("have"))
+    place, kinds = F.row_number().over(Window.orderBy(by)), F.count("*").over(Window.partitionBy())
+    share = F.floor(F.lit(n) / kinds) + (place <= F.lit(n) % kinds).cast("int")
+    return have.select(by, F.least("have", share).alias("n"))
+
+
 def maximin(pool: DataFrame, by: str, columns: list[str], n: int) -> DataFrame:
     """Per category its quota of pool rows, spread out: from the one nearest the centroid, always the farthest from those taken.
 
@@ -128,10 +136,10 @@ def maximin(pool: DataFrame, by: str, columns: list[str], n: int) -> DataFrame:
     holds what they send (_Greedy), so its memory is bounded by the design, not by the pool, and a job looks only through
     leaves whose bound exceeds the best candidate. Ties go to the smaller id.
     """
-    kinds = [r[0] for r in pool.select(by).distinct().orderBy(by).collect()]  # the values of a design's parameter
+    quota = {r[0]: r.n for r in quotas(pool, by, n).collect()}  # the values of a design's parameter
+    kinds = list(quota)
     if not kinds:
         return pool
-    quota = {c: n // len(kinds) + (k < n % len(kinds)) for k, c in enumerate(kinds)}
     at = F.array(*(F.col(c).cast("double") for c in columns)).alias("at")
     points = pool.select(F.col("id").cast("long").alias("id"), F.col(by).alias("kind"), at)
     sample = points.select("at").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < max(1, min(1 << 20, (kdtree.SAMPLE << 20) // max(1, points.count())))).limit(2 * kdtree.SAMPLE).collect()

@@ -78,9 +78,14 @@ def base_distance(offset: float = 0.202) -> Column:
     return F.array_min(F.transform(F.filter("beams", lambda b: b["valid"]), lambda b: F.hypot(b["r"] * F.cos(b["a"]) + offset, b["r"] * F.sin(b["a"]))))
 
 
+def in_band() -> Column:
+    """Beams that a clearance counts."""
+    return F.filter("beams", lambda b: ~F.isnan(b["r"]) & (b["r"] > 0.01) & (b["r"] < 30.0))
+
+
 def clearance(surfaces: Column, fallback: Column) -> Column:
     """Least distance between a beam's end and the robot's outline, with its angle and beam (the first of equals)."""
-    good = F.filter("beams", lambda b: ~F.isnan(b["r"]) & (b["r"] > 0.01) & (b["r"] < 30.0))
+    good = in_band()
     turn = 2 * math.pi
     each = F.transform(good, lambda b: F.struct((b["r"] - F.coalesce(F.get(surfaces, (F.pmod(b["a"], F.lit(turn)) / turn * 360).cast("int") % 360), fallback)).alias("c"), b["a"].alias("a")))
     return F.coalesce(F.array_min(each), F.struct(F.lit(float("inf")).alias("c"), F.lit(0.0).alias("a")))

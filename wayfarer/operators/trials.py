@@ -59,6 +59,13 @@ def terminated(ticks: DataFrame, key: str, order: list[str], elapsed: Column, xy
     return ends.groupBy(key).agg(F.min_by(F.struct("at", "reason", "elapsed"), "at").alias("e")).select(key, "e.at.*", "e.reason", "e.elapsed")
 
 
+def terminal_errors(ends: DataFrame, goals: DataFrame, key: str) -> DataFrame:
+    """Per key of both how far its last pose (x, y, yaw) is from its goal's, and how far it is turned from it."""
+    goal = goals.select(key, *(F.col(c).alias(f"_{c}") for c in ("x", "y", "yaw")))
+    both = ends.join(goal, key)
+    return both.select(key, F.hypot(F.col("_x") - F.col("x"), F.col("_y") - F.col("y")).alias("xy_error"), wrap(F.col("_yaw") - F.col("yaw")).alias("yaw_error"))
+
+
 def outcome(collided: Column, decision: Column, result: Column, known: Column) -> Column:
     """Collision first, then the runner's decision, then the navigator's result, then what is known."""
     return F.when(collided, "COLLISION").otherwise(F.coalesce(decision, result, known, F.lit("UNKNOWN")))

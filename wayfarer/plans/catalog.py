@@ -105,15 +105,17 @@ def g1_distances(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g2_valid_mask(spark: SparkSession, d: str) -> DataFrame:
-    both = _distances(spark, d).join(views.cells(spark, d), ["grid_id", "row", "col"])
-    good = (F.col("cost") <= 50) & (F.col("distance") >= 1.0)
-    return both.groupBy("grid_id").agg(F.count_if(good).alias("n_valid"), r6(100.0 * F.count_if(good) / F.count("*")).alias("pct"))
+    cells = views.cells(spark, d)
+    valid = design.valid_cells(cells, views.RESOLUTION, 1.0, F.col("cost") <= 50, grid.is_obstacle(F.col("cost"))).groupBy("grid_id").agg(F.count("*").alias("n"))
+    every = cells.groupBy("grid_id").agg(F.count("*").alias("of")).join(valid, "grid_id", "left")
+    return every.select("grid_id", F.coalesce("n", F.lit(0)).alias("n_valid"), r6(100.0 * F.coalesce("n", F.lit(0)) / F.col("of")).alias("pct"))
 
 
 @query
 def s2_static_obstacles(spark: SparkSession, d: str) -> DataFrame:
-    found = views.cells(spark, d).where(F.col("cost") / 255.0 >= 0.65)
-    return found.select("grid_id", r6(-2.0 + (F.col("col") + 0.5) * 0.5).alias("x"), r6(-2.0 + (8 - 0.5 - F.col("row")) * 0.5).alias("y"))
+    pixels = views.cells(spark, d).select(F.col("grid_id").alias("map_id"), "row", "col", F.col("cost").alias("pixel"))
+    found = readers.occupied(pixels, {"negate": 1, "occupied_thresh": 0.65, "origin": [-2.0, -2.0], "resolution": 0.5}, 8)
+    return found.select(F.col("map_id").alias("grid_id"), r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query
@@ -267,6 +269,17 @@ def o3_terminal_error(spark: SparkSession, d: str) -> DataFrame:
     return ends.select("user_id", r6(F.hypot("dx", "dy")).alias("xy_error"), r6(scalars.wrap(F.col("dy"))).alias("yaw_error"))
 
 
+@query
+def o3_goal_error(spark: SparkSession, d: str) -> DataFrame:
+    log, pose = views.log(spark, d), ["x", "y", "yaw"]
+    of = {"x": F.col("value"), "y": F.col("k"), "yaw": F.col("value") / 30}
+    live = log.groupBy("user_id").agg(F.min("value").alias("x"), F.max("k").alias("y"), F.lit(0.5).alias("yaw"))
+    samples = log.where("event_type = 'signup' and user_id % 3 > 0").select("user_id", *ORDER, *(c.alias(n) for n, c in of.items()))
+    goals = log.where("event_type = 'purchase'").groupBy("user_id").agg(F.min_by(F.struct(*(c.alias(n) for n, c in of.items())), F.struct(*ORDER)).alias("g")).select("user_id", "g.*")
+    ends = merge.last_pose(samples, "user_id", ORDER, pose, live)
+    return trials.terminal_errors(ends, goals, "user_id").select("user_id", r6("xy_error").alias("xy_error"), r6("yaw_error").alias("yaw_error"))
+
+
 # designs
 
 
@@ -297,7 +310,8 @@ def r4_maximin(spark: SparkSession, d: str) -> DataFrame:
 @query
 def r5_unit_scale(spark: SparkSession, d: str) -> DataFrame:
     flag = (F.array_position(F.array(*map(F.lit, "ANR")), F.col("l_returnflag")) - 1) / 2.0
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6((F.col("l_quantity") - 1.0) / 49.0, 9).alias("u_quantity"), r6((F.col("l_discount") - 0.0) / 0.1, 9).alias("u_discount"), r6(flag, 9).alias("u_flag"))
+    scaled = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *design.unit([("l_quantity", 1.0, 50.0, 0), ("l_discount", 0.0, 0.1, 0)]))
+    return scaled.select("l_orderkey", "l_linenumber", r6("u_l_quantity", 9).alias("u_quantity"), r6("u_l_discount", 9).alias("u_discount"), r6(flag, 9).alias("u_flag"))
 
 
 @query
@@ -322,11 +336,7 @@ def r7_pose_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a12_quota(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    kinds = li.select("l_returnflag").distinct()  # a handful of categories
-    quota = kinds.select("l_returnflag", (F.floor(F.lit(1000) / 3) + (F.row_number().over(Window.orderBy("l_returnflag")) <= 1000 % 3).cast("int")).alias("quota"))
-    have = li.groupBy("l_returnflag").agg(F.count("*").alias("have"))
-    return have.join(quota, "l_returnflag").select("l_returnflag", F.least("have", "quota").alias("n"))
+    return design.quotas(table(spark, d, "lineitem"), "l_returnflag", 1000)
 
 
 # trials and configurations
@@ -363,10 +373,9 @@ def p8_read_back(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p10_failed_params(spark: SparkSession, d: str) -> DataFrame:
-    failed = F.when(F.col("l_returnflag") == "R", F.struct("l_linenumber", "l_partkey"))
-    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(failed)).alias("f"))
-    names = F.array_join(F.transform("f", lambda s: s["l_linenumber"].cast("string")), ";")
-    return lists.select("l_orderkey", F.size("f").cast("long").alias("params_unverified_count"), names.alias("params_unverified"), (F.size("f") == 0).cast("int").alias("config_valid"))
+    got = F.when(F.col("l_returnflag") == "R", "other").otherwise("carry")
+    applied = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trial_id"), F.lit("categorical").alias("param_type"), F.lit("carry").alias("target_value"), got.alias("got"), F.col("l_partkey").cast("string").alias("name"), F.col("l_linenumber").cast("string").alias("ros_node"))
+    return trials.unverified(applied).withColumnRenamed("trial_id", "l_orderkey")
 
 
 @query
@@ -484,7 +493,7 @@ def g12_surfaces(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_lidar_band(spark: SparkSession, d: str) -> DataFrame:
-    good = F.filter("beams", lambda b: ~F.isnan(b["r"]) & (b["r"] > 0.01) & (b["r"] < 30.0))
+    good = scan.in_band()
     return views.scans(spark, d).select("vec_id", F.size(good).cast("long").alias("n_good"), r6(scan.least(good)).alias("least"))
 
 
@@ -618,7 +627,7 @@ def x13_rejected(spark: SparkSession, d: str) -> DataFrame:
 @query
 def s9_first_populated(spark: SparkSession, d: str) -> DataFrame:
     c = views.cells(spark, d)
-    snapshots = c.select((F.col("grid_id") % 50).alias("grid_id"), F.col("grid_id").alias("taken"), "row", "col", F.when(F.col("grid_id") % 150 < 50, 255).otherwise(F.col("cost")).alias("cost"))
+    snapshots = c.select((F.col("grid_id") % 50).alias("grid_id"), F.col("grid_id").alias("taken"), "row", "col", F.when((F.col("grid_id") % 150 < 50) | (F.col("grid_id") % 50 == 7), 255).otherwise(F.col("cost")).alias("cost"))
     return readers.first_populated(snapshots, "taken").groupBy("grid_id", "taken").agg(F.sum("cost").alias("total"))
 
 

@@ -88,7 +88,7 @@ SQL = {
     "p14_clamp": "SELECT least(3000, (SELECT count(*) FROM customer), (SELECT count(*) FROM supplier))::BIGINT AS n_trials",
     "p1_flat_config": "SELECT l_orderkey, l_linenumber, l_quantity AS param__controller_server__FollowPath_vx_max, l_discount AS param__local_costmap__inflation_radius FROM lineitem",
     "p8_read_back": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(abs(l_extendedprice * 1.005 - l_extendedprice) <= greatest(1e-3, 0.01 * abs(l_extendedprice)), false) AS continuous_ok, trunc(l_quantity + 0.7)::BIGINT = trunc(l_quantity)::BIGINT AS discrete_ok, lower(trim(' ' || l_returnflag || ' ')) = lower(l_linestatus) AS text_ok FROM lineitem",
-    "p10_failed_params": "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS params_unverified_count, coalesce(string_agg(l_linenumber::VARCHAR, ';' ORDER BY l_linenumber, l_partkey) FILTER (l_returnflag = 'R'), '') AS params_unverified, (count(*) FILTER (l_returnflag = 'R') = 0)::INT AS config_valid FROM lineitem GROUP BY 1",
+    "p10_failed_params": "SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS params_unverified_count, coalesce(string_agg(l_linenumber || '/' || l_partkey, ';' ORDER BY l_linenumber || '/' || l_partkey) FILTER (l_returnflag = 'R'), '') AS params_unverified, (count(*) FILTER (l_returnflag = 'R') = 0)::INT AS config_valid FROM lineitem GROUP BY 1",
     "p13_truthy": "SELECT l_orderkey, l_linenumber, lower(trim(CASE l_linenumber WHEN 1 THEN ' Yes ' WHEN 2 THEN 'ON' WHEN 3 THEN '0' ELSE l_returnflag END)) IN ('1', 'true', 'yes', 'on') AS flag FROM lineitem",
     "g9_g10_polygons": "SELECT * FROM (VALUES ('carry', 0.417573, 0.112241, -0.183593, 0.224221, 0.632346, 0.265619, 0.847115), ('extended', 0.6, 0.0, -0.38, 0.15, 0.932148, 0.180278, 1.308625), ('tucked', 0.252, 0.0, 0.0, 0.275744, 0.3, 0.275744, 0.3)) t(name, area, cx, cy, inscribed, circumscribed, inscribed_origin, circumscribed_origin)",
 }
@@ -165,7 +165,7 @@ SQL |= {
     "x1_latest_of_batch": "SELECT event_id // 100 AS batch, event_type, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY 1, 2",
     "x13_well_formed": "SELECT vec_id, " + ", ".join(f"round(embedding[{k}]::DOUBLE, 6) AS {n}" for k, n in enumerate(("r_min", "r_width", "r_ttc", "r_dens", "r_clear", "r_curve", "r_grad", "r_vis"), 1)) + " FROM embeddings WHERE vec_id % 4 + 6 = 8",
     "x13_rejected": "SELECT (CASE WHEN vec_id % 9 = 0 THEN -1 ELSE vec_id % 4 + 6 END)::INT AS arity, count(*) AS rejected FROM embeddings WHERE vec_id % 9 = 0 OR vec_id % 4 <> 2 GROUP BY 1",
-    "s9_first_populated": f"WITH {CELLS}, s AS (SELECT grid_id % 50 AS grid_id, grid_id AS taken, CASE WHEN grid_id % 150 < 50 THEN 255 ELSE cost END AS cost FROM cells), f AS (SELECT grid_id, min(taken) AS taken FROM s WHERE cost <> 255 GROUP BY 1) SELECT grid_id, taken, sum(cost)::BIGINT AS total FROM s JOIN f USING (grid_id, taken) GROUP BY ALL",
+    "s9_first_populated": f"WITH {CELLS}, s AS (SELECT grid_id % 50 AS grid_id, grid_id AS taken, CASE WHEN grid_id % 150 < 50 OR grid_id % 50 = 7 THEN 255 ELSE cost END AS cost FROM cells), f AS (SELECT grid_id, coalesce(min(taken) FILTER (cost <> 255), max(taken)) AS taken FROM s GROUP BY 1) SELECT grid_id, taken, sum(cost)::BIGINT AS total FROM s JOIN f USING (grid_id, taken) GROUP BY ALL",
     "g3_pixel_world": f'WITH {CELLS} SELECT grid_id, "row", col, round(-3.0 + col * 0.05, 6)::DOUBLE AS x, round(2.0 + (8 - "row") * 0.05, 6)::DOUBLE AS y, col AS px, "row" AS py FROM cells',
     "s2_negated_map": f"""WITH {CELLS}, m AS (SELECT *, unnest([0, 1]) AS negate FROM cells) SELECT grid_id AS map_id, negate::INT AS negate, round(-2.0 + (col + 0.5) * 0.5, 6)::DOUBLE AS x, round(-2.0 + (8 - 0.5 - "row") * 0.5, 6)::DOUBLE AS y FROM m WHERE CASE negate WHEN 1 THEN cost ELSE 255 - cost END / 255.0 >= 0.65""",
     "g17_drop_collinear": "SELECT i::INT AS i, x::DOUBLE AS x, y::DOUBLE AS y FROM (VALUES (0, 0.5, 0.5), (1, -0.5, 0.5), (2, -0.5, -0.5), (3, 0.5, -0.5)) t(i, x, y)",
@@ -249,3 +249,7 @@ SQL["g15_g17_constructors"] = """WITH n AS (SELECT n_nationkey, n_nationkey / 40
 SQL["g17_drop_collinear"] = """WITH v AS (SELECT n_nationkey, i, sx * (0.5 + n_nationkey / 100) AS x, y - CASE WHEN i = 4 THEN n_nationkey / 10000 ELSE 0 END AS y FROM nation, (VALUES (0, 1, 0.5::DOUBLE), (1, 0, 0.5), (2, -1, 0.5), (3, -1, -0.5), (4, 0, -0.5), (5, 1, -0.5)) t(i, sx, y)),
  k AS (SELECT b.* FROM v b JOIN v a ON a.n_nationkey = b.n_nationkey AND a.i = (b.i + 5) % 6 JOIN v c ON c.n_nationkey = b.n_nationkey AND c.i = (b.i + 1) % 6 WHERE abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) > 1e-3)
  SELECT n_nationkey, (row_number() OVER (PARTITION BY n_nationkey ORDER BY i) - 1)::INT AS i, round(x, 6) AS x, round(y, 6) AS y FROM k"""
+
+SQL["o3_goal_error"] = f"""WITH {LOG}, s AS (SELECT user_id, arg_max(value, (ts, event_id)) AS x, arg_max(k, (ts, event_id)) AS y FROM log WHERE event_type = 'signup' AND user_id % 3 > 0 GROUP BY 1), live AS (SELECT user_id, min(value) AS x, max(k) AS y FROM log GROUP BY 1),
+ g AS (SELECT user_id, arg_min(value, (ts, event_id)) AS x, arg_min(k, (ts, event_id)) AS y FROM log WHERE event_type = 'purchase' GROUP BY 1), e AS (SELECT user_id, coalesce(s.x, live.x) AS x, coalesce(s.y, live.y) AS y, CASE WHEN s.x IS NULL THEN 0.5::DOUBLE ELSE s.x / 30 END AS yaw FROM live LEFT JOIN s USING (user_id))
+ SELECT user_id, round(sqrt((g.x - e.x) * (g.x - e.x) + (g.y - e.y) * (g.y - e.y)), 6) AS xy_error, round(atan2(sin(g.x / 30 - yaw), cos(g.x / 30 - yaw)), 6) AS yaw_error FROM e JOIN g USING (user_id)"""

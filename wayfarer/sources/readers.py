@@ -130,9 +130,9 @@ def image_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def first_populated(cells: DataFrame, order: str) -> DataFrame:
-    """Per grid_id the first snapshot, by order, that has a known cell; grids without one are left out."""
-    known = cells.groupBy("grid_id", order).agg(F.bool_or(F.col("cost") != 255).alias("known")).where("known")
-    first = known.groupBy("grid_id").agg(F.min(order).alias(order))
+    """Per grid_id the first snapshot, by order, that has a known cell; of a grid that never has one the last."""
+    known = cells.groupBy("grid_id", order).agg(F.bool_or(F.col("cost") != 255).alias("known"))
+    first = known.groupBy("grid_id").agg(F.coalesce(F.min(F.when(F.col("known"), F.col(order))), F.max(order)).alias(order))
     return cells.join(first, ["grid_id", order])
 
 
