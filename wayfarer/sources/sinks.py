@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,3 +75,41 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 def export(rows: DataFrame, order: list[str], path: str) -> None:
     """JSON rows, numbered."""
     numbered(rows, order).write.mode("overwrite").json(path)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def committed_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of the batches that append_once has committed."""
+    return spark.read.schema("batch long").json(f"{path}/commits/*") if _there(spark, f"{path}/commits") else spark.createDataFrame([], "batch long")
+
+
+def append_once(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that appends each batch of trial records once, however often it is run.
+
+    A batch's rows go to a folder of its id, which a second run overwrites, and count once the id is in the list of commits; a run
+    that ends between the two leaves nothing that committed reads. Batches may have further columns.
+    """
+
+    def run(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        if _there(spark, f"{path}/commits/{batch}/_SUCCESS"):
+            return
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        commit(spark, path, batch)
+
+    return run
+
+
+def commit(spark: SparkSession, path: str, batch: int) -> None:
+    spark.range(1).select(F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").json(f"{path}/commits/{batch}")
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of committed batches, of all columns that any batch has; trials.newest keeps the last row of each trial."""
+    ids = [r.batch for r in committed_ids(spark, path).collect()]  # a number a batch
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/rows")
+    return rows.where(F.col("batch").isin(ids)).drop("batch")

@@ -92,3 +92,15 @@ def well_formed(messages: DataFrame) -> DataFrame:
 def ticks(first: str, last: str, spark: SparkSession, milliseconds: int = 100) -> DataFrame:
     """Fixed-rate ticks on event time."""
     return spark.sql(f"select explode(sequence(timestamp'{first}', timestamp'{last}', interval {milliseconds} milliseconds)) as ts")
+
+
+def within_windows(rows: DataFrame, windows: DataFrame, longest: str, late: str = "1 hour", key: str = "trial") -> DataFrame:
+    """Rows (key, ts and others) within their trial's navigation window (key, started, ended), with the seconds since it started.
+
+    Both streams have watermarks, and a window is at most `longest`, so a row waits no longer for its window, nor a window
+    for its rows, than that and what comes late; then Spark drops them.
+    """
+    windows = windows.select(F.col(key).alias("_key"), "started", "ended").withWatermark("ended", late)
+    near = (F.col(key) == F.col("_key")) & (F.col("ts") >= F.col("started")) & (F.col("ts") <= F.col("ended")) & (F.col("ts") >= F.col("ended") - F.expr(f"interval {longest}"))
+    since = (F.unix_micros("ts") - F.unix_micros("started")) / 1e6
+    return rows.withWatermark("ts", late).join(windows, near).select(*rows.columns, since.alias("since"))
