@@ -177,6 +177,7 @@ def test_settled_rows_are_dealt_over_all_buckets():
 
 
 def test_seeds_found_part_by_part_are_those_of_the_whole(monkeypatch, docs, rows):
+    rows = [r for r in rows if r[0] not in (300, 301)]  # a periodic text has those of one period for each part; test_periodic_texts has them
     batch = pa.record_batch({"text": [t for _, t in rows], "k1": np.arange(len(rows)), "k2": np.arange(len(rows))})
 
     def windows(of):
