@@ -29,9 +29,8 @@ from wayfarer.llm.common import texts
 
 SPACE = "▁"
 #: Bytes of a generation of parts or stretches, and characters of the longest that is kept: where no spaces part a text, it is one part.
-KEPT_BYTES, LONGEST, BRIEF = 24 << 20, 128, 24
+KEPT_BYTES, LONGEST, BRIEF = 32 << 20, 128, 24
 PAIRS_KEPT = 300_000
-AT_ONCE = 1 << 16  # ids written together
 #: Texts that show a model's normalization, its treatment of white space and its fallback to bytes.
 PROBES = ("a", " a", "a ", "  a  b  ", "A\tb\nc\r\n", "\ufb01 \u212b e\u0301 \u00e9 \u3000x\u00a0y", "\u2581a\u2581", "\u200bz\ufeff", "\U0001f642\x00\x1f", "<s> </s> <unk>")
 
@@ -50,7 +49,7 @@ class PrefixTable:
             raise ValueError("pieces that cross from one word to the next aren't supported")
         self.automaton = ahocorasick.Automaton()
         for x in self.ids:
-            self.automaton.add_word(x, x)
+            self.automaton.add_word(x, (x, len(x)))
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         # pieces defined by a user have the score 0, as the first merge has
@@ -81,14 +80,20 @@ class PrefixTable:
         return found
 
     def pieces(self, text: str) -> list[str]:
-        last, settled = [""], -1
-        for at, piece in self.automaton.iter(text):  # by where they end
-            while len(last) <= at:  # characters without a piece, or whose pieces don't fit
-                last.append(text[len(last) - 1])
-            if at != settled and self.compatible(last[at + 1 - len(piece)], piece):
+        last, n, settled, fits = [""], 1, -1, self.fits
+        for at, (piece, size) in self.automaton.iter(text):  # by where they end
+            if at == settled:
+                continue
+            while n <= at:  # characters without a piece, or whose pieces don't fit
+                last.append(text[n - 1])
+                n += 1
+            pair = (last[at + 1 - size], piece)
+            fit = fits.get(pair)
+            if self.compatible(*pair) if fit is None else fit:
                 last.append(piece)
+                n += 1
                 settled = at
-        last += text[len(last) - 1 :]
+        last += text[n - 1 :]
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -130,15 +135,15 @@ class Stretches(Kept):
     def __init__(self, table: PrefixTable) -> None:
         super().__init__()
         self.table, self.spelled = table, table.spelled
+        self.decimal = {i: b"%d" % i for i in self.spelled}
         self.other: dict[str, bytes] = {}
 
     def made(self, text: str) -> bytes:
         ids = self.table.encoded(text)
-        if b"".join([self.spelled[i] for i in ids]) != _spaced(text):
-            self.other[text] = b"".join([self.spelled[i] for i in ids])
-        if len(ids) <= AT_ONCE:
-            return b",".join([b"%d" % i for i in ids])
-        return b",".join(b",".join([b"%d" % i for i in ids[k : k + AT_ONCE]]) for k in range(0, len(ids), AT_ONCE))
+        decoded = b"".join([self.spelled[i] for i in ids])
+        if decoded != _spaced(text):
+            self.other[text] = decoded
+        return b",".join([self.decimal[i] for i in ids])
 
     def __missing__(self, text: str) -> bytes:
         found = self.old.get(text)
