@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -355,6 +356,31 @@ def test_hulls_grow_batch_by_batch(spark):
     assert design.hull(points.limit(0), "k").count() == 0
 
 
+def test_hull_of_points_on_slanted_edges_equals_sql(spark, tmp_path):
+    """Where decimals are on a line, doubles may not be: what the SQL takes for a corner is one here, however the points are parted."""
+    draw = random.Random(5)
+    # (5.16, 75) is on the line of (0.18, 63) and (13.46, 95); the SQL's arithmetic keeps it
+    seen = [(0.18, 63), (1.58, 14), (3.55, 10), (17.51, 5), (38.99, 1), (227.67, 11), (172.55, 47), (112.9, 84), (54.05, 99), (18.85, 98), (13.46, 95), (5.16, 75)]
+    groups = [seen, [(3.0, 4)], [(3.0, 4)] * 2, [(3.0, 4), (5.0, 9)]]
+    for _ in range(40):  # corners and many points on the edges between them
+        (ax, ay), (bx, by), (cx, cy) = (draw.randint(0, 9), 0), (draw.randint(40, 60), draw.randint(0, 5)), (draw.randint(10, 30), draw.randint(30, 60))
+        at = [(p + (q - p) * k, r + (s - r) * k) for p, r, q, s in ((ax, ay, bx, by), (bx, by, cx, cy), (cx, cy, ax, ay)) for k in (0, 0.25, 0.5, 0.75)]
+        groups.append([(round(x * 0.6 + 0.07, 2), round(y * 4)) for x, y in at] + [(20.0, 50)])
+    events = [(user, value, f'{{"k": {k}}}') for user, g in enumerate(groups) for value, k in g]
+    draw.shuffle(events)
+    rows = [(n, user, "view", value, props) for n, (user, value, props) in enumerate(events)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds("event_id"))
+    made.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(catalog.ORACLE_SQL["g16_convex_hull"]).fetchall())
+    assert (0, 11, 0.0516, 0.75) in want
+    for few in (design.FEW, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(design, "FEW", few)
+            assert sorted(map(tuple, catalog.QUERIES["g16_convex_hull"](spark, str(tmp_path)).collect())) == want
+
+
 # trials
 
 

@@ -184,36 +184,93 @@ def _gaps(taken: dict) -> Callable:
 
 
 _TURNS = np.linspace(0, 2 * np.pi, 32, endpoint=False)
+#: Groups of fewer points in a batch are sent on as they are.
+FEW = 16
 
 
-def _ring(pts: np.ndarray) -> np.ndarray:
-    """Convex hull of points, counter-clockwise from the least x; collinear points go."""
-    pts = np.unique(pts, axis=0)
+def _slack(pts: np.ndarray) -> float:
+    """How near to a line a point may be so that doubles might not tell its side; thousands of times what rounding takes."""
+    return 1e-10 * (1 + np.abs(pts).max(initial=0.0))
+
+
+def _chains(rows: list[list[float]]) -> list[np.ndarray]:
+    """The lower and the upper chain of rows in order, each with both ends."""
+    out: list[np.ndarray] = []
+    for points in (rows, rows[::-1]):
+        chain: list[list[float]] = []
+        for p in points:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                del chain[-1]
+            chain.append(p)
+        out.append(np.array(chain))
+    return out
+
+
+def _edge(pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points that a hull may need, by x and y: its corners and what may be on its edges; and the plain hull.
+
+    Where points are on a line but for rounding, whether one is a corner depends on all of them, so none goes before all
+    have met. A point between two others of the same x, or the same y, is no corner, however that is computed.
+    """
+    for last in (0, 1):
+        pts = pts[np.lexsort((pts[:, last], pts[:, 1 - last]))]
+        pts = pts[np.r_[True, (pts[1:] != pts[:-1]).any(axis=1)]] if last == 0 else pts
+        same = pts[1:, 1 - last] == pts[:-1, 1 - last]
+        pts = pts[~(np.r_[False, same] & np.r_[same, False])]
+    slack = _slack(pts)
     if len(pts) > 64:  # those inside the polygon of the farthest points in some directions can't be on the hull
         far = pts[np.unique((pts @ np.array([np.cos(_TURNS), np.sin(_TURNS)])).argmax(axis=0))]
         far = far[np.argsort(np.arctan2(*(far - far.mean(axis=0)).T[::-1]))]
         side = np.roll(far, -1, axis=0) - far
-        # the margin keeps points on an edge, whatever the rounding
-        inside = np.logical_and.reduce([x * (pts[:, 1] - p[1]) - y * (pts[:, 0] - p[0]) > 1e-9 * (1 + np.abs(pts).max()) for p, (x, y) in zip(far, side, strict=True)])
+        inside = np.logical_and.reduce([x * (pts[:, 1] - p[1]) - y * (pts[:, 0] - p[0]) > slack * (abs(x) + abs(y)) for p, (x, y) in zip(far, side, strict=True)])
         pts = pts[~inside] if len(far) > 2 else pts
+    if len(pts) < 3:
+        return pts, pts
+    chains, near = _chains(pts.tolist()), np.zeros(len(pts), bool)
+    for chain, way in zip(chains, (1, -1), strict=True):
+        k = np.clip(np.searchsorted(way * chain[:, 0], way * pts[:, 0], side="right") - 1, 0, len(chain) - 2)
+        (ax, ay), (dx, dy) = chain[k].T, (chain[k + 1] - chain[k]).T
+        near |= dx * (pts[:, 1] - ay) - dy * (pts[:, 0] - ax) <= slack * (np.abs(dx) + np.abs(dy))
+    return pts[near], np.concatenate([c[:-1] for c in chains])
 
-    def chain(points: list[list[float]]) -> list[list[float]]:
-        out: list[list[float]] = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                del out[-1]
-            out.append(p)
-        return out[:-1]
-
-    rows = pts.tolist()
-    return pts if len(rows) < 3 else np.array(chain(rows) + chain(rows[::-1]))
 
+def _ring(pts: np.ndarray) -> np.ndarray:
+    """Convex hull of points, counter-clockwise from the least x; collinear points go.
 
-def hull(points: DataFrame, by: str) -> DataFrame:
+    A corner is a point from which an edge leads to another, with all others on its left or on it, as doubles have it. If
+    each point is clearly a corner or clearly inside, that is the plain hull. Otherwise each point takes for its edge's end
+    the one that no other is to the right of, and that is compared with all.
+    """
+    pts, plain = _edge(pts) if len(pts) else (pts, pts)
+    if len(pts) < 2:
+        return pts
+    if len(pts) == len(plain) > 2:
+        to = np.roll(plain, -1, axis=0) - plain
+        on = np.roll(to, -1, axis=0)
+        if (to[:, 0] * on[:, 1] - to[:, 1] * on[:, 0] > _slack(pts) * (np.abs(to) + np.abs(on)).sum(axis=1)).all():
+            return plain
+    x, y = pts.T
+    end = np.r_[1 : len(pts), 0]
+
+    def holds(c: int) -> np.ndarray:
+        """Of each point's edge, whether it may be one beside c."""
+        bx, by, cx, cy = x[end] - x, y[end] - y, x[c] - x, y[c] - y
+        left, right, along = bx * cy, by * cx, bx * cx + by * cy
+        return (left > right) | ((left == right) & (along >= 0) & (along <= bx * bx + by * by))
+
+    for c in range(len(pts)):
+        end = np.where(holds(c), end, c)
+    ring = pts[np.logical_and.reduce([holds(c) for c in range(len(pts))])]
+    ring = ring[np.argsort(np.arctan2(*(ring - ring.mean(axis=0)).T[::-1]))] if len(ring) else ring
+    return np.roll(ring, -np.lexsort(ring.T[::-1])[0], axis=0) if len(ring) else ring
+
+
+def hull(points: DataFrame, by: str, single: bool = True) -> DataFrame:
     """Convex hull of each group's points (rounded to 6 digits), counter-clockwise from the least x; collinear points go.
 
-    Tasks send the hulls of their own points of each group, and a group's hull is that of those: it grows batch
-    by batch, so no group is held whole. Points without a group or a coordinate are left out.
+    Tasks send what the hulls of their own points of each group may need, and a group's hull is that of those: it grows
+    batch by batch, so no group is held whole, only its corners and what may be on its slanted edges. Points without a group
+    or a coordinate are left out, without single also groups of one point.
     """
 
     def frame(rings: list[tuple[object, np.ndarray]]) -> pd.DataFrame:
@@ -222,24 +279,27 @@ def hull(points: DataFrame, by: str) -> DataFrame:
         keys = pd.Series([k for k, _ in rings], dtype=object).repeat(sizes)
         return pd.DataFrame({by: keys.to_numpy(), "i": np.concatenate([np.arange(0), *map(np.arange, sizes)]), "x": xy[:, 0], "y": xy[:, 1]})
 
+    def corners(edge: np.ndarray) -> np.ndarray:
+        return _ring(edge if single or (edge != edge[0]).any() else edge[:0])
+
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             xy = batch[["x", "y"]].to_numpy(float).round(6)
-            yield frame([(key, _ring(xy[at])) for key, at in batch.groupby(by, sort=False).indices.items()])
+            yield frame([(key, xy[at] if len(at) < FEW else _edge(xy[at])[0]) for key, at in batch.groupby(by, sort=False).indices.items()])
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ring = None, np.empty((0, 2))
+        now, edge = None, np.empty((0, 2))
         for batch in batches:
             keys, xy, done = batch[by].to_numpy(), batch[["x", "y"]].to_numpy(float), []
             heads = [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]]
             for a, b in zip(heads, [*heads[1:], len(keys)], strict=True):
-                if len(ring) and keys[a] != now:
-                    done.append((now, ring))
-                    ring = np.empty((0, 2))
-                now, ring = keys[a], _ring(np.concatenate([ring, xy[a:b]]))
+                if len(edge) and keys[a] != now:
+                    done.append((now, corners(edge)))
+                    edge = np.empty((0, 2))
+                now, edge = keys[a], _edge(np.concatenate([edge, xy[a:b]]))[0] if len(edge) else xy[a:b]
             yield frame(done)
-        if len(ring):
-            yield frame([(now, ring)])
+        if len(edge):
+            yield frame([(now, corners(edge))])
 
     ddl = f"`{by}` {points.schema[by].dataType.simpleString()}, i long, x double, y double"
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work: groups go to all tasks
