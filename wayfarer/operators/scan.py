@@ -31,8 +31,10 @@ def ahead() -> Column:
     return least(F.filter("beams", lambda b: b["valid"] & (F.abs(b["a"]) < HALF_FIELD)))
 
 
-def r_ttc(v: Column, ahead: Column) -> Column:
-    return F.when((F.abs(v) < 0.01) | (v < 0) | ahead.isNull(), 100.0).otherwise(F.least(ahead / v, F.lit(100.0)))
+def r_ttc(v: Column, near: Column | None = None) -> Column:
+    """Time to what is ahead: near, or of the row's beams."""
+    near = ahead() if near is None else near
+    return F.when((F.abs(v) < 0.01) | (v < 0) | near.isNull(), 100.0).otherwise(F.least(near / v, F.lit(100.0)))
 
 
 def r_vis() -> Column:
